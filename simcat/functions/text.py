@@ -20,6 +20,10 @@ PY_SPACE_CLASS = (
     r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 STRIP_PATTERN = rf"\A{PY_SPACE_CLASS}+|{PY_SPACE_CLASS}+\z"
+# The same set as plain characters, for btrim (trims both ends without a regex scan).
+PY_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                  "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                  "\u2028\u2029\u202f\u205f\u3000")
 SPACE_RUN_PATTERN = rf"{PY_SPACE_CLASS}+"
 HTML_TAG_PATTERN = r"<[^>]+>"
 
@@ -29,8 +33,10 @@ def _c(x) -> Column:
 
 
 def py_strip(c) -> Column:
-    """P-1: Python ``str.strip()`` (all Unicode whitespace plus U+001C..U+001F)."""
-    return F.regexp_replace(_c(c), STRIP_PATTERN, "")
+    """P-1: Python ``str.strip()`` (all Unicode whitespace plus U+001C..U+001F).
+
+    ``btrim`` only inspects the ends, so long texts cost nothing extra."""
+    return F.btrim(_c(c), F.lit(PY_SPACE_CHARS))
 
 
 def collapse_spaces(c) -> Column:
@@ -46,9 +52,13 @@ def strip_html(c) -> Column:
 def clean_description(c, cap: int = P.DESCRIPTION_CAP) -> Column:
     """P-2 + P-3 + P-4: tags out, whitespace collapsed, first ``cap`` code points.
 
-    Null when nothing is left (the part is then omitted)."""
-    cleaned = F.substring(collapse_spaces(strip_html(py_strip(c))), 1, cap)
-    return F.when(cleaned != "", cleaned)
+    Empty string when nothing is left (the part is then omitted)."""
+    return F.substring(collapse_spaces(strip_html(py_strip(c))), 1, cap)
+
+
+def empty_to_null(c) -> Column:
+    """'' -> null, evaluating ``c`` once (``nullif`` would evaluate it twice)."""
+    return F.try_element_at(F.filter(F.array(_c(c)), lambda x: x != ""), F.lit(1))
 
 
 def category_path(*levels) -> Column:
@@ -74,26 +84,24 @@ def rating_text(raw) -> Column:
     return F.when(num.isNotNull() & ~F.isnan(num) & (num > 0), shown)
 
 
-def labelled(label: str, value: Column) -> Column:
-    return F.when(value.isNotNull() & (value != ""), F.concat(F.lit(label), value))
-
-
 def product_text(title, categories, description, attributes, seller, rating,
                  labels: tuple = None) -> Column:
-    """P-8: labelled parts joined by `` | ``, missing parts skipped.
+    """P-8: labelled parts joined by `` | ``, missing (null or empty) parts skipped.
 
     Inputs are already-rendered parts (see the functions above); ``title`` and
-    ``seller`` are stripped here."""
+    ``seller`` are stripped here. Every part expression appears exactly once (as an
+    array element), so the regex work per part runs once per row."""
     lt, lc, ld, la, ls, lr = labels or P.DEFAULT.labels
-    return F.concat_ws(
-        P.PART_SEPARATOR,
-        labelled(lt, py_strip(title)),
-        labelled(lc, _c(categories)),
-        labelled(ld, _c(description)),
-        labelled(la, _c(attributes)),
-        labelled(ls, py_strip(seller)),
-        labelled(lr, _c(rating)),
+    parts = F.array(
+        F.struct(F.lit(lt).alias("l"), py_strip(title).alias("v")),
+        F.struct(F.lit(lc).alias("l"), _c(categories).alias("v")),
+        F.struct(F.lit(ld).alias("l"), _c(description).alias("v")),
+        F.struct(F.lit(la).alias("l"), _c(attributes).alias("v")),
+        F.struct(F.lit(ls).alias("l"), py_strip(seller).alias("v")),
+        F.struct(F.lit(lr).alias("l"), _c(rating).alias("v")),
     )
+    present = F.filter(parts, lambda p: p["v"].isNotNull() & (p["v"] != ""))
+    return F.array_join(F.transform(present, lambda p: F.concat(p["l"], p["v"])), P.PART_SEPARATOR)
 
 
 def preview(c, n: int) -> Column:

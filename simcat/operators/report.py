@@ -35,12 +35,15 @@ def batch_progress(outcomes: DataFrame, batch_size: int = P.LOAD_BATCH_SIZE) ->
 
 def failure_sample(outcomes: DataFrame, n: int = P.FAILURE_SAMPLE) -> DataFrame:
     """A-4: the first ``n`` failures in file order (top-k, no full sort) + how many more."""
-    failed = outcomes.filter(F.col("reason").isNotNull())
-    first = failed.orderBy("record_no").limit(n)
-    more = failed.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("more")).withColumn("_one", F.lit(1))
-    # Both sides are bounded (n rows and one row): an equi-join on a constant key.
-    return (first.select("record_no", "id", "reason").withColumn("_one", F.lit(1))
-            .join(F.broadcast(more), "_one", "left").drop("_one"))
+    failed = F.col("reason").isNotNull()
+    # Failures sort first; a top-k over (not failed, record_no) then drops successes
+    # after the limit, so no filter sits under the formatting projection.
+    first = (outcomes.select("record_no", "id", "reason")
+             .orderBy((~failed).asc(), F.col("record_no").asc()).limit(n)
+             .filter(failed))
+    # A scalar subquery: evaluated once as its own aggregate, no join.
+    more = outcomes.agg(F.greatest(F.count_if(failed) - n, F.lit(0))).scalar()
+    return first.select("record_no", "id", "reason", more.cast("long").alias("more"))
 
 
 def search_run_report(catalog: DataFrame, embedder, n: int = P.SEARCH_RUN_SIZE, k: int = P.SEARCH_RUN_K) -> DataFrame:
