@@ -78,7 +78,7 @@ def fold_upserts(valid: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.max_by(payload, F.col("seq")).alias("_last"),
         F.min_by(F.col("ts"), F.col("seq")).alias("t0"),
-        F.max_by(F.col("ts"), F.col("seq")).alias("t1"),
+        F.max_by(F.col("ts"), F.col("seq")).alias("t1"),  # ts: epoch seconds (P-13)
         F.min("seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),
     )
@@ -96,22 +96,37 @@ def empty_catalog(spark, vector_type: str = "array<float>") -> DataFrame:
 def merge_upserts(catalog: DataFrame, folded: DataFrame) -> DataFrame:
     """J-2: full outer join of the catalog with the folded feed.
 
-    count' = coalesce(C.count, 0) + n; created_at' = coalesce(C.created_at, t0);
-    updated_at' = t1; ids absent from the feed keep their row unchanged. Both sides
-    hold one row per id, so the join cannot skew."""
-    c = catalog.select(*[F.col(x).alias(f"c_{x}") for x in CATALOG_COLUMNS])
-    f = folded
-    j = c.join(f, c["c_id"] == f["id"], "full_outer")
-    in_feed = f["id"].isNotNull()
-    vec = F.when(in_feed, f["vector"]).otherwise(c["c_vector"])
+    count' = coalesce(C.count, 0) + n; the feed's last text/vector and t1 win when
+    its last seq is newer than the row's; created_at' = C.created_at unless the feed
+    starts earlier (a late feed), else t0. With an in-order feed this is exactly
+    the service's insert-or-update; out-of-order micro-batches converge to the same
+    rows. Rows without seq bookkeeping count as older than any feed. Ids absent
+    from the feed keep their row. Both sides hold one row per id, so the join
+    cannot skew. Output keeps ``first_seq`` / ``last_seq`` bookkeeping."""
+    has_book = "last_seq" in catalog.columns
+    c = catalog.select(*[F.col(x).alias(f"c_{x}") for x in CATALOG_COLUMNS],
+                       *([F.col("first_seq").alias("c_first_seq"), F.col("last_seq").alias("c_last_seq")]
+                         if has_book else [F.lit(None).cast("long").alias("c_first_seq"),
+                                           F.lit(None).cast("long").alias("c_last_seq")]))
+    f = folded.select(*[F.col(x).alias(f"f_{x}") for x in
+                        ["id", "n", "text", "vector", "t0", "t1", "first_seq", "last_seq"]])
+    j = c.join(f, F.col("c_id") == F.col("f_id"), "full_outer")
+    col = F.col
+    in_feed = col("f_id").isNotNull()
+    in_cat = col("c_id").isNotNull()
+    newer = in_feed & (col("c_last_seq").isNull() | (col("f_last_seq") > col("c_last_seq")))
+    earlier = in_feed & in_cat & col("c_first_seq").isNotNull() & (col("f_first_seq") < col("c_first_seq"))
+    vec = F.when(newer, col("f_vector")).otherwise(col("c_vector"))
     return j.select(
-        F.coalesce(f["id"], c["c_id"]).alias("id"),
-        F.when(in_feed, f["text"]).otherwise(c["c_text"]).alias("text"),
+        F.coalesce(col("f_id"), col("c_id")).alias("id"),
+        F.when(newer, col("f_text")).otherwise(col("c_text")).alias("text"),
         vec.alias("vector"),
         F.size(vec).cast("int").alias("dim"),
-        (F.coalesce(c["c_count"], F.lit(0)) + F.coalesce(f["n"], F.lit(0))).cast("long").alias("count"),
-        F.coalesce(c["c_created_at"], f["t0"]).cast("long").alias("created_at"),
-        F.when(in_feed, f["t1"]).otherwise(c["c_updated_at"]).cast("long").alias("updated_at"),
+        (F.coalesce(col("c_count"), F.lit(0)) + F.coalesce(col("f_n"), F.lit(0))).cast("long").alias("count"),
+        F.when(in_cat & ~earlier, col("c_created_at")).otherwise(col("f_t0")).cast("long").alias("created_at"),
+        F.when(newer, col("f_t1")).otherwise(col("c_updated_at")).cast("long").alias("updated_at"),
+        F.least(col("c_first_seq"), col("f_first_seq")).cast("long").alias("first_seq"),
+        F.greatest(col("c_last_seq"), col("f_last_seq")).cast("long").alias("last_seq"),
     )
 
 
@@ -132,8 +147,14 @@ def upsert_actions(valid: DataFrame, catalog_ids: DataFrame) -> DataFrame:
 
 
 def epoch_seconds(ts: Column) -> Column:
-    """P-13: whole epoch seconds of a timestamp (NTZ read as UTC)."""
-    return F.unix_seconds(ts.cast("timestamp_ntz").cast("string").cast("timestamp"))
+    """P-13: whole epoch seconds (truncated) of a timestamp; NTZ values are read as UTC
+    (the session time zone is pinned to UTC)."""
+    return F.unix_seconds(ts.cast("timestamp"))
+
+
+def now_seconds() -> Column:
+    """P-13 for live feeds without a ``ts`` column: ``int(time.time())``."""
+    return F.unix_seconds(F.current_timestamp())
 
 
 # ---------------------------------------------------------------- scans
