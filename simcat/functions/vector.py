@@ -38,9 +38,38 @@ def l2_normalize(v, eps: float = L2_EPS) -> Column:
     )
 
 
+def _split(a: Column) -> tuple[Column, Column]:
+    # Veltkamp split of a double into two 26-bit halves (a = hi + lo exactly).
+    c = F.lit(134217729.0) * a
+    hi = c - (c - a)
+    return hi, a - hi
+
+
+def py_round(x, decimals: int) -> Column:
+    """Python ``round(x, n)`` on doubles: the exact binary value rounded half to even.
+
+    ``bround`` rounds the shortest decimal form instead (0.00015 -> 0.0002, where
+    Python gives 0.0001 because the double is 0.000149999...). Here p = x * 10^n
+    is computed with its exact rounding error (Dekker's two-product): only when p
+    lands exactly on k + 0.5 can the error change the result, and its sign then
+    decides; an exact tie goes to even (``rint``). The integer is divided back by
+    10^n, correctly rounded, as Python does."""
+    xc = _c(x)
+    scale = float(10 ** decimals)
+    b = F.lit(scale)
+    p = xc * b
+    ah, al = _split(xc)
+    bh, bl = _split(b)
+    err = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    fl = F.floor(p).cast("double")
+    tie = (p - fl) == F.lit(0.5)
+    r = (F.when(tie & (err > 0), fl + 1).when(tie & (err < 0), fl).otherwise(F.rint(p)))
+    return F.when(F.isnan(xc) | (F.abs(p) >= F.lit(2.0 ** 52)), xc).otherwise(r / b)
+
+
 def round_score(s, decimals: int) -> Column:
     """P-12 then P-11: Python ``round`` (half to even), then clamp into [-1, 1]."""
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.bround(_c(s), decimals)))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), py_round(s, decimals)))
 
 
 def tie_key(s) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from simcat import params as P
-from simcat.functions.vector import L2_EPS, l2_normalize
+from simcat.functions.vector import L2_EPS
 
 VECTOR_TYPE = T.ArrayType(T.FloatType(), containsNull=False)
 
@@ -68,25 +68,38 @@ class Embedder:
         raise NotImplementedError
 
 
-# Counting step of the hashing embedder: signed bucket codes -> dense count vectors.
-# One vectorised bincount over the whole Arrow batch; no per-row Python loop.
-def _bincount_udf(dim: int):
-    @F.arrow_udf(T.ArrayType(T.DoubleType(), containsNull=False))
-    def signed_bincount(codes: pa.Array) -> pa.Array:
-        if isinstance(codes, pa.ChunkedArray):
-            codes = codes.combine_chunks()
-        n = len(codes)
-        offsets = codes.offsets.to_numpy(zero_copy_only=False)
-        values = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        lengths = np.diff(offsets)
-        rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        buckets = np.abs(values) - 1
-        weights = np.sign(values).astype(np.float64)
-        flat = np.bincount(rows * dim + buckets, weights=weights, minlength=n * dim)
+# Hash-and-count step of the hashing embedder: token lists -> dense signed counts.
+# Tokens are dictionary-encoded per Arrow batch (C++), md5 runs once per distinct
+# token, and one bincount over the flattened batch builds every row: no per-row
+# Python loop, and per-token Python work only for the batch vocabulary.
+def _hash_count_udf(dim: int, eps: float = L2_EPS):
+    @F.arrow_udf(T.ArrayType(T.FloatType(), containsNull=False))
+    def hashed_vectors(tokens: pa.Array) -> pa.Array:
+        import hashlib
+
+        import pyarrow.compute as pc
+
+        if isinstance(tokens, pa.ChunkedArray):
+            tokens = tokens.combine_chunks()
+        n = len(tokens)
+        offsets = tokens.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = tokens.values.slice(offsets[0], offsets[-1] - offsets[0])
+        enc = pc.dictionary_encode(flat)
+        vocab = enc.dictionary.to_pylist()
+        digests = [hashlib.md5(t.encode("utf-8")).digest() for t in vocab]
+        bucket = np.array([int.from_bytes(d[:4], "big") % dim for d in digests], dtype=np.int64)
+        sign = np.array([1.0 if (d[4] >> 4) % 2 == 0 else -1.0 for d in digests], dtype=np.float64)
+        idx = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
+        counts = np.bincount(rows * dim + bucket[idx], weights=sign[idx], minlength=n * dim).reshape(n, dim)
+        # E-3 on exact integer counts: IEEE sqrt, divide and float32 rounding give the
+        # same bits as the JVM expression ``l2_normalize`` and as DuckDB.
+        norm = np.maximum(np.sqrt((counts * counts).sum(axis=1)), eps)
+        vec = (counts / norm[:, None]).astype(np.float32)
         out_offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
-        return pa.ListArray.from_arrays(out_offsets, pa.array(flat, type=pa.float64()))
+        return pa.ListArray.from_arrays(out_offsets, pa.array(vec.ravel(), type=pa.float32()))
 
-    return signed_bincount
+    return hashed_vectors
 
 
 class HashingEmbedder(Embedder):
@@ -100,7 +113,8 @@ class HashingEmbedder(Embedder):
     Mean pooling (E-2) divides the count vector by the token count; that scale
     cancels in the L2 normalisation, so the counts are normalised directly. This
     keeps every step exact up to the final sqrt/divide, hence bit-identical across
-    engines. Hashing runs JVM-side; only the vectorised count runs in Arrow."""
+    engines. Tokenising runs JVM-side; hashing, counting and normalising run in
+    one Arrow UDF over whole batches."""
 
     name = "hashing-md5"
 
@@ -109,31 +123,17 @@ class HashingEmbedder(Embedder):
             raise ValueError("dim must be in 1..4096")
         self.dim = dim
         self.max_tokens = max_tokens
-        self._count = _bincount_udf(dim)
+        self._count = _hash_count_udf(dim)
 
     def tokens(self, text: Column) -> Column:
-        pieces = F.filter(F.split(F.lower(text), " "), lambda t: t != "")
+        pieces = F.array_remove(F.split(F.lower(text), " "), "")
         return truncate_tokens(pieces, self.max_tokens)
 
-    def codes(self, tokens: Column) -> Column:
-        hashes = F.transform(tokens, lambda t: F.md5(t))
-
-        def code(h: Column) -> Column:
-            bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(self.dim)) + 1
-            even = F.pmod(F.conv(F.substring(h, 9, 1), 16, 10).cast("int"), F.lit(2)) == 0
-            return F.when(even, bucket).otherwise(-bucket).cast("int")
-
-        return F.transform(hashes, code)
-
-    def counts_expr(self, text: Column) -> Column:
-        return self._count(self.codes(self.tokens(text)))
+    def vector_expr(self, text: Column) -> Column:
+        return self._count(self.tokens(text))
 
     def embed(self, df: DataFrame, text_col: str = "text", out_col: str = "vector") -> DataFrame:
-        # The Arrow UDF output is materialised as a column first: a Python UDF may
-        # not sit inside a higher-order function's lambda.
-        tmp = f"_{out_col}_counts"
-        counted = df.withColumn(tmp, self.counts_expr(F.col(text_col)))
-        return counted.withColumn(out_col, l2_normalize(F.col(tmp))).drop(tmp)
+        return df.withColumn(out_col, self.vector_expr(F.col(text_col)))
 
 
 class PrecomputedEmbedder(Embedder):

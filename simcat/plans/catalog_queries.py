@@ -19,6 +19,7 @@ from simcat.operators import catalog as C
 from simcat.operators.embed import mean_pool
 from simcat.plans.fixtures import (HASH_DIM, SAMPLE_SEED, documents_catalog, embeddings_catalog,
                                    hashing_embedder, sql_hash_vectors, table)
+from simcat.operators.partitioning import spread
 from simcat.session import shared_dir
 from simcat.sources.blob import export_blob_table, import_blob_table
 from simcat.sources.store import CatalogStore
@@ -27,7 +28,7 @@ CUT = "2024-01-16 00:00:00"
 
 
 def events_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"),
                     F.col("event_type").alias("text"), C.epoch_seconds(F.col("ts")).alias("ts"),
                     (F.col("ts") < F.lit(CUT).cast("timestamp_ntz")).alias("before_cut"))

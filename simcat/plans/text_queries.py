@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from simcat import params as P
 from simcat.functions import text as T
+from simcat.operators.partitioning import spread
 from simcat.operators.products import format_products, load_outcomes
 from simcat.operators.report import batch_progress, failure_sample, load_report
 from simcat.plans.fixtures import table
@@ -91,7 +92,8 @@ def part_products(spark: SparkSession, sf_dir: str, variants: bool = False) -> D
     With ``variants`` the records also carry edge cases, assigned by part key over
     the whole table: 1 = every part blank, 2 = a title over 100,000 characters,
     3 = no id, 4 = negative id; key 0 itself is an invalid id."""
-    p = table(spark, sf_dir, "part")
+    # Spread the part scan: the formatting after the (broadcast) joins is CPU-bound.
+    p = spread(table(spark, sf_dir, "part"))
     g = table(spark, sf_dir, "pages").select("page_id", "html")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     a = part_attributes(spark, sf_dir)
