@@ -88,9 +88,16 @@ def fold_upserts(valid: DataFrame) -> DataFrame:
     return folded.select(*cols, "t0", "t1", "first_seq", "last_seq")
 
 
+def empty_table(spark, ddl: str) -> DataFrame:
+    """An empty DataFrame the optimizer knows is empty (``limit(0)`` becomes an empty
+    local relation), so joins against it are removed at planning time."""
+    fields = [f.strip().split(" ", 1) for f in ddl.split(",")]
+    return spark.range(1).select(*[F.lit(None).cast(t).alias(n) for n, t in fields]).limit(0)
+
+
 def empty_catalog(spark, vector_type: str = "array<float>") -> DataFrame:
-    return spark.createDataFrame([], f"id bigint, text string, vector {vector_type}, dim int, "
-                                     "count bigint, created_at bigint, updated_at bigint")
+    return empty_table(spark, f"id bigint, text string, vector {vector_type}, dim int, "
+                              "count bigint, created_at bigint, updated_at bigint")
 
 
 def merge_upserts(catalog: DataFrame, folded: DataFrame) -> DataFrame:

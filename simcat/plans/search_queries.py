@@ -161,7 +161,8 @@ def search_text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = documents_catalog(spark, sf_dir, emb)
     valid, _ = prepare_queries(benchmark_queries(spark, sf_dir))
     q = emb.embed(valid, "text", "vector")
-    return search(q, cat.select("id", "vector"), catalog_text=cat.select("id", "text"))
+    texts = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("id"), "text")
+    return search(q, cat.select("id", "vector"), catalog_text=texts)
 
 
 SQL_SEARCH_TEXT_TOPK = f"""

@@ -35,9 +35,13 @@ _SQL_SLICE = f"CASE WHEN ts < TIMESTAMP '{SLICES[0]}' THEN 0 WHEN ts < TIMESTAMP
 def write_feed_files(spark: SparkSession, df: DataFrame, slice_col: str, n_slices: int) -> str:
     """Write ``df`` as one Parquet file per slice, in slice order (file arrival order)."""
     path = shared_dir(spark, "feed")
-    for s in range(n_slices):
-        (df.filter(F.col(slice_col) == s).drop(slice_col).coalesce(1)
-         .write.mode("append").parquet(path))
+    df = df.persist()
+    try:
+        for s in range(n_slices):
+            (df.filter(F.col(slice_col) == s).drop(slice_col).coalesce(1)
+             .write.mode("append").parquet(path))
+    finally:
+        df.unpersist()
     return path
 
 

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simcat.operators.catalog import CATALOG_COLUMNS, merge_upserts
+from simcat.operators.catalog import CATALOG_COLUMNS, empty_table, merge_upserts
 
 BOOKKEEPING = ["first_seq", "last_seq"]
 
@@ -86,9 +86,8 @@ class CatalogStore:
                 if only is None or int(b) in only]
 
     def _empty(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            [], "id bigint, text string, vector array<float>, dim int, count bigint, "
-                "created_at bigint, updated_at bigint, first_seq bigint, last_seq bigint")
+        return empty_table(self.spark, "id bigint, text string, vector array<float>, dim int, count bigint, "
+                                       "created_at bigint, updated_at bigint, first_seq bigint, last_seq bigint")
 
     def read(self, commit: dict | None = None, buckets: set | None = None,
              bookkeeping: bool = False) -> DataFrame:

@@ -36,11 +36,14 @@ def upsert_batch(batch: DataFrame, batch_id: int, store: CatalogStore, embedder,
     if prev is not None and prev.get("batch_id") is not None and int(prev["batch_id"]) >= batch_id:
         return  # replay of a committed batch
     batch = batch.persist()
+    valid = None
     try:
         valid, rejects = C.validate_upserts(batch, vector_col=None)
         valid = embedder.embed(valid, "text", "vector")
         if dim is not None:
             valid = valid.filter(F.size("vector") == dim)
+        # Embedded once, used by the acks, the touched-bucket scan and the merge.
+        valid = valid.persist()
         known = store.read().select("id")
         if out_dir:
             acks = C.upsert_actions(valid, known)
@@ -58,6 +61,8 @@ def upsert_batch(batch: DataFrame, batch_id: int, store: CatalogStore, embedder,
             (spark.createDataFrame([row], "batch_id long, rows long, success long, failed long, catalog_count long")
              .write.mode("overwrite").parquet(f"{out_dir}/metrics/batch_id={batch_id}"))
     finally:
+        if valid is not None:
+            valid.unpersist()
         batch.unpersist()
 
 
