@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simcat import params as P
+from simcat.functions.text import preview
 from simcat.operators.catalog import sample_rows
 from simcat.operators.report import search_run_report
 from simcat.operators.search import prepare_queries, search
@@ -176,6 +177,25 @@ WHERE r.rank <= 5
 """
 
 
+def search_print(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-9: the printed search result -- query preview (100 chars), rank, id, score at
+    four decimals and hit preview (150 chars), for every benchmark query."""
+    hits = search_text_topk(spark, sf_dir)
+    qtext = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("qtext"))
+    return hits.join(qtext, "qid").select(
+        "qid", preview(F.col("qtext"), 100).alias("query_preview"), "rank", "id",
+        F.format_string("%.4f", F.col("score_rate")).alias("score"),
+        preview(F.col("text"), 150).alias("text_preview"))
+
+
+SQL_SEARCH_PRINT = f"""
+WITH hits AS ({SQL_SEARCH_TEXT_TOPK})
+SELECT h.qid, left(b.text, 100) || '...' AS query_preview, h.rank, h.id,
+       printf('%.4f', h.score_rate) AS score, left(h.text, 150) || '...' AS text_preview
+FROM hits h JOIN benchmark b ON b.item_id = h.qid
+"""
+
+
 def search_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-5: the first 1000 catalog rows by id are the query set (the load run's rule), k = 5."""
     emb = hashing_embedder()
@@ -209,4 +229,5 @@ QUERIES = {
     "search_empty_catalog": (search_empty_catalog, SQL_SEARCH_EMPTY_CATALOG),
     "search_text_topk": (search_text_topk, SQL_SEARCH_TEXT_TOPK),
     "search_quality_report": (search_quality_report, SQL_SEARCH_QUALITY_REPORT),
+    "search_print": (search_print, SQL_SEARCH_PRINT),
 }
