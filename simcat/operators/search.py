@@ -200,17 +200,26 @@ def search(queries: DataFrame, catalog: DataFrame, params: P.Params = P.DEFAULT,
     Returns (qid, rank, id, score_rate[, text])."""
     spark = catalog.sparkSession
     q = queries.select(F.col("qid").cast("long"), F.col("k").cast("int"), F.col("vector"))
-    probe = q.select(F.size("vector").alias("d")).limit(1).collect()
-    dim = probe[0]["d"] if probe else params.vector_dim
-    max_rows = max(1, params.broadcast_query_bytes // (8 * max(dim, 1)))
 
     rows = None
+    dim = None
     if plan in ("auto", "broadcast"):
-        rows = q.limit(max_rows + 1).collect()
+        # Size check without an unbounded collect: fetch at most the number of rows
+        # the budget allows at the largest dimension; only if that many exist, look
+        # at the real dimension and fetch up to its (larger) row budget.
+        floor_rows = max(1, params.broadcast_query_bytes // (8 * 4096))
+        rows = q.limit(floor_rows + 1).collect()
+        dim = len(rows[0][2]) if rows and rows[0][2] is not None else params.vector_dim
+        max_rows = max(1, params.broadcast_query_bytes // (8 * max(dim, 1)))
+        if len(rows) > floor_rows and max_rows > floor_rows:
+            rows = q.limit(max_rows + 1).collect()
         if len(rows) > max_rows:
             if plan == "broadcast":
                 raise ValueError(f"{len(rows)}+ queries exceed the broadcast budget of {max_rows}")
             rows = None
+    if dim is None:
+        probe = q.select(F.size("vector").alias("d")).limit(1).collect()
+        dim = probe[0]["d"] if probe else params.vector_dim
     if rows is not None:
         bad = [r[0] for r in rows if r[2] is None or len(r[2]) != dim]
         if bad:

@@ -24,13 +24,15 @@ def hashing_embedder() -> HashingEmbedder:
     return HashingEmbedder(dim=HASH_DIM)
 
 
-def embeddings_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalog (id, text, vector) from ``embeddings``; text from the document of the same key."""
-    emb = table(spark, sf_dir, "embeddings")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text"))
-    return (emb.join(docs, emb["vec_id"] == docs["doc_id"], "left")
-            .select((F.col("vec_id") + 1).alias("id"), F.col("text"),
-                    F.col("embedding").alias("vector"), F.col("label")))
+def embeddings_catalog(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    """Catalog (id, vector, label) from ``embeddings``; with ``with_text`` also the text
+    of the document with the same key (an outer join, so only when needed)."""
+    emb = table(spark, sf_dir, "embeddings").select(
+        (F.col("vec_id") + 1).alias("id"), F.col("embedding").alias("vector"), F.col("label"))
+    if not with_text:
+        return emb
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("id"), F.col("text"))
+    return emb.join(docs, "id", "left").select("id", "text", "vector", "label")
 
 
 def documents_catalog(spark: SparkSession, sf_dir: str, embedder=None) -> DataFrame:
@@ -49,8 +51,7 @@ def benchmark_queries(spark: SparkSession, sf_dir: str, embedder=None, k=None) -
 
 # DuckDB fragments reproducing the same inputs (views are pre-registered by name).
 SQL_EMB_CATALOG = """
-  SELECT e.vec_id + 1 AS id, d.text AS text, e.embedding::DOUBLE[] AS v, e.label AS label
-  FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id
+  SELECT e.vec_id + 1 AS id, e.embedding::DOUBLE[] AS v, e.label AS label FROM embeddings e
 """
 
 
