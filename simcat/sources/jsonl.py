@@ -52,12 +52,16 @@ def read_products(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     stripped = lines.select("line_no", "_file", py_strip("raw").alias("line"))
     nonblank = stripped.filter(F.col("line") != "")
     wrapped = F.concat(F.lit("["), F.col("line"), F.lit("]"))
-    values = F.from_json(wrapped, "array<string>", _JSON_OPTS)
     objs = F.from_json(wrapped, PRODUCT_SCHEMA, _JSON_OPTS)
+    is_obj = F.col("line").startswith("{") & F.coalesce(F.size(objs) == 1, F.lit(False)) \
+        & objs.getItem(0).isNotNull()
+    # Generic parse only for lines that did not give exactly one object (Or short-circuits):
+    # tells a valid non-object value from a malformed line.
+    one_value = F.coalesce(F.size(F.from_json(wrapped, "array<string>", _JSON_OPTS)), F.lit(-1)) == 1
     parsed = nonblank.select(
         "line_no", "line",
-        (F.coalesce(F.size(values), F.lit(-1)) == 1).alias("_valid"),
-        (F.col("line").startswith("{")).alias("_is_obj"),
+        (is_obj | one_value).alias("_valid"),
+        is_obj.alias("_is_obj"),
         objs.getItem(0).alias("_rec"),
     )
     malformed = parsed.filter(~F.col("_valid")).select("line_no", "line")

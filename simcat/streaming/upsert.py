@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from simcat.operators import catalog as C
-from simcat.sources.store import CatalogStore
+from simcat.sources.store import CatalogStore, write_rejects
 
 ACK_SCHEMA = "seq long, id long, action string, running_count long"
 METRICS_COLUMNS = ["batch_id", "rows", "success", "failed", "catalog_count"]
@@ -48,8 +48,7 @@ def upsert_batch(batch: DataFrame, batch_id: int, store: CatalogStore, embedder,
         if out_dir:
             acks = C.upsert_actions(valid, known)
             acks.write.mode("overwrite").parquet(f"{out_dir}/acks/batch_id={batch_id}")
-            rejects.select("seq", "id", "reason").write.mode("overwrite").parquet(
-                f"{out_dir}/rejects/batch_id={batch_id}")
+            write_rejects(rejects.select("seq", "id", "reason"), f"{out_dir}/rejects/batch_id={batch_id}")
         counts = batch.agg(F.count(F.lit(1)).alias("rows"),
                            F.count_if(C.upsert_reason(F.col("id"), F.col("text"), None, None).isNull())
                            .alias("success")).first()

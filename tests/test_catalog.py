@@ -97,3 +97,17 @@ def test_scans(spark, sf):
     m = C.catalog_metrics(docs, "m").first()
     assert m.vectors_count == len(ids) and m.status == "ok"
     assert C.catalog_metrics(docs.filter(F.lit(False)), "m").first().vectors_count == 0
+
+
+def test_rejects_sink(spark):
+    from simcat.sources.store import write_rejects
+
+    rows = [(1, "0", "x", [1.0]), (2, "3", "  ", [1.0]), (3, "3", "ok", [])]
+    df = spark.createDataFrame(rows, "seq long, id string, text string, vector array<float>")
+    _, rejects = C.validate_upserts(df, dim=1)
+    path = shared_dir(spark, "test-rejects")
+    write_rejects(rejects.select("seq", "id", "reason"), path)
+    back = spark.read.parquet(path)
+    assert sorted((r.seq, r.reason) for r in back.collect()) == [
+        (1, C.REASON_ID), (2, C.REASON_BLANK), (3, C.REASON_VECTOR_EMPTY)]
+    assert back.select("reason_key").distinct().count() == 3
