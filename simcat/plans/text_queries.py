@@ -62,7 +62,7 @@ def part_attributes(spark: SparkSession, sf_dir: str, cap: int = P.ATTRIBUTE_CAP
 
     ``row_number() <= cap`` plans a partial WindowGroupLimit before the shuffle, so
     a part holding a third of all line items ships at most ``cap`` rows per map task."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     # (order key, line number) is not unique in the fixture: the rendered value breaks ties.
     w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "v")
     first = (li.select("l_partkey", "l_orderkey", "l_linenumber",
@@ -174,7 +174,7 @@ SELECT CAST(id AS BIGINT) AS id, {_SQL_TEXT_OF_PROD} AS text FROM prod
 
 def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-2 + P-3 + P-4 on every page: tags out, whitespace collapsed, 2000 code points."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     return pages.select("page_id", T.empty_to_null(T.clean_description(F.col("html"))).alias("description"))
 
 

@@ -42,18 +42,33 @@ _SHIPPED: set = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``simcat`` importable in Python workers (once per SparkContext)."""
+    """Make ``simcat`` importable in Python workers (once per SparkContext).
+
+    The package is zipped in memory and written below the shared checkpoint
+    folder (no machine-local scratch), then registered with ``addPyFile``."""
+    import io
+    import zipfile
+
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
         return
-    import shutil
-
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    stage = tempfile.mkdtemp(prefix="simcat-pyfiles-")
-    archive = shutil.make_archive(os.path.join(stage, "simcat"), "zip",
-                                  root_dir=os.path.dirname(pkg_dir), base_dir="simcat")
-    sc.addPyFile(archive)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    target = f"{shared_dir(spark, 'pyfiles')}/simcat.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    out.write(bytearray(buf.getvalue()))
+    out.close()
+    sc.addPyFile(target)
     _SHIPPED.add(key)
 
 

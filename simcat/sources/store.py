@@ -2,12 +2,14 @@
 
 Layout under ``root``::
 
-    data/v=000003/bucket=17/part-*.parquet      rows of bucket 17 as of version 3
-    _commits/000003.json                         {"version", "batch_id", "manifest": {bucket: version}}
-
-A version becomes visible only when its commit file appears; the commit is
-created under a temporary name and renamed to a name that must not exist yet, so
-two writers cannot both commit version N and readers never see half a write.
+    data/v000003-1f2e.../bucket=17/part-*.parquet   rows of bucket 17 written by version 3
+    _commits/000003.json                            {"version", "batch_id", "manifest": {bucket: data dir}}
+
+Every write attempt goes to its own data directory, so a job that died halfway
+leaves only unreferenced files and its retry never collides with them. A version
+becomes visible only when its commit file appears; the commit is created under a
+temporary name and renamed to a name that must not exist yet, so two writers
+cannot both commit version N and readers never see half a write.
 Rows are bucketed by ``pmod(xxhash64(id), buckets)`` and sorted by id inside a
 bucket: a merge rewrites only the buckets its feed touches (the manifest points
 untouched buckets at their older files), and an id lookup reads one bucket.
@@ -64,7 +66,7 @@ class CatalogStore:
             stream.close()
         return json.loads(text)
 
-    def _commit(self, version: int, batch_id, manifest: dict, rows_hint=None) -> None:
+    def _commit(self, version: int, batch_id, manifest: dict) -> None:
         body = json.dumps({"version": version, "batch_id": batch_id,
                            "manifest": {str(k): v for k, v in manifest.items()}})
         d = self._commit_dir()
@@ -81,8 +83,8 @@ class CatalogStore:
     # ------------------------------------------------------------ read (S-2)
 
     def _paths(self, manifest: dict, only: set | None = None) -> list[str]:
-        return [f"{self.root}/data/v={int(v):06d}/bucket={int(b)}"
-                for b, v in sorted(manifest.items(), key=lambda kv: int(kv[0]))
+        return [f"{self.root}/data/{d}/bucket={int(b)}"
+                for b, d in sorted(manifest.items(), key=lambda kv: int(kv[0]))
                 if only is None or int(b) in only]
 
     def _empty(self) -> DataFrame:
@@ -109,8 +111,8 @@ class CatalogStore:
 
     # ------------------------------------------------------------ write (K-1)
 
-    def _write_buckets(self, df: DataFrame, version: int) -> list[int]:
-        out = f"{self.root}/data/v={version:06d}"
+    def _write_buckets(self, df: DataFrame, data_dir: str) -> list[int]:
+        out = f"{self.root}/data/{data_dir}"
         b = bucket_of(F.col("id"), self.buckets)
         staged = df.withColumn("bucket", b)
         (staged.repartition("bucket").sortWithinPartitions("id")
@@ -127,8 +129,9 @@ class CatalogStore:
         for c in BOOKKEEPING:
             if c not in df.columns:
                 df = df.withColumn(c, F.lit(None).cast("bigint"))
-        written = self._write_buckets(df.select(*CATALOG_COLUMNS, *BOOKKEEPING), version)
-        self._commit(version, batch_id, {b: version for b in written})
+        data_dir = f"v{version:06d}-{uuid.uuid4().hex}"
+        written = self._write_buckets(df.select(*CATALOG_COLUMNS, *BOOKKEEPING), data_dir)
+        self._commit(version, batch_id, {b: data_dir for b in written})
         return version
 
     def merge(self, folded: DataFrame, batch_id=None) -> int | None:
@@ -141,15 +144,16 @@ class CatalogStore:
                 and int(prev["batch_id"]) >= int(batch_id):
             return None
         version = (prev["version"] + 1) if prev else 1
-        manifest = {int(k): int(v) for k, v in (prev["manifest"] if prev else {}).items()}
+        manifest = {int(k): v for k, v in (prev["manifest"] if prev else {}).items()}
         # At most ``buckets`` distinct values: bounded, fine to bring to the driver.
         touched = {r[0] for r in folded.select(bucket_of(F.col("id"), self.buckets).alias("b"))
                    .distinct().collect()}
         current = self.read(prev, buckets={b for b in touched if b in manifest}, bookkeeping=True)
         merged = merge_upserts(current, folded)
-        written = self._write_buckets(merged, version)
+        data_dir = f"v{version:06d}-{uuid.uuid4().hex}"
+        written = self._write_buckets(merged, data_dir)
         for b in written:
-            manifest[b] = version
+            manifest[b] = data_dir
         self._commit(version, batch_id, manifest)
         return version
 
