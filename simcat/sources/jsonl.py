@@ -21,35 +21,38 @@ PRODUCT_SCHEMA = "array<struct<" + ", ".join(f"`{f}`: string" for f in PRODUCT_F
 _JSON_OPTS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true", "mode": "PERMISSIVE"}
 
 
-def dense_numbers(df: DataFrame, out_col: str) -> DataFrame:
-    """Number rows 1..N in scan order without a global window or a driver loop.
+def dense_numbers(df: DataFrame, out_col: str, split_cols: list[str]) -> DataFrame:
+    """Number rows 1..N in file order without a global window or a driver loop.
 
-    ``monotonically_increasing_id`` puts the partition index in the upper bits and
-    the position inside the partition in the lower 33 bits. Rows per partition are
-    counted (one small row per partition), turned into offsets with a window over
-    that small table, and joined back by partition index."""
+    ``split_cols`` identify an input split (file path, block start); a split's rows
+    sit contiguously in one task, in file order, so ``monotonically_increasing_id``
+    minus the split's smallest id is the position inside the split. Rows per
+    split are counted (one small row per split), turned into offsets by a window
+    over that small table ordered by (file, block start), and joined back."""
     tagged = df.withColumn("_mid", F.monotonically_increasing_id())
-    pid = F.shiftright(F.col("_mid"), 33)
-    counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    w = F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_pid", F.coalesce(w, F.lit(0)).alias("_off"))
-    # One row per input partition: bounded by the partition count, safe to broadcast.
-    numbered = tagged.join(F.broadcast(offsets), pid == offsets["_pid"], "inner")
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid"), 33)
-    return numbered.withColumn(out_col, F.col("_off") + pos + 1).drop("_mid", "_pid", "_off")
+    splits = tagged.groupBy(*split_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_mid0"))
+    w = Window.orderBy(*split_cols).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(*split_cols, "_mid0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # One row per input split: bounded by the split count, safe to broadcast.
+    numbered = tagged.join(F.broadcast(offsets), split_cols, "inner")
+    return (numbered.withColumn(out_col, F.col("_off") + (F.col("_mid") - F.col("_mid0")) + 1)
+            .drop("_mid", "_mid0", "_off"))
 
 
 def read_products(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Returns ``(records, malformed)``.
 
+    Files are read in path order (a folder of parts keeps its part order).
     records: record_no (1..N over parsed records in file order), line_no, then the
     product fields as raw strings; a valid JSON value that is not an object gets
     all-null fields and ``not_object = true``.
     malformed: line_no, line."""
+    split = ["_file", "_block"]
     lines = spark.read.text(path).select(F.col("value").alias("raw"),
-                                         F.col("_metadata.file_path").alias("_file"))
-    lines = dense_numbers(lines, "line_no")
-    stripped = lines.select("line_no", "_file", py_strip("raw").alias("line"))
+                                         F.col("_metadata.file_path").alias("_file"),
+                                         F.col("_metadata.file_block_start").alias("_block"))
+    lines = dense_numbers(lines, "line_no", split)
+    stripped = lines.select("line_no", *split, py_strip("raw").alias("line"))
     nonblank = stripped.filter(F.col("line") != "")
     wrapped = F.concat(F.lit("["), F.col("line"), F.lit("]"))
     objs = F.from_json(wrapped, PRODUCT_SCHEMA, _JSON_OPTS)
@@ -59,14 +62,14 @@ def read_products(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     # tells a valid non-object value from a malformed line.
     one_value = F.coalesce(F.size(F.from_json(wrapped, "array<string>", _JSON_OPTS)), F.lit(-1)) == 1
     parsed = nonblank.select(
-        "line_no", "line",
+        "line_no", "line", *split,
         (is_obj | one_value).alias("_valid"),
         is_obj.alias("_is_obj"),
         objs.getItem(0).alias("_rec"),
     )
     malformed = parsed.filter(~F.col("_valid")).select("line_no", "line")
     good = parsed.filter(F.col("_valid"))
-    good = dense_numbers(good.select("line_no", "_is_obj", "_rec"), "record_no")
+    good = dense_numbers(good.select("line_no", *split, "_is_obj", "_rec"), "record_no", split)
     fields = [F.when(F.col("_is_obj"), F.col(f"_rec.`{f}`")).alias(f) for f in PRODUCT_FIELDS]
     records = good.select("record_no", "line_no", *fields, (~F.col("_is_obj")).alias("not_object"))
     return records, malformed

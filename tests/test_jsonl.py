@@ -74,3 +74,23 @@ def test_load_reports(spark):
     sample = failure_sample(o, 2).collect()
     assert len(sample) == 2 and sample[0].more == rep.failed - 2
     assert sum(r.records for r in batch_progress(o, 3).collect()) == rep.total
+
+
+def test_numbering_follows_file_order_across_files(spark):
+    d = tempfile.mkdtemp(prefix="simcat-jsonl-")
+    sizes = {"a.jsonl": 5, "b.jsonl": 400, "c.jsonl": 37}   # packed into tasks largest first
+    n = 0
+    expected = []
+    for name in sorted(sizes):
+        with open(os.path.join(d, name), "w") as f:
+            for i in range(sizes[name]):
+                n += 1
+                f.write(json.dumps({"id": n, "title": f"{name}-{i}"}) + "\n")
+                expected.append(n)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        records, _ = read_products(spark, d)
+        got = [(r.record_no, int(r.id)) for r in records.orderBy("record_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(zip(range(1, n + 1), expected))
