@@ -15,7 +15,8 @@ from simcat.plans.fixtures import (SAMPLE_SEED, SQL_EMB_CATALOG, benchmark_queri
 
 # Shared oracle tail: rank scores (ties at 12 decimals broken by id), round half-even, clamp.
 _SQL_RANK = """
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS rank FROM scored)
+  ranked AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id))::INTEGER AS rank
+             FROM scored)
 """
 _SQL_SCORE = "greatest(-1.0, least(1.0, round_even(score, 4))) AS score_rate"
 

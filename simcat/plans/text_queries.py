@@ -194,7 +194,7 @@ SQL_UNICODE_STRIP = f"""
 WITH s AS (SELECT doc_id, text,
   {_sql_strip("chr(160) || chr(8195) || chr(31) || ' ' || text || chr(10) || chr(12288) || chr(28)")} AS s
   FROM documents)
-SELECT doc_id, length(s)::BIGINT AS n_chars, s = text AS same, md5(s) AS text_md5 FROM s
+SELECT doc_id, length(s)::INTEGER AS n_chars, s = text AS same, md5(s) AS text_md5 FROM s
 """
 
 
