@@ -228,14 +228,16 @@ def search(queries: DataFrame, catalog: DataFrame, params: P.Params = P.DEFAULT,
         cands = _broadcast_candidates(spark, rows, catalog, dim)
         hits_bounded = True
     else:
+        n_q = q.count()
         if blocks is None:
-            n_q = q.count()
             n_c = catalog.count()
             target = 128 << 20
             blocks = (max(1, math.ceil(n_q * dim * 8 / target)), max(1, math.ceil(n_c * dim * 8 / target)))
         kmax = params.max_top_k
         cands = _blocked_candidates(q, catalog.select("id", "vector"), dim, *blocks)
-        hits_bounded = False
+        # At most |Q| * k hit rows of ~32 bytes: broadcast them for the text fetch when
+        # that fits the budget, so the catalog's text column is never shuffled.
+        hits_bounded = n_q * kmax * 32 <= params.broadcast_query_bytes
 
     hits = _rank(cands, kmax, params)
     if not keep_raw:
