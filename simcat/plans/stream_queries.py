@@ -45,10 +45,15 @@ def write_feed_files(spark: SparkSession, df: DataFrame, slice_col: str, n_slice
     return path
 
 
-def _feed_dir(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
-    feed = events_feed(spark, sf_dir).drop("before_cut").withColumn("_slice", _slice_of(
+def _sliced_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_feed(spark, sf_dir).drop("before_cut").withColumn("_slice", _slice_of(
         F.timestamp_seconds("ts").cast("timestamp_ntz")))
-    path = write_feed_files(spark, feed, "_slice", 3)
+
+
+def _feed_dir(spark: SparkSession, sf_dir: str, first_slice: int = 0) -> tuple[str, object]:
+    feed = _sliced_feed(spark, sf_dir)
+    later = feed.filter(F.col("_slice") >= first_slice).withColumn("_slice", F.col("_slice") - first_slice)
+    path = write_feed_files(spark, later, "_slice", 3 - first_slice)
     return path, feed.drop("_slice").schema
 
 
@@ -114,12 +119,17 @@ FROM r
 
 
 def stream_upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST-2: per-id running counts held in streaming state, one ack per valid event."""
-    src, schema = _feed_dir(spark, sf_dir)
+    """ST-2: per-id running counts held in streaming state, one ack per valid event.
+
+    The catalog as of the first slice seeds the state (initial state = its per-id
+    counts); the two later slices arrive on the stream."""
+    src, schema = _feed_dir(spark, sf_dir, first_slice=1)
+    first, _ = C.validate_upserts(_sliced_feed(spark, sf_dir).filter(F.col("_slice") == 0), vector_col=None)
+    seed = first.groupBy("id").agg(F.count(F.lit(1)).alias("count"))
     run_dir = shared_dir(spark, "stream-state")
     stream = read_feed_stream(spark, src, schema, max_files=1)
     valid, _ = C.validate_upserts(stream, vector_col=None)
-    acks = stateful_acks(valid)
+    acks = stateful_acks(valid, initial_counts=seed)
     q = (acks.writeStream.format("parquet").outputMode("append")
          .option("path", f"{run_dir}/out").option("checkpointLocation", f"{run_dir}/checkpoint")
          .trigger(availableNow=True).start())
@@ -129,8 +139,9 @@ def stream_upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_STREAM_UPSERT_STATE = f"""
 WITH {_SQL_VALID},
-  r AS (SELECT seq, id, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn FROM f)
-SELECT seq, id, CASE WHEN rn = 1 THEN 'inserted' ELSE 'updated' END AS action, rn::BIGINT AS running_count FROM r
+  r AS (SELECT seq, id, raw_ts, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn FROM f)
+SELECT seq, id, CASE WHEN rn = 1 THEN 'inserted' ELSE 'updated' END AS action, rn::BIGINT AS running_count
+FROM r WHERE raw_ts >= TIMESTAMP '{SLICES[0]}'
 """
 
 

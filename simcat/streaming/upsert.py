@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from simcat.operators import catalog as C
 from simcat.sources.store import CatalogStore, write_rejects
@@ -79,25 +79,48 @@ def run_upsert_stream(stream: DataFrame, store: CatalogStore, embedder, checkpoi
 
 # ---------------------------------------------------------------- ST-2
 
-def _running_acks(key, pdfs, state):
-    """Per id: sort this micro-batch's events by seq, number them after the stored count."""
-    (uid,) = key
-    seen = state.get[0] if state.exists else 0
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
-    running = seen + np.arange(1, len(rows) + 1, dtype=np.int64)
-    state.update((int(running[-1]),))
-    yield pd.DataFrame({
-        "seq": rows["seq"].to_numpy(dtype=np.int64),
-        "id": np.full(len(rows), uid, dtype=np.int64),
-        "action": np.where(running == 1, "inserted", "updated"),
-        "running_count": running,
-    })
-
-
-def stateful_acks(valid_stream: DataFrame) -> DataFrame:
-    """ST-2: one ack per event with the id's running upsert count, state kept per id
-    in the state store across micro-batches. A group holds one id's events of one
-    micro-batch, bounded by the trigger size (``maxFilesPerTrigger``)."""
+def stateful_acks(valid_stream: DataFrame, initial_counts: DataFrame | None = None) -> DataFrame:
+    """ST-2: one ack per event with the id's running upsert count.
+
+    State lives in the RocksDB state store (checkpointed with the query). A group
+    holds one id's events of one micro-batch, bounded by the trigger size
+    (``maxFilesPerTrigger``). ``initial_counts`` is ``(id, count)``, e.g. the
+    catalog's counts when the stream starts."""
+    # Defined here, not at module level: the streaming Python runner of
+    # transformWithStateInPandas does not see files added with addPyFile, so the
+    # processor must travel by value (cloudpickle does that for local classes).
+    class RunningAcks(StatefulProcessor):
+        """Per id: the running upsert count, kept in value state across micro-batches.
+
+        The optional initial state is the catalog's ``(id, count)``, so an id the
+        catalog already holds is ``updated`` from its first streamed event on."""
+
+        def init(self, handle) -> None:
+            self.count = handle.getValueState("count", "count long")
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            self.count.update((int(initialState["count"].iloc[0]),))
+
+        def handleInputRows(self, key, rows, timerValues):
+            (uid,) = key
+            seen = self.count.get()[0] if self.count.exists() else 0
+            batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+            running = seen + np.arange(1, len(batch) + 1, dtype=np.int64)
+            self.count.update((int(running[-1]),))
+            yield pd.DataFrame({
+                "seq": batch["seq"].to_numpy(dtype=np.int64),
+                "id": np.full(len(batch), uid, dtype=np.int64),
+                "action": np.where(running == 1, "inserted", "updated"),
+                "running_count": running,
+            })
+
+        def close(self) -> None:
+            pass
+
+    spark = valid_stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    init = initial_counts.select("id", "count").groupBy("id") if initial_counts is not None else None
     return (valid_stream.select("seq", "id").groupBy("id")
-            .applyInPandasWithState(_running_acks, ACK_SCHEMA, "count long", "append",
-                                    GroupStateTimeout.NoTimeout))
+            .transformWithStateInPandas(statefulProcessor=RunningAcks(), outputStructType=ACK_SCHEMA,
+                                        outputMode="Append", timeMode="None", initialState=init))

@@ -58,3 +58,23 @@ def test_stateful_running_counts(spark, sf):
         exp[seq] = seen[i]
     assert {r.seq: r.running_count for r in got} == exp
     assert sum(1 for r in got if r.action == "inserted") == len(seen)
+
+
+def test_stateful_acks_start_from_catalog_counts(spark, sf):
+    feed = _feed(spark, sf).filter("id > 0")
+    src = write_feed_files(spark, feed, "_slice", feed.agg(F.max("_slice")).first()[0] + 1)
+    run = shared_dir(spark, "test-state-seed")
+    seed = spark.createDataFrame([(r.id, 10) for r in feed.select("id").distinct().limit(3).collect()],
+                                 "id long, count long")
+    seeded = {r.id for r in seed.collect()}
+    valid, _ = C.validate_upserts(read_feed_stream(spark, src, feed.drop("_slice").schema), vector_col=None)
+    q = (stateful_acks(valid, initial_counts=seed).writeStream.format("parquet").option("path", f"{run}/out")
+         .option("checkpointLocation", f"{run}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.read.parquet(f"{run}/out").collect()
+    firsts = {}
+    for r in sorted(got, key=lambda r: r.seq):
+        firsts.setdefault(r.id, r)
+    for i, r in firsts.items():
+        assert r.running_count == (11 if i in seeded else 1)
+        assert r.action == ("updated" if i in seeded else "inserted")
