@@ -21,10 +21,6 @@ def dot(a, b) -> Column:
     return F.aggregate(prods, F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
-def sum_squares(v) -> Column:
-    return F.aggregate(_c(v), F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))
-
-
 def l2_normalize(v, eps: float = L2_EPS) -> Column:
     """E-3: v / max(||v||, eps) as float32; a zero vector stays zero.
 
@@ -75,6 +71,3 @@ def round_score(s, decimals: int) -> Column:
 def tie_key(s) -> Column:
     return F.round(_c(s), TIE_DECIMALS)
 
-
-def dim(v) -> Column:
-    return F.size(_c(v))

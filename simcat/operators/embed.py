@@ -18,9 +18,6 @@ from pyspark.sql import types as T
 from simcat import params as P
 from simcat.functions.vector import L2_EPS
 
-VECTOR_TYPE = T.ArrayType(T.FloatType(), containsNull=False)
-
-
 # ---------------------------------------------------------------- E-1 / E-2 / E-3
 
 def truncate_tokens(tokens, max_len: int = P.MAX_TEXT_LENGTH) -> Column:

@@ -71,9 +71,12 @@ def load_outcomes(products: DataFrame, params: P.Params = P.DEFAULT,
     """One row per parsed record: record_no, id (bigint or null), text, reason (null = ok)."""
     text = format_products(products, params, attributes)
     with_text = products.withColumn("_text", text)
+    reason = load_reason(F.col("id"), F.col("_text"))
+    if "not_object" in products.columns:  # a valid JSON value that is not an object (G-3)
+        reason = F.when(F.col("not_object"), F.lit(REASON_NOT_OBJECT)).otherwise(reason)
     return with_text.select(
         "record_no",
         F.col("id").try_cast("bigint").alias("id"),
         F.col("_text").alias("text"),
-        load_reason(F.col("id"), F.col("_text")).alias("reason"),
+        reason.alias("reason"),
     )

@@ -171,6 +171,22 @@ SELECT doc_id + 1 AS id, md5(text) AS text_md5 FROM documents ORDER BY id LIMIT
 """
 
 
+def catalog_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-4, keyset form for deep pages: the 50 ids after the largest labelled id's half.
+
+    The boundary comes from the data (half the largest labelled doc id) and is pushed
+    to the Parquet scan as ``id > boundary``."""
+    cat = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("id"), "text")
+    boundary = table(spark, sf_dir, "labels").agg(F.max("doc_id")).first()[0] // 2
+    return C.page_after(cat, boundary, 50).select("id", F.md5("text").alias("text_md5"))
+
+
+SQL_CATALOG_PAGE_AFTER = """
+SELECT doc_id + 1 AS id, md5(text) AS text_md5 FROM documents
+WHERE doc_id + 1 > (SELECT max(doc_id) // 2 FROM labels) ORDER BY id LIMIT 50
+"""
+
+
 def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-3: catalog rows whose id is labelled (left semi join)."""
     cat = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("id"), "lang")
@@ -302,6 +318,7 @@ QUERIES = {
     "upsert_rejects": (upsert_rejects, SQL_UPSERT_REJECTS),
     "catalog_scan": (catalog_scan, SQL_CATALOG_SCAN),
     "catalog_page": (catalog_page, SQL_CATALOG_PAGE),
+    "catalog_page_after": (catalog_page_after, SQL_CATALOG_PAGE_AFTER),
     "catalog_lookup": (catalog_lookup, SQL_CATALOG_LOOKUP),
     "catalog_exists": (catalog_exists, SQL_CATALOG_EXISTS),
     "catalog_sample": (catalog_sample, SQL_CATALOG_SAMPLE),

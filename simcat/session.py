@@ -97,16 +97,3 @@ def shared_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     """A path below the shared checkpoint folder; unique per call by default."""
     tail = list(parts) + ([uuid.uuid4().hex] if unique else [])
     return "/".join([checkpoint_base(spark), "simcat", *tail])
-
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def ensure_local_dir(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(local_path(path), exist_ok=True)

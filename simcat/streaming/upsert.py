@@ -21,7 +21,6 @@ from simcat.operators import catalog as C
 from simcat.sources.store import CatalogStore, write_rejects
 
 ACK_SCHEMA = "seq long, id long, action string, running_count long"
-METRICS_COLUMNS = ["batch_id", "rows", "success", "failed", "catalog_count"]
 
 
 def read_feed_stream(spark: SparkSession, source_dir: str, schema, max_files: int = 1) -> DataFrame:

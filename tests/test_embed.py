@@ -81,3 +81,26 @@ def test_blob_roundtrip_and_rejects(spark, sf):
     bad = spark.createDataFrame([(1, bytearray(b"\x00" * 7), 2), (2, None, 1)], "id long, blob binary, dim int")
     ok, rej = import_blob_table(bad)
     assert ok.count() == 0 and rej.count() == 2 and rejects.count() == 0
+
+
+def test_dot_and_dimension_check(spark):
+    import pytest
+
+    from simcat.functions.vector import dot
+    from simcat.operators.catalog import check_dimension
+
+    df = spark.createDataFrame([(1, [1.0, 2.0], [3.0, 4.0]), (2, [0.5, 0.5], [0.5, -0.5])],
+                               "id long, a array<float>, vector array<float>")
+    assert [r.d for r in df.orderBy("id").select(dot("a", "vector").alias("d")).collect()] == [11.0, 0.0]
+    check_dimension(df, 2)
+    with pytest.raises(ValueError):
+        check_dimension(df, 3)
+
+
+def test_now_seconds(spark):
+    import time
+
+    from simcat.operators.catalog import now_seconds
+
+    got = spark.range(1).select(now_seconds().alias("t")).first().t
+    assert abs(got - int(time.time())) < 60

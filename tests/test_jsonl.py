@@ -94,3 +94,13 @@ def test_numbering_follows_file_order_across_files(spark):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == list(zip(range(1, n + 1), expected))
+
+
+def test_non_object_records_are_rejected_not_fatal(spark):
+    d = tempfile.mkdtemp(prefix="simcat-jsonl-")
+    path = os.path.join(d, "p.jsonl")
+    with open(path, "w") as f:
+        f.write('[1, 2]\n"text"\n{"id": 3, "title": "ok"}\n')
+    records, _ = read_products(spark, path)
+    got = {r.record_no: r.reason for r in load_outcomes(records).collect()}
+    assert got == {1: "Record is not a JSON object", 2: "Record is not a JSON object", 3: None}
