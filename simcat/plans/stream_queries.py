@@ -57,7 +57,19 @@ def _feed_dir(spark: SparkSession, sf_dir: str, first_slice: int = 0) -> tuple[s
     return path, feed.drop("_slice").schema
 
 
+_RUNS: dict = {}
+
+
 def _run_upsert(spark: SparkSession, sf_dir: str):
+    """One stream run per (application, fixture): its catalog, acks and metrics are
+    the outputs of three registered queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        _RUNS[key] = _start_upsert(spark, sf_dir)
+    return _RUNS[key]
+
+
+def _start_upsert(spark: SparkSession, sf_dir: str):
     src, schema = _feed_dir(spark, sf_dir)
     run_dir = shared_dir(spark, "stream-upsert")
     store = CatalogStore(spark, f"{run_dir}/catalog", buckets=8)
