@@ -98,12 +98,9 @@ def _reduce_candidates(qidx: np.ndarray, ids: np.ndarray, scores: np.ndarray, k:
     qidx, ids, scores = qidx[order], ids[order], scores[order]
     starts = np.r_[0, np.nonzero(np.diff(qidx))[0] + 1]
     sizes = np.diff(np.r_[starts, qidx.size])
-    group_start = np.repeat(starts, sizes)
-    kq = k[qidx[starts]]
-    kth_pos = starts + np.minimum(kq, sizes) - 1
+    kth_pos = starts + np.minimum(k[qidx[starts]], sizes) - 1
     thr = np.repeat(scores[kth_pos], sizes)
     keep = scores >= thr - _TOL
-    del group_start
     return qidx[keep], ids[keep], scores[keep]
 
 
@@ -130,11 +127,22 @@ def _cand_batch(qids, ks, qidx, ids, scores) -> pa.RecordBatch:
 
 # ---------------------------------------------------------------- plans
 
+_BROADCASTS: list = []
+
+
+def release_broadcasts() -> None:
+    """Drop the query matrices broadcast by earlier ``search`` calls whose results
+    have been consumed (a long-running stream calls this after every batch)."""
+    while _BROADCASTS:
+        _BROADCASTS.pop().unpersist(blocking=False)
+
+
 def _broadcast_candidates(spark: SparkSession, rows: list, catalog: DataFrame, dim: int) -> DataFrame:
     qids = np.array([r[0] for r in rows], dtype=np.int64)
     ks = np.array([r[1] for r in rows], dtype=np.int64)
     Q = np.array([r[2] for r in rows], dtype=np.float64).reshape(len(rows), dim)
     bc = spark.sparkContext.broadcast((qids, ks, Q))
+    _BROADCASTS.append(bc)
 
     def local_topk(batches):
         bq, bk, bQ = bc.value
@@ -199,7 +207,9 @@ def search(queries: DataFrame, catalog: DataFrame, params: P.Params = P.DEFAULT,
     late materialisation: text is fetched for the winners only).
     Returns (qid, rank, id, score_rate[, text])."""
     spark = catalog.sparkSession
-    q = queries.select(F.col("qid").cast("long"), F.col("k").cast("int"), F.col("vector"))
+    q = queries.select(F.col("qid").cast("long"),
+                       F.coalesce(F.col("k").cast("int"), F.lit(params.default_top_k)).alias("k"),
+                       F.col("vector"))
 
     rows = None
     dim = None

@@ -13,7 +13,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 
 from simcat import params as P
-from simcat.operators.search import search
+from simcat.operators.search import release_broadcasts, search
 
 
 def run_search_stream(queries: DataFrame, catalog: Callable[[], DataFrame], out_dir: str, checkpoint: str,
@@ -26,6 +26,7 @@ def run_search_stream(queries: DataFrame, catalog: Callable[[], DataFrame], out_
         hits = search(batch, cat.select("id", "vector"), params,
                       catalog_text=cat.select("id", "text") if with_text else None)
         hits.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        release_broadcasts()
 
     q = (queries.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint)
