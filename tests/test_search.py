@@ -85,3 +85,18 @@ def test_plan_has_no_pair_explosion(spark, cat):
         text = search(q, cat, plan=plan, blocks=blocks)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
         assert "WindowGroupLimit" in text
+
+
+@pytest.mark.parametrize("plan,blocks", [("broadcast", None), ("blocked", (2, 3))])
+def test_exact_ties_break_by_id_across_tasks(spark, plan, blocks):
+    base = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.6, 0.8, 0.0]]
+    rows = [(i + 1, base[i % 3]) for i in range(60)]               # every vector 20 times
+    cat = spark.createDataFrame(rows, "id long, vector array<float>").repartition(7)
+    q = spark.createDataFrame([(j + 1, k, base[j]) for j, k in enumerate([5, 1, 12])],
+                              "qid long, k int, vector array<float>")
+    hits = search(q, cat, plan=plan, blocks=blocks).collect()
+    got = {}
+    for h in sorted(hits, key=lambda h: (h.qid, h.rank)):
+        got.setdefault(h.qid, []).append(h.id)
+    expect = {j + 1: [i + 1 for i in range(60) if i % 3 == j][:k] for j, k in enumerate([5, 1, 12])}
+    assert got == expect

@@ -94,3 +94,25 @@ def test_preview_and_ack(spark):
     df = spark.createDataFrame([(7, "x" * 200, "inserted")], "id long, t string, a string")
     r = df.select(T.preview("t", 150).alias("p"), T.ack_message("id", "a").alias("m")).first()
     assert r.p == "x" * 150 + "..." and r.m == "Upserted (ID: 7, inserted)"
+
+
+def test_py_round_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from simcat.functions.vector import py_round
+
+    collected = []
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.one_of(st.floats(-2, 2, allow_nan=False), st.integers(-99999, 99999).map(lambda i: i / 20000)),
+           st.integers(0, 8))
+    def gather(x, n):
+        collected.append((x, n))
+
+    gather()
+    df = spark.createDataFrame([(i, x, n) for i, (x, n) in enumerate(collected)], "i long, x double, n int")
+    # one expression per n (the number of decimals is a plan constant)
+    for n in range(9):
+        part = df.filter(F.col("n") == n).select("i", "x", py_round("x", n).alias("r")).collect()
+        assert all(r.r == round(r.x, n) for r in part), n
