@@ -305,9 +305,10 @@ def l2_normalize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_L2_NORMALIZE = """
+-- "+ 0.0" turns -0.0 into 0.0, as Spark's round does.
 WITH s AS (SELECT vec_id + 1 AS id, list_transform(embedding, lambda x: x::DOUBLE * label) AS v FROM embeddings),
   n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM s)
-SELECT id, list_transform(v, lambda x: round((x / greatest(nrm, 1e-12))::FLOAT, 5)) AS vector FROM n
+SELECT id, list_transform(v, lambda x: round((x / greatest(nrm, 1e-12))::FLOAT, 5) + 0.0::FLOAT) AS vector FROM n
 """
 
 
