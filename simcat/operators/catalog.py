@@ -52,7 +52,11 @@ def validate_upserts(feed: DataFrame, dim: int | None = None, vector_col: str |
 
     Valid rows have ``id`` as bigint and ``text`` stripped (the API strips)."""
     vec = F.col(vector_col) if vector_col else None
-    tagged = feed.withColumn("reason", upsert_reason(F.col("id"), F.col("text"), vec, dim))
+    return split_valid(feed.withColumn("reason", upsert_reason(F.col("id"), F.col("text"), vec, dim)))
+
+
+def split_valid(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejects) of a feed carrying its ``reason`` column (see ``upsert_reason``)."""
     valid = (tagged.filter(F.col("reason").isNull()).drop("reason")
              .withColumn("id", F.col("id").cast("string").cast("bigint"))
              .withColumn("text", py_strip("text")))

@@ -10,7 +10,7 @@ feed merged into it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simcat import params as P
@@ -27,8 +27,11 @@ from simcat.sources.store import CatalogStore
 CUT = "2024-01-16 00:00:00"
 
 
-def events_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spread(table(spark, sf_dir, "events"))
+def events_feed(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    """The upsert feed from ``events``; ``where`` filters the raw table first, so a
+    predicate on its columns (e.g. a ``ts`` range) reaches the Parquet scan."""
+    e = table(spark, sf_dir, "events")
+    e = spread(e.filter(where) if where is not None else e)
     return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"),
                     F.col("event_type").alias("text"), C.epoch_seconds(F.col("ts")).alias("ts"),
                     (F.col("ts") < F.lit(CUT).cast("timestamp_ntz")).alias("before_cut"))

@@ -1,14 +1,16 @@
 """Registered streaming queries (ST-1..ST-4) and their oracles.
 
-The feed is ``events`` written (by Spark) to the shared folder as three Parquet
-files, one per ten-day slice of ``ts``, in slice order; the stream reads one file
-per micro-batch. Each query runs its stream to completion (``availableNow``) and
-returns what the stream produced.
+The feed is ``events`` arriving in three ten-day slices of ``ts``, in slice order:
+each slice is appended to a feed folder below the shared checkpoint folder (an
+ordinary distributed write, the ``ts`` range pushed into the scan), and after
+each arrival the stream runs once with ``availableNow``, so every slice is one
+micro-batch and the checkpoint carries the stream from one run to the next. Each
+query returns what its stream produced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simcat.operators import catalog as C
@@ -17,44 +19,31 @@ from simcat.plans.fixtures import HASH_DIM, embeddings_catalog, hashing_embedder
 from simcat.plans.search_queries import SQL_SEARCH_TOPK_BATCH
 from simcat.session import shared_dir
 from simcat.sources.store import CatalogStore
+from simcat.streaming.feed import deliver, read_feed_stream
 from simcat.streaming.search import run_search_stream
-from simcat.streaming.upsert import read_feed_stream, run_upsert_stream, stateful_acks
+from simcat.streaming.upsert import run_upsert_stream, stateful_acks
 
-# Fixed slice boundaries of the feed files (ts ranges).
+# Fixed slice boundaries of the feed (ts ranges).
 SLICES = ["2024-01-11 00:00:00", "2024-01-21 00:00:00"]
+N_SLICES = len(SLICES) + 1
 
 
-def _slice_of(ts):
-    return (F.when(ts < F.lit(SLICES[0]).cast("timestamp_ntz"), 0)
-            .when(ts < F.lit(SLICES[1]).cast("timestamp_ntz"), 1).otherwise(2))
+def _slice_pred(s: int) -> Column:
+    """Raw ``events.ts`` range of slice ``s`` (a plain range: pushed into the scan)."""
+    ts = F.col("ts")
+    pred = F.lit(True)
+    if s > 0:
+        pred = pred & (ts >= F.lit(SLICES[s - 1]).cast("timestamp_ntz"))
+    if s < len(SLICES):
+        pred = pred & (ts < F.lit(SLICES[s]).cast("timestamp_ntz"))
+    return pred
 
 
 _SQL_SLICE = f"CASE WHEN ts < TIMESTAMP '{SLICES[0]}' THEN 0 WHEN ts < TIMESTAMP '{SLICES[1]}' THEN 1 ELSE 2 END"
 
 
-def write_feed_files(spark: SparkSession, df: DataFrame, slice_col: str, n_slices: int) -> str:
-    """Write ``df`` as one Parquet file per slice, in slice order (file arrival order)."""
-    path = shared_dir(spark, "feed")
-    df = df.persist()
-    try:
-        for s in range(n_slices):
-            (df.filter(F.col(slice_col) == s).drop(slice_col).coalesce(1)
-             .write.mode("append").parquet(path))
-    finally:
-        df.unpersist()
-    return path
-
-
-def _sliced_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_feed(spark, sf_dir).drop("before_cut").withColumn("_slice", _slice_of(
-        F.timestamp_seconds("ts").cast("timestamp_ntz")))
-
-
-def _feed_dir(spark: SparkSession, sf_dir: str, first_slice: int = 0) -> tuple[str, object]:
-    feed = _sliced_feed(spark, sf_dir)
-    later = feed.filter(F.col("_slice") >= first_slice).withColumn("_slice", F.col("_slice") - first_slice)
-    path = write_feed_files(spark, later, "_slice", 3 - first_slice)
-    return path, feed.drop("_slice").schema
+def _slice_feed(spark: SparkSession, sf_dir: str, s: int) -> DataFrame:
+    return events_feed(spark, sf_dir, where=_slice_pred(s)).drop("before_cut")
 
 
 _RUNS: dict = {}
@@ -70,11 +59,17 @@ def _run_upsert(spark: SparkSession, sf_dir: str):
 
 
 def _start_upsert(spark: SparkSession, sf_dir: str):
-    src, schema = _feed_dir(spark, sf_dir)
     run_dir = shared_dir(spark, "stream-upsert")
     store = CatalogStore(spark, f"{run_dir}/catalog", buckets=8)
-    stream = read_feed_stream(spark, src, schema, max_files=1)
-    run_upsert_stream(stream, store, hashing_embedder(), f"{run_dir}/checkpoint", out_dir=run_dir, dim=HASH_DIM)
+    arrivals = [_slice_feed(spark, sf_dir, s) for s in range(N_SLICES)]
+    schema = arrivals[0].schema
+    embedder = hashing_embedder()
+
+    def run(src: str) -> None:
+        run_upsert_stream(read_feed_stream(spark, src, schema), store, embedder,
+                          f"{run_dir}/checkpoint", out_dir=run_dir, dim=HASH_DIM)
+
+    deliver(spark, arrivals, run)
     return store, run_dir
 
 
@@ -134,18 +129,22 @@ def stream_upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-2: per-id running counts held in streaming state, one ack per valid event.
 
     The catalog as of the first slice seeds the state (initial state = its per-id
-    counts); the two later slices arrive on the stream."""
-    src, schema = _feed_dir(spark, sf_dir, first_slice=1)
-    first, _ = C.validate_upserts(_sliced_feed(spark, sf_dir).filter(F.col("_slice") == 0), vector_col=None)
+    counts); the two later slices arrive on the stream, one run each, the state
+    carried between runs by the checkpoint."""
+    first, _ = C.validate_upserts(_slice_feed(spark, sf_dir, 0), vector_col=None)
     seed = first.groupBy("id").agg(F.count(F.lit(1)).alias("count"))
     run_dir = shared_dir(spark, "stream-state")
-    stream = read_feed_stream(spark, src, schema, max_files=1)
-    valid, _ = C.validate_upserts(stream, vector_col=None)
-    acks = stateful_acks(valid, initial_counts=seed)
-    q = (acks.writeStream.format("parquet").outputMode("append")
-         .option("path", f"{run_dir}/out").option("checkpointLocation", f"{run_dir}/checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    arrivals = [_slice_feed(spark, sf_dir, s) for s in range(1, N_SLICES)]
+    schema = arrivals[0].schema
+
+    def run(src: str) -> None:
+        valid, _ = C.validate_upserts(read_feed_stream(spark, src, schema), vector_col=None)
+        q = (stateful_acks(valid, initial_counts=seed).writeStream.format("parquet").outputMode("append")
+             .option("path", f"{run_dir}/out").option("checkpointLocation", f"{run_dir}/checkpoint")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    deliver(spark, arrivals, run)
     return spark.read.schema("seq long, id long, action string, running_count long").parquet(f"{run_dir}/out")
 
 
@@ -158,15 +157,22 @@ FROM r WHERE raw_ts >= TIMESTAMP '{SLICES[0]}'
 
 
 def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST-3: every embedding arrives as a query on a stream (three files by label) and is
-    answered against the static embeddings catalog, k = 5."""
-    cat = embeddings_catalog(spark, sf_dir)
-    q = cat.select(F.col("id").alias("qid"), F.lit(5).alias("k"), "vector",
-                   F.when(F.col("label") < 3, 0).when(F.col("label") < 6, 1).otherwise(2).alias("_slice"))
-    src = write_feed_files(spark, q, "_slice", 3)
+    """ST-3: every embedding arrives as a query on a stream (three arrivals by label)
+    and is answered against the static embeddings catalog, k = 5."""
+    q = embeddings_catalog(spark, sf_dir).select(F.col("id").alias("qid"), F.lit(5).alias("k"),
+                                                 "vector", "label")
+    bounds = [(None, 3), (3, 6), (6, None)]
+    arrivals = [q.filter((F.col("label") >= lo if lo is not None else F.lit(True))
+                         & (F.col("label") < hi if hi is not None else F.lit(True))).drop("label")
+                for lo, hi in bounds]
+    schema = arrivals[0].schema
     run_dir = shared_dir(spark, "stream-search")
-    stream = read_feed_stream(spark, src, q.drop("_slice").schema, max_files=1)
-    run_search_stream(stream, lambda: embeddings_catalog(spark, sf_dir), f"{run_dir}/out", f"{run_dir}/checkpoint")
+
+    def run(src: str) -> None:
+        run_search_stream(read_feed_stream(spark, src, schema), lambda: embeddings_catalog(spark, sf_dir),
+                          f"{run_dir}/out", f"{run_dir}/checkpoint")
+
+    deliver(spark, arrivals, run)
     return spark.read.parquet(f"{run_dir}/out").select("qid", "rank", "id", "score_rate")
 
 

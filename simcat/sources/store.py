@@ -3,7 +3,7 @@
 Layout under ``root``::
 
     data/v000003-1f2e.../bucket=17/part-*.parquet   rows of bucket 17 written by version 3
-    _commits/000003.json                            {"version", "batch_id", "manifest": {bucket: data dir}}
+    _commits/000003.json                            {"version", "batch_id", "rows", "manifest": {bucket: data dir}}
 
 Every write attempt goes to its own data directory, so a job that died halfway
 leaves only unreferenced files and its retry never collides with them. A version
@@ -14,6 +14,8 @@ Rows are bucketed by ``pmod(xxhash64(id), buckets)`` and sorted by id inside a
 bucket: a merge rewrites only the buckets its feed touches (the manifest points
 untouched buckets at their older files), and an id lookup reads one bucket.
 Object stores without atomic rename need a conditional put for the commit file.
+The commit also records the version's row count, observed while its buckets are
+written (``df.observe``), so the catalog size needs no scan.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from simcat.operators.catalog import CATALOG_COLUMNS, empty_table, merge_upserts
@@ -66,8 +68,8 @@ class CatalogStore:
             stream.close()
         return json.loads(text)
 
-    def _commit(self, version: int, batch_id, manifest: dict) -> None:
-        body = json.dumps({"version": version, "batch_id": batch_id,
+    def _commit(self, version: int, batch_id, manifest: dict, rows: int | None = None) -> None:
+        body = json.dumps({"version": version, "batch_id": batch_id, "rows": rows,
                            "manifest": {str(k): v for k, v in manifest.items()}})
         d = self._commit_dir()
         self._fs.mkdirs(d)
@@ -103,6 +105,15 @@ class CatalogStore:
             return self._empty().select(*cols)
         return self.spark.read.schema(self._empty().schema).parquet(*paths).select(*cols)
 
+    def count(self, commit: dict | None = None) -> int:
+        """Rows in the catalog as of ``commit`` (default: latest), from the commit record."""
+        commit = commit if commit is not None else self.latest()
+        if not commit:
+            return 0
+        if commit.get("rows") is None:
+            return self.read(commit).count()
+        return int(commit["rows"])
+
     def lookup(self, ids: list[int]) -> DataFrame:
         """Rows for a few ids, reading only their buckets (S-3 point form)."""
         bs = {r[0] for r in self.spark.createDataFrame([(int(i),) for i in ids], "id bigint")
@@ -111,15 +122,18 @@ class CatalogStore:
 
     # ------------------------------------------------------------ write (K-1)
 
-    def _write_buckets(self, df: DataFrame, data_dir: str) -> list[int]:
+    def _write_buckets(self, df: DataFrame, data_dir: str) -> tuple[list[int], int]:
+        """Write ``df`` bucketed; returns (buckets written, rows written)."""
         out = f"{self.root}/data/{data_dir}"
         b = bucket_of(F.col("id"), self.buckets)
-        staged = df.withColumn("bucket", b)
+        written = Observation()
+        staged = df.observe(written, F.count(F.lit(1)).alias("rows")).withColumn("bucket", b)
         (staged.repartition("bucket").sortWithinPartitions("id")
          .write.mode("errorifexists").partitionBy("bucket").parquet(out))
         listing = self._fs.listStatus(self._Path(out)) if self._fs.exists(self._Path(out)) else []
-        return sorted(int(s.getPath().getName().split("=")[1]) for s in listing
-                      if s.getPath().getName().startswith("bucket="))
+        buckets = sorted(int(s.getPath().getName().split("=")[1]) for s in listing
+                         if s.getPath().getName().startswith("bucket="))
+        return buckets, int(written.get["rows"])
 
     def write(self, catalog: DataFrame, batch_id=None) -> int:
         """Replace the whole catalog with ``catalog`` as a new version."""
@@ -130,8 +144,8 @@ class CatalogStore:
             if c not in df.columns:
                 df = df.withColumn(c, F.lit(None).cast("bigint"))
         data_dir = f"v{version:06d}-{uuid.uuid4().hex}"
-        written = self._write_buckets(df.select(*CATALOG_COLUMNS, *BOOKKEEPING), data_dir)
-        self._commit(version, batch_id, {b: data_dir for b in written})
+        written, rows = self._write_buckets(df.select(*CATALOG_COLUMNS, *BOOKKEEPING), data_dir)
+        self._commit(version, batch_id, {b: data_dir for b in written}, rows)
         return version
 
     def merge(self, folded: DataFrame, batch_id=None) -> int | None:
@@ -148,13 +162,26 @@ class CatalogStore:
         # At most ``buckets`` distinct values: bounded, fine to bring to the driver.
         touched = {r[0] for r in folded.select(bucket_of(F.col("id"), self.buckets).alias("b"))
                    .distinct().collect()}
-        current = self.read(prev, buckets={b for b in touched if b in manifest}, bookkeeping=True)
+        # Rows of the touched buckets before the merge, counted while the merge reads
+        # them. Only a real scan is observed: the optimizer drops an observation over
+        # a relation it knows to be empty, and its result would never arrive.
+        existing = {b for b in touched if b in manifest}
+        current = self.read(prev, buckets=existing, bookkeeping=True)
+        replaced = None
+        if existing:
+            replaced = Observation()
+            current = current.observe(replaced, F.count(F.lit(1)).alias("rows"))
         merged = merge_upserts(current, folded)
         data_dir = f"v{version:06d}-{uuid.uuid4().hex}"
-        written = self._write_buckets(merged, data_dir)
+        written, rows = self._write_buckets(merged, data_dir)
         for b in written:
             manifest[b] = data_dir
-        self._commit(version, batch_id, manifest)
+        total = None
+        if prev is None:
+            total = rows
+        elif prev.get("rows") is not None:
+            total = int(prev["rows"]) - (int(replaced.get["rows"]) if replaced else 0) + rows
+        self._commit(version, batch_id, manifest, total)
         return version
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -23,21 +23,27 @@ from simcat.sources.store import CatalogStore, write_rejects
 ACK_SCHEMA = "seq long, id long, action string, running_count long"
 
 
-def read_feed_stream(spark: SparkSession, source_dir: str, schema, max_files: int = 1) -> DataFrame:
-    """A file feed as a stream; ``max_files`` files per micro-batch (the load batch knob)."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
-
-
 def upsert_batch(batch: DataFrame, batch_id: int, store: CatalogStore, embedder,
                  out_dir: str | None = None, dim: int | None = None) -> None:
-    """One micro-batch of ST-1. ``batch`` holds (seq, id, text, ts) rows."""
+    """One micro-batch of ST-1. ``batch`` holds (seq, id, text, ts) rows.
+
+    The batch's row and success counts are observed while its rejects are written,
+    and the catalog size comes from the store's commit record: the metrics row
+    costs no extra pass over the batch or the catalog."""
     prev = store.latest()
     if prev is not None and prev.get("batch_id") is not None and int(prev["batch_id"]) >= batch_id:
         return  # replay of a committed batch
     batch = batch.persist()
     valid = None
     try:
-        valid, rejects = C.validate_upserts(batch, vector_col=None)
+        tagged = batch.withColumn("reason", C.upsert_reason(F.col("id"), F.col("text"), None, None))
+        counted = Observation()
+        if out_dir:
+            # Observed above the rejects filter (a filter is never pushed below an
+            # observation), so it counts every row of the batch.
+            tagged = tagged.observe(counted, F.count(F.lit(1)).alias("rows"),
+                                    F.count_if(F.col("reason").isNull()).alias("success"))
+        valid, rejects = C.split_valid(tagged)
         valid = embedder.embed(valid, "text", "vector")
         if dim is not None:
             valid = valid.filter(F.size("vector") == dim)
@@ -48,16 +54,14 @@ def upsert_batch(batch: DataFrame, batch_id: int, store: CatalogStore, embedder,
             acks = C.upsert_actions(valid, known)
             acks.write.mode("overwrite").parquet(f"{out_dir}/acks/batch_id={batch_id}")
             write_rejects(rejects.select("seq", "id", "reason"), f"{out_dir}/rejects/batch_id={batch_id}")
-        counts = batch.agg(F.count(F.lit(1)).alias("rows"),
-                           F.count_if(C.upsert_reason(F.col("id"), F.col("text"), None, None).isNull())
-                           .alias("success")).first()
         store.merge(C.fold_upserts(valid), batch_id=batch_id)
         if out_dir:
-            catalog_count = store.read().count()
+            counts = counted.get
             spark = batch.sparkSession
-            row = (batch_id, counts["rows"], counts["success"], counts["rows"] - counts["success"], catalog_count)
-            (spark.createDataFrame([row], "batch_id long, rows long, success long, failed long, catalog_count long")
-             .write.mode("overwrite").parquet(f"{out_dir}/metrics/batch_id={batch_id}"))
+            row = [F.lit(v).cast("long").alias(n) for n, v in (
+                ("batch_id", batch_id), ("rows", counts["rows"]), ("success", counts["success"]),
+                ("failed", counts["rows"] - counts["success"]), ("catalog_count", store.count()))]
+            spark.range(1).select(*row).write.mode("overwrite").parquet(f"{out_dir}/metrics/batch_id={batch_id}")
     finally:
         if valid is not None:
             valid.unpersist()

@@ -111,3 +111,17 @@ def test_rejects_sink(spark):
     assert sorted((r.seq, r.reason) for r in back.collect()) == [
         (1, C.REASON_ID), (2, C.REASON_BLANK), (3, C.REASON_VECTOR_EMPTY)]
     assert back.select("reason_key").distinct().count() == 3
+
+
+def test_store_row_count_follows_every_commit(spark):
+    """The commit's row count equals a scan after full writes, merges into new and
+    existing buckets, and an empty merge."""
+    store = CatalogStore(spark, shared_dir(spark, "test-count"), buckets=4)
+    assert store.count() == 0
+    rows = feed_rows(n=120, ids=40, seed=5)
+    for lo, hi in ((0, 10), (10, 60), (60, 60), (60, 120)):
+        chunk = spark.createDataFrame(rows[lo:hi], SCHEMA)
+        store.merge(C.fold_upserts(chunk))
+        assert store.count() == store.read().count() == len({r[1] for r in rows[:hi]})
+    store.write(store.read().filter(F.col("id") % 2 == 0))
+    assert store.count() == store.read().count()

@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from simcat.operators import catalog as C
 from simcat.plans.fixtures import hashing_embedder
-from simcat.plans.stream_queries import write_feed_files
 from simcat.session import shared_dir
 from simcat.sources.store import CatalogStore
-from simcat.streaming.upsert import read_feed_stream, run_upsert_stream, stateful_acks, upsert_batch
+from simcat.streaming.feed import deliver, read_feed_stream
+from simcat.streaming.upsert import run_upsert_stream, stateful_acks, upsert_batch
 
 
 def _feed(spark, sf):
@@ -17,38 +17,70 @@ def _feed(spark, sf):
                     F.floor(F.col("event_id") / 400).cast("int").alias("_slice"))
 
 
+def _arrivals(feed):
+    n_slices = feed.agg(F.max("_slice")).first()[0] + 1
+    return [feed.filter(F.col("_slice") == s).drop("_slice") for s in range(n_slices)]
+
+
+def _run_acks(spark, valid_of, run, seed=None):
+    """A stateful-ack stream runner for ``deliver``: one availableNow run per arrival."""
+    def run_once(src):
+        q = (stateful_acks(valid_of(src), initial_counts=seed).writeStream.format("parquet")
+             .option("path", f"{run}/out").option("checkpointLocation", f"{run}/ckpt")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    return run_once
+
+
 def test_stream_equals_batch_and_replay_is_noop(spark, sf):
     feed = _feed(spark, sf)
-    n_slices = feed.agg(F.max("_slice")).first()[0] + 1
-    src = write_feed_files(spark, feed, "_slice", n_slices)
+    arrivals = _arrivals(feed)
+    schema = arrivals[0].schema
     run = shared_dir(spark, "test-stream")
     store = CatalogStore(spark, f"{run}/catalog", buckets=4)
-    stream = read_feed_stream(spark, src, feed.drop("_slice").schema)
     emb = hashing_embedder()
-    run_upsert_stream(stream, store, emb, f"{run}/ckpt", out_dir=run, dim=64)
+
+    def run_once(src):
+        run_upsert_stream(read_feed_stream(spark, src, schema), store, emb, f"{run}/ckpt", out_dir=run, dim=64)
+
+    src = deliver(spark, arrivals, run_once)
     valid, _ = C.validate_upserts(feed.drop("_slice"), vector_col=None)
     batch = C.merge_upserts(C.empty_catalog(spark), C.fold_upserts(emb.embed(valid, "text", "vector")))
     cols = ["id", "text", "count", "created_at", "updated_at"]
     assert sorted(store.read().select(*cols).collect()) == sorted(batch.select(*cols).collect())
     # restart on the same checkpoint: nothing new, nothing applied twice
-    run_upsert_stream(read_feed_stream(spark, src, feed.drop("_slice").schema), store, emb, f"{run}/ckpt",
-                      out_dir=run, dim=64)
+    run_once(src)
     before = store.latest()["version"]
     # a batch replayed by hand after its commit is skipped
     upsert_batch(feed.drop("_slice").limit(10), 0, store, emb)
     assert store.latest()["version"] == before
     m = spark.read.parquet(f"{run}/metrics").collect()
-    assert len(m) == n_slices and sum(r.rows for r in m) == feed.count()
+    assert len(m) == len(arrivals) and sum(r.rows for r in m) == feed.count()
+
+
+def test_one_file_per_task_and_one_batch_per_arrival(spark, sf):
+    feed = _feed(spark, sf)
+    arrivals = [a.repartition(3) for a in _arrivals(feed)]
+    batches = []
+
+    def run_once(src):
+        q = (read_feed_stream(spark, src, arrivals[0].schema).writeStream
+             .foreachBatch(lambda df, bid: batches.append((bid, df.count())))
+             .option("checkpointLocation", f"{src}-ckpt").trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    src = deliver(spark, arrivals, run_once)
+    files = [f for f in spark.read.parquet(src).inputFiles()]
+    assert len(files) == 3 * len(arrivals)
+    assert batches == [(i, a.count()) for i, a in enumerate(arrivals)]
 
 
 def test_stateful_running_counts(spark, sf):
     feed = _feed(spark, sf)
-    src = write_feed_files(spark, feed, "_slice", feed.agg(F.max("_slice")).first()[0] + 1)
+    arrivals = _arrivals(feed)
     run = shared_dir(spark, "test-state")
-    valid, _ = C.validate_upserts(read_feed_stream(spark, src, feed.drop("_slice").schema), vector_col=None)
-    q = (stateful_acks(valid).writeStream.format("parquet").option("path", f"{run}/out")
-         .option("checkpointLocation", f"{run}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
+    valid_of = lambda src: C.validate_upserts(read_feed_stream(spark, src, arrivals[0].schema), vector_col=None)[0]
+    deliver(spark, arrivals, _run_acks(spark, valid_of, run))
     got = spark.read.parquet(f"{run}/out").collect()
     rows = sorted((r.seq, r.id) for r in feed.filter("id > 0").collect())
     seen = {}
@@ -62,15 +94,13 @@ def test_stateful_running_counts(spark, sf):
 
 def test_stateful_acks_start_from_catalog_counts(spark, sf):
     feed = _feed(spark, sf).filter("id > 0")
-    src = write_feed_files(spark, feed, "_slice", feed.agg(F.max("_slice")).first()[0] + 1)
+    arrivals = _arrivals(feed)
     run = shared_dir(spark, "test-state-seed")
     seed = spark.createDataFrame([(r.id, 10) for r in feed.select("id").distinct().limit(3).collect()],
                                  "id long, count long")
     seeded = {r.id for r in seed.collect()}
-    valid, _ = C.validate_upserts(read_feed_stream(spark, src, feed.drop("_slice").schema), vector_col=None)
-    q = (stateful_acks(valid, initial_counts=seed).writeStream.format("parquet").option("path", f"{run}/out")
-         .option("checkpointLocation", f"{run}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
+    valid_of = lambda src: C.validate_upserts(read_feed_stream(spark, src, arrivals[0].schema), vector_col=None)[0]
+    deliver(spark, arrivals, _run_acks(spark, valid_of, run, seed))
     got = spark.read.parquet(f"{run}/out").collect()
     firsts = {}
     for r in sorted(got, key=lambda r: r.seq):
