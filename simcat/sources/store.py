@@ -159,6 +159,15 @@ class CatalogStore:
             return None
         version = (prev["version"] + 1) if prev else 1
         manifest = {int(k): v for k, v in (prev["manifest"] if prev else {}).items()}
+        # The fold (one row per feed id) feeds two jobs, the touched-bucket list and
+        # the write: keep it so the feed is scanned, embedded and folded once.
+        folded = folded.persist()
+        try:
+            return self._merge(prev, version, manifest, folded, batch_id)
+        finally:
+            folded.unpersist()
+
+    def _merge(self, prev, version: int, manifest: dict, folded: DataFrame, batch_id) -> int:
         # At most ``buckets`` distinct values: bounded, fine to bring to the driver.
         touched = {r[0] for r in folded.select(bucket_of(F.col("id"), self.buckets).alias("b"))
                    .distinct().collect()}
