@@ -39,6 +39,15 @@ def test_actions_join_on_id_and_seq(spark):
     acts = C.upsert_actions(feed, spark.createDataFrame([], "id long"))
     got = sorted((r.seq, r.action) for r in acts.collect())
     assert got[0] == (0, "inserted") and all(a == "updated" for _, a in got[1:])
+    # The feed side is shuffled on (id, seq), never on id alone: a hot id is spread.
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(C.upsert_actions(feed, spark.createDataFrame([(5,)], "id long")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    feed_side = p.split("LeftOuter")[1].split("\n")[1:3]
+    assert any("hashpartitioning(id#" in l and ", seq#" in l for l in feed_side), feed_side
 
 
 def test_scan_reads_only_needed_columns(spark, sf):
