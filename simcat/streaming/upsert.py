@@ -21,6 +21,7 @@ from simcat.operators import catalog as C
 from simcat.sources.store import CatalogStore, write_rejects
 
 ACK_SCHEMA = "seq long, id long, action string, running_count long"
+ACK_CHUNK = 65536  # rows per emitted ack frame
 
 
 def upsert_batch(batch: DataFrame, batch_id: int, store: CatalogStore, embedder,
@@ -89,6 +90,7 @@ def stateful_acks(valid_stream: DataFrame, initial_counts: DataFrame | None = No
     holds one id's events of one micro-batch, bounded by the trigger size
     (``maxFilesPerTrigger``). ``initial_counts`` is ``(id, count)``, e.g. the
     catalog's counts when the stream starts."""
+    chunk = ACK_CHUNK  # a closure value: travels with the pickled processor
     # Defined here, not at module level: the streaming Python runner of
     # transformWithStateInPandas does not see files added with addPyFile, so the
     # processor must travel by value (cloudpickle does that for local classes).
@@ -107,15 +109,20 @@ def stateful_acks(valid_stream: DataFrame, initial_counts: DataFrame | None = No
         def handleInputRows(self, key, rows, timerValues):
             (uid,) = key
             seen = self.count.get()[0] if self.count.exists() else 0
-            batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-            running = seen + np.arange(1, len(batch) + 1, dtype=np.int64)
-            self.count.update((int(running[-1]),))
-            yield pd.DataFrame({
-                "seq": batch["seq"].to_numpy(dtype=np.int64),
-                "id": np.full(len(batch), uid, dtype=np.int64),
-                "action": np.where(running == 1, "inserted", "updated"),
-                "running_count": running,
-            })
+            # Only the event numbers are kept (8 bytes per event of this id in this
+            # trigger); acks go out in bounded chunks, in seq order.
+            seqs = np.concatenate([r["seq"].to_numpy(dtype=np.int64) for r in rows])
+            seqs.sort(kind="stable")
+            self.count.update((int(seen + len(seqs)),))
+            for lo in range(0, len(seqs), chunk):
+                part = seqs[lo:lo + chunk]
+                running = seen + lo + np.arange(1, len(part) + 1, dtype=np.int64)
+                yield pd.DataFrame({
+                    "seq": part,
+                    "id": np.full(len(part), uid, dtype=np.int64),
+                    "action": np.where(running == 1, "inserted", "updated"),
+                    "running_count": running,
+                })
 
         def close(self) -> None:
             pass
