@@ -53,7 +53,9 @@ def search_run_report(catalog: DataFrame, embedder, n: int = P.SEARCH_RUN_SIZE,
     and the share of queries whose best hit is the query row itself."""
     from simcat.operators.search import prepare_queries, search
 
-    first = catalog.select("id", "text").orderBy("id").limit(n)
+    # The query set feeds three plans (the size-checked query fetch, the per-query
+    # join and the rejects); it is at most ``n`` rows, so keep it after one top-n.
+    first = catalog.select("id", "text").orderBy("id").limit(n).persist()
     q = first.select(F.col("id").alias("qid"), "text", F.lit(k).cast("int").alias("top_k"))
     valid, rejects = prepare_queries(q)
     qv = embedder.embed(valid, "text", "vector")
