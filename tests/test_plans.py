@@ -59,3 +59,11 @@ def test_scan_reads_only_needed_columns(spark, sf):
 def test_per_part_first_ten_uses_partial_window_limit(spark, sf):
     p = plan(TQ.part_attributes(spark, sf))
     assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_feed_arrival_pushes_its_time_range_into_the_scan(spark, sf):
+    from simcat.plans.stream_queries import _slice_feed
+
+    p = plan(_slice_feed(spark, sf, 1))
+    pushed = p.split("PushedFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(ts," in pushed and "LessThan(ts," in pushed, pushed
