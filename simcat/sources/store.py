@@ -148,11 +148,24 @@ class CatalogStore:
         self._commit(version, batch_id, {b: data_dir for b in written}, rows)
         return version
 
-    def merge(self, folded: DataFrame, batch_id=None) -> int | None:
+    def touched_buckets(self, df: DataFrame) -> set[int]:
+        """Buckets holding the ids of ``df``; at most ``buckets`` values, so fine to
+        bring to the driver."""
+        return {r[0] for r in df.select(bucket_of(F.col("id"), self.buckets).alias("b"))
+                .distinct().collect()}
+
+    def known_ids(self, commit: dict | None, buckets: set[int]) -> DataFrame:
+        """Catalog ids of ``commit`` in ``buckets`` only: an existence test for a feed
+        reads the buckets its ids hash to, not the whole catalog."""
+        return self.read(commit, buckets=set(buckets)).select("id")
+
+    def merge(self, folded: DataFrame, batch_id=None, touched: set[int] | None = None) -> int | None:
         """J-2 into a new version, rewriting only touched buckets.
 
-        Returns the new version, or None when ``batch_id`` was already committed
-        (a replayed micro-batch: ``count + n`` must not be applied twice)."""
+        ``touched`` (optional) is ``touched_buckets`` of the feed, when the caller
+        has it already. Returns the new version, or None when ``batch_id`` was
+        already committed (a replayed micro-batch: ``count + n`` must not be
+        applied twice)."""
         prev = self.latest()
         if prev is not None and batch_id is not None and prev.get("batch_id") is not None \
                 and int(prev["batch_id"]) >= int(batch_id):
@@ -163,14 +176,13 @@ class CatalogStore:
         # the write: keep it so the feed is scanned, embedded and folded once.
         folded = folded.persist()
         try:
-            return self._merge(prev, version, manifest, folded, batch_id)
+            if touched is None:
+                touched = self.touched_buckets(folded)
+            return self._merge(prev, version, manifest, folded, batch_id, touched)
         finally:
             folded.unpersist()
 
-    def _merge(self, prev, version: int, manifest: dict, folded: DataFrame, batch_id) -> int:
-        # At most ``buckets`` distinct values: bounded, fine to bring to the driver.
-        touched = {r[0] for r in folded.select(bucket_of(F.col("id"), self.buckets).alias("b"))
-                   .distinct().collect()}
+    def _merge(self, prev, version: int, manifest: dict, folded: DataFrame, batch_id, touched: set) -> int:
         # Rows of the touched buckets before the merge, counted while the merge reads
         # them. Only a real scan is observed: the optimizer drops an observation over
         # a relation it knows to be empty, and its result would never arrive.

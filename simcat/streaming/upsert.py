@@ -50,12 +50,15 @@ def upsert_batch(batch: DataFrame, batch_id: int, store: CatalogStore, embedder,
             valid = valid.filter(F.size("vector") == dim)
         # Embedded once, used by the acks, the touched-bucket scan and the merge.
         valid = valid.persist()
-        known = store.read().select("id")
+        # Existence is tested against the buckets this batch touches only (the
+        # ones the merge rewrites), so a batch costs what its feed costs, not a
+        # scan of every catalog id.
+        touched = store.touched_buckets(valid)
         if out_dir:
-            acks = C.upsert_actions(valid, known)
+            acks = C.upsert_actions(valid, store.known_ids(prev, touched))
             acks.write.mode("overwrite").parquet(f"{out_dir}/acks/batch_id={batch_id}")
             write_rejects(rejects.select("seq", "id", "reason"), f"{out_dir}/rejects/batch_id={batch_id}")
-        store.merge(C.fold_upserts(valid), batch_id=batch_id)
+        store.merge(C.fold_upserts(valid), batch_id=batch_id, touched=touched)
         if out_dir:
             counts = counted.get
             spark = batch.sparkSession
