@@ -172,13 +172,13 @@ class CatalogStore:
             return None
         version = (prev["version"] + 1) if prev else 1
         manifest = {int(k): v for k, v in (prev["manifest"] if prev else {}).items()}
+        if touched is not None:
+            return self._merge(prev, version, manifest, folded, batch_id, touched)
         # The fold (one row per feed id) feeds two jobs, the touched-bucket list and
         # the write: keep it so the feed is scanned, embedded and folded once.
         folded = folded.persist()
         try:
-            if touched is None:
-                touched = self.touched_buckets(folded)
-            return self._merge(prev, version, manifest, folded, batch_id, touched)
+            return self._merge(prev, version, manifest, folded, batch_id, self.touched_buckets(folded))
         finally:
             folded.unpersist()
 
