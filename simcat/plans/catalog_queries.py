@@ -238,6 +238,24 @@ SELECT 'ok' AS status, 'Service is running' AS message, '{P.MODEL_NAME}' AS mode
 """
 
 
+def catalog_store_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-1 on the snapshot store: the documents catalog is written, a feed of event
+    ids (user_id * 7, partly new, partly known) is merged into it, and the size is
+    read from the latest commit record, which the writes observed (no scan)."""
+    store = _docs_store(spark, sf_dir)
+    feed = events_feed(spark, sf_dir).select("seq", (F.col("id") * 7).alias("id"), "text", "ts")
+    valid, _ = C.validate_upserts(feed, vector_col=None)
+    store.merge(C.fold_upserts(hashing_embedder().embed(valid, "text", "vector")))
+    return C.metrics_of_count(spark, store.count(), P.MODEL_NAME)
+
+
+SQL_CATALOG_STORE_METRICS = f"""
+SELECT 'ok' AS status, 'Service is running' AS message, '{P.MODEL_NAME}' AS model,
+       (SELECT count(*) FROM (SELECT doc_id + 1 AS id FROM documents
+                              UNION SELECT user_id * 7 FROM events WHERE user_id > 0))::BIGINT AS vectors_count
+"""
+
+
 # ---------------------------------------------------------------- codec and embedding
 
 def blob_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,6 +345,7 @@ QUERIES = {
     "catalog_exists": (catalog_exists, SQL_CATALOG_EXISTS),
     "catalog_sample": (catalog_sample, SQL_CATALOG_SAMPLE),
     "catalog_metrics": (catalog_metrics, SQL_CATALOG_METRICS),
+    "catalog_store_metrics": (catalog_store_metrics, SQL_CATALOG_STORE_METRICS),
     "blob_roundtrip": (blob_roundtrip, SQL_BLOB_ROUNDTRIP),
     "hash_embed": (hash_embed, SQL_HASH_EMBED),
     "token_truncate": (token_truncate, SQL_TOKEN_TRUNCATE),
