@@ -24,6 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,10 +138,16 @@ def release_broadcasts() -> None:
         _BROADCASTS.pop().unpersist(blocking=False)
 
 
-def _broadcast_candidates(spark: SparkSession, rows: list, catalog: DataFrame, dim: int) -> DataFrame:
-    qids = np.array([r[0] for r in rows], dtype=np.int64)
-    ks = np.array([r[1] for r in rows], dtype=np.int64)
-    Q = np.array([r[2] for r in rows], dtype=np.float64).reshape(len(rows), dim)
+def _query_arrays(tbl: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(qids, ks, Q) from a fetched (qid, k, vector) Arrow table; every vector has ``dim``."""
+    vec = tbl.column("vector").combine_chunks()
+    return (tbl.column("qid").to_numpy().astype(np.int64),
+            tbl.column("k").to_numpy().astype(np.int64),
+            _as_matrix(vec, tbl.num_rows, dim))
+
+
+def _broadcast_candidates(spark: SparkSession, qids: np.ndarray, ks: np.ndarray, Q: np.ndarray,
+                          catalog: DataFrame, dim: int) -> DataFrame:
     bc = spark.sparkContext.broadcast((qids, ks, Q))
     _BROADCASTS.append(bc)
 
@@ -211,31 +218,36 @@ def search(queries: DataFrame, catalog: DataFrame, params: P.Params = P.DEFAULT,
                        F.coalesce(F.col("k").cast("int"), F.lit(params.default_top_k)).alias("k"),
                        F.col("vector"))
 
-    rows = None
+    fetched = None
     dim = None
     if plan in ("auto", "broadcast"):
         # Size check without an unbounded collect: fetch at most the number of rows
         # the budget allows at the largest dimension; only if that many exist, look
-        # at the real dimension and fetch up to its (larger) row budget.
+        # at the real dimension and fetch up to its (larger) row budget. Rows come
+        # back as Arrow (columnar, straight into numpy), not as Python rows.
         floor_rows = max(1, params.broadcast_query_bytes // (8 * 4096))
-        rows = q.limit(floor_rows + 1).collect()
-        dim = len(rows[0][2]) if rows and rows[0][2] is not None else params.vector_dim
+        fetched = q.limit(floor_rows + 1).toArrow()
+        lengths = pc.list_value_length(fetched.column("vector").combine_chunks())
+        dim = lengths[0].as_py() if fetched.num_rows and lengths[0].is_valid else params.vector_dim
         max_rows = max(1, params.broadcast_query_bytes // (8 * max(dim, 1)))
-        if len(rows) > floor_rows and max_rows > floor_rows:
-            rows = q.limit(max_rows + 1).collect()
-        if len(rows) > max_rows:
+        if fetched.num_rows > floor_rows and max_rows > floor_rows:
+            fetched = q.limit(max_rows + 1).toArrow()
+        if fetched.num_rows > max_rows:
             if plan == "broadcast":
-                raise ValueError(f"{len(rows)}+ queries exceed the broadcast budget of {max_rows}")
-            rows = None
+                raise ValueError(f"{fetched.num_rows}+ queries exceed the broadcast budget of {max_rows}")
+            fetched = None
     if dim is None:
         probe = q.select(F.size("vector").alias("d")).limit(1).collect()
         dim = probe[0]["d"] if probe else params.vector_dim
-    if rows is not None:
-        bad = [r[0] for r in rows if r[2] is None or len(r[2]) != dim]
-        if bad:
+    if fetched is not None:
+        lengths = pc.list_value_length(fetched.column("vector").combine_chunks())
+        wrong = pc.invert(pc.fill_null(pc.equal(lengths, dim), False))
+        if pc.any(wrong).as_py():
+            bad = pc.filter(fetched.column("qid"), wrong).to_pylist()
             raise ValueError(f"query vectors with wrong dimension (expected {dim}): qid {bad[:10]}")
-        kmax = max([r[1] for r in rows], default=1)
-        cands = _broadcast_candidates(spark, rows, catalog, dim)
+        qids, ks, Q = _query_arrays(fetched, dim)
+        kmax = int(ks.max()) if ks.size else 1
+        cands = _broadcast_candidates(spark, qids, ks, Q, catalog, dim)
         hits_bounded = True
     else:
         n_q = q.count()
