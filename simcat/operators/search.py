@@ -153,19 +153,24 @@ def _broadcast_candidates(spark: SparkSession, qids: np.ndarray, ks: np.ndarray,
 
     def local_topk(batches):
         bq, bk, bQ = bc.value
-        parts = ([], [], [])
+        # Running candidates of this task, reduced after every Arrow batch: a task
+        # holds at most about two batches' worth (|Q| * k plus ties each), however
+        # many batches its split has. A row dropped here is below the k-th best of a
+        # subset, hence below the final k-th best too.
+        acc = None
         for b in batches:
             n = b.num_rows
             if n == 0 or bq.size == 0:
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False)
             C = _as_matrix(b.column(1), n, dim)
-            for acc, v in zip(parts, _score_block(bQ, bk, ids, C)):
-                acc.append(v)
-        if not parts[0]:
+            cur = _score_block(bQ, bk, ids, C)
+            if acc is not None:
+                cur = tuple(np.concatenate([a, c]) for a, c in zip(acc, cur))
+            acc = _reduce_candidates(*cur, bk)
+        if acc is None:
             return
-        qidx, cid, s = _reduce_candidates(*(np.concatenate(p) for p in parts), bk)
-        yield _cand_batch(bq, bk.astype(np.int32), qidx, cid, s)
+        yield _cand_batch(bq, bk.astype(np.int32), *acc)
 
     return catalog.select("id", "vector").mapInArrow(local_topk, CAND_SCHEMA)
 

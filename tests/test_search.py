@@ -35,6 +35,24 @@ def test_plans_equal_brute_force(spark, cat, plan, blocks):
     assert got == exp
 
 
+def test_broadcast_plan_reduces_across_many_arrow_batches(spark, cat):
+    """Candidates are reduced batch by batch inside a task; tiny Arrow batches (and
+    one catalog partition) must give the brute-force answer, ties included."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        one = cat.coalesce(1)
+        q = cat.select(F.col("id").alias("qid"), F.lit(5).alias("k"), "vector")
+        hits = search(q, one, plan="broadcast").collect()
+    finally:
+        spark.conf.set(key, old)
+    got = {}
+    for h in sorted(hits, key=lambda h: (h.qid, h.rank)):
+        got.setdefault(h.qid, []).append((h.id, h.score_rate))
+    assert got == brute(cat.collect(), q.collect(), 5)
+
+
 def test_ranking_properties(spark, cat):
     q = cat.select(F.col("id").alias("qid"), F.lit(7).alias("k"), "vector")
     hits = search(q, cat, keep_raw=True).collect()
