@@ -118,3 +118,18 @@ def test_exact_ties_break_by_id_across_tasks(spark, plan, blocks):
         got.setdefault(h.qid, []).append(h.id)
     expect = {j + 1: [i + 1 for i in range(60) if i % 3 == j][:k] for j, k in enumerate([5, 1, 12])}
     assert got == expect
+
+
+def test_auto_plan_falls_back_to_blocks_beyond_the_broadcast_budget(spark, cat):
+    from simcat import params as P
+
+    small = P.DEFAULT.with_(broadcast_query_bytes=10 * 64 * 8)  # ten 64-d queries
+    q = cat.select(F.col("id").alias("qid"), F.lit(5).alias("k"), "vector")
+    plan = search(q, cat, small)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapCoGroupsInArrow", "")
+    got = {}
+    for h in sorted(search(q, cat, small).collect(), key=lambda h: (h.qid, h.rank)):
+        got.setdefault(h.qid, []).append((h.id, h.score_rate))
+    assert got == brute(cat.collect(), q.collect(), 5)
+    with pytest.raises(ValueError, match="broadcast budget"):
+        search(q, cat, small, plan="broadcast")
