@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simcat import params as P
-from simcat.functions.text import preview
+from simcat.functions.text import PY_SPACE_CLASS, preview
 from simcat.operators.catalog import sample_rows
 from simcat.operators.report import search_run_report
 from simcat.operators.search import prepare_queries, search
@@ -206,14 +206,20 @@ def search_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_SEARCH_QUALITY_REPORT = f"""
 WITH cv AS ({sql_hash_vectors("documents", "doc_id + 1", "text")}),
-  qv AS (SELECT id AS qid, v FROM cv ORDER BY id LIMIT 1000),
+  first AS (SELECT doc_id + 1 AS qid, text FROM documents ORDER BY qid LIMIT 1000),
+  -- The query rules (V-6, V-7): length 1..100000, not blank after a Python strip.
+  chk AS (SELECT qid, (text IS NULL OR length(text) < 1 OR length(text) > 100000
+                       OR regexp_replace(text, '^{PY_SPACE_CLASS}+', '') = '') AS bad FROM first),
+  qv AS (SELECT cv.id AS qid, cv.v FROM cv JOIN chk ON chk.qid = cv.id WHERE NOT chk.bad),
   scored AS (SELECT qv.qid, cv.id, list_dot_product(qv.v, cv.v) AS score FROM qv CROSS JOIN cv),
   {_SQL_RANK},
   hits AS (SELECT * FROM ranked WHERE rank <= 5),
   per_q AS (SELECT qv.qid, count(h.id) AS n_results,
                    coalesce(bool_or(h.rank = 1 AND h.id = qv.qid), false) AS self_first
             FROM qv LEFT JOIN hits h ON h.qid = qv.qid GROUP BY qv.qid)
-SELECT count(*)::BIGINT AS queries, count(*)::BIGINT AS success, 0::BIGINT AS failed,
+SELECT (SELECT count(*) FROM chk)::BIGINT AS queries,
+       (SELECT count(*) FROM chk WHERE NOT bad)::BIGINT AS success,
+       (SELECT count(*) FROM chk WHERE bad)::BIGINT AS failed,
        avg(n_results)::DOUBLE AS avg_results,
        avg(CASE WHEN self_first THEN 1.0 ELSE 0.0 END)::DOUBLE AS self_hit_rate
 FROM per_q
