@@ -133,3 +133,19 @@ def test_auto_plan_falls_back_to_blocks_beyond_the_broadcast_budget(spark, cat):
     assert got == brute(cat.collect(), q.collect(), 5)
     with pytest.raises(ValueError, match="broadcast budget"):
         search(q, cat, small, plan="broadcast")
+
+
+def test_search_run_report_counts_rejected_queries(spark, sf):
+    """A catalog row whose text is too long to be a query (V-6) is a failed query of
+    the run, and averages cover the successful ones only."""
+    from simcat.operators.report import search_run_report
+    from simcat.plans.fixtures import hashing_embedder
+
+    emb = hashing_embedder()
+    docs = (spark.read.parquet(f"{sf}/documents.parquet")
+            .select((F.col("doc_id") + 1).alias("id"), "text").filter("id <= 20"))
+    long = spark.createDataFrame([(1000, "w " * 50001)], "id long, text string")  # 100,002 chars
+    cat = emb.embed(docs.unionByName(long), "text", "vector")
+    r = search_run_report(cat, emb, n=25, k=3).first()
+    assert (r.queries, r.success, r.failed) == (21, 20, 1)
+    assert r.avg_results == 3.0 and 0.0 <= r.self_hit_rate <= 1.0
