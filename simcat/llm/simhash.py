@@ -15,11 +15,9 @@ distance all the same. A bucket holds at most 65 + 992 different fingerprints, w
 number of documents, and emits one link per member instead of all pairs. Two far members
 alone are no link; if they are close they meet elsewhere.
 
-Before the balls are emitted, fingerprints are reduced to distinct values (copies of a text
-are one row), and those without any other fingerprint within 1 bit in either half are set
-aside: 3 differing bits leave at most 1 in one of the halves, so these can't have a partner.
-That test is itself ball hashing, of 32-bit halves: even halves emit themselves, odd ones
-their 32 neighbours.
+Balls are emitted by distinct fingerprints, so copies of a text cost one row; the shuffle is
+65 rows for an even and 1,057 for an odd fingerprint, in proportion to their number and
+whatever their distances are.
 
 Links are closed over components (``graph``); every table between the steps is written
 below the shared folder.
@@ -99,24 +97,10 @@ def _flips(pairs: bool) -> Column:
     return F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
 
 
-def _with_partner(nodes: DataFrame) -> DataFrame:
-    """The fingerprints that have another one within 1 bit in a 32-bit half."""
-    keys = []
-    flips = F.array(*[F.lit(1 << i).cast("long") for i in range(32)])
-    for side, half in enumerate((F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("fp", 32))):
-        emitted = F.when(F.bit_count(half) % 2 == 0, F.array(half)).otherwise(F.transform(flips, lambda m, h=half: h.bitwiseXOR(m)))
-        keys.append(nodes.select("fp", F.lit(side).alias("side"), F.explode(emitted).alias("key")))
-    met = keys[0].unionByName(keys[1])
-    shared = met.groupBy("side", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a != b").select("side", "key")
-    return met.join(shared, ["side", "key"], "left_semi").select("fp").distinct()
-
-
 def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) whose closure connects all ``fp`` of ``nodes`` that differ in 3 bits or fewer."""
-    some = materialise(_with_partner(nodes), "simhash-partners")
-    near = some.select("fp", F.explode(_flips(pairs=False)).alias("mask")).withColumn("near", F.lit(True))
-    odd = some.filter(F.bit_count("fp") % 2 == 1)
-    far = odd.select("fp", F.explode(_flips(pairs=True)).alias("mask")).withColumn("near", F.lit(False))
+    near = nodes.select("fp", F.explode(_flips(pairs=False)).alias("mask")).withColumn("near", F.lit(True))
+    far = nodes.filter(F.bit_count("fp") % 2 == 1).select("fp", F.explode(_flips(pairs=True)).alias("mask")).withColumn("near", F.lit(False))
     ball = near.unionByName(far).select("fp", "near", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     root = F.min(F.when(F.col("near"), F.col("fp"))).over(Window.partitionBy("variant"))
     met = ball.select("fp", root.alias("root")).filter("root is not null and root != fp").distinct()
