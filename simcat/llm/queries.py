@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, sharding, simhash
+import public_tokenizers
+
+from . import linededup, mixing, sentencepieces, sharding, simhash, tokencount, topk, toxicity
 from .common import configure, read_table
 
 SHARDS = 24
+TOKEN_LIMIT = 2048
 
 
 def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +34,13 @@ def op2_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("cell_weight"), F.round("probability", 9).alias("probability"), "sampled")
 
 
+def op3_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact top-k search: each 20th vector's 20 best others by integer inner product."""
+    configure(spark)
+    found = topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+    return found.withColumnRenamed("id", "vec_id").select("query_id", "rank", "vec_id", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup: all documents inserted, lines found in 10 of them or more dropped everywhere."""
     configure(spark)
@@ -46,9 +56,37 @@ def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity: every document scored by a model of the labelled rows that aren't held out."""
+    configure(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.fit_and_score(docs, read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece: ids of every text with begin and end, and the text they decode to."""
+    configure(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts: bytes and tokens of every text, and whether it exceeds 2048 tokens."""
+    configure(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokencount.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 QUERIES: dict = {
     "op1_rendezvous_sharding": (op1_rendezvous_sharding, None),
     "op2_mix_to_targets": (op2_mix_to_targets, None),
+    "op3_impact_topk": (op3_impact_topk, None),
     "op4_line_dedup": (op4_line_dedup, None),
     "op5_simhash_neardup": (op5_simhash_neardup, None),
+    "op6_toxicity_ftrl": (op6_toxicity_ftrl, None),
+    "op8_sentencepiece": (op8_sentencepiece, None),
+    "op10_token_counts": (op10_token_counts, None),
 }
