@@ -9,10 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simcat.llm import linededup, mixing, simhash
+import public_tokenizers
+
+from simcat.llm import linededup, mixing, sentencepieces, simhash, toxicity
 from simcat.llm.common import configure, materialise, read_table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects (score 0.5 or more) go."""
+    configure(spark)
+    scored = toxicity.fit_and_score(docs, read_table(spark, sf_dir, "labels"), name="_toxic")
+    return scored.filter("_toxic < 0.5").select(*docs.columns)
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that 10 documents or more share go from all of them; no document goes."""
     configure(spark)
@@ -33,10 +42,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(topics, ["source", "lang", "topic"]).filter("sampled").select(*docs.columns)
 
 
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as SentencePiece ids: id, source, language, number of tokens, ids."""
+    configure(spark)
+    coded = sentencepieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=None)
+    return coded.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("line dedup", dedup_lines),
     ("simhash near-dedup", near_duplicates),
     ("mix sources", mix_sources),
+    ("sentencepiece", tokenise),
 ]
 
 

@@ -12,7 +12,10 @@ SPACES = " \t\n\x0b\x0c\r"
 #: A word, in the regular expressions of Java, RE2 and Python alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["SPACES", "WORD", "configure", "materialise", "read_table", "shared_dir", "split_words", "tmp_names", "unit_hash"]
+#: The white space of Unicode, for a character class.
+UNICODE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+__all__ = ["SPACES", "UNICODE_SPACE", "WORD", "configure", "materialise", "read_table", "shared_dir", "split_words", "tmp_names", "unit_hash", "without"]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +44,12 @@ def tmp_names(taken: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns of these names: an operator's own columns replace them."""
+    low = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in low])
+
+
 def split_words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -21,7 +21,7 @@ would share a superset, which changes nothing, since a confirmed digest is dropp
 
 Defined results: null and empty texts are one empty line; empty keys are never counted or
 dropped; a row is a document (repeated rows count each); an empty table stays empty; extra
-columns pass through.
+columns pass through, but for those with a result's name.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, tmp_names
+from .common import shared_dir, tmp_names, without
 
 THRESHOLD = 10
 #: Bytes of filters that are broadcast at once.
@@ -284,6 +284,7 @@ class LineDedup:
 
     def apply(self, docs: DataFrame, text: str = "text", lines: str = "n_lines", dropped: str = "n_dropped") -> DataFrame:
         """``docs`` with the text cut down to its other lines, their number before and the number dropped."""
+        docs = without(docs, lines, dropped)
         t, digests = tmp_names([*docs.columns, lines, dropped], "t", "digests")
         hits = self._confirmed(docs, text).select(F.col("t").alias(t), F.col("digests").alias(digests))
         joined = docs.withColumn(t, F.xxhash64(text)).join(hits, t, "left").drop(t)

@@ -16,7 +16,8 @@ table per margin given by the caller.
 
 Defined results: null margins are a value of their own; a document counts at least one
 token, so empty texts take part; equal ids are drawn together, a row without an id is drawn
-by its text; an empty table gives an empty sample; extra columns pass through.
+by its text; an empty table gives an empty sample; extra columns pass
+through, but for those with a result's name.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, tmp_names, unit_hash
+from .common import WORD, materialise, tmp_names, unit_hash, without
 
 ROUNDS = 10
 POWER = 0.85
@@ -77,7 +78,9 @@ def sampling_rates(raked: DataFrame, tokens: str, rate: float = RATE) -> DataFra
 def mix(docs: DataFrame, margins: Sequence[str], text: str = "text", key: str = "doc_id", power: Mapping[str, float] | float = POWER, targets: Mapping[str, DataFrame] | None = None, rate: float = RATE, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """Every row of ``docs`` with n_tokens, weight (token share of its cell after raking),
     probability and sampled. Filter on ``sampled`` for the mix."""
-    tokens, cell = tmp_names(docs.columns, "n_tokens", "cell")
+    tokens = "n_tokens"
+    docs = without(docs, tokens, "weight", "probability", "sampled")
+    (cell,) = tmp_names(docs.columns, "cell")
     counted = docs.withColumn(tokens, token_weight(F.col(text)))
     cells = materialise(cell_counts(counted, margins, tokens), "mix-cells")
     raked = materialise(rake(cells, margins, tokens, power, targets, rounds), "mix-weights")
@@ -91,6 +94,7 @@ def mix(docs: DataFrame, margins: Sequence[str], text: str = "text", key: str =
 
 def with_topic(docs: DataFrame, vectors: DataFrame, key: str = "doc_id", vec_key: str = "vec_id", label: str = "label", topic: str = "topic") -> DataFrame:
     """``docs`` with the label of the vector of the same id as topic, 'none' without one."""
+    docs = without(docs, topic)
     (vid,) = tmp_names(docs.columns, "vec_id")
     labels = vectors.groupBy(F.col(vec_key).alias(vid)).agg(F.min(label).alias(topic))
     return docs.join(labels, docs[key] == labels[vid], "left").drop(vid).withColumn(topic, F.coalesce(F.concat(F.lit("t"), F.col(topic).cast("string")), F.lit("none")))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import linededup, mixing, sentencepieces, sharding, simhash, tokencount, topk, toxicity
+from . import linededup, mixing, outliers, records, sentencepieces, sharding, simhash, tokencount, topk, toxicity
 from .common import configure, read_table
 
 SHARDS = 24
 TOKEN_LIMIT = 2048
+END_ID = 2
 
 
 def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,15 @@ def op6_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-ID output: all documents' ids written as framed records and read back."""
+    configure(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = records.write_records(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    index = records.with_start(records.write_index(spark, path))
+    return index.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece: ids of every text with begin and end, and the text they decode to."""
     configure(spark)
@@ -72,6 +82,13 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules: base counts of every text, and the robust outlier verdict per language and source."""
+    configure(spark)
+    return outliers.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 4).alias("distance"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts: bytes and tokens of every text, and whether it exceeds 2048 tokens."""
     configure(spark)
@@ -87,6 +104,8 @@ QUERIES: dict = {
     "op4_line_dedup": (op4_line_dedup, None),
     "op5_simhash_neardup": (op5_simhash_neardup, None),
     "op6_toxicity_ftrl": (op6_toxicity_ftrl, None),
+    "op7_token_records": (op7_token_records, None),
     "op8_sentencepiece": (op8_sentencepiece, None),
+    "op9_mcd_quality": (op9_mcd_quality, None),
     "op10_token_counts": (op10_token_counts, None),
 }

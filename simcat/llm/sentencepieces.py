@@ -15,7 +15,7 @@ kind of the given file; others raise an error when loaded.
 
 Defined results: null and empty texts are the begin and end ids, and decode to the empty
 text; white space, control characters and unknown characters round-trip; texts are never cut
-short; equal rows give equal rows; extra columns pass through.
+short; equal rows give equal rows; extra columns pass through, but for those with a result's name.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo, Merges, slices
+from .common import without
 
 MARK = "▁"
 #: Characters of texts that are encoded at once.
@@ -124,6 +125,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     included) and the text they decode to. No shuffle."""
     with open(model_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    docs = without(docs, ids, *([decoded] if decoded else []))
     schema = docs.withColumn(ids, F.lit(b""))
     schema = (schema.withColumn(decoded, F.lit("")) if decoded else schema).schema
     at = docs.columns.index(text)

@@ -13,7 +13,7 @@ record repeated any number of times is one row in the window.
 
 Defined results: a null key is a key like any other; equal keys go to one shard; equal
 rows get consecutive slots; an empty table gives an empty table; columns of any name
-pass through (helper columns take names that don't clash).
+pass through (helper columns take names that don't clash; results replace columns of their names).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tmp_names, unit_hash
+from .common import tmp_names, unit_hash, without
 
 #: Hash ranges of a shard: 2 ** RANGE_BITS. Slots don't depend on it.
 RANGE_BITS = 10
@@ -41,6 +41,7 @@ def rendezvous_shard(weights: Sequence[float], *key: Column) -> Column:
 
 def number_slots(df: DataFrame, shard: str, *key: str, slot: str = "slot", range_bits: int = RANGE_BITS) -> DataFrame:
     """Add ``slot``: the row's place in its shard, in the order of (hash of key, other columns)."""
+    df = without(df, slot)
     n, part, h, at, base, first, i = tmp_names([*df.columns, slot], "copies", "range", "hash", "at", "base", "first", "i")
     counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(n))
     counted = counted.withColumn(h, F.xxhash64(*[F.col(k) for k in key])).withColumn(part, F.shiftrightunsigned(F.col(h), 64 - range_bits))

@@ -19,7 +19,7 @@ byte-level BPE with an end-of-word suffix, NFC, lower case, white space dropped;
 strings inside texts count one token each, as the library does by default.
 
 Defined results: null and empty texts have 0 tokens and 0 bytes; texts are read whole; equal rows
-give equal rows; an empty table stays empty; extra columns pass through.
+give equal rows; an empty table stays empty; extra columns pass through, but for one with the result's name.
 """
 
 from __future__ import annotations
@@ -36,13 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo, Merges, slices
+from .common import UNICODE_SPACE, without
 
 #: Bytes of a chunk that one state map covers; states kept; characters counted at once.
 PIECE, STATES, _AT_ONCE = 1 << 16, 200_000, 1 << 20
-#: The white space of Unicode.
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
-_CHUNK = regex.compile(f"[^{_SPACE}]+")
+_CHUNK = regex.compile(f"[^{UNICODE_SPACE}]+")
 _LOADED: dict[bytes, TokenCounter] = {}
 
 
@@ -126,7 +125,7 @@ class TokenCounter:
             raise ValueError("needs a byte-level BPE with NFC, lower case and an end-of-word suffix")
         splits = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # the file's own pattern, with the white space of Unicode spelled out
-        self.word = regex.compile(splits.replace(r"[^\s", f"[^{_SPACE}"))
+        self.word = regex.compile(splits.replace(r"[^\s", f"[^{UNICODE_SPACE}"))
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.end, ranks = model["end_of_word_suffix"], {}
@@ -194,6 +193,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", name:
     """``docs`` with the number of tokens of each text. No shuffle."""
     with open(tokenizer_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    docs = without(docs, name)
     schema, at = docs.withColumn(name, F.lit(0).cast("long")).schema, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
