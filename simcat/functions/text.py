@@ -117,3 +117,9 @@ def ack_message(id_col, action_col) -> Column:
 def is_blank(c) -> Column:
     """V-7: empty after Python strip (null counts as blank)."""
     return F.coalesce(py_strip(c) == "", F.lit(True))
+
+
+def integral_id(raw: Column) -> Column:
+    """A raw id as bigint; a number written with a zero fraction (4.0) counts, as it does for
+    an integer field of the service; anything else is null."""
+    return F.regexp_replace(F.trim(raw.cast("string")), r"^([+-]?\d+)\.0+$", "$1").try_cast("bigint")

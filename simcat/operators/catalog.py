@@ -9,11 +9,11 @@ tasks and never collected whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simcat import params as P
-from simcat.functions.text import ack_message, is_blank, py_strip
+from simcat.functions.text import ack_message, integral_id, is_blank, py_strip
 
 CATALOG_COLUMNS = ["id", "text", "vector", "dim", "count", "created_at", "updated_at"]
 
@@ -29,7 +29,7 @@ REASON_DIM = "Vector dimension mismatch"
 
 def upsert_reason(id_col: Column, text_col: Column, vector_col: Column | None, dim: int | None) -> Column:
     """First failing rule of V-4, V-5, V-7, V-8, V-9 (null when the event is valid)."""
-    rid = id_col.cast("string").try_cast("bigint")
+    rid = integral_id(id_col)
     length = F.char_length(text_col)
     rules = [
         (rid.isNull() | (rid <= 0), F.lit(REASON_ID)),
@@ -47,6 +47,14 @@ def upsert_reason(id_col: Column, text_col: Column, vector_col: Column | None, d
     return reason
 
 
+def vector_reason(vector_col: Column, dim: int | None) -> Column:
+    """V-8, V-9 on embedded events: null when the vector is fit for the catalog."""
+    reason = F.when(vector_col.isNull() | (F.size(vector_col) == 0), F.lit(REASON_VECTOR_EMPTY))
+    if dim is not None:
+        reason = reason.when(F.size(vector_col) != dim, F.format_string(f"{REASON_DIM}: expected {dim}, got %d", F.size(vector_col)))
+    return reason
+
+
 def validate_upserts(feed: DataFrame, dim: int | None = None, vector_col: str | None = "vector") -> tuple[DataFrame, DataFrame]:
     """Split a feed (seq, id, text[, vector], ts) into (valid, rejects).
 
@@ -58,7 +66,7 @@ def validate_upserts(feed: DataFrame, dim: int | None = None, vector_col: str |
 def split_valid(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejects) of a feed carrying its ``reason`` column (see ``upsert_reason``)."""
     valid = (tagged.filter(F.col("reason").isNull()).drop("reason")
-             .withColumn("id", F.col("id").cast("string").cast("bigint"))
+             .withColumn("id", integral_id(F.col("id")))
              .withColumn("text", py_strip("text")))
     rejects = tagged.filter(F.col("reason").isNotNull())
     return valid, rejects
@@ -74,22 +82,30 @@ def check_dimension(catalog: DataFrame, dim: int) -> None:
 
 # ---------------------------------------------------------------- upsert
 
-def fold_upserts(valid: DataFrame) -> DataFrame:
-    """A-6: one row per id -- n events, last text/vector by seq, first and last ts."""
-    has_vec = "vector" in valid.columns
-    payload = F.struct("text", "vector") if has_vec else F.struct("text")
+def fold_upserts(valid: DataFrame, embedder=None) -> DataFrame:
+    """A-6: one row per id -- n events, last text/vector by seq, first and last ts.
+
+    Fixed-width values are folded first (a hash aggregate, combined map-side); the
+    payload then is fetched for the winners only, by a join on (id, seq) that spreads a
+    hot id. With an ``embedder`` the events carry no vectors and the winners' texts are
+    embedded, one per id instead of one per event. An event delivered twice (equal id
+    and seq) counts twice and its smaller text wins."""
     folded = valid.groupBy("id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.max_by(payload, F.col("seq")).alias("_last"),
         F.min_by(F.col("ts"), F.col("seq")).alias("t0"),
         F.max_by(F.col("ts"), F.col("seq")).alias("t1"),  # ts: epoch seconds (P-13)
         F.min("seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),
     )
-    cols = ["id", "n", F.col("_last.text").alias("text")]
-    if has_vec:
-        cols.append(F.col("_last.vector").alias("vector"))
-    return folded.select(*cols, "t0", "t1", "first_seq", "last_seq")
+    payload = ["text"] + (["vector"] if "vector" in valid.columns else [])
+    events = valid.select("id", F.col("seq").alias("last_seq"), *payload)
+    won = events.join(folded, ["id", "last_seq"])
+    one = F.row_number().over(Window.partitionBy("id").orderBy("text"))
+    won = won.withColumn("_nth", one).filter("_nth = 1").drop("_nth")
+    if embedder is not None:
+        won = embedder.embed(won, "text", "vector")
+        payload = ["text", "vector"]
+    return won.select("id", "n", *payload, "t0", "t1", "first_seq", "last_seq")
 
 
 def empty_table(spark, ddl: str) -> DataFrame:
@@ -111,7 +127,8 @@ def merge_upserts(catalog: DataFrame, folded: DataFrame) -> DataFrame:
     its last seq is newer than the row's; created_at' = C.created_at unless the feed
     starts earlier (a late feed), else t0. With an in-order feed this is exactly
     the service's insert-or-update; out-of-order micro-batches converge to the same
-    rows. Rows without seq bookkeeping count as older than any feed. Ids absent
+    rows. Rows without seq bookkeeping count as older than any feed, and stay so:
+    no feed, however early, sets their first seq or created_at. Ids absent
     from the feed keep their row. Both sides hold one row per id, so the join
     cannot skew. Output keeps ``first_seq`` / ``last_seq`` bookkeeping."""
     has_book = "last_seq" in catalog.columns
@@ -136,7 +153,8 @@ def merge_upserts(catalog: DataFrame, folded: DataFrame) -> DataFrame:
         (F.coalesce(col("c_count"), F.lit(0)) + F.coalesce(col("f_n"), F.lit(0))).cast("long").alias("count"),
         F.when(in_cat & ~earlier, col("c_created_at")).otherwise(col("f_t0")).cast("long").alias("created_at"),
         F.when(newer, col("f_t1")).otherwise(col("c_updated_at")).cast("long").alias("updated_at"),
-        F.least(col("c_first_seq"), col("f_first_seq")).cast("long").alias("first_seq"),
+        F.when(in_cat & col("c_first_seq").isNull(), F.lit(None))
+        .otherwise(F.least(col("c_first_seq"), col("f_first_seq"))).cast("long").alias("first_seq"),
         F.greatest(col("c_last_seq"), col("f_last_seq")).cast("long").alias("last_seq"),
     )
 
@@ -145,14 +163,18 @@ def upsert_actions(valid: DataFrame, catalog_ids: DataFrame) -> DataFrame:
     """W-1 + J-4 + P-14: one ack per event.
 
     The first event (lowest seq) of an id unknown to the catalog is ``inserted``,
-    every other event ``updated``. First events come from a partial aggregate and
+    every other event ``updated``; of an event delivered several times (equal id and
+    seq) one ack at most is ``inserted``. First events come from a partial aggregate and
     an anti join on the (unique) id; the flag returns through a join on (id, seq),
-    whose hash spreads a hot id across tasks."""
+    whose hash spreads a hot id across tasks, and deliveries are counted per (id, seq)
+    before it."""
     firsts = (valid.groupBy("id").agg(F.min("seq").alias("seq"))
               .join(catalog_ids.select("id"), "id", "left_anti")
               .withColumn("_ins", F.lit(True)))
-    acts = valid.join(firsts, ["id", "seq"], "left")
-    action = F.when(F.col("_ins"), F.lit("inserted")).otherwise(F.lit("updated"))
+    events = valid.groupBy("id", "seq").agg(F.count(F.lit(1)).alias("_times"))
+    acts = (events.join(firsts, ["id", "seq"], "left")
+            .select("id", "seq", "_ins", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_time")))
+    action = F.when(F.col("_ins") & (F.col("_time") == 1), F.lit("inserted")).otherwise(F.lit("updated"))
     return acts.select("seq", "id", action.alias("action"), F.lit("ok").alias("status"),
                        ack_message(F.col("id"), action).alias("message"))
 
@@ -188,7 +210,8 @@ def page(catalog: DataFrame, limit: int, offset: int = 0) -> DataFrame:
 
 
 def page_after(catalog: DataFrame, last_id: int | None, limit: int) -> DataFrame:
-    """Keyset paging for deep pages: ``WHERE id > last ORDER BY id LIMIT n`` (filter pushed to the scan)."""
+    """Keyset paging for deep pages: ``WHERE id > last ORDER BY id LIMIT n``. On a catalog whose ``id``
+    is a stored column the filter is pushed to the scan; over a computed id it is not."""
     df = catalog if last_id is None else catalog.filter(F.col("id") > F.lit(last_id))
     return df.orderBy("id").limit(limit)
 

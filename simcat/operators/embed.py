@@ -60,6 +60,8 @@ class Embedder:
 
     name: str = "embedder"
     dim: int = 0
+    # Every valid text gets a vector of ``dim``: a feed may be folded before it is embedded.
+    total: bool = False
 
     def embed(self, df: DataFrame, text_col: str = "text", out_col: str = "vector") -> DataFrame:
         raise NotImplementedError
@@ -79,6 +81,8 @@ def _hash_count_udf(dim: int, eps: float = L2_EPS):
         if isinstance(tokens, pa.ChunkedArray):
             tokens = tokens.combine_chunks()
         n = len(tokens)
+        null = tokens.is_null()
+        tokens = tokens.fill_null([]) if tokens.null_count else tokens
         offsets = tokens.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         flat = tokens.values.slice(offsets[0], offsets[-1] - offsets[0])
         enc = pc.dictionary_encode(flat)
@@ -94,7 +98,7 @@ def _hash_count_udf(dim: int, eps: float = L2_EPS):
         norm = np.maximum(np.sqrt((counts * counts).sum(axis=1)), eps)
         vec = (counts / norm[:, None]).astype(np.float32)
         out_offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
-        return pa.ListArray.from_arrays(out_offsets, pa.array(vec.ravel(), type=pa.float32()))
+        return pa.ListArray.from_arrays(out_offsets, pa.array(vec.ravel(), type=pa.float32()), mask=null)
 
     return hashed_vectors
 
@@ -102,7 +106,8 @@ def _hash_count_udf(dim: int, eps: float = L2_EPS):
 class HashingEmbedder(Embedder):
     """Deterministic, model-free embedder that DuckDB can reproduce.
 
-    tokens  = non-empty pieces of ``split(lower(text), ' ')``, first ``max_tokens`` (E-1)
+    tokens  = non-empty pieces of ``split(lower(text), ' ')`` of the whole text (a hashing
+              embedder has no context window; ``max_tokens`` applies E-1 when given)
     bucket  = int(md5(token)[0:8], 16) mod dim
     sign    = +1 when hex digit 9 of md5(token) is even, else -1
     vector  = L2-normalised signed bucket counts, float32 (E-3)
@@ -111,11 +116,12 @@ class HashingEmbedder(Embedder):
     cancels in the L2 normalisation, so the counts are normalised directly. This
     keeps every step exact up to the final sqrt/divide, hence bit-identical across
     engines. Tokenising runs JVM-side; hashing, counting and normalising run in
-    one Arrow UDF over whole batches."""
+    one Arrow UDF over whole batches. A null text has a null vector."""
 
     name = "hashing-md5"
+    total = True
 
-    def __init__(self, dim: int = 64, max_tokens: int = P.MAX_TEXT_LENGTH):
+    def __init__(self, dim: int = 64, max_tokens: int | None = None):
         if not 1 <= dim <= 4096:
             raise ValueError("dim must be in 1..4096")
         self.dim = dim
@@ -124,7 +130,7 @@ class HashingEmbedder(Embedder):
 
     def tokens(self, text: Column) -> Column:
         pieces = F.array_remove(F.split(F.lower(text), " "), "")
-        return truncate_tokens(pieces, self.max_tokens)
+        return pieces if self.max_tokens is None else truncate_tokens(pieces, self.max_tokens)
 
     def vector_expr(self, text: Column) -> Column:
         return self._count(self.tokens(text))
@@ -141,12 +147,14 @@ class PrecomputedEmbedder(Embedder):
 
     name = "precomputed"
 
-    def __init__(self, vectors: DataFrame, key_col: str, vector_col: str, dim: int):
+    def __init__(self, vectors: DataFrame, key_col: str, vector_col: str, dim: int, on: str = "id"):
+        self.on = on
         self.vectors = vectors.select(F.col(key_col).alias("_vkey"), F.col(vector_col).alias("_vvec"))
         self.dim = dim
 
-    def embed(self, df: DataFrame, key_col: str = "id", out_col: str = "vector") -> DataFrame:
-        joined = df.join(self.vectors, df[key_col] == self.vectors["_vkey"], "left")
+    def embed(self, df: DataFrame, text_col: str = "text", out_col: str = "vector") -> DataFrame:
+        """The text is not read: the vector comes by the row's ``on`` column, null without one."""
+        joined = df.join(self.vectors, df[self.on] == self.vectors["_vkey"], "left")
         return joined.drop("_vkey").withColumnRenamed("_vvec", out_col)
 
 

@@ -7,6 +7,8 @@ description, attributes (raw JSON text of a list), seller, rating (raw number te
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def load_reason(id_raw: Column, text: Column) -> Column:
     from simcat.operators.catalog import REASON_ID, REASON_LENGTH
 
     missing = id_raw.isNull() | F.trim(id_raw).isin("", "0", "0.0", "false")
-    rid = id_raw.try_cast("bigint")
+    rid = T.integral_id(id_raw)
 
     def of_text(acc, t):
         n = F.char_length(t)
@@ -67,16 +69,16 @@ def load_reason(id_raw: Column, text: Column) -> Column:
 
 
 def load_outcomes(products: DataFrame, params: P.Params = P.DEFAULT,
-                  attributes: Column | None = None) -> DataFrame:
-    """One row per parsed record: record_no, id (bigint or null), text, reason (null = ok)."""
+                  attributes: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per parsed record: record_no, ``keep``, id (bigint or null), text, reason (null = ok)."""
     text = format_products(products, params, attributes)
     with_text = products.withColumn("_text", text)
     reason = load_reason(F.col("id"), F.col("_text"))
     if "not_object" in products.columns:  # a valid JSON value that is not an object (G-3)
         reason = F.when(F.col("not_object"), F.lit(REASON_NOT_OBJECT)).otherwise(reason)
     return with_text.select(
-        "record_no",
-        F.col("id").try_cast("bigint").alias("id"),
+        "record_no", *keep,
+        T.integral_id(F.col("id")).alias("id"),
         F.col("_text").alias("text"),
         reason.alias("reason"),
     )

@@ -11,11 +11,13 @@ candidates ever leave a task, so no plan materialises query x catalog pairs.
   volume is |Q|*Bc + N*Bq vectors; both block counts are sized so one cell fits a
   Python worker.
 
-Both plans emit per-task candidates (every row scoring within float noise of the
-task-local k-th best, so ties are never cut early); the final ranking is one
-``row_number`` window per query whose partial ``WindowGroupLimit`` trims
-candidates before the shuffle. Ranking order is (score desc, id asc) with scores
-compared at ``TIE_DECIMALS``; output scores are rounded half-even then clamped.
+Both plans emit per-task candidates in the order of the final ranking, (score desc,
+id asc) with scores compared at ``TIE_DECIMALS``: the best k of a task, plus at most
+k for each neighbouring value a score within half a unit of rounding could fall on.
+A catalog of equal vectors thus gives k candidates per query and task, not all of
+them. Candidates are ranked in two levels, by (query, hash of id) and then by query,
+so one query with many tasks behind it is not one task's work. Output scores are
+rounded half-even then clamped. k comes from the queries in either plan.
 """
 
 from __future__ import annotations
@@ -30,12 +32,13 @@ from pyspark.sql import functions as F
 
 from simcat import params as P
 from simcat.functions.text import is_blank
-from simcat.functions.vector import round_score, tie_key
+from simcat.functions.vector import TIE_DECIMALS, round_score, tie_key
 
 CAND_SCHEMA = "qid long, id long, score double, k int"
-# Candidates within this distance of the local k-th score are kept (superset of
-# every tie the final TIE_DECIMALS comparison can produce).
-_TOL = 1e-9
+# Scores this close below the local k-th can round to the same value at TIE_DECIMALS.
+_TOL = 2.0 * 10.0 ** -TIE_DECIMALS
+# First-level groups of one query's candidates.
+_RANK_GROUPS = 32
 # Cap on one score tile (queries x catalog rows) held in memory by a task.
 _TILE_ELEMS = 4_000_000
 
@@ -70,12 +73,15 @@ def prepare_queries(queries: DataFrame, params: P.Params = P.DEFAULT, text_col:
 
 # ---------------------------------------------------------------- numpy kernels
 
-def _as_matrix(arr, n: int, dim: int) -> np.ndarray:
+def _as_matrix(arr, n: int, dim: int, ids) -> np.ndarray:
+    """An (n, dim) matrix; raises with the ids of rows whose vector is null or has another length (V-9)."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
+    wrong = pc.invert(pc.fill_null(pc.equal(pc.list_value_length(arr), dim), False))
+    if pc.any(wrong).as_py():
+        bad = pc.filter(ids, wrong).to_pylist()
+        raise ValueError(f"vector dimension mismatch: expected {dim}; ids {bad[:10]}{' ...' if len(bad) > 10 else ''}")
     values = arr.flatten().to_numpy(zero_copy_only=False)
-    if values.size != n * dim:
-        raise ValueError(f"vector dimension mismatch: expected {dim} per row")
     return values.astype(np.float64, copy=False).reshape(n, dim)
 
 
@@ -92,9 +98,17 @@ def _tile_candidates(S: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _reduce_candidates(qidx: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: np.ndarray):
-    """Keep, per query, candidates within _TOL of that query's k-th best."""
+    """Keep, per query, what can be among its k best: scores within _TOL of the k-th, and of
+    each value they round to the k smallest ids."""
     if qidx.size == 0:
         return qidx, ids, scores
+    key = np.round(scores, TIE_DECIMALS)
+    order = np.lexsort((ids, -key, qidx))
+    qidx, ids, scores, key = qidx[order], ids[order], scores[order], key[order]
+    first = np.r_[True, (np.diff(qidx) != 0) | (np.diff(key) != 0)]
+    place = np.arange(qidx.size) - np.maximum.accumulate(np.where(first, np.arange(qidx.size), 0))
+    few = place < k[qidx]
+    qidx, ids, scores = qidx[few], ids[few], scores[few]
     order = np.lexsort((-scores, qidx))
     qidx, ids, scores = qidx[order], ids[order], scores[order]
     starts = np.r_[0, np.nonzero(np.diff(qidx))[0] + 1]
@@ -143,7 +157,7 @@ def _query_arrays(tbl: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.n
     vec = tbl.column("vector").combine_chunks()
     return (tbl.column("qid").to_numpy().astype(np.int64),
             tbl.column("k").to_numpy().astype(np.int64),
-            _as_matrix(vec, tbl.num_rows, dim))
+            _as_matrix(vec, tbl.num_rows, dim, tbl.column("qid").combine_chunks()))
 
 
 def _broadcast_candidates(spark: SparkSession, qids: np.ndarray, ks: np.ndarray, Q: np.ndarray,
@@ -163,7 +177,7 @@ def _broadcast_candidates(spark: SparkSession, qids: np.ndarray, ks: np.ndarray,
             if n == 0 or bq.size == 0:
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            C = _as_matrix(b.column(1), n, dim)
+            C = _as_matrix(b.column(1), n, dim, b.column(0))
             cur = _score_block(bQ, bk, ids, C)
             if acc is not None:
                 cur = tuple(np.concatenate([a, c]) for a, c in zip(acc, cur))
@@ -189,9 +203,9 @@ def _blocked_candidates(queries: DataFrame, catalog: DataFrame, dim: int, bq: in
                 [("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64()), ("k", pa.int32())]))
         qids = left.column("qid").to_numpy()
         ks = left.column("k").to_numpy().astype(np.int64)
-        Q = _as_matrix(left.column("qvec"), left.num_rows, dim)
+        Q = _as_matrix(left.column("qvec"), left.num_rows, dim, left.column("qid").combine_chunks())
         ids = right.column("id").to_numpy()
-        C = _as_matrix(right.column("cvec"), right.num_rows, dim)
+        C = _as_matrix(right.column("cvec"), right.num_rows, dim, right.column("id").combine_chunks())
         qidx, cid, s = _reduce_candidates(*_score_block(Q, ks, ids, C), ks)
         return pa.Table.from_batches([_cand_batch(qids, ks.astype(np.int32), qidx, cid, s)])
 
@@ -200,20 +214,29 @@ def _blocked_candidates(queries: DataFrame, catalog: DataFrame, dim: int, bq: in
 
 
 def _rank(cands: DataFrame, kmax: int, params: P.Params) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy(tie_key(F.col("score")).desc(), F.col("id").asc())
-    ranked = cands.withColumn("rank", F.row_number().over(w))
+    order = (tie_key(F.col("score")).desc(), F.col("id").asc())
+    group = F.pmod(F.xxhash64("id"), F.lit(_RANK_GROUPS))
+    first = cands.withColumn("rank", F.row_number().over(Window.partitionBy("qid", group).orderBy(*order)))
+    cands = first.filter(F.col("rank") <= kmax).drop("rank")
+    ranked = cands.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
     ranked = ranked.filter((F.col("rank") <= kmax) & (F.col("rank") <= F.col("k")))
     return ranked.select("qid", "rank", "id",
                          round_score(F.col("score"), params.score_decimal_places).alias("score_rate"),
                          F.col("score").alias("_raw_score"))
 
 
+def _refuse_repeats(qids: list) -> None:
+    if qids:
+        raise ValueError(f"repeated qid: {qids[:10]}{' ...' if len(qids) > 10 else ''}")
+
+
 def search(queries: DataFrame, catalog: DataFrame, params: P.Params = P.DEFAULT, *,
            catalog_text: DataFrame | None = None, plan: str = "auto",
            blocks: tuple[int, int] | None = None, keep_raw: bool = False) -> DataFrame:
     """Top-k hits per query.
 
-    ``queries``: (qid, k, vector) -- already validated (see ``prepare_queries``).
+    ``queries``: (qid, k, vector) -- already validated (see ``prepare_queries``), one row
+    per qid; a repeated qid raises, as its hits could not be told apart.
     ``catalog``: (id, vector) with one dimension throughout (V-9).
     ``catalog_text``: optional (id, text); when given, hits carry the text (J-3,
     late materialisation: text is fetched for the winners only).
@@ -245,33 +268,27 @@ def search(queries: DataFrame, catalog: DataFrame, params: P.Params = P.DEFAULT,
         probe = q.select(F.size("vector").alias("d")).limit(1).collect()
         dim = probe[0]["d"] if probe else params.vector_dim
     if fetched is not None:
-        lengths = pc.list_value_length(fetched.column("vector").combine_chunks())
-        wrong = pc.invert(pc.fill_null(pc.equal(lengths, dim), False))
-        if pc.any(wrong).as_py():
-            bad = pc.filter(fetched.column("qid"), wrong).to_pylist()
-            raise ValueError(f"query vectors with wrong dimension (expected {dim}): qid {bad[:10]}")
         qids, ks, Q = _query_arrays(fetched, dim)
-        kmax = int(ks.max()) if ks.size else 1
+        _refuse_repeats([int(x) for x, n in zip(*np.unique(qids, return_counts=True)) if n > 1])
+        n_q, kmax = len(qids), int(ks.max()) if ks.size else 1
         cands = _broadcast_candidates(spark, qids, ks, Q, catalog, dim)
-        hits_bounded = True
     else:
-        n_q = q.count()
+        _refuse_repeats([r[0] for r in q.groupBy("qid").count().filter("count > 1").limit(11).collect()])
+        n_q, kmax = q.agg(F.count(F.lit(1)), F.coalesce(F.max("k"), F.lit(1))).first()
         if blocks is None:
             n_c = catalog.count()
             target = 128 << 20
             blocks = (max(1, math.ceil(n_q * dim * 8 / target)), max(1, math.ceil(n_c * dim * 8 / target)))
-        kmax = params.max_top_k
         cands = _blocked_candidates(q, catalog.select("id", "vector"), dim, *blocks)
-        # At most |Q| * k hit rows of ~32 bytes: broadcast them for the text fetch when
-        # that fits the budget, so the catalog's text column is never shuffled.
-        hits_bounded = n_q * kmax * 32 <= params.broadcast_query_bytes
+    # At most |Q| * k hit rows of ~32 bytes: broadcast them for the text fetch when
+    # that fits the budget, so the catalog's text column is never shuffled.
+    hits_bounded = n_q * kmax * 32 <= params.broadcast_query_bytes
 
     hits = _rank(cands, kmax, params)
     if not keep_raw:
         hits = hits.drop("_raw_score")
     if catalog_text is not None:
         texts = catalog_text.select("id", "text")
-        # Hits are at most |Q| * k rows; under the broadcast plan |Q| is size-checked.
         hits = (F.broadcast(hits) if hits_bounded else hits).join(texts, "id", "inner")
         cols = ["qid", "rank", "id", "score_rate", "text"] + (["_raw_score"] if keep_raw else [])
         hits = hits.select(*cols)

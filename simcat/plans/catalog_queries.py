@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from simcat import params as P
 from simcat.functions.vector import l2_normalize
 from simcat.operators import catalog as C
-from simcat.operators.embed import mean_pool
+from simcat.operators.embed import HashingEmbedder, mean_pool
 from simcat.plans.fixtures import (HASH_DIM, SAMPLE_SEED, documents_catalog, embeddings_catalog,
                                    hashing_embedder, sql_hash_vectors, table)
 from simcat.operators.partitioning import spread
@@ -34,17 +34,11 @@ def events_feed(spark: SparkSession, sf_dir: str, where: Column | None = None) -
     e = spread(e.filter(where) if where is not None else e)
     return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"),
                     F.col("event_type").alias("text"), C.epoch_seconds(F.col("ts")).alias("ts"),
-                    (F.col("ts") < F.lit(CUT).cast("timestamp_ntz")).alias("before_cut"))
-
-
-def _valid_embedded(feed: DataFrame) -> DataFrame:
-    emb = hashing_embedder()
-    valid, _ = C.validate_upserts(feed, dim=None, vector_col=None)
-    return emb.embed(valid, "text", "vector")
+                    F.coalesce(F.col("ts") < F.lit(CUT).cast("timestamp_ntz"), F.lit(False)).alias("before_cut"))
 
 
 def _base_and_feed(spark: SparkSession, sf_dir: str):
-    valid = _valid_embedded(events_feed(spark, sf_dir))
+    valid, _ = C.validate_upserts(events_feed(spark, sf_dir), dim=None, vector_col=None)
     base_events = valid.filter(F.col("before_cut")).drop("before_cut")
     feed_events = valid.filter(~F.col("before_cut")).drop("before_cut")
     return base_events, feed_events
@@ -54,7 +48,7 @@ _OUT = ["id", "text", "dim", "count", "created_at", "updated_at"]
 
 _SQL_FEED = f"""
   f AS (SELECT event_id AS seq, user_id AS id, event_type AS text,
-               CAST(floor(epoch(ts)) AS BIGINT) AS ts, ts < TIMESTAMP '{CUT}' AS before_cut
+               CAST(floor(epoch(ts)) AS BIGINT) AS ts, coalesce(ts < TIMESTAMP '{CUT}', false) AS before_cut
         FROM events WHERE user_id > 0),
   base AS (SELECT id, count(*) AS n, arg_max(text, seq) AS text, arg_min(ts, seq) AS t0, arg_max(ts, seq) AS t1
            FROM f WHERE before_cut GROUP BY id),
@@ -66,8 +60,8 @@ _SQL_FEED = f"""
 def upsert_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-6 + J-2: catalog as of CUT, then the later events folded per id and merged."""
     base_events, feed_events = _base_and_feed(spark, sf_dir)
-    base = C.merge_upserts(C.empty_catalog(spark), C.fold_upserts(base_events))
-    return C.merge_upserts(base, C.fold_upserts(feed_events)).select(*_OUT)
+    base = C.merge_upserts(C.empty_catalog(spark), C.fold_upserts(base_events, hashing_embedder()))
+    return C.merge_upserts(base, C.fold_upserts(feed_events, hashing_embedder())).select(*_OUT)
 
 
 SQL_UPSERT_FOLD = f"""
@@ -87,10 +81,13 @@ def catalog_snapshot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     touched buckets rewritten, atomic commits); a replayed batch id is skipped."""
     base_events, feed_events = _base_and_feed(spark, sf_dir)
     store = CatalogStore(spark, shared_dir(spark, "catalog"), buckets=8)
-    store.merge(C.fold_upserts(base_events), batch_id=0)
-    store.merge(C.fold_upserts(feed_events), batch_id=1)
-    assert store.merge(C.fold_upserts(feed_events), batch_id=1) is None  # replay: no-op
-    return store.read().select(*_OUT)
+    store.merge(C.fold_upserts(base_events, hashing_embedder()), batch_id=0)
+    store.merge(C.fold_upserts(feed_events, hashing_embedder()), batch_id=1)
+    replayed = store.merge(C.fold_upserts(feed_events, hashing_embedder()), batch_id=1)
+    return store.read().select(*_OUT, F.lit(replayed is None).alias("replay_skipped"))
+
+
+SQL_SNAPSHOT_MERGE = f"SELECT *, true AS replay_skipped FROM ({SQL_UPSERT_FOLD})"
 
 
 def upsert_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +242,7 @@ def catalog_store_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _docs_store(spark, sf_dir)
     feed = events_feed(spark, sf_dir).select("seq", (F.col("id") * 7).alias("id"), "text", "ts")
     valid, _ = C.validate_upserts(feed, vector_col=None)
-    store.merge(C.fold_upserts(hashing_embedder().embed(valid, "text", "vector")))
+    store.merge(C.fold_upserts(valid, hashing_embedder()))
     return C.metrics_of_count(spark, store.count(), P.MODEL_NAME)
 
 
@@ -284,7 +281,7 @@ SELECT id, list_transform(v, lambda x: x::FLOAT) AS vector FROM ({sql_hash_vecto
 
 def token_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-1: tokens of every document, first 512 kept."""
-    emb = hashing_embedder()
+    emb = HashingEmbedder(dim=HASH_DIM, max_tokens=P.MAX_TEXT_LENGTH)
     docs = table(spark, sf_dir, "documents")
     toks = emb.tokens(F.col("text"))
     return docs.select("doc_id", F.size(toks).alias("n_tokens"),
@@ -335,7 +332,7 @@ SELECT id, list_transform(v, lambda x: round((x / greatest(nrm, 1e-12))::FLOAT,
 
 QUERIES = {
     "upsert_fold": (upsert_fold, SQL_UPSERT_FOLD),
-    "catalog_snapshot_merge": (catalog_snapshot_merge, SQL_UPSERT_FOLD),
+    "catalog_snapshot_merge": (catalog_snapshot_merge, SQL_SNAPSHOT_MERGE),
     "upsert_actions": (upsert_actions, SQL_UPSERT_ACTIONS),
     "upsert_rejects": (upsert_rejects, SQL_UPSERT_REJECTS),
     "catalog_scan": (catalog_scan, SQL_CATALOG_SCAN),

@@ -55,12 +55,13 @@ SQL_EMB_CATALOG = """
 """
 
 
-def sql_hash_vectors(src: str, id_expr: str, text_expr: str, dim: int = HASH_DIM, max_tokens: int = 512) -> str:
-    """SELECT id, v (DOUBLE[] of float32 values) -- the hashing embedder in SQL."""
+def sql_hash_vectors(src: str, id_expr: str, text_expr: str, dim: int = HASH_DIM, max_tokens: int | None = None) -> str:
+    """SELECT id, v (DOUBLE[] of float32 values) -- the hashing embedder in SQL, over whole texts."""
+    cut = f"[1:{max_tokens}]" if max_tokens else ""
     return f"""
   WITH src AS (SELECT {id_expr} AS id, {text_expr} AS text FROM {src}),
   tok AS (
-    SELECT id, unnest(list_filter(string_split(lower(text), ' '), lambda t: t <> '')[1:{max_tokens}]) AS t
+    SELECT id, unnest(list_filter(string_split(lower(text), ' '), lambda t: t <> ''){cut}) AS t
     FROM src),
   h AS (SELECT id, md5(t) AS h FROM tok),
   cell AS (

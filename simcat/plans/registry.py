@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from simcat.plans import catalog_queries, search_queries, stream_queries, text_queries
+from simcat.plans import catalog_queries, load_queries, search_queries, stream_queries, text_queries
 
 ALL: dict = {}
-for _mod in (search_queries, text_queries, catalog_queries, stream_queries):
+for _mod in (search_queries, text_queries, load_queries, catalog_queries, stream_queries):
     ALL.update(_mod.QUERIES)
 
 FLAGSHIP = search_queries.search_text_topk

@@ -54,10 +54,38 @@ SELECT qid, rank, id, {_SQL_SCORE} FROM ranked WHERE rank <= 5
 
 
 def search_topk_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-1 block x block plan forced (3 query blocks x 4 catalog blocks); same answer as the batch query."""
+    """J-1 block x block plan forced, blocks sized from the data; same answer as the batch query."""
     cat = embeddings_catalog(spark, sf_dir)
     q = cat.select(F.col("id").alias("qid"), F.lit(5).alias("k"), "vector")
-    return search(q, cat, plan="blocked", blocks=(3, 4))
+    return search(q, cat, plan="blocked")
+
+
+PLANS_K = 60
+
+
+def search_plans_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-1 + T-3: k above the default maximum, the same hits from the broadcast plan, the
+    blocked plan and the automatic one under a budget far below the query set."""
+    cat = embeddings_catalog(spark, sf_dir)
+    q = cat.select(F.col("id").alias("qid"), F.lit(PLANS_K).alias("k"), "vector")
+    wide = P.DEFAULT.with_(max_top_k=100)
+    tiny = wide.with_(broadcast_query_bytes=1 << 16)
+    runs = {"broadcast": search(q, cat, wide, plan="broadcast"), "blocked": search(q, cat, wide, plan="blocked", blocks=(2, 3)),
+            "auto": search(q, cat, tiny)}
+    out = None
+    for name, hits in runs.items():
+        hits = hits.select(F.lit(name).alias("plan"), "qid", "rank", "id", "score_rate")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+SQL_SEARCH_PLANS_AGREE = f"""
+WITH c AS ({SQL_EMB_CATALOG}),
+  scored AS (SELECT q.id AS qid, c.id, list_dot_product(q.v, c.v) AS score FROM c q CROSS JOIN c),
+  {_SQL_RANK}
+SELECT plan, qid, rank, id, {_SQL_SCORE}
+FROM ranked CROSS JOIN (VALUES ('broadcast'), ('blocked'), ('auto')) p(plan) WHERE rank <= {PLANS_K}
+"""
 
 
 def _k_rule(label):
@@ -230,6 +258,7 @@ QUERIES = {
     "search_topk_single": (search_topk_single, SQL_SEARCH_TOPK_SINGLE),
     "search_topk_batch": (search_topk_batch, SQL_SEARCH_TOPK_BATCH),
     "search_topk_blocked": (search_topk_blocked, SQL_SEARCH_TOPK_BATCH),
+    "search_plans_agree": (search_plans_agree, SQL_SEARCH_PLANS_AGREE),
     "search_topk_per_query_k": (search_topk_per_query_k, SQL_SEARCH_TOPK_PER_QUERY_K),
     "search_query_rejects": (search_query_rejects, SQL_SEARCH_QUERY_REJECTS),
     "search_k_exceeds_catalog": (search_k_exceeds_catalog, SQL_SEARCH_K_EXCEEDS_CATALOG),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simcat.operators import catalog as C
+from simcat.operators.embed import PrecomputedEmbedder
 from simcat.plans.catalog_queries import events_feed
 from simcat.plans.fixtures import HASH_DIM, embeddings_catalog, hashing_embedder
 from simcat.plans.search_queries import SQL_SEARCH_TOPK_BATCH
@@ -29,14 +30,15 @@ N_SLICES = len(SLICES) + 1
 
 
 def _slice_pred(s: int) -> Column:
-    """Raw ``events.ts`` range of slice ``s`` (a plain range: pushed into the scan)."""
+    """Raw ``events.ts`` range of slice ``s`` (a plain range: pushed into the scan); rows
+    without a ``ts`` arrive with the last slice."""
     ts = F.col("ts")
     pred = F.lit(True)
     if s > 0:
         pred = pred & (ts >= F.lit(SLICES[s - 1]).cast("timestamp_ntz"))
     if s < len(SLICES):
         pred = pred & (ts < F.lit(SLICES[s]).cast("timestamp_ntz"))
-    return pred
+    return pred if s < len(SLICES) else pred | ts.isNull()
 
 
 _SQL_SLICE = f"CASE WHEN ts < TIMESTAMP '{SLICES[0]}' THEN 0 WHEN ts < TIMESTAMP '{SLICES[1]}' THEN 1 ELSE 2 END"
@@ -162,8 +164,10 @@ def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = embeddings_catalog(spark, sf_dir).select(F.col("id").alias("qid"), F.lit(5).alias("k"),
                                                  "vector", "label")
     bounds = [(None, 3), (3, 6), (6, None)]
+    # queries without a label arrive with the last ones
     arrivals = [q.filter((F.col("label") >= lo if lo is not None else F.lit(True))
-                         & (F.col("label") < hi if hi is not None else F.lit(True))).drop("label")
+                         & (F.col("label") < hi if hi is not None else F.lit(True))
+                         | (F.col("label").isNull() if hi is None else F.lit(False))).drop("label")
                 for lo, hi in bounds]
     schema = arrivals[0].schema
     run_dir = shared_dir(spark, "stream-search")
@@ -176,7 +180,67 @@ def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{run_dir}/out").select("qid", "rank", "id", "score_rate")
 
 
+def _start_rejects(spark: SparkSession, sf_dir: str) -> str:
+    """The feed embedded by a table that fits some events only: the vector of the event's
+    user, cut to half its length where its label is 3, and missing for users without one."""
+    run_dir = shared_dir(spark, "stream-rejects")
+    store = CatalogStore(spark, f"{run_dir}/catalog", buckets=8)
+    vectors = embeddings_catalog(spark, sf_dir).select("id", F.when(F.col("label") == 3, F.slice("vector", 1, 32)).otherwise(F.col("vector")).alias("v"))
+    embedder = PrecomputedEmbedder(vectors.filter("id % 7 != 0"), "id", "v", 64)
+    arrivals = [_slice_feed(spark, sf_dir, s) for s in range(N_SLICES)]
+    schema = arrivals[0].schema
+    deliver(spark, arrivals, lambda src: run_upsert_stream(
+        read_feed_stream(spark, src, schema), store, embedder, f"{run_dir}/checkpoint", out_dir=run_dir, dim=64))
+    return run_dir
+
+
+def _run_rejects(spark: SparkSession, sf_dir: str) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir, "rejects")
+    if key not in _RUNS:
+        _RUNS[key] = _start_rejects(spark, sf_dir)
+    return _RUNS[key]
+
+
+def stream_upsert_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-3, V-4, V-8, V-9 on a stream: every event that made no upsert, with its reason, read back."""
+    return spark.read.parquet(f"{_run_rejects(spark, sf_dir)}/rejects").select("seq", "id", "reason")
+
+
+_SQL_MIXED = f"""
+  v AS (SELECT vec_id + 1 AS id, CASE WHEN label = 3 THEN 32 ELSE 64 END AS d FROM embeddings WHERE (vec_id + 1) % 7 != 0),
+  e AS (SELECT event_id AS seq, user_id AS id, {_SQL_SLICE} AS s,
+               CASE WHEN user_id IS NULL OR user_id <= 0 THEN 'ID must be positive'
+                    WHEN v.d IS NULL THEN 'Vector cannot be empty'
+                    WHEN v.d <> 64 THEN 'Vector dimension mismatch: expected 64, got ' || v.d END AS reason
+        FROM events LEFT JOIN v ON v.id = events.user_id)
+"""
+
+SQL_STREAM_UPSERT_REJECTS = f"WITH {_SQL_MIXED} SELECT seq, CAST(id AS VARCHAR) AS id, reason FROM e WHERE reason IS NOT NULL"
+
+
+def stream_upsert_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-4 with rejects: per micro-batch rows = success + failed, acks = success, rejects = failed."""
+    run_dir = _run_rejects(spark, sf_dir)
+    per = lambda name: spark.read.parquet(f"{run_dir}/{name}").groupBy(F.col("batch_id").cast("long").alias("batch_id")).agg(F.count(F.lit(1)).alias(name))
+    metrics = spark.read.parquet(f"{run_dir}/metrics").select(F.col("batch_id").cast("long").alias("batch_id"), "rows", "success", "failed", "catalog_count")
+    return (metrics.join(per("acks"), "batch_id", "left").join(per("rejects"), "batch_id", "left")
+            .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("acks", "rejects")}))
+
+
+SQL_STREAM_UPSERT_BALANCE = f"""
+WITH {_SQL_MIXED},
+  firsts AS (SELECT id, min(s) AS s FROM e WHERE reason IS NULL GROUP BY id)
+SELECT s::BIGINT AS batch_id, count(*)::BIGINT AS rows, count(*) FILTER (WHERE reason IS NULL)::BIGINT AS success,
+       count(*) FILTER (WHERE reason IS NOT NULL)::BIGINT AS failed,
+       (SELECT count(*) FROM firsts WHERE firsts.s <= e.s)::BIGINT AS catalog_count,
+       count(*) FILTER (WHERE reason IS NULL)::BIGINT AS acks, count(*) FILTER (WHERE reason IS NOT NULL)::BIGINT AS rejects
+FROM e GROUP BY s
+"""
+
+
 QUERIES = {
+    "stream_upsert_rejects": (stream_upsert_rejects, SQL_STREAM_UPSERT_REJECTS),
+    "stream_upsert_balance": (stream_upsert_balance, SQL_STREAM_UPSERT_BALANCE),
     "stream_upsert": (stream_upsert, SQL_STREAM_UPSERT),
     "stream_upsert_acks": (stream_upsert_acks, SQL_STREAM_UPSERT_ACKS),
     "stream_metrics": (stream_metrics, SQL_STREAM_METRICS),

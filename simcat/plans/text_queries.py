@@ -239,7 +239,7 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_outcomes(prods, attributes=F.col("attrs"))
 
 
-_SQL_OUTCOMES = f"""
+SQL_OUTCOMES = f"""
 WITH {_SQL_ATTRS}, {_sql_part_products(True)},
   fmt AS (SELECT record_no, id, {_SQL_TEXT_OF_PROD} AS text FROM prod),
   outcomes AS (SELECT record_no, TRY_CAST(id AS BIGINT) AS id, text, {_sql_reason()} AS reason FROM fmt)
@@ -253,7 +253,7 @@ def validate_products(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.md5("text").alias("text_md5"))
 
 
-SQL_VALIDATE_PRODUCTS = f"""{_SQL_OUTCOMES}
+SQL_VALIDATE_PRODUCTS = f"""{SQL_OUTCOMES}
 SELECT record_no, id, reason, length(text)::INTEGER AS n_chars, md5(text) AS text_md5 FROM outcomes
 """
 
@@ -263,7 +263,7 @@ def load_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_report(_outcomes(spark, sf_dir))
 
 
-SQL_LOAD_REPORT = f"""{_SQL_OUTCOMES}
+SQL_LOAD_REPORT = f"""{SQL_OUTCOMES}
 SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE reason IS NULL)::BIGINT AS success,
        count(*) FILTER (WHERE reason IS NOT NULL)::BIGINT AS failed FROM outcomes
 """
@@ -274,7 +274,7 @@ def load_failure_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failure_sample(_outcomes(spark, sf_dir))
 
 
-SQL_LOAD_FAILURE_SAMPLE = f"""{_SQL_OUTCOMES},
+SQL_LOAD_FAILURE_SAMPLE = f"""{SQL_OUTCOMES},
   f AS (SELECT * FROM outcomes WHERE reason IS NOT NULL)
 SELECT record_no, id, reason, (SELECT greatest(count(*) - 10, 0) FROM f) AS more
 FROM f ORDER BY record_no LIMIT 10
@@ -286,7 +286,7 @@ def load_batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_progress(_outcomes(spark, sf_dir))
 
 
-SQL_LOAD_BATCH_PROGRESS = f"""{_SQL_OUTCOMES}
+SQL_LOAD_BATCH_PROGRESS = f"""{SQL_OUTCOMES}
 SELECT ((record_no - 1) // 100 + 1)::BIGINT AS batch, count(*)::BIGINT AS records,
        count(*) FILTER (WHERE reason IS NULL)::BIGINT AS success,
        count(*) FILTER (WHERE reason IS NOT NULL)::BIGINT AS failed
@@ -309,7 +309,7 @@ def ingest_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("id", "reason", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-SQL_INGEST_PRODUCTS = f"""{_SQL_OUTCOMES}
+SQL_INGEST_PRODUCTS = f"""{SQL_OUTCOMES}
 SELECT id, reason, length(text)::INTEGER AS n_chars, md5(text) AS text_md5 FROM outcomes
 """
 

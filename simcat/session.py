@@ -8,6 +8,7 @@ Only when that setting is absent (local tests) do we point it at a fresh folder.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -85,7 +86,10 @@ def checkpoint_base(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        # Unset: only happens in local tests; take a fresh private folder.
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set on {master}: name a folder that the driver and all executors share")
+        # One JVM (tests, a laptop): a fresh private folder is shared by definition.
         base = tempfile.mkdtemp(prefix="simcat-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:

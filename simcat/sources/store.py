@@ -3,7 +3,7 @@
 Layout under ``root``::
 
     data/v000003-1f2e.../bucket=17/part-*.parquet   rows of bucket 17 written by version 3
-    _commits/000003.json                            {"version", "batch_id", "rows", "manifest": {bucket: data dir}}
+    _commits/000003.json                            {"version", "buckets", "streams", "rows", "manifest": {bucket: data dir}}
 
 Every write attempt goes to its own data directory, so a job that died halfway
 leaves only unreferenced files and its retry never collides with them. A version
@@ -14,6 +14,11 @@ Rows are bucketed by ``pmod(xxhash64(id), buckets)`` and sorted by id inside a
 bucket: a merge rewrites only the buckets its feed touches (the manifest points
 untouched buckets at their older files), and an id lookup reads one bucket.
 Object stores without atomic rename need a conditional put for the commit file.
+The number of buckets belongs to the store: it is recorded in every commit, and
+opening the store with another number is refused. ``streams`` holds, per stream
+feeding the store, its last merged batch and that batch's counts; every commit
+carries it on, so streams don't shadow one another and an un-numbered merge
+forgets no batch.
 The commit also records the version's row count, observed while its buckets are
 written (``df.observe``), so the catalog size needs no scan.
 """
@@ -29,6 +34,7 @@ from pyspark.sql import functions as F
 from simcat.operators.catalog import CATALOG_COLUMNS, empty_table, merge_upserts
 
 BOOKKEEPING = ["first_seq", "last_seq"]
+DEFAULT_BUCKETS = 16
 
 
 def bucket_of(id_col, buckets: int):
@@ -36,17 +42,33 @@ def bucket_of(id_col, buckets: int):
 
 
 class CatalogStore:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+        """``buckets``: number for a new store (default 16); an existing store keeps its own."""
         self.spark = spark
         self.root = root.rstrip("/")
-        self.buckets = buckets
         jvm = spark.sparkContext._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._Path(self.root).getFileSystem(self._conf)
+        self.buckets = buckets or DEFAULT_BUCKETS
+        prev = self.latest()
+        if prev is not None:
+            if buckets is not None and buckets != prev["buckets"]:
+                raise ValueError(f"{self.root} has {prev['buckets']} buckets, opened with {buckets}")
+            self.buckets = prev["buckets"]
 
     # ------------------------------------------------------------ commits
 
+    def read_text(self, path: str) -> str:
+        """The first line of a small file."""
+        where = self._Path(path)
+        stream = where.getFileSystem(self._conf).open(where)
+        try:
+            jvm = self.spark.sparkContext._jvm
+            return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+        finally:
+            stream.close()
+
     def _commit_dir(self):
         return self._Path(f"{self.root}/_commits")
 
@@ -58,18 +80,18 @@ class CatalogStore:
         versions = sorted(int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith("."))
         if not versions:
             return None
-        path = self._Path(f"{self.root}/_commits/{versions[-1]:06d}.json")
-        stream = self._fs.open(path)
-        try:
-            reader = self.spark.sparkContext._jvm.java.io.BufferedReader(
-                self.spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            text = reader.readLine()
-        finally:
-            stream.close()
-        return json.loads(text)
+        commit = json.loads(self.read_text(f"{self.root}/_commits/{versions[-1]:06d}.json"))
+        if commit["buckets"] != self.buckets and commit["manifest"]:
+            self.buckets = commit["buckets"]  # created by another writer since this handle was opened
+        return commit
+
+    def last_batch(self, stream: str, commit: dict | None = None) -> dict | None:
+        """``{"batch_id", ...counts}`` of the last batch of ``stream`` merged into the store."""
+        commit = commit if commit is not None else self.latest()
+        return (commit or {}).get("streams", {}).get(stream)
 
-    def _commit(self, version: int, batch_id, manifest: dict, rows: int | None = None) -> None:
-        body = json.dumps({"version": version, "batch_id": batch_id, "rows": rows,
+    def _commit(self, version: int, streams: dict, manifest: dict, rows: int | None = None) -> None:
+        body = json.dumps({"version": version, "buckets": self.buckets, "streams": streams, "rows": rows,
                            "manifest": {str(k): v for k, v in manifest.items()}})
         d = self._commit_dir()
         self._fs.mkdirs(d)
@@ -135,7 +157,7 @@ class CatalogStore:
                          if s.getPath().getName().startswith("bucket="))
         return buckets, int(written.get["rows"])
 
-    def write(self, catalog: DataFrame, batch_id=None) -> int:
+    def write(self, catalog: DataFrame) -> int:
         """Replace the whole catalog with ``catalog`` as a new version."""
         prev = self.latest()
         version = (prev["version"] + 1) if prev else 1
@@ -145,7 +167,7 @@ class CatalogStore:
                 df = df.withColumn(c, F.lit(None).cast("bigint"))
         data_dir = f"v{version:06d}-{uuid.uuid4().hex}"
         written, rows = self._write_buckets(df.select(*CATALOG_COLUMNS, *BOOKKEEPING), data_dir)
-        self._commit(version, batch_id, {b: data_dir for b in written}, rows)
+        self._commit(version, (prev or {}).get("streams", {}), {b: data_dir for b in written}, rows)
         return version
 
     def touched_buckets(self, df: DataFrame) -> set[int]:
@@ -159,30 +181,36 @@ class CatalogStore:
         reads the buckets its ids hash to, not the whole catalog."""
         return self.read(commit, buckets=set(buckets)).select("id")
 
-    def merge(self, folded: DataFrame, batch_id=None, touched: set[int] | None = None) -> int | None:
+    def merge(self, folded: DataFrame, batch_id: int | None = None, touched: set[int] | None = None,
+              stream: str = "default", counts: dict | None = None) -> int | None:
         """J-2 into a new version, rewriting only touched buckets.
 
         ``touched`` (optional) is ``touched_buckets`` of the feed, when the caller
-        has it already. Returns the new version, or None when ``batch_id`` was
-        already committed (a replayed micro-batch: ``count + n`` must not be
-        applied twice)."""
+        has it already. A feed batch is known by (``stream``, ``batch_id``): returns
+        the new version, or None when that stream's batch was already committed (a
+        replayed micro-batch: ``count + n`` must not be applied twice). ``counts``
+        of the batch are kept in the commit record. A merge without a batch id is
+        always applied."""
         prev = self.latest()
-        if prev is not None and batch_id is not None and prev.get("batch_id") is not None \
-                and int(prev["batch_id"]) >= int(batch_id):
+        done = self.last_batch(stream, prev)
+        if batch_id is not None and done is not None and done["batch_id"] >= int(batch_id):
             return None
+        streams = dict((prev or {}).get("streams", {}))
+        if batch_id is not None:
+            streams[stream] = {"batch_id": int(batch_id), **(counts or {})}
         version = (prev["version"] + 1) if prev else 1
         manifest = {int(k): v for k, v in (prev["manifest"] if prev else {}).items()}
         if touched is not None:
-            return self._merge(prev, version, manifest, folded, batch_id, touched)
+            return self._merge(prev, version, manifest, folded, streams, touched)
         # The fold (one row per feed id) feeds two jobs, the touched-bucket list and
         # the write: keep it so the feed is scanned, embedded and folded once.
         folded = folded.persist()
         try:
-            return self._merge(prev, version, manifest, folded, batch_id, self.touched_buckets(folded))
+            return self._merge(prev, version, manifest, folded, streams, self.touched_buckets(folded))
         finally:
             folded.unpersist()
 
-    def _merge(self, prev, version: int, manifest: dict, folded: DataFrame, batch_id, touched: set) -> int:
+    def _merge(self, prev, version: int, manifest: dict, folded: DataFrame, streams: dict, touched: set) -> int:
         # Rows of the touched buckets before the merge, counted while the merge reads
         # them. Only a real scan is observed: the optimizer drops an observation over
         # a relation it knows to be empty, and its result would never arrive.
@@ -202,7 +230,10 @@ class CatalogStore:
             total = rows
         elif prev.get("rows") is not None:
             total = int(prev["rows"]) - (int(replaced.get["rows"]) if replaced else 0) + rows
-        self._commit(version, batch_id, manifest, total)
+        for done in streams.values():
+            # the batch merged just now gets the catalog's size after it
+            done.setdefault("catalog_count", total)
+        self._commit(version, streams, manifest, total)
         return version
 
 

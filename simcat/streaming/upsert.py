@@ -2,18 +2,20 @@
 
 ST-1 runs the batch upsert plan once per micro-batch inside ``foreachBatch``:
 validate -> embed -> acks against the catalog before the merge -> fold -> merge
-into a new snapshot version. The store records the batch id in its commit, so a
-micro-batch replayed after a failure is skipped (``count + n`` is not
-idempotent), while acks and metrics are written to per-batch paths in overwrite
-mode, so a replay before the commit rewrites the same files. The final catalog
+into a new snapshot version. The store records (stream, batch id) and the batch's
+counts in its commit, so a micro-batch replayed after a failure is merged once
+(``count + n`` is not idempotent), while acks, rejects and metrics are written to
+per-batch paths in overwrite mode, so a replay rewrites the same files. The final catalog
 equals the batch fold of the same rows, whatever the split into micro-batches.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -21,62 +23,78 @@ from simcat.operators import catalog as C
 from simcat.sources.store import CatalogStore, write_rejects
 
 ACK_SCHEMA = "seq long, id long, action string, running_count long"
+METRICS = ("batch_id", "rows", "success", "failed", "catalog_count")
 ACK_CHUNK = 65536  # rows per emitted ack frame
 
 
+def _write_metrics(store: CatalogStore, out_dir: str, done: dict) -> None:
+    row = [F.lit(done[n]).cast("long").alias(n) for n in METRICS]
+    store.spark.range(1).select(*row).write.mode("overwrite").parquet(f"{out_dir}/metrics/batch_id={done['batch_id']}")
+
+
 def upsert_batch(batch: DataFrame, batch_id: int, store: CatalogStore, embedder,
-                 out_dir: str | None = None, dim: int | None = None) -> None:
+                 out_dir: str | None = None, dim: int | None = None, stream: str = "default") -> None:
     """One micro-batch of ST-1. ``batch`` holds (seq, id, text, ts) rows.
 
-    The batch's row and success counts are observed while its rejects are written,
-    and the catalog size comes from the store's commit record: the metrics row
-    costs no extra pass over the batch or the catalog."""
+    Every row ends as one ack or one reject: events whose vector is missing or has
+    another dimension than ``dim`` are rejected with that reason like any invalid one,
+    so rows = success + failed and acks = success. The counts go into the store's commit
+    record with the merge; a replay after the commit writes the metrics row from there,
+    and changes nothing else."""
+    done = store.last_batch(stream)
+    if done is not None and done["batch_id"] >= batch_id:
+        if out_dir and done["batch_id"] == batch_id and "rows" in done:
+            _write_metrics(store, out_dir, done)
+        return
     prev = store.latest()
-    if prev is not None and prev.get("batch_id") is not None and int(prev["batch_id"]) >= batch_id:
-        return  # replay of a committed batch
     batch = batch.persist()
-    valid = None
+    embedded = None
     try:
         tagged = batch.withColumn("reason", C.upsert_reason(F.col("id"), F.col("text"), None, None))
-        counted = Observation()
-        if out_dir:
-            # Observed above the rejects filter (a filter is never pushed below an
-            # observation), so it counts every row of the batch.
-            tagged = tagged.observe(counted, F.count(F.lit(1)).alias("rows"),
-                                    F.count_if(F.col("reason").isNull()).alias("success"))
-        valid, rejects = C.split_valid(tagged)
-        valid = embedder.embed(valid, "text", "vector")
-        if dim is not None:
-            valid = valid.filter(F.size("vector") == dim)
-        # Embedded once, used by the acks, the touched-bucket scan and the merge.
-        valid = valid.persist()
+        readable, rejects = C.split_valid(tagged)
+        rejects = rejects.select("seq", F.col("id").cast("string"), "reason")
+        if embedder.total and dim in (None, embedder.dim):
+            # No event can fail to get its vector: fold first, embed the winners.
+            valid, late = readable, embedder
+        else:
+            # Embedded once, used by the rejects, the acks, the touched-bucket scan and the merge.
+            embedded = embedder.embed(readable, "text", "vector")
+            embedded = embedded.withColumn("reason", C.vector_reason(F.col("vector"), dim)).persist()
+            valid, late = embedded.filter(F.col("reason").isNull()).drop("reason"), None
+            bad = embedded.filter(F.col("reason").isNotNull())
+            rejects = rejects.unionByName(bad.select("seq", F.col("id").cast("string"), "reason"))
         # Existence is tested against the buckets this batch touches only (the
         # ones the merge rewrites), so a batch costs what its feed costs, not a
         # scan of every catalog id.
         touched = store.touched_buckets(valid)
+        counts = None
         if out_dir:
             acks = C.upsert_actions(valid, store.known_ids(prev, touched))
             acks.write.mode("overwrite").parquet(f"{out_dir}/acks/batch_id={batch_id}")
-            write_rejects(rejects.select("seq", "id", "reason"), f"{out_dir}/rejects/batch_id={batch_id}")
-        store.merge(C.fold_upserts(valid), batch_id=batch_id, touched=touched)
+            write_rejects(rejects, f"{out_dir}/rejects/batch_id={batch_id}")
+            rows, failed = batch.count(), rejects.count()
+            counts = {"rows": rows, "success": rows - failed, "failed": failed}
+        store.merge(C.fold_upserts(valid, late), batch_id=batch_id, touched=touched, stream=stream, counts=counts)
         if out_dir:
-            counts = counted.get
-            spark = batch.sparkSession
-            row = [F.lit(v).cast("long").alias(n) for n, v in (
-                ("batch_id", batch_id), ("rows", counts["rows"]), ("success", counts["success"]),
-                ("failed", counts["rows"] - counts["success"]), ("catalog_count", store.count()))]
-            spark.range(1).select(*row).write.mode("overwrite").parquet(f"{out_dir}/metrics/batch_id={batch_id}")
+            _write_metrics(store, out_dir, store.last_batch(stream))
     finally:
-        if valid is not None:
-            valid.unpersist()
+        if embedded is not None:
+            embedded.unpersist()
         batch.unpersist()
 
 
+def stream_identity(store: CatalogStore, checkpoint: str) -> str:
+    """The id Spark gave the stream when it made its checkpoint: it outlives restarts, and a
+    fresh checkpoint, whose batches are numbered from 0 again, has another one."""
+    return json.loads(store.read_text(f"{checkpoint}/metadata"))["id"]
+
+
 def run_upsert_stream(stream: DataFrame, store: CatalogStore, embedder, checkpoint: str,
                       out_dir: str | None = None, dim: int | None = None):
     """ST-1: start the stream (all available files, then stop) and wait for it."""
     q = (stream.writeStream
-         .foreachBatch(lambda df, bid: upsert_batch(df, bid, store, embedder, out_dir, dim))
+         .foreachBatch(lambda df, bid: upsert_batch(df, bid, store, embedder, out_dir, dim,
+                                                    stream_identity(store, checkpoint)))
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True)
          .start())
