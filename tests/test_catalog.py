@@ -125,3 +125,73 @@ def test_store_row_count_follows_every_commit(spark):
         assert store.count() == store.read().count() == len({r[1] for r in rows[:hi]})
     store.write(store.read().filter(F.col("id") % 2 == 0))
     assert store.count() == store.read().count()
+
+
+def test_store_keeps_its_bucket_count(spark):
+    import pytest
+
+    path = shared_dir(spark, "test-buckets")
+    rows = feed_rows(100, 20)
+    CatalogStore(spark, path, buckets=4).merge(C.fold_upserts(spark.createDataFrame(rows, SCHEMA)))
+    with pytest.raises(ValueError, match="4 buckets"):
+        CatalogStore(spark, path, buckets=16)
+    again = CatalogStore(spark, path)
+    again.merge(C.fold_upserts(spark.createDataFrame([(s + 1000, *r) for s, *r in rows], SCHEMA)))
+    assert again.buckets == 4 and again.count() == again.read().count() == again.read().select("id").distinct().count() == 20
+
+
+def test_replay_guard_is_per_stream_and_outlives_other_merges(spark):
+    store = CatalogStore(spark, shared_dir(spark, "test-streams"), buckets=2)
+    fold = lambda s, i: C.fold_upserts(spark.createDataFrame([(s, i, "t", s, [1.0])], SCHEMA))
+    assert store.merge(fold(1, 1), batch_id=0, stream="a") and store.merge(fold(2, 1), batch_id=1, stream="a")
+    assert store.merge(fold(3, 2), batch_id=0, stream="b")  # another stream starts at 0
+    assert store.merge(fold(4, 3))  # un-numbered: always applied
+    assert store.merge(fold(2, 1), batch_id=1, stream="a") is None and store.merge(fold(3, 2), batch_id=0, stream="b") is None
+    store.write(store.read(bookkeeping=True))
+    assert store.merge(fold(2, 1), batch_id=1, stream="a") is None
+    assert {r.id: r["count"] for r in store.read().collect()} == {1: 2, 2: 1, 3: 1}
+
+
+def test_late_feeds_leave_a_written_row_its_created_at(spark):
+    cat = spark.createDataFrame([(1, "old", [1.0], 1, 5, 100, 100)], "id long, text string, vector array<float>, dim int, count long, created_at long, updated_at long")
+    store = CatalogStore(spark, shared_dir(spark, "test-late"), buckets=2)
+    store.write(cat)
+    for seq, ts in ((50, 5000), (40, 4000)):
+        store.merge(C.fold_upserts(spark.createDataFrame([(seq, 1, f"t{seq}", ts, [1.0])], SCHEMA)))
+    row = store.read().first()
+    assert (row.created_at, row.updated_at, row.text, row["count"]) == (100, 5000, "t50", 7)
+
+
+def test_duplicate_delivery_inserts_once(spark):
+    rows = [(1, 7, "a", 1, [1.0])] * 3 + [(2, 7, "b", 2, [1.0])]
+    feed = spark.createDataFrame(rows, SCHEMA)
+    acts = sorted((r.seq, r.action) for r in C.upsert_actions(feed, spark.createDataFrame([], "id long")).collect())
+    assert acts == [(1, "inserted"), (1, "updated"), (1, "updated"), (2, "updated")]
+    folded = C.fold_upserts(spark.createDataFrame([(2, 7, "z", 1, [1.0]), (2, 7, "b", 1, [1.0])], SCHEMA)).collect()
+    assert [(r.n, r.text) for r in folded] == [(2, "b")]
+
+
+def test_integral_float_ids_are_ids(spark):
+    df = spark.createDataFrame([(1, "4.0", "x"), (2, "4.5", "x"), (3, " 5 ", "x"), (4, "-1.0", "x")], "seq long, id string, text string")
+    valid, rejects = C.validate_upserts(df, vector_col=None)
+    assert sorted((r.seq, r.id) for r in valid.collect()) == [(1, 4), (3, 5)]
+    assert {r.seq for r in rejects.collect()} == {2, 4}
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from simcat import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_base(Session())

@@ -10,7 +10,7 @@ from simcat.operators.embed import HashingEmbedder, ModelEmbedder, PrecomputedEm
 from simcat.sources.blob import export_blob_table, import_blob_table
 
 
-def py_hash_vector(text, dim=64, max_tokens=512):
+def py_hash_vector(text, dim=64, max_tokens=None):
     toks = [t for t in text.lower().split(" ") if t][:max_tokens]
     c = np.zeros(dim)
     for t in toks:
@@ -20,6 +20,16 @@ def py_hash_vector(text, dim=64, max_tokens=512):
     return (c / max(n, 1e-12)).astype(np.float32)
 
 
+def test_hashing_embedder_cuts_tokens_only_when_told(spark):
+    text = " ".join(f"w{i}" for i in range(700))
+    df = spark.createDataFrame([(text,), (None,)], "text string")
+    whole, null = [r.v for r in HashingEmbedder(64).embed(df, "text", "v").collect()]
+    cut = HashingEmbedder(64, max_tokens=512).embed(df, "text", "v").first().v
+    assert null is None
+    assert np.array_equal(np.array(whole, dtype=np.float32), py_hash_vector(text))
+    assert np.array_equal(np.array(cut, dtype=np.float32), py_hash_vector(text, max_tokens=512))
+
+
 def test_hashing_embedder_matches_python(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(-1, ""), (-2, "   "), (-3, " ".join(["w%d" % i for i in range(700)]))],

@@ -46,7 +46,7 @@ def test_actions_join_on_id_and_seq(spark):
         p = plan(C.upsert_actions(feed, spark.createDataFrame([(5,)], "id long")))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    feed_side = p.split("LeftOuter")[1].split("\n")[1:3]
+    feed_side = p.split("LeftOuter")[1].split("\n")[1:5]
     assert any("hashpartitioning(id#" in l and ", seq#" in l for l in feed_side), feed_side
 
 
@@ -67,3 +67,12 @@ def test_feed_arrival_pushes_its_time_range_into_the_scan(spark, sf):
     p = plan(_slice_feed(spark, sf, 1))
     pushed = p.split("PushedFilters: [")[1].split("]")[0]
     assert "GreaterThanOrEqual(ts," in pushed and "LessThan(ts," in pushed, pushed
+
+
+def test_fold_sorts_no_payload_and_embeds_winners_only(spark):
+    from simcat.plans.fixtures import hashing_embedder
+
+    rows = [(s, s % 3 + 1, f"t{s}", s) for s in range(60)]
+    p = plan(C.fold_upserts(spark.createDataFrame(rows, "seq long, id long, text string, ts long"), hashing_embedder()))
+    assert "SortAggregate" not in p and "ObjectHashAggregate" not in p
+    assert p.index("ArrowEvalPython") < p.index("Window")  # printed top down: embedded after the winners are picked

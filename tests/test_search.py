@@ -149,3 +149,29 @@ def test_search_run_report_counts_rejected_queries(spark, sf):
     r = search_run_report(cat, emb, n=25, k=3).first()
     assert (r.queries, r.success, r.failed) == (21, 20, 1)
     assert r.avg_results == 3.0 and 0.0 <= r.self_hit_rate <= 1.0
+
+
+def test_equal_vectors_give_k_candidates_per_query_and_task(spark):
+    import numpy as np
+
+    from simcat.operators import search as S
+
+    q = np.repeat(np.arange(3), 5000)
+    ids, scores, k = np.tile(np.arange(5000)[::-1], 3), np.full(15000, 0.5), np.array([5, 1, 7])
+    kept_q, kept_i, _ = S._reduce_candidates(q, ids, scores, k)
+    assert sorted(zip(kept_q.tolist(), kept_i.tolist())) == [(j, i) for j in range(3) for i in range(k[j])]
+
+
+def test_mixed_dimensions_name_their_ids_and_repeated_queries_are_refused(spark):
+    import pytest
+
+    from simcat.operators.search import search
+
+    good = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vector array<float>")
+    bad = spark.createDataFrame([(7, [1.0]), (8, [1.0, 0.0, 0.0])], "id long, vector array<float>")
+    q = spark.createDataFrame([(1, 1, [1.0, 0.0])], "qid long, k int, vector array<float>")
+    for how in ("broadcast", "blocked"):
+        with pytest.raises(Exception, match="ids \\[[78]"):
+            search(q, bad.coalesce(1), plan=how).collect()
+        with pytest.raises(ValueError, match="repeated qid"):
+            search(q.unionByName(q), good, plan=how).collect()

@@ -7,7 +7,7 @@ from simcat.plans.fixtures import hashing_embedder
 from simcat.session import shared_dir
 from simcat.sources.store import CatalogStore
 from simcat.streaming.feed import deliver, read_feed_stream
-from simcat.streaming.upsert import run_upsert_stream, stateful_acks, upsert_batch
+from simcat.streaming.upsert import run_upsert_stream, stateful_acks, stream_identity, upsert_batch
 
 
 def _feed(spark, sf):
@@ -52,7 +52,7 @@ def test_stream_equals_batch_and_replay_is_noop(spark, sf):
     run_once(src)
     before = store.latest()["version"]
     # a batch replayed by hand after its commit is skipped
-    upsert_batch(feed.drop("_slice").limit(10), 0, store, emb)
+    upsert_batch(feed.drop("_slice").limit(10), 0, store, emb, stream=stream_identity(store, f"{run}/ckpt"))
     assert store.latest()["version"] == before
     m = spark.read.parquet(f"{run}/metrics").collect()
     assert len(m) == len(arrivals) and sum(r.rows for r in m) == feed.count()
@@ -108,3 +108,25 @@ def test_stateful_acks_start_from_catalog_counts(spark, sf):
     for i, r in firsts.items():
         assert r.running_count == (11 if i in seeded else 1)
         assert r.action == ("updated" if i in seeded else "inserted")
+
+
+def test_unfit_vectors_are_rejected_and_counted_and_metrics_survive_a_replay(spark):
+    from simcat.operators.embed import PrecomputedEmbedder
+
+    run = shared_dir(spark, "test-unfit")
+    store = CatalogStore(spark, f"{run}/catalog", buckets=2)
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 1.0])], "k long, v array<float>")
+    emb = PrecomputedEmbedder(vectors, "k", "v", 2)
+    rows = [(s, s % 5, f"t{s}", s) for s in range(10)]
+    batch = spark.createDataFrame(rows, "seq long, id long, text string, ts long")
+    upsert_batch(batch, 0, store, emb, out_dir=run, dim=2, stream="s")
+    metrics = lambda: spark.read.parquet(f"{run}/metrics").select("rows", "success", "failed", "catalog_count").collect()
+    assert [tuple(r) for r in metrics()] == [(10, 4, 6, 2)]
+    assert spark.read.parquet(f"{run}/acks").count() == 4
+    reasons = {(r.id, r.reason) for r in spark.read.parquet(f"{run}/rejects").collect()}
+    assert reasons == {("0", C.REASON_ID), ("2", "Vector dimension mismatch: expected 2, got 1"), ("4", C.REASON_VECTOR_EMPTY)}
+    # a crash between the commit and the metrics: the replay writes them from the commit record
+    other = shared_dir(spark, "test-unfit-replay")
+    upsert_batch(batch, 0, store, emb, out_dir=other, dim=2, stream="s")
+    assert [tuple(r) for r in spark.read.parquet(f"{other}/metrics").select("rows", "success", "failed", "catalog_count").collect()] == [(10, 4, 6, 2)]
+    assert store.latest()["version"] == 1
