@@ -8,16 +8,20 @@ fingerprints that differ in 3 bits or fewer meet at a variant in the middle:
   the same 32-bit half. The odd one flips these two ("far" variants, 992), the even one
   flips the third. So only odd fingerprints emit far variants, and only pairs of one half.
 
-Variants are shuffled. Whatever the near variants of a bucket came from lies within 1 bit
-of the variant, and a far one within 2, so any near member is within 3 bits of every other
-member: a link to the smallest near member verifies by construction, and is checked by
-distance all the same. A bucket holds at most 65 + 992 different fingerprints, whatever the
-number of documents, and emits one link per member instead of all pairs. Two far members
-alone are no link; if they are close they meet elsewhere.
-
-Balls are emitted by distinct fingerprints, so copies of a text cost one row; the shuffle is
-65 rows for an even and 1,057 for an odd fingerprint, in proportion to their number and
-whatever their distances are.
+Variants are shuffled in packs. Far variants of one half leave the other half alone, so a pack is
+keyed by the variant without ``FREE`` bits of the flipped half, and stands for all variants that
+differ in these bits only; each half has its own family of packs. A fingerprint sends 82 packs if
+even and 138 if odd, instead of 65 and 1,057 variants, with 8 + 8 bytes each. Packs of one
+fingerprint alone end there; the others are spread out into their variants in the task
+that received them.
+
+Whatever the near members of a variant came from lies within 1 bit of it, and a far one
+within 2, so a near member is within 3 bits of every other member: a link to the smallest
+near member verifies by construction, and is checked by distance all the same. A variant
+has at most 65 + 992 different members, whatever the number of documents, and gives
+one link per member instead of all pairs. Two far members alone are no link; if they are
+close they meet elsewhere. Fingerprints are distinct before they are sent, so copies of a
+text cost one row.
 
 Links are closed over components (``graph``); every table between the steps is written
 below the shared folder.
@@ -30,7 +34,8 @@ texts are all kept; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +49,8 @@ from .graph import connected_components
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
+#: Bits of a half that a pack's key leaves out.
+FREE = 24
 #: Shingles whose bits are counted at once.
 _CHUNK = 1 << 16
 
@@ -90,21 +97,57 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint",
     return docs.select(*keep, text).mapInArrow(compute, schema)
 
 
-def _flips(pairs: bool) -> Column:
-    """Masks as a literal array: one flipped bit or none, or two flipped bits of one half."""
-    bits = [[1 << i for i in range(h, h + 32)] for h in (0, 32)]
-    masks = [a | b for half in bits for i, a in enumerate(half) for b in half[:i]] if pairs else [0, *bits[0], *bits[1]]
-    return F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _masks(near: Sequence[int], far: Sequence[int] = ()) -> Column:
+    """A literal array of masks with what they make: near variants or far ones."""
+    both = [(m, True) for m in near] + [(m, False) for m in far]
+    return F.array(*[F.struct(F.lit(_signed(m)).cast("long").alias("mask"), F.lit(n).alias("near")) for m, n in both])
+
+
+class Family:
+    """The packs of one half: its ``FREE`` lower bits are left out of the key."""
+
+    def __init__(self, half: int):
+        low = 32 * half
+        bits = [1 << b for b in range(low, low + 32)]
+        self.free, self.top = bits[:FREE], bits[FREE:]
+        self.other = [1 << b for b in range(32 - low, 64 - low)]
+        self.number, self.key_mask, self.top_mask = half, (1 << 64) - 1 - sum(self.free), sum(self.top)
+
+    def packs(self, nodes: DataFrame) -> DataFrame:
+        """(family, pack, fp): flips of key bits, none, one or (odd fingerprints) two of the half."""
+        near = [0, *self.top, *self.other]
+        odd = F.bit_count("fp") % 2 == 1
+        masks = [F.array(*[F.lit(_signed(m)).cast("long") for m in x]) for x in (near, [*near, *map(sum, combinations(self.top, 2))])]
+        sent = nodes.select("fp", F.explode(F.when(odd, masks[1]).otherwise(masks[0])).alias("mask"))
+        key = F.col("fp").bitwiseXOR(F.col("mask")).bitwiseAND(F.lit(_signed(self.key_mask)))
+        return sent.select(F.lit(self.number).alias("family"), key.alias("pack"), "fp")
+
+    def spread(self) -> Column:
+        """The masks of the left-out bits that a pack's member takes."""
+        flipped = F.col("fp").bitwiseXOR(F.col("pack")).bitwiseAND(F.lit(_signed(self.key_mask)))
+        n, odd, in_half = F.bit_count(flipped), F.bit_count("fp") % 2 == 1, flipped.bitwiseAND(F.lit(_signed(self.top_mask))) != 0
+        pairs = list(map(sum, combinations(self.free, 2)))
+        return (F.when((n == 0) & odd, _masks([0, *self.free], pairs)).when(n == 0, _masks([0, *self.free]))
+                .when(n == 2, _masks([], [0])).when(odd & in_half, _masks([0], self.free)).otherwise(_masks([0])))
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) whose closure connects all ``fp`` of ``nodes`` that differ in 3 bits or fewer."""
-    near = nodes.select("fp", F.explode(_flips(pairs=False)).alias("mask")).withColumn("near", F.lit(True))
-    far = nodes.filter(F.bit_count("fp") % 2 == 1).select("fp", F.explode(_flips(pairs=True)).alias("mask")).withColumn("near", F.lit(False))
-    ball = near.unionByName(far).select("fp", "near", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    root = F.min(F.when(F.col("near"), F.col("fp"))).over(Window.partitionBy("variant"))
-    met = ball.select("fp", root.alias("root")).filter("root is not null and root != fp").distinct()
-    return met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("root"))) <= RADIUS).select(F.col("fp").alias("a"), F.col("root").alias("b"))
+    upper, lower = Family(1), Family(0)
+    sent = upper.packs(nodes).unionByName(lower.packs(nodes))
+    pack = Window.partitionBy("family", "pack")
+    met = sent.withColumn("least", F.min("fp").over(pack)).withColumn("most", F.max("fp").over(pack)).filter("least != most")
+    spread = F.explode(F.when(F.col("family") == 1, upper.spread()).otherwise(lower.spread()))
+    # the variant within its pack: the left-out bits of the flipped fingerprint
+    rest = F.when(F.col("family") == 1, F.lit(_signed((1 << 64) - 1 - upper.key_mask))).otherwise(F.lit(_signed((1 << 64) - 1 - lower.key_mask)))
+    variants = met.select("family", "pack", "fp", spread.alias("s")).select("family", "pack", "fp", "s.near", F.col("fp").bitwiseXOR(F.col("s.mask")).bitwiseAND(rest).alias("rest"))
+    root = F.min(F.when(F.col("near"), F.col("fp"))).over(Window.partitionBy("family", "pack", "rest"))
+    found = variants.select("fp", root.alias("root")).filter("root is not null and root != fp").distinct()
+    return found.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("root"))) <= RADIUS).select(F.col("fp").alias("a"), F.col("root").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
