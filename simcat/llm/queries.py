@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import linededup, mixing, outliers, records, sentencepieces, sharding, simhash, tokencount, topk, toxicity
+from . import linededup, mixing, oracles, outliers, records, sentencepieces, sharding, simhash, tokencount, topk, toxicity
 from .common import configure, read_table
 
 SHARDS = 24
@@ -98,14 +98,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {
-    "op1_rendezvous_sharding": (op1_rendezvous_sharding, None),
-    "op2_mix_to_targets": (op2_mix_to_targets, None),
-    "op3_impact_topk": (op3_impact_topk, None),
-    "op4_line_dedup": (op4_line_dedup, None),
+    "op1_rendezvous_sharding": (op1_rendezvous_sharding, oracles.op1_sql(SHARDS)),
+    "op2_mix_to_targets": (op2_mix_to_targets, oracles.op2_sql()),
+    "op3_impact_topk": (op3_impact_topk, oracles.OP3_SQL),
+    "op4_line_dedup": (op4_line_dedup, oracles.op4_sql(linededup.THRESHOLD)),
     "op5_simhash_neardup": (op5_simhash_neardup, None),
     "op6_toxicity_ftrl": (op6_toxicity_ftrl, None),
     "op7_token_records": (op7_token_records, None),
     "op8_sentencepiece": (op8_sentencepiece, None),
-    "op9_mcd_quality": (op9_mcd_quality, None),
+    "op9_mcd_quality": (op9_mcd_quality, oracles.op9_sql()),
     "op10_token_counts": (op10_token_counts, None),
 }
