@@ -10,7 +10,8 @@ their id, in that order, in one task of bounded size; scoring reads every text w
 
 Defined results: null and empty texts have no features and get the intercept's score; labels that
 are null, or of unknown documents, are ignored; of rows with equal ids training takes the smallest
-text, and any toxic label counts; without labels every score is 0.5 or less; equal texts get
+text, and any toxic label counts; without labels nothing is known to be toxic and every score is
+next to 0; equal texts get
 equal scores; an empty table stays empty; extra columns pass through.
 """
 
@@ -36,6 +37,8 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 20.0, 0.1
 #: Times that a toxic example counts.
 TOXIC_WEIGHT = 4.0
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Log-odds beyond which a probability is taken as certain.
+_FAR = 35.0
 #: Odd multipliers that mix the hashes of the words of a feature.
 _MIX = tuple(np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263))
 
@@ -66,7 +69,7 @@ class Ftrl:
     def learn(self, coordinates: np.ndarray, label: int) -> None:
         at = np.r_[coordinates, len(self.z) - 1]
         w = self.weights(at)
-        g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * (self.toxic_weight if label else 1.0)
+        g = (1 / (1 + np.exp(-np.clip(w.sum(), -_FAR, _FAR))) - label) * (self.toxic_weight if label else 1.0)
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
@@ -97,7 +100,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: DataFrame, text: str = "text", name: str = "score", bits: int = BITS) -> DataFrame:
     """``docs`` with the probability of label 1."""
     dense = np.zeros((1 << bits) + 1, np.float32)
-    for at, w in model.toLocalIterator():
+    rows = model.collect()  # 2 ** bits + 1 at most
+    dense[-1] = -_FAR if not rows else 0
+    for at, w in rows:
         dense[at] = w
     sent = docs.sparkSession.sparkContext.broadcast(dense)
 
@@ -107,7 +112,7 @@ def score(docs: DataFrame, model: DataFrame, text: str = "text", name: str = "sc
         for i, t in enumerate(texts):
             x = features(t, bits)
             x = np.unique(x[w[x] != 0])
-            out[i] = 1 / (1 + np.exp(-np.clip(np.sort(w[x].astype(np.float64)).sum() + w[-1], -35, 35)))
+            out[i] = 1 / (1 + np.exp(-np.clip(np.sort(w[x].astype(np.float64)).sum() + w[-1], -_FAR, _FAR)))
         return pd.Series(out)
 
     return docs.withColumn(name, F.pandas_udf(rate, "double")(F.col(text)))
