@@ -27,30 +27,23 @@ def truncate_tokens(tokens, max_len: int = P.MAX_TEXT_LENGTH) -> Column:
 
 
 def mean_pool(token_vectors: DataFrame, doc_col: str, pos_col: str, mask_col: str,
-              vec_col: str, out_col: str = "vector", clamp: float = P.MIN_CLAMP_VALUE) -> DataFrame:
+              vec_col: str, out_col: str = "vector", clamp: float = P.MIN_CLAMP_VALUE,
+              dim: int | None = None) -> DataFrame:
     """E-2 as an aggregate: sum(vec_i * mask_i) / max(sum(mask_i), clamp) per document.
 
-    Input is a long token table ``(doc, pos, mask, vec)``. Each token row is
-    exploded into (doc, d, x) cells and summed per (doc, d): the sums are partial
-    aggregates, combined map-side before the shuffle, so a document with a huge
-    number of tokens never lands whole in one task. The pooled vector is rebuilt
-    from at most ``dim`` cells per document. An all-masked document pools to zeros."""
-    cells = token_vectors.select(
-        F.col(doc_col).alias("_doc"),
-        F.col(mask_col).cast("double").alias("_m"),
-        F.posexplode(vec_col).alias("_d", "_x"),
-    )
-    sums = cells.groupBy("_doc", "_d").agg(
-        F.sum(F.col("_x").cast("double") * F.col("_m")).alias("_s"),
-        F.sum("_m").alias("_n"),
-    )
-    pooled = sums.groupBy("_doc").agg(
-        F.array_sort(F.collect_list(F.struct("_d", (F.col("_s") / F.greatest("_n", F.lit(clamp))).alias("_v")))).alias("_cells")
-    )
-    return pooled.select(
-        F.col("_doc").alias(doc_col),
-        F.transform("_cells", lambda c: c["_v"]).alias(out_col),
-    )
+    Input is a long token table ``(doc, pos, mask, vec)``. One sum per vector component and
+    one of the mask: a token row stays one row, all sums are partial aggregates combined
+    map-side before the shuffle, and a document with a huge number of tokens is one row per
+    task. ``dim`` is read from the first row when not given. An all-masked document pools
+    to zeros."""
+    if dim is None:
+        first = token_vectors.select(F.size(vec_col)).first()
+        dim = first[0] if first else 0
+    m = F.col(mask_col).cast("double")
+    sums = [F.sum(F.col(vec_col)[i].cast("double") * m).alias(f"_s{i}") for i in range(dim)]
+    pooled = token_vectors.groupBy(F.col(doc_col)).agg(F.sum(m).alias("_n"), *sums)
+    mean = [F.col(f"_s{i}") / F.greatest("_n", F.lit(clamp)) for i in range(dim)]
+    return pooled.select(doc_col, F.array(*mean).cast("array<double>").alias(out_col))
 
 
 # ---------------------------------------------------------------- U-1 embedders

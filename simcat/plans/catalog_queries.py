@@ -10,13 +10,14 @@ feed merged into it.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simcat import params as P
 from simcat.functions.vector import l2_normalize
 from simcat.operators import catalog as C
-from simcat.operators.embed import HashingEmbedder, mean_pool
+from simcat.operators.embed import HashingEmbedder, ModelEmbedder, mean_pool
 from simcat.plans.fixtures import (HASH_DIM, SAMPLE_SEED, documents_catalog, embeddings_catalog,
                                    hashing_embedder, sql_hash_vectors, table)
 from simcat.operators.partitioning import spread
@@ -261,11 +262,61 @@ def blob_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     blobs = export_blob_table(cat.select("id", "vector"))
     back, _ = import_blob_table(blobs)
     j = back.join(cat.select("id", F.col("vector").alias("orig")), "id")
-    return j.select("id", "dim", (F.col("vector") == F.col("orig")).alias("same"))
+    return (j.join(blobs.select("id", "blob"), "id")
+            .select("id", "dim", F.lower(F.hex("blob")).alias("blob_hex"), (F.col("vector") == F.col("orig")).alias("same")))
 
 
-SQL_BLOB_ROUNDTRIP = """
-SELECT vec_id + 1 AS id, len(embedding)::INTEGER AS dim, true AS same FROM embeddings
+# The bytes of a binary32 number, from its sign, exponent and fraction.
+_SQL_F32_HEX = """list_transform(list_transform(list_transform(embedding, lambda x: x::DOUBLE), lambda x:
+    CASE WHEN x = 0 THEN 0 ELSE CASE WHEN x < 0 THEN 2147483648 ELSE 0 END
+      + (floor(log2(abs(x))) + CASE WHEN pow(2, floor(log2(abs(x)))) > abs(x) THEN -1 WHEN pow(2, floor(log2(abs(x))) + 1) <= abs(x) THEN 1 ELSE 0 END + 126)::BIGINT * 8388608
+      + (abs(x) / pow(2, floor(log2(abs(x))) + CASE WHEN pow(2, floor(log2(abs(x)))) > abs(x) THEN -1 WHEN pow(2, floor(log2(abs(x))) + 1) <= abs(x) THEN 1 ELSE 0 END) * 8388608)::BIGINT END),
+  lambda b: printf('%02x%02x%02x%02x', (b & 255)::INTEGER, ((b >> 8) & 255)::INTEGER, ((b >> 16) & 255)::INTEGER, ((b >> 24) & 255)::INTEGER))"""
+
+SQL_BLOB_ROUNDTRIP = f"""
+SELECT vec_id + 1 AS id, len(embedding)::INTEGER AS dim, array_to_string({_SQL_F32_HEX}, '') AS blob_hex, true AS same FROM embeddings
+"""
+
+
+def blob_import_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-6 rejects: blobs whose stored dimension is off by one (every third id) or that are missing (every seventh)."""
+    blobs = export_blob_table(embeddings_catalog(spark, sf_dir).select("id", "vector"))
+    blobs = (blobs.withColumn("dim", F.when(F.col("id") % 3 == 0, F.col("dim") + 1).otherwise(F.col("dim")))
+             .withColumn("blob", F.when(F.col("id") % 7 != 0, F.col("blob"))))
+    _, rejects = import_blob_table(blobs)
+    return rejects.select("id", "reason")
+
+
+SQL_BLOB_IMPORT_REJECTS = """
+SELECT vec_id + 1 AS id, 'Blob size does not match 4 * dim' AS reason FROM embeddings WHERE (vec_id + 1) % 3 = 0 OR (vec_id + 1) % 7 = 0
+"""
+
+
+def toy_model():
+    """A stand-in for a sentence model: per word (length, code of the first character modulo 7, 1)."""
+    def encode(texts):
+        rows = [[w for w in str(t).split(" ") if w][:P.MAX_TEXT_LENGTH] for t in texts]
+        width = max((len(r) for r in rows), default=0) or 1
+        tok, mask = np.zeros((len(rows), width, 3), np.float32), np.zeros((len(rows), width), np.float32)
+        for i, r in enumerate(rows):
+            tok[i, :len(r)] = [(len(w), ord(w[0]) % 7, 1.0) for w in r] or np.zeros((0, 3))
+            mask[i, :len(r)] = 1
+        return tok, mask
+
+    return encode
+
+
+def model_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U-1a: a model behind ``ModelEmbedder`` over the benchmark texts (E-1, E-2, E-3 around it)."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    made = ModelEmbedder(toy_model, 3, name="toy").embed(b)
+    return made.select("item_id", F.transform("vector", lambda x: F.round(x.cast("double"), 4)).alias("vector"))
+
+
+SQL_MODEL_EMBED = f"""
+WITH t AS (SELECT item_id, list_filter(string_split(text, ' '), lambda w: w <> '')[1:{P.MAX_TEXT_LENGTH}] AS w FROM benchmark),
+  m AS (SELECT item_id, list_avg(list_transform(w, lambda x: length(x)::DOUBLE)) AS a, list_avg(list_transform(w, lambda x: (unicode(x) % 7)::DOUBLE)) AS b FROM t)
+SELECT item_id, [round(a / sqrt(a * a + b * b + 1), 4), round(b / sqrt(a * a + b * b + 1), 4), round(1 / sqrt(a * a + b * b + 1), 4)] AS vector FROM m
 """
 
 
@@ -344,6 +395,8 @@ QUERIES = {
     "catalog_metrics": (catalog_metrics, SQL_CATALOG_METRICS),
     "catalog_store_metrics": (catalog_store_metrics, SQL_CATALOG_STORE_METRICS),
     "blob_roundtrip": (blob_roundtrip, SQL_BLOB_ROUNDTRIP),
+    "blob_import_rejects": (blob_import_rejects, SQL_BLOB_IMPORT_REJECTS),
+    "model_embed": (model_embed, SQL_MODEL_EMBED),
     "hash_embed": (hash_embed, SQL_HASH_EMBED),
     "token_truncate": (token_truncate, SQL_TOKEN_TRUNCATE),
     "mean_pool": (mean_pool_query, SQL_MEAN_POOL),

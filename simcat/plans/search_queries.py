@@ -116,8 +116,8 @@ SELECT qid, rank, id, {_SQL_SCORE} FROM ranked WHERE rank <= k
 """
 
 
-def search_query_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V-6, V-7, V-10 on text queries: benchmark texts with edge variants assigned by item_id."""
+def variant_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts as queries (qid, text, top_k), five of six invalid in some way, by item_id."""
     b = table(spark, sf_dir, "benchmark")
     variant = F.pmod(F.col("item_id"), F.lit(6))
     text = (F.when(variant == 1, F.lit("\u00a0\u2003\u001f"))
@@ -125,8 +125,12 @@ def search_query_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(variant == 3, F.lit(""))
             .otherwise(F.col("text")))
     k = F.when(variant == 4, 51).when(variant == 5, 0).otherwise(F.lit(None)).cast("int")
-    q = b.select(F.col("item_id").alias("qid"), text.alias("text"), k.alias("top_k"))
-    _, rejects = prepare_queries(q)
+    return b.select(F.col("item_id").alias("qid"), text.alias("text"), k.alias("top_k"))
+
+
+def search_query_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V-6, V-7, V-10 on text queries: benchmark texts with edge variants assigned by item_id."""
+    _, rejects = prepare_queries(variant_queries(spark, sf_dir))
     return rejects.select("qid", "reason")
 
 
@@ -172,17 +176,14 @@ SELECT qid, rank, id, {_SQL_SCORE} FROM ranked WHERE rank <= 5
 
 
 def search_empty_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-4: an empty catalog gives an empty answer, not an error."""
+    """T-4: an empty catalog gives each query an empty answer, not an error."""
     cat = embeddings_catalog(spark, sf_dir).filter(F.lit(False))
     q = embeddings_catalog(spark, sf_dir).select(F.col("id").alias("qid"), F.lit(5).alias("k"), "vector")
-    return search(q, cat)
+    hits = search(q, cat).groupBy("qid").agg(F.count(F.lit(1)).alias("n_hits"))
+    return q.select("qid").join(hits, "qid", "left").select("qid", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
 
 
-SQL_SEARCH_EMPTY_CATALOG = """
-SELECT CAST(NULL AS BIGINT) AS qid, CAST(NULL AS INTEGER) AS rank, CAST(NULL AS BIGINT) AS id,
-       CAST(NULL AS DOUBLE) AS score_rate
-WHERE false
-"""
+SQL_SEARCH_EMPTY_CATALOG = "SELECT vec_id + 1 AS qid, 0::BIGINT AS n_hits FROM embeddings"
 
 
 def search_text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from simcat.operators import catalog as C
 from simcat.operators.embed import PrecomputedEmbedder
 from simcat.plans.catalog_queries import events_feed
-from simcat.plans.fixtures import HASH_DIM, embeddings_catalog, hashing_embedder
-from simcat.plans.search_queries import SQL_SEARCH_TOPK_BATCH
+from simcat.plans.fixtures import HASH_DIM, documents_catalog, embeddings_catalog, hashing_embedder
+from simcat.plans.search_queries import (SQL_SEARCH_QUERY_REJECTS, SQL_SEARCH_TEXT_TOPK, SQL_SEARCH_TOPK_BATCH,
+                                        variant_queries)
 from simcat.session import shared_dir
 from simcat.sources.store import CatalogStore
 from simcat.streaming.feed import deliver, read_feed_stream
@@ -238,7 +239,39 @@ FROM e GROUP BY s
 """
 
 
+def _run_text_search(spark: SparkSession, sf_dir: str) -> str:
+    """Text queries, valid and invalid, arriving in three runs by item, against the documents."""
+    key = (spark.sparkContext.applicationId, sf_dir, "text-search")
+    if key not in _RUNS:
+        run_dir = shared_dir(spark, "stream-text-search")
+        q = variant_queries(spark, sf_dir)
+        arrivals = [q.filter("qid < 40"), q.filter("qid >= 40 and qid < 80"), q.filter("qid >= 80 or qid is null")]
+        schema, emb = arrivals[0].schema, hashing_embedder()
+        deliver(spark, arrivals, lambda src: run_search_stream(
+            read_feed_stream(spark, src, schema), lambda: documents_catalog(spark, sf_dir, emb),
+            run_dir, f"{run_dir}/checkpoint", with_text=True, embedder=emb))
+        _RUNS[key] = run_dir
+    return _RUNS[key]
+
+
+def stream_search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-3 on texts: validated, embedded, searched and answered with the hits' texts."""
+    return spark.read.parquet(f"{_run_text_search(spark, sf_dir)}/hits").select("qid", "rank", "id", "score_rate", F.md5("text").alias("text_md5"))
+
+
+SQL_STREAM_SEARCH_TEXT = f"""
+WITH hits AS ({SQL_SEARCH_TEXT_TOPK}) SELECT qid, rank, id, score_rate, md5(text) AS text_md5 FROM hits WHERE qid % 6 = 0
+"""
+
+
+def stream_search_text_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V-6, V-7, V-10 on a stream: the queries that got no search, with their reasons."""
+    return spark.read.parquet(f"{_run_text_search(spark, sf_dir)}/rejects").select("qid", "reason")
+
+
 QUERIES = {
+    "stream_search_text": (stream_search_text, SQL_STREAM_SEARCH_TEXT),
+    "stream_search_text_rejects": (stream_search_text_rejects, SQL_SEARCH_QUERY_REJECTS),
     "stream_upsert_rejects": (stream_upsert_rejects, SQL_STREAM_UPSERT_REJECTS),
     "stream_upsert_balance": (stream_upsert_balance, SQL_STREAM_UPSERT_BALANCE),
     "stream_upsert": (stream_upsert, SQL_STREAM_UPSERT),

@@ -76,3 +76,13 @@ def test_fold_sorts_no_payload_and_embeds_winners_only(spark):
     p = plan(C.fold_upserts(spark.createDataFrame(rows, "seq long, id long, text string, ts long"), hashing_embedder()))
     assert "SortAggregate" not in p and "ObjectHashAggregate" not in p
     assert p.index("ArrowEvalPython") < p.index("Window")  # printed top down: embedded after the winners are picked
+
+
+def test_mean_pool_keeps_a_token_one_row(spark):
+    from simcat.operators.embed import mean_pool
+
+    df = spark.createDataFrame([(1, 0, 1, [1.0, 2.0]), (1, 1, 0, [9.0, 9.0]), (2, 0, 0, [3.0, 4.0])], "doc long, pos long, mask int, vec array<double>")
+    pooled = mean_pool(df, "doc", "pos", "mask", "vec")
+    assert {r.doc: r.vector for r in pooled.collect()} == {1: [1.0, 2.0], 2: [0.0, 0.0]}
+    p = plan(pooled)
+    assert "Generate" not in p and "SortAggregate" not in p and p.count("HashAggregate") == 2
