@@ -26,12 +26,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +40,8 @@ from .common import UNICODE_SPACE, without
 
 #: Bytes of a chunk that one state map covers; states kept; characters counted at once.
 PIECE, STATES, _AT_ONCE = 1 << 16, 200_000, 1 << 20
-_ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
-_CHUNK = regex.compile(f"[^{UNICODE_SPACE}]+")
+_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+_CHUNK = re.compile(f"[^{UNICODE_SPACE}]+")
 _LOADED: dict[bytes, TokenCounter] = {}
 
 
@@ -56,6 +56,13 @@ def _byte_symbols() -> dict[str, str]:
 _SYMBOLS = _byte_symbols()
 
 
+def _shape(text: str) -> str:
+    """Lower-case text without white space, its other letters as A, other numbers as 0, the rest as !."""
+    if text.isascii():
+        return text
+    return "".join(c if c < "\x80" else {"L": "A", "N": "0"}.get(unicodedata.category(c)[0], "!") for c in text)
+
+
 class Transducer:
     """The machine over the symbols of a word, each one character."""
 
@@ -124,10 +131,10 @@ class TokenCounter:
         if model["type"] != "BPE" or norm != ["NFC", "Replace", "Lowercase"] or not model["end_of_word_suffix"] or model.get("ignore_merges"):
             raise ValueError("needs a byte-level BPE with NFC, lower case and an end-of-word suffix")
         splits = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        # the file's own pattern, with the white space of Unicode spelled out
-        self.word = regex.compile(splits.replace(r"[^\s", f"[^{UNICODE_SPACE}"))
+        # the file's own pattern, over the shapes of ``_shape``
+        self.word = re.compile(splits.replace(r"[^\s", "[^").replace(r"\p{L}", "a-zA").replace(r"\p{N}", "0-9"))
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.end, ranks = model["end_of_word_suffix"], {}
         for i, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
@@ -152,7 +159,8 @@ class TokenCounter:
                 continue
             part = unicodedata.normalize("NFC", part)
             part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
-            for word in self.word.findall(part):
+            for found in self.word.finditer(_shape(part)):
+                word = part[found.start() : found.end()]
                 if len(machine.states) > machine.limit:
                     machine.reset()
                 symbols, state, count = word.encode().decode("latin-1"), 0, 0
