@@ -141,7 +141,7 @@ def stream_upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = arrivals[0].schema
 
     def run(src: str) -> None:
-        valid, _ = C.validate_upserts(read_feed_stream(spark, src, schema), vector_col=None)
+        valid, _ = C.validate_upserts(read_feed_stream(spark, src, schema, max_files=16), vector_col=None)
         q = (stateful_acks(valid, initial_counts=seed).writeStream.format("parquet").outputMode("append")
              .option("path", f"{run_dir}/out").option("checkpointLocation", f"{run_dir}/checkpoint")
              .trigger(availableNow=True).start())
