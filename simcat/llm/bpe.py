@@ -9,6 +9,7 @@ tokens can be read backwards from these.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from itertools import islice
 
 _NEVER = float("inf")
 
@@ -88,15 +89,22 @@ class Memo:
 
     def values(self, texts: Sequence[Sequence[str]]) -> list[list]:
         """For each text, given as its units, the units' values."""
-        known = self.known
-        fresh = {u for units in texts for u in set(units) if u not in known}
-        if fresh:
-            order = list(fresh)
-            known.update(zip(order, self.compute(order)))
-        out = [list(map(known.__getitem__, units)) for units in texts]
-        if len(known) > self.cap:
-            for u in fresh:
-                del known[u]
+        known, missing = self.known, {}
+        out = [list(map(known.get, units)) for units in texts]
+        gaps = [[i for i, v in enumerate(row) if v is None] if None in row else () for row in out]
+        for units, at in zip(texts, gaps):
+            for i in at:
+                missing[units[i]] = None
+        if missing:
+            order = list(missing)
+            missing.update(zip(order, self.compute(order)))
+            for units, row, at in zip(texts, out, gaps):
+                for i in at:
+                    row[i] = missing[units[i]]
+            if len(known) + len(missing) <= self.cap:
+                known.update(missing)
+            elif len(known) < self.cap:
+                known.update(islice(missing.items(), self.cap - len(known)))
         return out
 
 

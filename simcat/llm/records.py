@@ -41,18 +41,22 @@ import tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memo, slices
+from .bpe import Memo
 from .common import UNICODE_SPACE, shared_dir
 
-#: Bytes of text that a file is planned for; characters encoded at once.
-FILE_BYTES, _AT_ONCE = 16 << 20, 1 << 20
+#: Bytes of text that a file is planned for; texts encoded at once.
+FILE_BYTES, _ROWS = 16 << 20, 256
 _HEAD, _CHECK, _PAYLOAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq")
 _FRAME = _HEAD.size + 2 * _CHECK.size + 1
 #: Files that one window numbers.
 _BLOCK = 1024
 _CODERS: dict = {}
-#: A run of non-spaces with the space before it; of white space before a word, the last is apart.
-_UNIT = re.compile(f" ?[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+(?![^{UNICODE_SPACE}])|[{UNICODE_SPACE}]+")
+#: Latin letters; a run of them that an ASCII character or nothing follows is a token's text by itself.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A run of such letters, or of non-spaces, with the space before it; of white space before a word, the last is apart.
+_UNIT = re.compile(f" ?[{_LATIN}]+(?=[\x00-@\\[-`{{-\x7f]|$)| ?[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+(?![^{UNICODE_SPACE}])|[{UNICODE_SPACE}]+")
+#: Units that are encoded in one call.
+_RUN = 2048
 
 
 def masked(data: bytes) -> int:
@@ -92,12 +96,14 @@ def unpack(payload: memoryview) -> tuple[int | None, np.ndarray]:
 
 
 class TextEncoder:
-    """Encodes texts with the tokenizers library, a run of non-spaces at a time, through a memo.
+    """Encodes texts with the tokenizers library, a unit at a time, through a memo.
 
     Byte-level pre-tokenisation (the library's own pattern, no prefix space, no normalizer) always
-    begins a token at a space between two words and never joins across it, so runs are encoded
-    apart; white space before a word is one token but for its last character. Texts that hold a special
-    string, and files of another kind, are encoded whole."""
+    ends a token where letters meet ASCII that is no letter, begins one at a space between two
+    words, and takes white space before a word as one token but for its last character, so such
+    units are encoded apart. New units of a space and letters are strung together, encoded in one call,
+    and told apart again by the bytes their tokens stand for. Texts that hold a special string, and
+    files of another kind, are encoded whole."""
 
     def __init__(self, file: bytes):
         self.library = tokenizers.Tokenizer.from_buffer(file)
@@ -105,11 +111,35 @@ class TextEncoder:
         pre = spec["pre_tokenizer"] or {}
         self.apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"] and not spec["normalizer"]
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.memo = Memo(self._encode)
+        vocab = self.library.get_vocab()
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.sizes[i] = len(token)  # a byte-level token has a character per byte
+        self.memo = Memo(self._units)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _run(self, units: list[str]) -> list[bytes]:
+        """Plain units in one call."""
+        ids = np.array(self.library.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(u.encode()) for u in units])
+        at = np.cumsum(self.sizes[ids])
+        stops = np.searchsorted(at, ends) + 1
+        if not np.array_equal(at[stops - 1], ends):
+            return self._encode(units)
+        data, stops = ids.tobytes(), (4 * stops).tolist()
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        plain = [u for u in units if u[0] == " " and u[1:].isalpha()]
+        made = {}
+        for at in range(0, len(plain), _RUN):
+            made.update(zip(plain[at : at + _RUN], self._run(plain[at : at + _RUN])))
+        rest = [u for u in units if u not in made]
+        made.update(zip(rest, self._encode(rest)))
+        return [made[u] for u in units]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""
         whole = [i for i, t in enumerate(texts) if not self.apart or any(s in t for s in self.special)]
@@ -144,11 +174,9 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, key: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = text_encoder(sent.value)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            for part in slices(texts, len, _AT_ONCE):
-                made = [frame(pack(k, np.frombuffer(x + last, "<u4"))) for k, x in zip(keys[at : at + len(part)], coder.encode(part))]
-                at += len(part)
+            for at in range(0, batch.num_rows, _ROWS):
+                keys, texts = (c.to_pylist() for c in batch.slice(at, _ROWS).columns)
+                made = [frame(pack(k, np.frombuffer(x + last, "<u4"))) for k, x in zip(keys, coder.encode(texts))]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
     dealt.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)

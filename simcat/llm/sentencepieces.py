@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-import struct
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -90,7 +90,8 @@ class PieceCoder:
             else:
                 out += [self.bytes[b] for b in reversed(token.encode())]
             at -= len(token)
-        return struct.pack(f"<{len(out)}I", *out[::-1])
+        out.reverse()
+        return array("I", out).tobytes()
 
     def units(self, text: str) -> list[str]:
         if not text:
