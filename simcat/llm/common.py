@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simcat.session import configure, shared_dir
+from simcat import session
+from simcat.session import shared_dir
 
 #: ASCII white space that separates words and is stripped from lines.
 SPACES = " \t\n\x0b\x0c\r"
@@ -18,6 +19,14 @@ UNICODE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 __all__ = ["SPACES", "UNICODE_SPACE", "WORD", "configure", "materialise", "read_table", "shared_dir", "split_words", "tmp_names", "unit_hash", "without"]
 
 
+def configure(spark: SparkSession) -> None:
+    """Session settings of these operators: rows hold whole texts, so an Arrow batch is bounded in
+    rows and in bytes."""
+    session.configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: cuts the lineage, and a lost
     executor costs a re-read, not a recomputation."""
