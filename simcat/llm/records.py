@@ -115,7 +115,7 @@ class TextEncoder:
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.sizes[i] = len(token)  # a byte-level token has a character per byte
-        self.memo = Memo(self._units)
+        self.memo = Memo(self._units, cap=500_000)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
