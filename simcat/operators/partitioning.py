@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_partitions`` tasks (default: the cluster's
-    parallelism) before a CPU-bound stage, but only when its input has fewer splits.
+def spread(df: DataFrame, min_partitions: int) -> DataFrame:
+    """Round-robin a small ``df`` over ``min_partitions`` tasks before a CPU-bound stage.
+
+    For inputs that are known to be one or a few files of one row group, which no scan
+    setting can split. The number is the caller's and doesn't follow the cluster: an input
+    with as many splits is returned unchanged, so nothing large is ever shuffled by this.
 
     Call it on a scan (or a scan plus narrow projections/filters), where counting
-    splits is free; a big input already has thousands of splits and is returned
-    unchanged (no shuffle), while a small file with one row group would otherwise
-    run the whole stage in a single task."""
+    splits is free."""
     if df.isStreaming:
         return df  # a stream's partitioning is set per micro-batch by its source
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if df.rdd.getNumPartitions() >= min_partitions:
         return df
-    return df.repartition(target)
+    return df.repartition(min_partitions)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simcat import params as P
+from simcat.session import shared_dir
 
 
 def load_report(outcomes: DataFrame) -> DataFrame:
@@ -34,16 +35,16 @@ def batch_progress(outcomes: DataFrame, batch_size: int = P.LOAD_BATCH_SIZE) ->
 
 
 def failure_sample(outcomes: DataFrame, n: int = P.FAILURE_SAMPLE) -> DataFrame:
-    """A-4: the first ``n`` failures in file order (top-k, no full sort) + how many more."""
-    failed = F.col("reason").isNotNull()
-    # Failures sort first; a top-k over (not failed, record_no) then drops successes
-    # after the limit, so no filter sits under the formatting projection.
-    first = (outcomes.select("record_no", "id", "reason")
-             .orderBy((~failed).asc(), F.col("record_no").asc()).limit(n)
-             .filter(failed))
-    # A scalar subquery: evaluated once as its own aggregate, no join.
-    more = outcomes.agg(F.greatest(F.count_if(failed) - n, F.lit(0))).scalar()
-    return first.select("record_no", "id", "reason", more.cast("long").alias("more"))
+    """A-4: the first ``n`` failures in file order (top-k, no full sort) + how many more.
+
+    The failures (record_no, id, reason) are written below the shared folder first, in one
+    pass over ``outcomes``; the count and the top-k read that narrow table."""
+    spark, path = outcomes.sparkSession, shared_dir(outcomes.sparkSession, "failures")
+    failed = outcomes.filter(F.col("reason").isNotNull()).select("record_no", "id", "reason")
+    failed.write.parquet(path)
+    failed = spark.read.schema(failed.schema).parquet(path)
+    more = failed.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0))).scalar()
+    return failed.orderBy("record_no").limit(n).select("record_no", "id", "reason", more.cast("long").alias("more"))
 
 
 def search_run_report(catalog: DataFrame, embedder, n: int = P.SEARCH_RUN_SIZE, k: int = P.SEARCH_RUN_K) -> DataFrame:
@@ -54,8 +55,11 @@ def search_run_report(catalog: DataFrame, embedder, n: int = P.SEARCH_RUN_SIZE,
     from simcat.operators.search import prepare_queries, search
 
     # The query set feeds three plans (the size-checked query fetch, the per-query
-    # join and the rejects); it is at most ``n`` rows, so keep it after one top-n.
-    first = catalog.select("id", "text").orderBy("id").limit(n).persist()
+    # join and the rejects); it is at most ``n`` rows, written after one top-n.
+    spark, path = catalog.sparkSession, shared_dir(catalog.sparkSession, "search-run")
+    first = catalog.select("id", "text").orderBy("id").limit(n)
+    first.write.parquet(path)
+    first = spark.read.schema(first.schema).parquet(path)
     q = first.select(F.col("id").alias("qid"), "text", F.lit(k).cast("int").alias("top_k"))
     valid, rejects = prepare_queries(q)
     qv = embedder.embed(valid, "text", "vector")

@@ -249,17 +249,13 @@ def search(queries: DataFrame, catalog: DataFrame, params: P.Params = P.DEFAULT,
     fetched = None
     dim = None
     if plan in ("auto", "broadcast"):
-        # Size check without an unbounded collect: fetch at most the number of rows
-        # the budget allows at the largest dimension; only if that many exist, look
-        # at the real dimension and fetch up to its (larger) row budget. Rows come
-        # back as Arrow (columnar, straight into numpy), not as Python rows.
-        floor_rows = max(1, params.broadcast_query_bytes // (8 * 4096))
-        fetched = q.limit(floor_rows + 1).toArrow()
-        lengths = pc.list_value_length(fetched.column("vector").combine_chunks())
-        dim = lengths[0].as_py() if fetched.num_rows and lengths[0].is_valid else params.vector_dim
-        max_rows = max(1, params.broadcast_query_bytes // (8 * max(dim, 1)))
-        if fetched.num_rows > floor_rows and max_rows > floor_rows:
-            fetched = q.limit(max_rows + 1).toArrow()
+        # Size check without an unbounded collect: the dimension comes from one row, then
+        # one row more than the budget allows is fetched. Rows come back as Arrow
+        # (columnar, straight into numpy), not as Python rows.
+        first = q.select(F.size("vector").alias("d")).limit(1).collect()
+        dim = first[0]["d"] if first and first[0]["d"] and first[0]["d"] > 0 else params.vector_dim
+        max_rows = max(1, params.broadcast_query_bytes // (8 * dim))
+        fetched = q.limit(max_rows + 1).toArrow()
         if fetched.num_rows > max_rows:
             if plan == "broadcast":
                 raise ValueError(f"{fetched.num_rows}+ queries exceed the broadcast budget of {max_rows}")

@@ -18,7 +18,7 @@ from simcat import params as P
 from simcat.functions.vector import l2_normalize
 from simcat.operators import catalog as C
 from simcat.operators.embed import HashingEmbedder, ModelEmbedder, mean_pool
-from simcat.plans.fixtures import (HASH_DIM, SAMPLE_SEED, documents_catalog, embeddings_catalog,
+from simcat.plans.fixtures import (FIXTURE_TASKS, HASH_DIM, SAMPLE_SEED, documents_catalog, embeddings_catalog,
                                    hashing_embedder, sql_hash_vectors, table)
 from simcat.operators.partitioning import spread
 from simcat.session import shared_dir
@@ -32,7 +32,7 @@ def events_feed(spark: SparkSession, sf_dir: str, where: Column | None = None) -
     """The upsert feed from ``events``; ``where`` filters the raw table first, so a
     predicate on its columns (e.g. a ``ts`` range) reaches the Parquet scan."""
     e = table(spark, sf_dir, "events")
-    e = spread(e.filter(where) if where is not None else e)
+    e = spread(e.filter(where) if where is not None else e, FIXTURE_TASKS)
     return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"),
                     F.col("event_type").alias("text"), C.epoch_seconds(F.col("ts")).alias("ts"),
                     F.coalesce(F.col("ts") < F.lit(CUT).cast("timestamp_ntz"), F.lit(False)).alias("before_cut"))

@@ -13,6 +13,8 @@ from simcat.operators.embed import HashingEmbedder
 from simcat.operators.partitioning import spread
 
 HASH_DIM = 64
+# The fixture tables are single files of one row group.
+FIXTURE_TASKS = 8
 SAMPLE_SEED = 42
 
 
@@ -38,13 +40,13 @@ def embeddings_catalog(spark: SparkSession, sf_dir: str, with_text: bool = False
 def documents_catalog(spark: SparkSession, sf_dir: str, embedder=None) -> DataFrame:
     """Catalog (id, text, vector) from ``documents`` through the hashing embedder."""
     embedder = embedder or hashing_embedder()
-    docs = spread(table(spark, sf_dir, "documents")).select((F.col("doc_id") + 1).alias("id"), "text")
+    docs = spread(table(spark, sf_dir, "documents"), FIXTURE_TASKS).select((F.col("doc_id") + 1).alias("id"), "text")
     return embedder.embed(docs, "text", "vector")
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str, embedder=None, k=None) -> DataFrame:
     """Queries (qid, text, top_k) from ``benchmark``; text is not stripped (as in search)."""
-    b = spread(table(spark, sf_dir, "benchmark"))
+    b = spread(table(spark, sf_dir, "benchmark"), FIXTURE_TASKS)
     return b.select(F.col("item_id").alias("qid"), F.col("text"),
                     (F.lit(k) if k is not None else F.lit(None)).cast("int").alias("top_k"))
 

@@ -16,7 +16,7 @@ from simcat.functions import text as T
 from simcat.operators.partitioning import spread
 from simcat.operators.products import format_products, load_outcomes
 from simcat.operators.report import batch_progress, failure_sample, load_report
-from simcat.plans.fixtures import table
+from simcat.plans.fixtures import FIXTURE_TASKS, table
 from simcat.session import shared_dir
 from simcat.sources.jsonl import read_products, write_jsonl
 
@@ -62,7 +62,7 @@ def part_attributes(spark: SparkSession, sf_dir: str, cap: int = P.ATTRIBUTE_CAP
 
     ``row_number() <= cap`` plans a partial WindowGroupLimit before the shuffle, so
     a part holding a third of all line items ships at most ``cap`` rows per map task."""
-    li = spread(table(spark, sf_dir, "lineitem"))
+    li = spread(table(spark, sf_dir, "lineitem"), FIXTURE_TASKS)
     # (order key, line number) is not unique in the fixture: the rendered value breaks ties.
     w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "v")
     first = (li.select("l_partkey", "l_orderkey", "l_linenumber",
@@ -93,7 +93,7 @@ def part_products(spark: SparkSession, sf_dir: str, variants: bool = False) -> D
     the whole table: 1 = every part blank, 2 = a title over 100,000 characters,
     3 = no id, 4 = negative id; key 0 itself is an invalid id."""
     # Spread the part scan: the formatting after the (broadcast) joins is CPU-bound.
-    p = spread(table(spark, sf_dir, "part"))
+    p = spread(table(spark, sf_dir, "part"), FIXTURE_TASKS)
     g = table(spark, sf_dir, "pages").select("page_id", "html")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     a = part_attributes(spark, sf_dir)
@@ -174,7 +174,7 @@ SELECT CAST(id AS BIGINT) AS id, {_SQL_TEXT_OF_PROD} AS text FROM prod
 
 def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-2 + P-3 + P-4 on every page: tags out, whitespace collapsed, 2000 code points."""
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = spread(table(spark, sf_dir, "pages"), FIXTURE_TASKS)
     return pages.select("page_id", T.empty_to_null(T.clean_description(F.col("html"))).alias("description"))
 
 

@@ -104,3 +104,35 @@ def test_non_object_records_are_rejected_not_fatal(spark):
     records, _ = read_products(spark, path)
     got = {r.record_no: r.reason for r in load_outcomes(records).collect()}
     assert got == {1: "Record is not a JSON object", 2: "Record is not a JSON object", 3: None}
+
+
+def test_numbers_hold_over_many_splits_and_a_shuffled_join(spark, tmp_path):
+    import json
+
+    n, expect, line_no = 0, [], 0
+    for part in range(4):
+        rows = []
+        for i in range(300 if part % 2 else 40):
+            line_no += 1
+            kind = (i + part) % 9
+            if kind == 3:
+                rows.append("{broken")
+            elif kind == 5:
+                rows.append("  ")
+            else:
+                n += 1
+                expect.append((n, line_no, str(n)))
+                rows.append(json.dumps({"id": n, "title": "t" * (i % 50)}))
+        (tmp_path / f"part-{part:02d}.jsonl").write_text("\n".join(rows) + "\n")
+    conf = {"spark.sql.files.maxPartitionBytes": "1500", "spark.sql.files.openCostInBytes": "100", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        records, malformed = read_products(spark, str(tmp_path))
+        got = sorted((r.record_no, r.line_no, r.id) for r in records.collect())
+        bad = malformed.count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == expect and bad == sum((i + p) % 9 == 3 for p in range(4) for i in range(300 if p % 2 else 40))
