@@ -5,10 +5,11 @@ the pieces lists the tokens that end at each character; the one that is compatib
 the last token of the prefix before it is the entry. Ids are read backwards from the end. A
 character without a piece is a token by itself, written as its bytes.
 
-No piece of the vocabulary has a space mark after another character, so tokens never cross from a
-word into the next space: a text is cut before such marks, and a cut's ids are kept in a bounded
-memo per Python worker. Models whose pieces do cross are encoded uncut. The model's bytes are
-read on the driver and broadcast.
+Where no piece of the vocabulary holds two neighbouring characters, no token can cross between
+them. So a text is cut before a space mark that follows another character, and after a run of
+Latin letters that an ASCII character follows, as far as the vocabulary allows it (checked when
+it is loaded); a cut's ids are kept in a bounded memo per Python worker. The model's bytes are read on
+the driver and broadcast.
 
 Supported are BPE models with identity normalisation, byte fallback and a dummy prefix, the
 kind of the given file; others raise an error when loaded.
@@ -36,6 +37,7 @@ from .bpe import Memo, Merges, slices
 from .common import without
 
 MARK = "▁"
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Characters of texts that are encoded at once.
 _AT_ONCE = 1 << 20
 _LOADED: dict[bytes, PieceCoder] = {}
@@ -54,7 +56,7 @@ class PieceCoder:
         self.ids = {p.id_to_piece(i): i for i in range(n) if i not in special}
         self.bytes = [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.scores = {piece: -p.get_score(i) for piece, i in self.ids.items()}
-        self.cuttable = not any(MARK in piece.lstrip(MARK) for piece in self.ids)
+        self.cuts = self._cuts()
         self.merges = Merges(lambda a, b: self.scores.get(a + b))
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
@@ -63,6 +65,15 @@ class PieceCoder:
         self.automaton.make_automaton()
         self.memo = Memo(lambda units: [self.unit(u) for u in units])
 
+    def _cuts(self) -> re.Pattern | None:
+        """Finds the units of a text; None if tokens may cross from a word into the next space."""
+        pairs = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
+        if any(b == MARK != a for a, b in pairs):
+            return None
+        after = {b for a, b in pairs if re.match(f"[{_LATIN}]", a)}
+        ends = "".join(re.escape(chr(c)) for c in range(128) if not chr(c).isalpha() and chr(c) not in after)
+        return re.compile(f"{MARK}*[{_LATIN}]+(?=[{ends}{MARK}]|$)|{MARK}+[^{MARK}]*|[^{MARK}]+")
+
     def unit(self, text: str) -> bytes:
         """The ids of normalised text, as little-endian unsigned 32-bit integers."""
         last: list[str | None] = [None] * (len(text) + 1)
@@ -97,7 +108,7 @@ class PieceCoder:
         if not text:
             return []
         text = MARK + text.replace(" ", MARK)
-        return _CUT.findall(text) if self.cuttable else [text]
+        return self.cuts.findall(text) if self.cuts else [text]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with begin and end, as little-endian unsigned 32-bit integers."""
@@ -108,10 +119,6 @@ class PieceCoder:
         return self.library.decode(np.frombuffer(ids, "<u4").tolist())
 
 
-#: A run of space marks with the characters up to the next mark.
-_CUT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-
-
 def coder(model: bytes) -> PieceCoder:
     """The coder of a model, loaded once in each Python worker."""
     key = hashlib.sha256(model).digest()
