@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,7 +127,7 @@ class TokenCounter:
     """Counts tokens as the tokenizer of a JSON file does."""
 
     def __init__(self, file: bytes):
-        spec = json.loads(file)
+        spec, self.library = json.loads(file), tokenizers.Tokenizer.from_buffer(file)
         model, norm = spec["model"], [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         if model["type"] != "BPE" or norm != ["NFC", "Replace", "Lowercase"] or not model["end_of_word_suffix"] or model.get("ignore_merges"):
             raise ValueError("needs a byte-level BPE with NFC, lower case and an end-of-word suffix")
@@ -150,6 +151,16 @@ class TokenCounter:
         out = "".join(map(_SYMBOLS.__getitem__, token[: -len(self.end)] if ends else token))
         return out[:-1] + chr(ord(out[-1]) + 256) if ends else out
 
+    def _words(self, part: str) -> list[str]:
+        """The words of a chunk, as symbols."""
+        if not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part):
+            # characters newer than this Python's Unicode: the library knows their kind and case
+            text = self.library.normalizer.normalize_str(part)
+            return ["".join(map(_SYMBOLS.__getitem__, word)) for word, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        part = unicodedata.normalize("NFC", part)
+        part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
+        return [part[m.start() : m.end()].encode().decode("latin-1") for m in self.word.finditer(_shape(part))]
+
     def chunk(self, chunk: str) -> int:
         """The count that a chunk's state map carries from start to start."""
         total, machine = 0, self.machine
@@ -157,13 +168,10 @@ class TokenCounter:
             if i % 2:
                 total += 1
                 continue
-            part = unicodedata.normalize("NFC", part)
-            part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
-            for found in self.word.finditer(_shape(part)):
-                word = part[found.start() : found.end()]
+            for symbols in self._words(part):
                 if len(machine.states) > machine.limit:
                     machine.reset()
-                symbols, state, count = word.encode().decode("latin-1"), 0, 0
+                state = count = 0
                 for at in range(0, len(symbols) - 1, PIECE):
                     state, n = machine.run(symbols[at : min(at + PIECE, len(symbols) - 1)], state)
                     count += n

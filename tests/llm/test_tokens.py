@@ -114,3 +114,10 @@ def test_memo_is_bounded_and_right():
     assert memo.values([["a", "bb"], [], ["bb", "ccc"]]) == [[1, 2], [], [2, 3]]
     assert memo.values([["dddd", "a"]]) == [[4, 1]] and len(memo.known) == 3
     assert memo.values([["dddd"]]) == [[4]] and calls == [3, 1, 1]
+
+
+def test_every_code_point(word, counter, piece, coder):
+    for plane in (0, 1):
+        texts = [f"a{chr(c)}b {chr(c)}" for c in range(plane << 16, (plane + 1) << 16) if not 0xD800 <= c < 0xE000]
+        assert counter.count_many(texts) == [len(x.ids) for x in word.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode_many(texts)] == piece.encode(texts, add_bos=True, add_eos=True)
