@@ -2,10 +2,16 @@
 
 Stages run in order; each one's result is written as Parquet and read back as the next one's
 documents. All but the last keep the columns of ``documents``; ``n_chars`` follows the text.
+
+Defined results: nulls in any column, empty tables and repeated rows pass every stage as the
+operators define it; further columns of any name pass through all stages but the last.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,31 +21,47 @@ from simcat.llm import linededup, mixing, sentencepieces, simhash, toxicity
 from simcat.llm.common import configure, materialise, read_table
 
 
+#: Columns that stages read or change.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Run a stage with all further columns under names that no operator uses."""
+
+    @wraps(stage)
+    def run_apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        configure(spark)
+        aside = {c: f"_further_{i}" for i, c in enumerate(docs.columns) if c not in COLUMNS}
+        out = stage(spark, docs.withColumnsRenamed(aside), sf_dir)
+        return out.select(*[aside.get(c, c) for c in docs.columns]).withColumnsRenamed({v: k for k, v in aside.items()})
+
+    return run_apart
+
+
+@_apart
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects (score 0.5 or more) go."""
-    configure(spark)
-    scored = toxicity.fit_and_score(docs, read_table(spark, sf_dir, "labels"), name="_toxic")
-    return scored.filter("_toxic < 0.5").select(*docs.columns)
+    return toxicity.fit_and_score(docs, read_table(spark, sf_dir, "labels")).filter("score < 0.5")
 
 
+@_apart
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that 10 documents or more share go from all of them; no document goes."""
-    configure(spark)
     kept = linededup.LineDedup(spark).insert(docs).apply(docs)
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+@_apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of fingerprints within 3 bits (3-word shingles) stays."""
-    configure(spark)
     return simhash.keep_one(docs)
 
 
+@_apart
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens meet the raked source, language and topic shares."""
-    configure(spark)
     topics = mixing.with_topic(docs, read_table(spark, sf_dir, "embeddings"))
-    return mixing.mix(topics, ["source", "lang", "topic"]).filter("sampled").select(*docs.columns)
+    return mixing.mix(topics, ["source", "lang", "topic"]).filter("sampled")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,14 @@ def test_awkward_documents_pass_every_stage(spark, sf):
     assert [t.count() for t in run_stages(spark, docs.limit(0), sf)] == [0] * 6
 
 
+def test_further_columns_pass_whatever_their_names(spark, sf):
+    names = ["score", "topic", "sampled", "n_tokens", "n_lines", "fp", "t", "row", "digests", "weight"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30).selectExpr("*", *[f"doc_id * {i + 2} as `{n}`" for i, n in enumerate(names)])
+    for table in run_stages(spark, docs, sf)[:-1]:
+        assert table.columns == docs.columns
+        assert all(r[n] == r.doc_id * (i + 2) for r in table.collect() for i, n in enumerate(names))
+
+
 def test_mix_rate_is_the_largest_probability(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     top = max(r.probability for r in mixing.mix(docs, ["source", "lang"], rate=0.5).collect())
