@@ -130,15 +130,18 @@ def merge_upserts(catalog: DataFrame, folded: DataFrame) -> DataFrame:
     rows. Rows without seq bookkeeping count as older than any feed, and stay so:
     no feed, however early, sets their first seq or created_at. Ids absent
     from the feed keep their row. Both sides hold one row per id, so the join
-    cannot skew. Output keeps ``first_seq`` / ``last_seq`` bookkeeping."""
+    cannot skew. Output keeps ``first_seq`` / ``last_seq`` bookkeeping. When both sides
+    carry a ``bucket`` (a function of the id) the join is on (bucket, id) and keeps it."""
     has_book = "last_seq" in catalog.columns
-    c = catalog.select(*[F.col(x).alias(f"c_{x}") for x in CATALOG_COLUMNS],
+    bucket = ["bucket"] if "bucket" in catalog.columns and "bucket" in folded.columns else []
+    c = catalog.select(*[F.col(x).alias(f"c_{x}") for x in CATALOG_COLUMNS + bucket],
                        *([F.col("first_seq").alias("c_first_seq"), F.col("last_seq").alias("c_last_seq")]
                          if has_book else [F.lit(None).cast("long").alias("c_first_seq"),
                                            F.lit(None).cast("long").alias("c_last_seq")]))
     f = folded.select(*[F.col(x).alias(f"f_{x}") for x in
-                        ["id", "n", "text", "vector", "t0", "t1", "first_seq", "last_seq"]])
-    j = c.join(f, F.col("c_id") == F.col("f_id"), "full_outer")
+                        ["id", "n", "text", "vector", "t0", "t1", "first_seq", "last_seq"] + bucket])
+    on = [F.col(f"c_{x}") == F.col(f"f_{x}") for x in [*bucket, "id"]]
+    j = c.join(f, on, "full_outer")
     col = F.col
     in_feed = col("f_id").isNotNull()
     in_cat = col("c_id").isNotNull()
@@ -156,6 +159,7 @@ def merge_upserts(catalog: DataFrame, folded: DataFrame) -> DataFrame:
         F.when(in_cat & col("c_first_seq").isNull(), F.lit(None))
         .otherwise(F.least(col("c_first_seq"), col("f_first_seq"))).cast("long").alias("first_seq"),
         F.greatest(col("c_last_seq"), col("f_last_seq")).cast("long").alias("last_seq"),
+        *[F.coalesce(col("f_bucket"), col("c_bucket")).alias(b) for b in bucket],
     )
 
 

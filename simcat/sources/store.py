@@ -35,6 +35,7 @@ from simcat.operators.catalog import CATALOG_COLUMNS, empty_table, merge_upserts
 
 BOOKKEEPING = ["first_seq", "last_seq"]
 DEFAULT_BUCKETS = 16
+_SUBSET_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def bucket_of(id_col, buckets: int):
@@ -147,11 +148,11 @@ class CatalogStore:
     def _write_buckets(self, df: DataFrame, data_dir: str) -> tuple[list[int], int]:
         """Write ``df`` bucketed; returns (buckets written, rows written)."""
         out = f"{self.root}/data/{data_dir}"
-        b = bucket_of(F.col("id"), self.buckets)
         written = Observation()
-        staged = df.observe(written, F.count(F.lit(1)).alias("rows")).withColumn("bucket", b)
-        (staged.repartition("bucket").sortWithinPartitions("id")
-         .write.mode("errorifexists").partitionBy("bucket").parquet(out))
+        staged = df.observe(written, F.count(F.lit(1)).alias("rows"))
+        if "bucket" not in df.columns:  # else its rows already lie by bucket
+            staged = staged.withColumn("bucket", bucket_of(F.col("id"), self.buckets)).repartition("bucket")
+        staged.sortWithinPartitions("bucket", "id").write.mode("errorifexists").partitionBy("bucket").parquet(out)
         listing = self._fs.listStatus(self._Path(out)) if self._fs.exists(self._Path(out)) else []
         buckets = sorted(int(s.getPath().getName().split("=")[1]) for s in listing
                          if s.getPath().getName().startswith("bucket="))
@@ -220,9 +221,18 @@ class CatalogStore:
         if existing:
             replaced = Observation()
             current = current.observe(replaced, F.count(F.lit(1)).alias("rows"))
-        merged = merge_upserts(current, folded)
+        # Both sides are dealt by bucket once: the join on (bucket, id) and the write by
+        # bucket then need no further exchange. Spark must be told that a partitioning
+        # by part of the join keys will do.
+        by_bucket = bucket_of(F.col("id"), self.buckets)
+        merged = merge_upserts(*[x.withColumn("bucket", by_bucket).repartition("bucket") for x in (current, folded)])
         data_dir = f"v{version:06d}-{uuid.uuid4().hex}"
-        written, rows = self._write_buckets(merged, data_dir)
+        conf, was = self.spark.conf, self.spark.conf.get(_SUBSET_KEYS)
+        conf.set(_SUBSET_KEYS, "false")
+        try:
+            written, rows = self._write_buckets(merged, data_dir)
+        finally:
+            conf.set(_SUBSET_KEYS, was)
         for b in written:
             manifest[b] = data_dir
         total = None

@@ -86,3 +86,24 @@ def test_mean_pool_keeps_a_token_one_row(spark):
     p = plan(pooled)
     assert {r.doc: r.vector for r in pooled.collect()} == {1: [1.0, 2.0], 2: [0.0, 0.0]}
     assert "Generate" not in p and "SortAggregate" not in p and p.count("HashAggregate") == 2
+
+
+def test_merge_deals_each_side_once(spark, monkeypatch):
+    from simcat.session import shared_dir
+    from simcat.sources.store import CatalogStore
+
+    rows = [(s, s % 40 + 1, f"t{s}", s, [1.0]) for s in range(80)]
+    feed = C.fold_upserts(spark.createDataFrame(rows, "seq long, id long, text string, ts long, vector array<float>"))
+    store = CatalogStore(spark, shared_dir(spark, "test-merge-plan"), buckets=4)
+    store.merge(feed)
+    plans, real = [], CatalogStore._write_buckets
+    monkeypatch.setattr(CatalogStore, "_write_buckets", lambda self, df, d: plans.append(plan(df)) or real(self, df, d))
+    feed = spark.createDataFrame(feed.collect(), feed.schema)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store.merge(feed)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plans[0].count("Exchange") == 2 and "REPARTITION_BY_COL" in plans[0]
+    assert store.count() == 40 and {r["count"] for r in store.read().collect()} == {4}
