@@ -9,9 +9,10 @@ and the transition on a word's last byte, which has its own symbol, carries the
 count and leads back to the start. States and transitions are made when they are first
 taken, and all dropped when there are too many.
 
-A text is a sequence of chunks between white space, which belongs to no token. A chunk's
-state map leads from the start to the start with a count, computed once and kept in a bounded
-memo; the maps of a text compose by a scan over blocks of chunks, then over the blocks. A chunk
+A text is a sequence of chunks: runs of Latin letters that white space or other ASCII
+follows, where a word always ends, and else what stands between white space, which belongs to
+no token. A chunk's state map leads from the start to the start with a count, computed once
+and kept in a bounded memo; the maps of a text compose by a scan over blocks of chunks, then over the blocks. A chunk
 that is longer than ``PIECE`` is run in pieces whose maps go from state to state.
 
 The tokenizer file is read on the driver and broadcast. Supported are files like the given one:
@@ -41,8 +42,8 @@ from .common import UNICODE_SPACE, without
 
 #: Bytes of a chunk that one state map covers; states kept; characters counted at once.
 PIECE, STATES, _AT_ONCE = 1 << 16, 200_000, 1 << 20
-_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-_CHUNK = re.compile(f"[^{UNICODE_SPACE}]+")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_CHUNK = re.compile(f"[{_LATIN}]+(?=[\x00-@\\[-`{{-\x7f]|$)|[^{UNICODE_SPACE}]+")
 _LOADED: dict[bytes, TokenCounter] = {}
 
 
@@ -179,7 +180,7 @@ class TokenCounter:
         return total
 
     def chunks(self, text: str) -> list[str]:
-        return _CHUNK.findall(text) if _ODD_SPACE.search(text) else text.split()
+        return _CHUNK.findall(text)
 
     def count_many(self, texts: list[str]) -> list[int]:
         return [scan(maps)[-1] if maps else 0 for maps in self.memo.values([self.chunks(t) for t in texts])]
