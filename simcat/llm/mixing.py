@@ -11,6 +11,10 @@ with the number of different margins; it is aggregated before any shuffle of its
 hot source is one row per task. It is written once, so every later read, and every repeated
 task, sees the same probabilities to the last bit.
 
+``mix`` scales to the largest probability, so its size follows from the rarest cell. ``mix_to_budget``
+is given the size: expected tokens meet a budget, no probability exceeds ``rate``, and a target that
+would need more than that is lowered to what its own documents hold; the others take up the rest.
+
 Targets are tempered shares (share ** power, power 1 keeps the mix, 0 makes it even), or a
 table per margin given by the caller.
 
@@ -32,6 +36,8 @@ from .common import WORD, materialise, tmp_names, unit_hash, without
 ROUNDS = 10
 POWER = 0.85
 RATE = 1.0
+#: Share of all tokens that a mix to a budget has by default.
+KEEP = 0.8
 SEED = 7
 
 
@@ -92,6 +98,65 @@ def mix(docs: DataFrame, margins: Sequence[str], text: str = "text", key: str =
     return joined.withColumn("sampled", draw < F.col("probability"))
 
 
+def fill(table: DataFrame, wanted: str, most: str, budget: float) -> float:
+    """The factor c for which the sum of least(most, c * wanted) is ``budget``; infinite if all ``most``
+    don't exceed it. ``table`` is read once a step, with more of its rows at their most in each."""
+    c, full = 0.0, -1
+    while True:
+        at_most = F.col(wanted) * F.lit(c) >= F.col(most)
+        n, held, open_ = table.agg(F.count_if(at_most), F.sum(F.when(at_most, F.col(most))), F.sum(F.when(~at_most, F.col(wanted)))).first()
+        if n == full:
+            return c
+        if not open_ or (held or 0.0) >= budget:
+            return float("inf")
+        c, full = (budget - (held or 0.0)) / open_, n
+
+
+def rake_to_budget(cells: DataFrame, margins: Sequence[str], tokens: str, budget: float, power: Mapping[str, float] | float = POWER, targets: Mapping[str, DataFrame] | None = None, rate: float = RATE, rounds: int = ROUNDS) -> DataFrame:
+    """Add ``weight``, the expected tokens of each cell, and ``probability``: weights sum to ``budget``,
+    and none exceeds ``rate`` times its cell's tokens. ``cells`` is read often: pass a written table."""
+    most = F.lit(float(rate)) * F.col(tokens)
+    total = cells.agg(F.sum(tokens)).first()[0] or 1
+    out = cells.withColumn("_free", F.lit(budget / total) * F.col(tokens)).withColumn("_most", most)
+    goals = []
+    for k, m in enumerate(margins):
+        p = power[m] if isinstance(power, Mapping) else power
+        values = cells.groupBy(F.col(m).alias("_value")).agg((F.sum(tokens) / F.lit(float(total))).alias("_had"), F.sum(most).alias("_room"))
+        goal = F.pow("_had", F.lit(float(p)))
+        if targets and m in targets:
+            given = targets[m].select(F.col(m).alias("_given"), F.col("share").cast("double").alias("_share"))
+            values = values.join(given, F.col("_value").eqNullSafe(F.col("_given")), "left")
+            goal = F.coalesce("_share", "_had")
+        values = materialise(values.select("_value", "_room", goal.alias("_wanted")), "mix-goals")
+        c = fill(values, "_wanted", "_room", budget)
+        goals.append((f"_goal_{k}", Window.partitionBy(m)))
+        out = out.join(values.select("_value", F.least(F.col("_room"), F.col("_wanted") * F.lit(c)).alias(goals[-1][0])), F.col(m).eqNullSafe(F.col("_value"))).drop("_value")
+    for _ in range(rounds):
+        for goal, own in goals:
+            out = out.withColumn("_free", F.col("_free") * F.col(goal) / F.sum(F.least("_free", "_most")).over(own))
+    out = materialise(out.select(*cells.columns, "_free", "_most"), "mix-budget")
+    c = fill(out, "_free", "_most", budget)
+    out = out.withColumn("weight", F.least(F.col("_most"), F.col("_free") * F.lit(c)))
+    return out.withColumn("probability", F.col("weight") / F.col(tokens)).drop("_free", "_most")
+
+
+def mix_to_budget(docs: DataFrame, margins: Sequence[str], text: str = "text", key: str = "doc_id", budget: float | None = None, power: Mapping[str, float] | float = POWER, targets: Mapping[str, DataFrame] | None = None, rate: float = RATE, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+    """As ``mix``, with ``budget`` expected tokens (``KEEP`` of all by default); weight is the cell's
+    expected tokens."""
+    tokens = "n_tokens"
+    docs = without(docs, tokens, "weight", "probability", "sampled")
+    (cell,) = tmp_names(docs.columns, "cell")
+    counted = docs.withColumn(tokens, token_weight(F.col(text)))
+    cells = materialise(cell_counts(counted, margins, tokens), "mix-cells")
+    if budget is None:
+        budget = KEEP * (cells.agg(F.sum(tokens)).first()[0] or 0)
+    rates = materialise(rake_to_budget(cells, margins, tokens, budget, power, targets, rate, rounds), "mix-rates")
+    rates = rates.select(F.struct(*margins).alias(cell), "weight", "probability")
+    joined = counted.join(rates, F.struct(*[counted[m] for m in margins]).eqNullSafe(rates[cell]), "left").drop(cell)
+    draw = unit_hash(seed, F.col(key), F.when(F.col(key).isNull(), F.col(text)))
+    return joined.withColumn("sampled", draw < F.col("probability"))
+
+
 def with_topic(docs: DataFrame, vectors: DataFrame, key: str = "doc_id", vec_key: str = "vec_id", label: str = "label", topic: str = "topic") -> DataFrame:
     """``docs`` with the label of the vector of the same id as topic, 'none' without one."""
     docs = without(docs, topic)

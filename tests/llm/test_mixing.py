@@ -78,3 +78,59 @@ def test_topics_do_not_multiply_rows(spark):
     vectors = spark.createDataFrame([(1, 4), (1, 2), (9, 1), (None, 5)], "vec_id long, label int")
     out = mixing.with_topic(docs, vectors)
     assert sorted(r.topic for r in out.collect()) == ["none", "none", "t2", "t2"]
+
+
+def corpus(rng, n=4000):
+    """(id, text, lang, source): skewed, every cell large."""
+    return [(i, "word " * int(rng.integers(5, 60)), ["en", "en", "en", "de"][i % 4], f"s{int(rng.integers(3)) ** 2 // 2}") for i in range(n)]
+
+
+DOCS = "doc_id long, text string, lang string, source string"
+
+
+def test_a_budget_is_met_and_strays_move_only_themselves(spark):
+    rng = np.random.default_rng(5)
+    rows = corpus(rng)
+    strays = [(10**6, "word " * 50, "xx", "s0"), (10**6 + 1, "word " * 50, "en", "rare"), (10**6 + 2, "word " * 50, "yy", "new")]
+    kept = {}
+    for name, table in (("plain", rows), ("strays", rows + strays)):
+        out = mixing.mix_to_budget(spark.createDataFrame(table, DOCS), ["source", "lang"]).collect()
+        total = sum(r.n_tokens for r in out)
+        assert len(out) == len(table) and all(0 < r.probability <= 1 for r in out)
+        assert sum(r.n_tokens * r.probability for r in out) == pytest.approx(mixing.KEEP * total, rel=1e-9)
+        assert sum(r.n_tokens for r in out if r.sampled) == pytest.approx(mixing.KEEP * total, rel=0.03)
+        kept[name] = {r.doc_id: r.probability for r in out}
+    assert all(abs(kept["strays"][i] / p - 1) < 0.02 for i, p in kept["plain"].items())
+
+
+def test_shares_within_a_budget_equal_brute_force(spark):
+    rows = corpus(np.random.default_rng(6))
+    budget = 0.5 * sum(len(t.split()) for _, t, _, _ in rows)
+    out = mixing.mix_to_budget(spark.createDataFrame(rows, DOCS), ["source", "lang"], budget=budget, power=0.7, rounds=20).collect()
+    cells = {}
+    for _, t, la, s in rows:
+        cells[s, la] = cells.get((s, la), 0) + len(t.split())
+    targets = []
+    for m in range(2):
+        had = {}
+        for k, v in cells.items():
+            had[k[m]] = had.get(k[m], 0) + v
+        goal = {k: (v / sum(cells.values())) ** 0.7 for k, v in had.items()}
+        targets.append({k: v / sum(goal.values()) for k, v in goal.items()})
+    want = {k: v * budget for k, v in ipf(cells, 2, targets, 20).items()}
+    assert all(w < cells[k] for k, w in want.items())
+    assert all(r.weight == pytest.approx(want[r.source, r.lang], rel=1e-6) and r.probability == pytest.approx(want[r.source, r.lang] / cells[r.source, r.lang], rel=1e-6) for r in out)
+
+
+def test_a_target_beyond_its_documents_takes_all_of_them(spark):
+    rows = corpus(np.random.default_rng(7))
+    share = spark.createDataFrame([("en", 0.1), ("de", 0.9)], "lang string, share double")
+    docs = spark.createDataFrame(rows, DOCS)
+    out = mixing.mix_to_budget(docs, ["lang"], targets={"lang": share}).collect()
+    total = sum(r.n_tokens for r in out)
+    assert all(r.probability == pytest.approx(1, abs=1e-9) for r in out if r.lang == "de")
+    assert sum(r.n_tokens * r.probability for r in out) == pytest.approx(mixing.KEEP * total, rel=1e-9)
+    assert all(r.sampled for r in mixing.mix_to_budget(docs, ["lang"], budget=2 * total).collect())
+    assert mixing.mix_to_budget(docs.limit(0), ["source", "lang"]).count() == 0
+    awkward = mixing.mix_to_budget(documents(spark, extra=True), ["source", "lang"]).collect()
+    assert len(awkward) == documents(spark, extra=True).count() and all(0 < r.probability <= 1 for r in awkward)
