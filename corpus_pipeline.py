@@ -59,9 +59,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_apart
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of 80 % of the tokens that meets the raked source, language and topic shares."""
+    """A sample of 80 % of the tokens that meets the raked source, language and topic shares; documents
+    without a topic have no topic target."""
     topics = mixing.with_topic(docs, read_table(spark, sf_dir, "embeddings"))
-    return mixing.mix_to_budget(topics, ["source", "lang", "topic"]).filter("sampled")
+    return mixing.mix_to_budget(topics, ["source", "lang", "topic"], unknown={"topic": "none"}).filter("sampled")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,37 +112,42 @@ def fill(table: DataFrame, wanted: str, most: str, budget: float) -> float:
         c, full = (budget - (held or 0.0)) / open_, n
 
 
-def rake_to_budget(cells: DataFrame, margins: Sequence[str], tokens: str, budget: float, power: Mapping[str, float] | float = POWER, targets: Mapping[str, DataFrame] | None = None, rate: float = RATE, rounds: int = ROUNDS) -> DataFrame:
+def rake_to_budget(cells: DataFrame, margins: Sequence[str], tokens: str, budget: float, power: Mapping[str, float] | float = POWER, targets: Mapping[str, DataFrame] | None = None, rate: float = RATE, rounds: int = ROUNDS, unknown: Mapping[str, str] | None = None) -> DataFrame:
     """Add ``weight``, the expected tokens of each cell, and ``probability``: weights sum to ``budget``,
-    and none exceeds ``rate`` times its cell's tokens. ``cells`` is read often: pass a written table."""
+    and none exceeds ``rate`` times its cell's tokens. ``unknown[m]`` is a value of a margin that stands for
+    not known: it has no target, and the known values' targets share their part of the budget.
+    ``cells`` is read often: pass a written table."""
     most = F.lit(float(rate)) * F.col(tokens)
     total = cells.agg(F.sum(tokens)).first()[0] or 1
     out = cells.withColumn("_free", F.lit(budget / total) * F.col(tokens)).withColumn("_most", most)
     goals = []
     for k, m in enumerate(margins):
         p = power[m] if isinstance(power, Mapping) else power
-        values = cells.groupBy(F.col(m).alias("_value")).agg((F.sum(tokens) / F.lit(float(total))).alias("_had"), F.sum(most).alias("_room"))
+        known = cells.filter(~F.col(m).eqNullSafe(F.lit(unknown[m]))) if unknown and m in unknown else cells
+        part = budget * (known.agg(F.sum(tokens)).first()[0] or 0) / total
+        values = known.groupBy(F.col(m).alias("_value")).agg((F.sum(tokens) / F.lit(float(total))).alias("_had"), F.sum(most).alias("_room"))
         goal = F.pow("_had", F.lit(float(p)))
         if targets and m in targets:
             given = targets[m].select(F.col(m).alias("_given"), F.col("share").cast("double").alias("_share"))
             values = values.join(given, F.col("_value").eqNullSafe(F.col("_given")), "left")
             goal = F.coalesce("_share", "_had")
         values = materialise(values.select("_value", "_room", goal.alias("_wanted")), "mix-goals")
-        c = fill(values, "_wanted", "_room", budget)
+        c = fill(values, "_wanted", "_room", part)
         goals.append((f"_goal_{k}", Window.partitionBy(m)))
-        out = out.join(values.select("_value", F.least(F.col("_room"), F.col("_wanted") * F.lit(c)).alias(goals[-1][0])), F.col(m).eqNullSafe(F.col("_value"))).drop("_value")
+        out = out.join(values.select("_value", F.least(F.col("_room"), F.col("_wanted") * F.lit(c)).alias(goals[-1][0])), F.col(m).eqNullSafe(F.col("_value")), "left").drop("_value")
     for _ in range(rounds):
         for goal, own in goals:
-            out = out.withColumn("_free", F.col("_free") * F.col(goal) / F.sum(F.least("_free", "_most")).over(own))
+            # a value without a target has factor 1
+            out = out.withColumn("_free", F.col("_free") * F.coalesce(F.col(goal) / F.sum(F.least("_free", "_most")).over(own), F.lit(1.0)))
     out = materialise(out.select(*cells.columns, "_free", "_most"), "mix-budget")
     c = fill(out, "_free", "_most", budget)
     out = out.withColumn("weight", F.least(F.col("_most"), F.col("_free") * F.lit(c)))
     return out.withColumn("probability", F.col("weight") / F.col(tokens)).drop("_free", "_most")
 
 
-def mix_to_budget(docs: DataFrame, margins: Sequence[str], text: str = "text", key: str = "doc_id", budget: float | None = None, power: Mapping[str, float] | float = POWER, targets: Mapping[str, DataFrame] | None = None, rate: float = RATE, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """As ``mix``, with ``budget`` expected tokens (``KEEP`` of all by default); weight is the cell's
-    expected tokens."""
+def mix_to_budget(docs: DataFrame, margins: Sequence[str], text: str = "text", key: str = "doc_id", budget: float | None = None, power: Mapping[str, float] | float = POWER, targets: Mapping[str, DataFrame] | None = None, rate: float = RATE, rounds: int = ROUNDS, seed: int = SEED, unknown: Mapping[str, str] | None = None) -> DataFrame:
+    """As ``mix``, with ``budget`` expected tokens (``KEEP`` of all by default) and ``unknown`` values of
+    margins left without a target; weight is the cell's expected tokens."""
     tokens = "n_tokens"
     docs = without(docs, tokens, "weight", "probability", "sampled")
     (cell,) = tmp_names(docs.columns, "cell")
@@ -150,7 +155,7 @@ def mix_to_budget(docs: DataFrame, margins: Sequence[str], text: str = "text", k
     cells = materialise(cell_counts(counted, margins, tokens), "mix-cells")
     if budget is None:
         budget = KEEP * (cells.agg(F.sum(tokens)).first()[0] or 0)
-    rates = materialise(rake_to_budget(cells, margins, tokens, budget, power, targets, rate, rounds), "mix-rates")
+    rates = materialise(rake_to_budget(cells, margins, tokens, budget, power, targets, rate, rounds, unknown), "mix-rates")
     rates = rates.select(F.struct(*margins).alias(cell), "weight", "probability")
     joined = counted.join(rates, F.struct(*[counted[m] for m in margins]).eqNullSafe(rates[cell]), "left").drop(cell)
     draw = unit_hash(seed, F.col(key), F.when(F.col(key).isNull(), F.col(text)))

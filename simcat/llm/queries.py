@@ -35,6 +35,15 @@ def op2_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("cell_weight"), F.round("probability", 9).alias("probability"), "sampled")
 
 
+def op2_mix_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixing to 80 % of the tokens: raked source, language and, where known, topic shares."""
+    configure(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = mixing.with_topic(docs, read_table(spark, sf_dir, "embeddings"))
+    return mixing.mix_to_budget(docs, ["source", "lang", "topic"], unknown={"topic": "none"}).select(
+        "doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("cell_tokens"), F.round("probability", 9).alias("probability"), "sampled")
+
+
 def op3_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact top-k search: each 20th vector's 20 best others by integer inner product."""
     configure(spark)
@@ -100,6 +109,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {
     "op1_rendezvous_sharding": (op1_rendezvous_sharding, oracles.op1_sql(SHARDS)),
     "op2_mix_to_targets": (op2_mix_to_targets, oracles.op2_sql()),
+    "op2_mix_to_budget": (op2_mix_to_budget, None),
     "op3_impact_topk": (op3_impact_topk, oracles.OP3_SQL),
     "op4_line_dedup": (op4_line_dedup, oracles.op4_sql(linededup.THRESHOLD)),
     "op5_simhash_neardup": (op5_simhash_neardup, None),

@@ -134,3 +134,23 @@ def test_a_target_beyond_its_documents_takes_all_of_them(spark):
     assert mixing.mix_to_budget(docs.limit(0), ["source", "lang"]).count() == 0
     awkward = mixing.mix_to_budget(documents(spark, extra=True), ["source", "lang"]).collect()
     assert len(awkward) == documents(spark, extra=True).count() and all(0 < r.probability <= 1 for r in awkward)
+
+
+def test_rows_of_unknown_topic_are_drawn_as_often_as_the_others(spark):
+    rows = corpus(np.random.default_rng(8))
+    docs = spark.createDataFrame(rows, DOCS)
+    vectors = spark.createDataFrame([(i, 0 if i % 3 else i % 4) for i in range(0, len(rows), 5)], "vec_id long, label int")
+    out = mixing.mix_to_budget(mixing.with_topic(docs, vectors), ["source", "lang", "topic"], budget=50000, unknown={"topic": "none"}).collect()
+
+    def mean(of):
+        return sum(r.probability * r.n_tokens for r in of) / sum(r.n_tokens for r in of)
+
+    none, known = [r for r in out if r.topic == "none"], [r for r in out if r.topic != "none"]
+    assert len(none) == 4 * len(known)
+    assert mean(none) == pytest.approx(mean(known), rel=0.02)
+    # the topics that are known still have their tempered shares
+    total = sum(r.n_tokens for r in known)
+    goal = {t: (sum(r.n_tokens for r in known if r.topic == t) / total) ** mixing.POWER for t in {r.topic for r in known}}
+    drawn = sum(r.n_tokens * r.probability for r in known)
+    for t, g in goal.items():
+        assert sum(r.n_tokens * r.probability for r in known if r.topic == t) / drawn == pytest.approx(g / sum(goal.values()), rel=0.02)
