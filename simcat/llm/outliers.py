@@ -18,7 +18,8 @@ never a reason, even where a group hardly varies.
 
 Defined results: null and empty texts have no words and fail the base rules; null languages
 and sources are groups of their own; groups with fewer than ``LEAST`` rows that pass the base
-rules reject nothing more; equal texts in a group get equal verdicts; an empty table stays
+rules are judged by their pool's estimate if pools are given, and reject nothing more if no
+pool has that many rows either; equal texts in a group get equal verdicts; an empty table stays
 empty; columns other than the text pass through, but for those with a result's name.
 """
 
@@ -164,8 +165,11 @@ def mcd(rows: DataFrame, by: Sequence[str], share: float = SHARE, steps: int = S
     return fit.withColumn("best", best).filter("best = 1").drop("best", "start", "log_det")
 
 
-def judge(docs: DataFrame, by: Sequence[str] = ("lang", "source"), text: str = "text") -> DataFrame:
-    """``docs`` without the text, with the counts, base_failed, distance (null where there's no estimate) and kept."""
+def judge(docs: DataFrame, by: Sequence[str] = ("lang", "source"), text: str = "text", pools: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """``docs`` without the text, with the counts, base_failed, distance (null where there's no estimate) and kept.
+
+    ``pools`` are coarser groups, () for all rows: a row whose group is too small for an estimate is
+    judged by that of the first pool that isn't, made from all sound rows of the pool."""
     docs = without(docs, *RESULTS)
     aside = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
     back, by, text = {v: k for k, v in aside.items()}, [aside[c] for c in by], aside[text]
@@ -174,5 +178,12 @@ def judge(docs: DataFrame, by: Sequence[str] = ("lang", "source"), text: str = "
     sound = rows.filter(~F.col("base_failed"))
     fit = mcd(sound, by).filter(F.col("n") >= F.lit(SHARE * LEAST)).drop("n")
     measured = _by(rows, fit, by, "left").select(*rows.columns, distance(STATS).alias("distance"))
+    for pool in pools:
+        own = [*[aside[c] for c in pool], "pool"]
+        measured = materialise(measured.withColumn("pool", F.lit(0)), "quality-measured")
+        # only pools that are asked for are estimated
+        asked = materialise(measured.filter("distance is null and not base_failed").select(*own).distinct(), "quality-pools")
+        fit = mcd(_by(measured.filter("not base_failed").select(*own, *STATS), asked, own), own).filter(F.col("n") >= F.lit(SHARE * LEAST)).drop("n")
+        measured = _by(measured, fit, own, "left").select(*rows.columns, F.coalesce(F.col("distance"), distance(STATS)).alias("distance"))
     verdict = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return measured.withColumn("kept", verdict).drop(*STATS).withColumnsRenamed(back)

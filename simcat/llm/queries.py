@@ -98,6 +98,14 @@ def op9_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 4).alias("distance"))
 
 
+def op9_mcd_quality_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules as above; rows of small groups judged by their language's estimate, or that of all rows."""
+    configure(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return outliers.judge(docs, pools=[["lang"], []]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 4).alias("distance"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts: bytes and tokens of every text, and whether it exceeds 2048 tokens."""
     configure(spark)
@@ -117,5 +125,6 @@ QUERIES: dict = {
     "op7_token_records": (op7_token_records, None),
     "op8_sentencepiece": (op8_sentencepiece, None),
     "op9_mcd_quality": (op9_mcd_quality, oracles.op9_sql()),
+    "op9_mcd_quality_pooled": (op9_mcd_quality_pooled, None),
     "op10_token_counts": (op10_token_counts, None),
 }

@@ -97,3 +97,23 @@ def test_awkward_rows_small_groups_and_empty(spark):
 def test_main_path_has_no_python(spark, sf):
     plan = queries.op9_mcd_quality(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_odd_rows_of_small_groups_are_rejected_by_their_pool(spark):
+    rng = random.Random(12)
+    normal = [sentence(rng, int(np.exp(rng.gauss(5, 0.3))) + 20) for _ in range(190)]
+    odd = sentence(rng, 80).replace(" ", "## $ ")
+    groups = [("en", "big")] * 100 + [("de", f"small{i % 16}") for i in range(80)] + [("fr", None)] * 4 + [(None, "none")] * 4 + [("xx", "y")] * 2
+    rows = [(i, t, *g) for i, (t, g) in enumerate(zip(normal, groups))]
+    rows += [(1000, odd, "en", "big"), (1001, odd, "de", "small3"), (1002, odd, "fr", None), (1003, odd, None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.judge(docs, pools=[["lang"], []]).collect()}
+    assert len(got) == len(rows) and all(r.distance is not None for r in got.values())
+    assert not any(got[i].kept for i in range(1000, 1004))
+    assert all(r.kept for i, r in got.items() if i < 1000)
+    # each by the estimate of its own group, its language or all rows
+    for want in (lambda r: r[2:] == ("en", "big"), lambda r: r[2] == "de", lambda r: True):
+        part = [r for r in rows if want(r)]
+        own = part if len(part) < len(rows) else [r for r in rows if r[2] not in ("en", "de")]
+        d = dict(zip([r[0] for r in part], brute_mcd(np.array([brute_stats(brute_counts(r[1])) for r in part]))))
+        assert np.allclose([got[r[0]].distance for r in own], [d[r[0]] for r in own], rtol=1e-6)
