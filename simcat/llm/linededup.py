@@ -4,7 +4,8 @@ State, below one folder, in numbered versions:
 
 * ``counts``: digest of a line's key (128 bits) -> number of documents that hold it;
 * ``filters``: per shard of the digests, layers of a cuckoo filter with the digests found in
-  at least ``threshold`` documents.
+  at least ``threshold`` documents, and beside each layer the digests it holds, which only
+  ``insert`` and ``delete`` read.
 
 ``insert`` adds a batch's documents to the counts and puts digests that reach the threshold
 into their shard's filter; ``delete`` subtracts documents and takes digests that fall below it
@@ -116,20 +117,36 @@ def _as_words(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2) if digests else np.zeros((0, 2), np.uint64)
 
 
-def update_layers(layers: list[tuple[int, bytes]], added: list[bytes], removed: list[bytes]) -> list[tuple[int, bytes]]:
-    """A shard's filter after removals and additions; a full layer is followed by one twice its size."""
+def update_layers(layers: list[tuple[int, bytes]], added: list[bytes], removed: list[bytes], members: list[set[bytes]] | None = None) -> list[tuple[int, bytes]]:
+    """A shard's filter after removals and additions; a full layer is followed by one twice its size.
+
+    ``members`` are the digests of each layer, kept up to date in place. A mark in an earlier layer may
+    be another digest's, so a digest is removed from the layer that holds it; without ``members`` that
+    is taken to be the first layer that shows its mark."""
     own = [Cuckoo(n, t) for n, t in layers]
     rng = np.random.default_rng(1)
     marks, hashes = Cuckoo.marks(_as_words(removed))
-    for m, b in zip(marks.tolist(), hashes.tolist()):
-        any(layer.remove(m, b) for layer in own)
+    for d, m, b in zip(removed, marks.tolist(), hashes.tolist()):
+        if members is None:
+            any(layer.remove(m, b) for layer in own)
+        else:
+            at = next(i for i, held in enumerate(members) if d in held)
+            own[at].remove(m, b)
+            members[at].discard(d)
     marks, hashes = Cuckoo.marks(_as_words(added))
     if len(added) and not own:
         own.append(Cuckoo(1 << max(4, int(np.ceil(np.log2(len(added) / _SLOTS / 0.8 + 1))))))
-    for m, b in zip(marks.tolist(), hashes.tolist()):
-        if not any(layer.add(m, b, rng) for layer in own):
+    if members is not None:
+        members += [set() for _ in range(len(own) - len(members))]
+    for d, m, b in zip(added, marks.tolist(), hashes.tolist()):
+        at = next((i for i, layer in enumerate(own) if layer.add(m, b, rng)), len(own))
+        if at == len(own):
             own.append(Cuckoo(own[-1].buckets * 2))
             own[-1].add(m, b, rng)
+            if members is not None:
+                members.append(set())
+        if members is not None:
+            members[at].add(d)
     return [(x.buckets, x.table.tobytes()) for x in own]
 
 
@@ -226,16 +243,19 @@ class LineDedup:
             return pd.Series((_as_words(list(digest))[:, 0] % np.uint64(shards)).astype(np.int32))
 
         def rebuild(key, filters: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
-            layers = [(int(n), bytes(m)) for n, m in filters.sort_values("layer")[["buckets", "marks"]].itertuples(index=False)]
+            filters = filters.sort_values("layer")
+            layers = [(int(n), bytes(m)) for n, m in filters[["buckets", "marks"]].itertuples(index=False)]
+            members = [{bytes(x[i : i + 16]) for i in range(0, len(x), 16)} for x in filters.digests]
             moves = moves.sort_values("digest")
             up = moves.up.to_numpy(bool)
-            out = update_layers(layers, [bytes(x) for x in moves.digest[up]], [bytes(x) for x in moves.digest[~up]])
-            return pd.DataFrame({"shard": [key[0]] * len(out), "layer": range(len(out)), "buckets": [n for n, _ in out], "marks": [m for _, m in out]})
+            out = update_layers(layers, [bytes(x) for x in moves.digest[up]], [bytes(x) for x in moves.digest[~up]], members)
+            return pd.DataFrame({"shard": [key[0]] * len(out), "layer": range(len(out)), "buckets": [n for n, _ in out], "marks": [m for _, m in out], "digests": [b"".join(sorted(x)) for x in members]})
 
         shard = F.pandas_udf(shard_of, "int")
         moves = crossed.withColumn("shard", shard("digest"))
-        had = self.filters if self.version else self.spark.createDataFrame([], "shard int, layer int, buckets int, marks binary")
-        made = had.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(rebuild, "shard int, layer int, buckets int, marks binary")
+        schema = "shard int, layer int, buckets int, marks binary, digests binary"
+        had = self.spark.read.schema(schema).parquet(self._at("filters")) if self.version else self.spark.createDataFrame([], schema)
+        made = had.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(rebuild, schema)
         made.write.parquet(self._at("filters", new))
         self.version = new
         return self

@@ -74,3 +74,43 @@ def test_cuckoo_holds_all_and_forgets_removed():
     assert probe([linededup.key_digest(f"other {i}".encode()) for i in range(20000)]).mean() < 0.01
     layers = linededup.update_layers(layers, [], keys[:4000])
     assert probe(keys[4000:]).all() and probe(keys[:4000]).mean() < 0.01
+
+
+def test_a_digest_is_removed_from_the_layer_that_holds_it():
+    digest = lambda mark, bucket: (0).to_bytes(8, "little") + ((mark - 1 << 48) | bucket).to_bytes(8, "little")
+    # one mark in two layers: in the first both digests' buckets are {3, 3 ^ x}
+    first, second = linededup.Cuckoo(16), linededup.Cuckoo(32)
+    rng = np.random.default_rng(0)
+    stays, goes = digest(5, 3), digest(5, 19)
+    first.add(5, 3, rng), second.add(5, 19, rng)
+    members = [{stays}, {goes}]
+    layers = linededup.update_layers([(x.buckets, x.table.tobytes()) for x in (first, second)], [], [goes], members)
+    assert members == [{stays}, set()]
+    found = linededup.Bundle([(0, n, t) for n, t in layers], 1).maybe([stays, goes])
+    assert found[0] and not np.frombuffer(layers[1][1], np.uint16).any()
+
+
+def test_deletions_over_several_layers_lose_no_line(monkeypatch):
+    # 63 different marks only, so that they meet in every layer
+    monkeypatch.setattr(linededup, "_KICKS", 5)
+    marks = linededup.Cuckoo.marks
+    monkeypatch.setattr(linededup.Cuckoo, "marks", staticmethod(lambda d: (marks(d)[0] % np.uint64(63) + np.uint64(1), marks(d)[1])))
+    keys = [linededup.key_digest(str(i).encode()) for i in range(400)]
+    members = []
+    layers = linededup.update_layers([], keys[:20], [], members)
+    layers = linededup.update_layers(layers, keys[20:], [], members)
+    assert len(layers) > 2 and sum(map(len, members)) == len(keys)
+    layers = linededup.update_layers(layers, [], keys[::2], members)
+    assert linededup.Bundle([(s, n, t) for s in range(4) for n, t in layers], 4).maybe(keys[1::2]).all()
+    assert sum(int(np.count_nonzero(np.frombuffer(t, np.uint16))) for _, t in layers) == len(keys) // 2
+
+
+def test_the_filters_hold_every_hot_line_after_inserts_and_deletions(spark):
+    a, b = documents(spark, [f"line {i}" for i in range(20)] * 2), documents(spark, [f"line {i}" for i in range(300)] * 2)
+    state = linededup.LineDedup(spark, threshold=2, shards=1).insert(a).insert(b)
+    assert state.filters.count() > 1
+    state.delete(documents(spark, [f"line {i}" for i in range(100, 300)]))
+    hot = [bytes(r.digest) for r in state.counts.filter("n >= 2").collect()]
+    held = [bytes(r.digests[i : i + 16]) for r in spark.read.parquet(state._at("filters")).collect() for i in range(0, len(r.digests), 16)]
+    assert sorted(held) == sorted(hot) and len(hot) == 100
+    assert all(bundle.maybe(hot).all() for bundle in state._bundles())
