@@ -165,10 +165,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row of each near-duplicate group: the one with the smallest id.
 
-    Rows without an id stand for themselves by their text; of rows with equal ids one stays."""
+    A row is its id and text: rows with equal ids and different texts stand for themselves, as do
+    rows without an id; of rows equal in both one stays."""
     (row,) = tmp_names(docs.columns, "row")
-    ident = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.concat(F.lit("t"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-    named = docs.withColumn(row, ident)
+    ident = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("t")).cast("binary")
+    named = docs.withColumn(row, F.concat(ident, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))))
     # the smallest id first, ids before texts: struct order, nulls last
     order = F.struct(F.col(key).isNull().alias("a"), F.col(key).alias("b"), F.col(row).alias("c"))
     groups = near_duplicates(named.select(order.alias("id"), F.col(text).alias("t")), "id", "t", shingle)

@@ -1,8 +1,9 @@
+import hashlib
 import random
 import re
 
 import xxhash
-from helpers import awkward_texts, documents
+from helpers import awkward_texts, documents, sentence
 
 from simcat.llm import graph, queries, simhash
 from test_linededup import LOWER
@@ -75,6 +76,20 @@ def test_keep_one_per_group_with_null_and_repeated_ids(spark):
     assert len(set(components(fps))) == len(rows) == len(set(components([brute_fingerprint(t) for t in texts])))
 
 
+def test_rows_with_one_id_and_different_texts_all_stay(spark):
+    rng = random.Random(8)
+    texts = [sentence(rng, 40) for _ in range(40)]
+    assert len(set(components([brute_fingerprint(t) for t in texts]))) == len(texts)
+    rows = [(7 if i % 3 else None, t) for i, t in enumerate(texts)]
+    # id 5 has a copy of id 3's text and a text of its own
+    rows += [(3, "copied " + texts[0]), (5, "copied " + texts[0]), (5, "own " + texts[1] + " " + texts[2])] + rows[:10]
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).digest()))
+    comp = components([brute_fingerprint(t) for _, t in order])
+    assert kept == sorted((r[0] or 0, r[1]) for i, r in enumerate(order) if comp[i] == i)
+    assert len(kept) >= len(texts) and sum(i == 5 for i, _ in kept) == 1
+
+
 def test_empty_and_chunked_shingles(spark, monkeypatch):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
     assert simhash.keep_one(documents(spark, [])).count() == 0
