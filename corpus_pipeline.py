@@ -66,10 +66,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as SentencePiece ids: id, source, language, number of tokens, ids."""
+    """The mix as SentencePiece ids: id, source, language, number of tokens, ids, the text they decode to."""
     configure(spark)
-    coded = sentencepieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=None)
-    return coded.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    coded = sentencepieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

@@ -52,6 +52,16 @@ def test_stages_equal_brute_force(spark, sf):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == sorted(r.doc_id for r in coded)
 
 
+def test_the_last_stage_decodes_what_it_encoded(spark, sf):
+    texts = ["plain words here", "Ünï  ① ﬁne\n日本語", "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    coded = {r.doc_id: r for r in corpus_pipeline.tokenise(spark, docs, sf).collect()}
+    assert len(coded) == len(texts)
+    for i, t in enumerate(texts):
+        assert coded[i].decoded == library.decode(np.frombuffer(coded[i].ids, "<u4").tolist()) == library.decode(library.encode(t or ""))
+
+
 def test_awkward_documents_pass_every_stage(spark, sf):
     rng = random.Random(3)
     texts = [None, "", " ", "\n\n", "x" * 3000, "same\nline", *[sentence(rng, 30) for _ in range(20)], *["copy of " + sentence(random.Random(1), 40)] * 15]
