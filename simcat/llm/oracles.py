@@ -179,3 +179,52 @@ WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(distance <= {o.CUTOFF}, true) AS kept, round(distance, 4) AS distance FROM judged
 """
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def op11_sql(width: int) -> str:
+    """Every window of a text written out and joined with the items' windows, as strings."""
+    words = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words} AS w FROM benchmark),
+  sized AS (SELECT item, w, least(len(w), {width}) AS n FROM items WHERE len(w) > 0),
+  starts AS (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS at FROM sized),
+  windows AS (SELECT DISTINCT item, n, array_to_string(w[at:at + n - 1], ' ') AS win FROM starts),
+  lengths AS (SELECT DISTINCT n FROM windows),
+  docs AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+  places AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS at FROM docs, lengths WHERE len(w) >= n),
+  met AS (SELECT r, n, at, item FROM (SELECT r, n, at, array_to_string(w[at:at + n - 1], ' ') AS win FROM places) JOIN windows USING (n, win)),
+  hit AS (SELECT r, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT r, unnest(range(at, at + n)) AS p FROM (SELECT DISTINCT r, n, at FROM met)) GROUP BY r),
+  own AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item FROM met) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
+"""
+
+
+def op12_sql(least_docs: int, smooth: int, best: int) -> str:
+    """Counts of all kept terms in all groups, with zeros, and both comparisons of their shares."""
+    share = f"1 + (1000000000::HUGEINT * (n + {smooth})) // (total + {smooth} * v)"
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+  terms AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+  kept AS (SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT r) >= {least_docs}),
+  sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+  groups AS (SELECT DISTINCT lang, source FROM docs),
+  seen AS (SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL),
+  cells AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM groups JOIN kept USING (lang) LEFT JOIN seen USING (lang, source, term)),
+  totals AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL),
+  p AS (SELECT lang, source, term, n, ({share})::BIGINT AS p FROM cells JOIN totals USING (lang, source) JOIN sizes USING (lang)),
+  lang_cells AS (SELECT lang, term, sum(n) AS n FROM cells GROUP BY ALL),
+  lang_totals AS (SELECT lang, sum(n) AS total FROM lang_cells GROUP BY ALL),
+  q AS (SELECT lang, term, ({share})::BIGINT AS q FROM lang_cells JOIN lang_totals USING (lang) JOIN sizes USING (lang)),
+  apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source),
+  more AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM more))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {best}
+"""

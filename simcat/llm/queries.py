@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import linededup, mixing, oracles, outliers, records, sentencepieces, sharding, simhash, tokencount, topk, toxicity
+from . import alignment, decontamination, divergence, linededup, mixing, oracles, outliers, records, sentencepieces, sharding, simhash, tokencount, topk, toxicity
 from .common import configure, read_table
 
 SHARDS = 24
@@ -114,6 +114,32 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: hit words and items of every text, windows of 10 words."""
+    configure(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", decontamination.hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source divergence: each group's distance to its language's other sources, and its own terms."""
+    configure(spark)
+    return divergence.audit(divergence.count_terms(read_table(spark, sf_dir, "documents")))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-tokenizer alignment: groups and links of every text, weighed by the corpus's pair counts."""
+    configure(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = alignment.align(docs, *paths)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    scored = alignment.score(aligned.select("doc_id", *alignment.COUNTS, *alignment.PACKED, digest), *paths)
+    return scored.select("doc_id", *alignment.COUNTS, "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict = {
     "op1_rendezvous_sharding": (op1_rendezvous_sharding, oracles.op1_sql(SHARDS)),
     "op2_mix_to_targets": (op2_mix_to_targets, oracles.op2_sql()),
@@ -127,4 +153,7 @@ QUERIES: dict = {
     "op9_mcd_quality": (op9_mcd_quality, oracles.op9_sql()),
     "op9_mcd_quality_pooled": (op9_mcd_quality_pooled, None),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_decontamination": (op11_decontamination, oracles.op11_sql(decontamination.WIDTH)),
+    "op12_divergence_audit": (op12_divergence_audit, oracles.op12_sql(divergence.LEAST_DOCS, divergence.SMOOTH, divergence.BEST)),
+    "op13_token_alignment": (op13_token_alignment, None),
 }
