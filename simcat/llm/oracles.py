@@ -190,13 +190,13 @@ def op11_sql(width: int) -> str:
     return f"""
 WITH items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words} AS w FROM benchmark),
   sized AS (SELECT item, w, least(len(w), {width}) AS n FROM items WHERE len(w) > 0),
-  starts AS (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS at FROM sized),
-  windows AS (SELECT DISTINCT item, n, array_to_string(w[at:at + n - 1], ' ') AS win FROM starts),
+  starts AS (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM sized),
+  windows AS (SELECT DISTINCT item, n, array_to_string(w[pos:pos + n - 1], ' ') AS win FROM starts),
   lengths AS (SELECT DISTINCT n FROM windows),
   docs AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
-  places AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS at FROM docs, lengths WHERE len(w) >= n),
-  met AS (SELECT r, n, at, item FROM (SELECT r, n, at, array_to_string(w[at:at + n - 1], ' ') AS win FROM places) JOIN windows USING (n, win)),
-  hit AS (SELECT r, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT r, unnest(range(at, at + n)) AS p FROM (SELECT DISTINCT r, n, at FROM met)) GROUP BY r),
+  places AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS pos FROM docs, lengths WHERE len(w) >= n),
+  met AS (SELECT r, n, pos, item FROM (SELECT r, n, pos, array_to_string(w[pos:pos + n - 1], ' ') AS win FROM places) JOIN windows USING (n, win)),
+  hit AS (SELECT r, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT r, unnest(range(pos, pos + n)) AS p FROM (SELECT DISTINCT r, n, pos FROM met)) GROUP BY r),
   own AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item FROM met) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
