@@ -73,8 +73,8 @@ def split_valid(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def check_dimension(catalog: DataFrame, dim: int) -> None:
-    """V-9 over a whole table: raise with the offending ids before a search or merge."""
-    bad = catalog.filter(F.size("vector") != dim).select("id").limit(11).collect()
+    """V-9 over a whole table: raise with the offending ids (a missing vector has no dimension)."""
+    bad = catalog.filter(~F.size("vector").eqNullSafe(F.lit(dim))).select("id").orderBy("id").limit(11).collect()
     if bad:
         ids = [r[0] for r in bad[:10]]
         raise ValueError(f"{REASON_DIM}: expected {dim}; ids {ids}{' ...' if len(bad) > 10 else ''}")
@@ -120,8 +120,8 @@ def empty_catalog(spark, vector_type: str = "array<float>") -> DataFrame:
                               "count bigint, created_at bigint, updated_at bigint")
 
 
-def merge_upserts(catalog: DataFrame, folded: DataFrame) -> DataFrame:
-    """J-2: full outer join of the catalog with the folded feed.
+def merge_upserts(catalog: DataFrame, folded: DataFrame, how: str = "full_outer") -> DataFrame:
+    """J-2: full outer join of the catalog with the folded feed (``left``: for a feed whose ids are all known).
 
     count' = coalesce(C.count, 0) + n; the feed's last text/vector and t1 win when
     its last seq is newer than the row's; created_at' = C.created_at unless the feed
@@ -141,7 +141,7 @@ def merge_upserts(catalog: DataFrame, folded: DataFrame) -> DataFrame:
     f = folded.select(*[F.col(x).alias(f"f_{x}") for x in
                         ["id", "n", "text", "vector", "t0", "t1", "first_seq", "last_seq"] + bucket])
     on = [F.col(f"c_{x}") == F.col(f"f_{x}") for x in [*bucket, "id"]]
-    j = c.join(f, on, "full_outer")
+    j = c.join(f, on, how)
     col = F.col
     in_feed = col("f_id").isNotNull()
     in_cat = col("c_id").isNotNull()

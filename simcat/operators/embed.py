@@ -7,10 +7,12 @@ vector tables.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,9 @@ from pyspark.sql import types as T
 from simcat import params as P
 from simcat.functions.vector import L2_EPS
 
+# Vector components that a task of ``mean_pool`` holds before it passes its sums on.
+_HELD_COMPONENTS = 4 << 20
+
 # ---------------------------------------------------------------- E-1 / E-2 / E-3
 
 def truncate_tokens(tokens, max_len: int = P.MAX_TEXT_LENGTH) -> Column:
@@ -26,24 +31,98 @@ def truncate_tokens(tokens, max_len: int = P.MAX_TEXT_LENGTH) -> Column:
     return F.slice(col, 1, max_len)
 
 
+def _pool_sums(batch: pa.RecordBatch, dim: int | None) -> tuple[pa.Array, np.ndarray, np.ndarray, int | None]:
+    """(documents, sums, mask sums, dim) of a batch of (doc, mask, vec) rows; rows without a vector take no part.
+    Raises when a vector has another length than ``dim``, or than the batch's first one."""
+    batch = batch.filter(pc.is_valid(batch.column(2)))
+    doc, mask, vec = batch.columns
+    if not batch.num_rows:
+        return doc, np.zeros((0, dim or 0)), np.zeros(0), dim
+    lengths = pc.list_value_length(vec).to_numpy(zero_copy_only=False)
+    dim = int(lengths[0]) if dim is None else dim
+    if (lengths != dim).any():
+        bad = doc.filter(pa.array(lengths != dim)).unique().to_pylist()
+        raise ValueError(f"token vector dimension mismatch: expected {dim}; documents {bad[:10]}{' ...' if len(bad) > 10 else ''}")
+    m = pc.fill_null(pc.cast(mask, pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+    v = pc.fill_null(pc.cast(vec.flatten(), pa.float64()), 0.0).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    coded = pc.dictionary_encode(doc, null_encoding="encode")
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    starts = np.r_[0, np.flatnonzero(np.diff(code[order])) + 1]
+    return coded.dictionary, np.add.reduceat(v[order] * m[order, None], starts, axis=0), np.add.reduceat(m[order], starts), dim
+
+
 def mean_pool(token_vectors: DataFrame, doc_col: str, pos_col: str, mask_col: str,
               vec_col: str, out_col: str = "vector", clamp: float = P.MIN_CLAMP_VALUE,
               dim: int | None = None) -> DataFrame:
     """E-2 as an aggregate: sum(vec_i * mask_i) / max(sum(mask_i), clamp) per document.
 
-    Input is a long token table ``(doc, pos, mask, vec)``. One sum per vector component and
-    one of the mask: a token row stays one row, all sums are partial aggregates combined
-    map-side before the shuffle, and a document with a huge number of tokens is one row per
-    task. ``dim`` is read from the first row when not given. An all-masked document pools
-    to zeros."""
-    if dim is None:
-        first = token_vectors.select(F.size(vec_col)).first()
-        dim = first[0] if first else 0
-    m = F.col(mask_col).cast("double")
-    sums = [F.sum(F.col(vec_col)[i].cast("double") * m).alias(f"_s{i}") for i in range(dim)]
-    pooled = token_vectors.groupBy(F.col(doc_col)).agg(F.sum(m).alias("_n"), *sums)
-    mean = [F.col(f"_s{i}") / F.greatest("_n", F.lit(clamp)) for i in range(dim)]
-    return pooled.select(doc_col, F.array(*mean).cast("array<double>").alias(out_col))
+    Input is a long token table ``(doc, pos, mask, vec)``. A task sums the vectors of a batch as one matrix and
+    holds one partial sum per document, so a document with a huge number of tokens is one row per task (more
+    where a task meets more documents than it holds); behind the one shuffle partial rows of a document are summed
+    as they stream by. Defined results: tokens without a vector take no part, null masks and components are 0,
+    an all-masked document pools to zeros, a document without any vector has a null vector, and vectors
+    of another length than ``dim`` (default: than the others) raise."""
+    rows = token_vectors.select(F.col(doc_col).alias("doc"), F.col(mask_col).alias("mask"), F.col(vec_col).alias("vec"))
+    kind = rows.schema["doc"].dataType.simpleString()
+    partial = f"doc {kind}, total array<double>, n double"
+    wanted = dim
+
+    def batch_of(docs: list, sums: list, counts: list, arrow_type) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(docs, arrow_type), pa.array(sums, pa.list_(pa.float64())), pa.array(counts, pa.float64())], names=["doc", "total", "n"])
+
+    def combine(batches):
+        held, dim, arrow_type = {}, wanted, None
+
+        def flush():
+            for at in range(0, len(held), 1024):
+                part = list(held.items())[at:at + 1024]
+                yield batch_of([d for d, _ in part], [x[0] for _, x in part], [x[1] for _, x in part], arrow_type)
+            held.clear()
+
+        for batch in batches:
+            arrow_type = batch.column(0).type
+            # a document whose vectors are all missing still has a row
+            for d in batch.filter(pc.is_null(batch.column(2))).column(0).unique().to_pylist():
+                held.setdefault(d, [None, 0.0])
+            docs, sums, counts, dim = _pool_sums(batch, dim)
+            for d, s, n in zip(docs.to_pylist(), sums, counts.tolist()):
+                mine = held.get(d)
+                if mine is None or mine[0] is None:
+                    held[d] = [s, n]
+                else:
+                    mine[0] += s
+                    mine[1] += n
+            if len(held) * (dim or 1) > _HELD_COMPONENTS:
+                yield from flush()
+        yield from flush()
+
+    def finish(batches):
+        last, total, n, arrow_type = None, None, 0.0, None
+
+        def mean(total, n):
+            return None if total is None else total / max(n, clamp)
+
+        started = False
+        for batch in batches:
+            arrow_type, done = batch.column(0).type, []
+            for d, s, m in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                s = None if s is None else np.array(s)
+                if started and d == last:
+                    if total is not None and s is not None and len(total) != len(s):
+                        raise ValueError(f"token vector dimension mismatch: expected {len(total)}; documents {[d]}")
+                    total, n = s if total is None else total if s is None else total + s, n + m
+                    continue
+                if started:
+                    done.append((last, mean(total, n)))
+                started, last, total, n = True, d, s, m
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in done], arrow_type), pa.array([v for _, v in done], pa.list_(pa.float64()))], names=["doc", "vector"])
+        if started:
+            yield pa.RecordBatch.from_arrays([pa.array([last], arrow_type), pa.array([mean(total, n)], pa.list_(pa.float64()))], names=["doc", "vector"])
+
+    sums = rows.mapInArrow(combine, partial).repartition("doc").sortWithinPartitions("doc")
+    return sums.mapInArrow(finish, f"doc {kind}, vector array<double>").select(F.col("doc").alias(doc_col), F.col("vector").alias(out_col))
 
 
 # ---------------------------------------------------------------- U-1 embedders
@@ -69,8 +148,6 @@ def _hash_count_udf(dim: int, eps: float = L2_EPS):
     def hashed_vectors(tokens: pa.Array) -> pa.Array:
         import hashlib
 
-        import pyarrow.compute as pc
-
         if isinstance(tokens, pa.ChunkedArray):
             tokens = tokens.combine_chunks()
         n = len(tokens)
@@ -152,36 +229,59 @@ class PrecomputedEmbedder(Embedder):
 
 
 class ModelEmbedder(Embedder):
-    """Wraps a user model as a batched Arrow UDF (``predict_batch_udf``).
+    """Wraps a user model as a batched Arrow UDF.
 
-    ``make_model()`` runs once per Python worker and returns
-    ``encode(texts: np.ndarray[str]) -> (token_vectors[B, T, D], mask[B, T])``.
-    Pooling (E-2) and normalisation (E-3) follow the service: masked mean with the
-    clamp, then L2 with eps 1e-12, float32 out."""
+    ``make_model()`` runs once per Python worker and returns an ``encode`` function. Without a tokenizer it is
+    ``encode(texts: np.ndarray[str]) -> (token_vectors[B, T, D], mask[B, T])``. With ``tokenize(text) -> ids`` it is
+    ``encode(ids[B, T], mask[B, T]) -> token_vectors[B, T, D]``: ids are cut to ``max_text_length`` (E-1), the texts of an
+    Arrow batch are sorted by their number of ids, and model batches take neighbours, so a batch is padded to
+    lengths that hardly differ. Pooling (E-2) and normalisation (E-3) follow the service: masked mean with the
+    clamp, then L2 with eps 1e-12 (not with ``normalize=False``), float32 out. A null text has a null vector."""
 
     def __init__(self, make_model: Callable, dim: int, name: str = P.MODEL_NAME,
-                 batch_size: int = P.EMBEDDING_BATCH_SIZE, clamp: float = P.MIN_CLAMP_VALUE):
-        from pyspark.ml.functions import predict_batch_udf
-
+                 batch_size: int = P.EMBEDDING_BATCH_SIZE, clamp: float = P.MIN_CLAMP_VALUE, normalize: bool = True,
+                 tokenize: Callable[[str], list[int]] | None = None, max_text_length: int = P.MAX_TEXT_LENGTH, pad_id: int = 0):
         self.name = name
         self.dim = dim
 
-        def make_predict_fn():
+        def pooled(tok: np.ndarray, mask: np.ndarray) -> np.ndarray:
+            m = np.asarray(mask, dtype=np.float32)[..., None]
+            mean = (np.asarray(tok, dtype=np.float32) * m).sum(axis=1) / np.maximum(m.sum(axis=1), clamp)
+            if normalize:
+                mean = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), L2_EPS)
+            return mean.astype(np.float32)
+
+        def vectors_of(encode: Callable, texts: list[str]) -> np.ndarray:
+            out = np.zeros((len(texts), dim), np.float32)
+            if tokenize is None:
+                for at in range(0, len(texts), batch_size):
+                    out[at:at + batch_size] = pooled(*encode(np.array(texts[at:at + batch_size], dtype=object)))
+                return out
+            ids = [tokenize(t)[:max_text_length] for t in texts]
+            for rows in length_batches([len(x) for x in ids], batch_size):
+                wide = max(1, max(len(ids[i]) for i in rows))
+                padded, mask = np.full((len(rows), wide), pad_id, np.int64), np.zeros((len(rows), wide), np.int64)
+                for k, i in enumerate(rows):
+                    padded[k, :len(ids[i])], mask[k, :len(ids[i])] = ids[i], 1
+                out[rows] = pooled(encode(padded, mask), mask)
+            return out
+
+        @F.arrow_udf(T.ArrayType(T.FloatType()))
+        def embedded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encode = make_model()
+            for texts in batches:
+                valid = pc.is_valid(texts).to_numpy(zero_copy_only=False)
+                vectors = vectors_of(encode, texts.drop_null().to_pylist())
+                ends = np.r_[0, np.cumsum(np.where(valid, dim, 0))].astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(vectors.ravel(), pa.float32()), mask=pa.array(~valid))
 
-            def predict(texts: np.ndarray) -> np.ndarray:
-                tok, mask = encode(texts)
-                tok = np.asarray(tok, dtype=np.float32)
-                m = np.asarray(mask, dtype=np.float32)[..., None]
-                summed = (tok * m).sum(axis=1)
-                pooled = summed / np.maximum(m.sum(axis=1), clamp)
-                norm = np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), L2_EPS)
-                return (pooled / norm).astype(np.float32)
-
-            return predict
-
-        self._udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()),
-                                      batch_size=batch_size)
+        self._udf = embedded
 
     def embed(self, df: DataFrame, text_col: str = "text", out_col: str = "vector") -> DataFrame:
         return df.withColumn(out_col, self._udf(F.col(text_col)))
+
+
+def length_batches(lengths: list[int], batch_size: int) -> list[list[int]]:
+    """Rows in batches of at most ``batch_size``, neighbours in length: the padding of a batch stays small."""
+    order = sorted(range(len(lengths)), key=lengths.__getitem__)
+    return [order[at:at + batch_size] for at in range(0, len(order), batch_size)]

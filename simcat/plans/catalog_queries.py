@@ -10,6 +10,8 @@ feed merged into it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +93,37 @@ def catalog_snapshot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_SNAPSHOT_MERGE = f"SELECT *, true AS replay_skipped FROM ({SQL_UPSERT_FOLD})"
 
 
+GROWTH_CUTS = ["2024-01-08 00:00:00", "2024-01-16 00:00:00", "2024-01-24 00:00:00"]
+GROWTH_ROWS = 8
+
+
+def catalog_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-1 with buckets that grow: four merges into a store that starts with four buckets and splits them beyond
+    eight rows each; every merge's version is read back at the end, and its buckets are counted."""
+    store = CatalogStore(spark, shared_dir(spark, "growth"), buckets=4, rows_per_bucket=GROWTH_ROWS)
+    cuts = [F.lit(c).cast("timestamp_ntz") for c in GROWTH_CUTS]
+    made = []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        ts = F.col("ts")
+        late = F.lit(True) if high is None else ts < high
+        where = late if low is None else (ts >= low) & late
+        valid, _ = C.validate_upserts(events_feed(spark, sf_dir, where), vector_col=None)
+        store.merge(C.fold_upserts(valid, hashing_embedder()))
+        made.append(store.latest())
+    out = [store.read(c).select(F.lit(i).alias("step"), F.lit(store.layout_of(c).buckets).alias("buckets"), "id", "text", "count") for i, c in enumerate(made)]
+    return reduce(DataFrame.unionByName, out)
+
+
+SQL_CATALOG_GROWTH = f"""
+WITH e AS (SELECT event_id AS seq, user_id AS id, event_type AS text,
+                  CASE {' '.join(f"WHEN ts < TIMESTAMP '{c}' THEN {i}" for i, c in enumerate(GROWTH_CUTS))} ELSE {len(GROWTH_CUTS)} END AS s FROM events WHERE user_id > 0),
+  steps AS (SELECT unnest(range({len(GROWTH_CUTS) + 1})) AS step),
+  folded AS (SELECT step, id, arg_max(text, seq) AS text, count(*)::BIGINT AS count FROM e JOIN steps ON s <= step GROUP BY step, id)
+SELECT step::INTEGER AS step, greatest(4, max(ceil(n / {GROWTH_ROWS}.0)) OVER (ORDER BY step))::INTEGER AS buckets, id, text, count
+FROM (SELECT *, count(*) OVER (PARTITION BY step) AS n FROM folded)
+"""
+
+
 def upsert_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W-1 + J-4 + P-14: one ack per feed event against the catalog as of CUT."""
     base_events, feed_events = _base_and_feed(spark, sf_dir)
@@ -384,6 +417,7 @@ SELECT id, list_transform(v, lambda x: round((x / greatest(nrm, 1e-12))::FLOAT,
 QUERIES = {
     "upsert_fold": (upsert_fold, SQL_UPSERT_FOLD),
     "catalog_snapshot_merge": (catalog_snapshot_merge, SQL_SNAPSHOT_MERGE),
+    "catalog_growth": (catalog_growth, SQL_CATALOG_GROWTH),
     "upsert_actions": (upsert_actions, SQL_UPSERT_ACTIONS),
     "upsert_rejects": (upsert_rejects, SQL_UPSERT_REJECTS),
     "catalog_scan": (catalog_scan, SQL_CATALOG_SCAN),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from simcat import params as P
 from simcat.functions.text import PY_SPACE_CLASS, preview
+from simcat.operators.blocks import build_blocks, search_blocks
 from simcat.operators.catalog import sample_rows
 from simcat.operators.report import search_run_report
 from simcat.operators.search import prepare_queries, search
@@ -60,6 +61,15 @@ def search_topk_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(q, cat, plan="blocked")
 
 
+def search_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-1 over the catalog laid out in blocks around pivots, blocks pruned by their bounds, queries in
+    several chunks; same answer as the batch query."""
+    cat = embeddings_catalog(spark, sf_dir)
+    q = cat.select(F.col("id").alias("qid"), F.lit(5).alias("k"), "vector")
+    hits, _ = search_blocks(q, build_blocks(cat, pivots=64, block_rows=32), chunk_rows=400)
+    return hits
+
+
 PLANS_K = 60
 
 
@@ -259,6 +269,7 @@ QUERIES = {
     "search_topk_single": (search_topk_single, SQL_SEARCH_TOPK_SINGLE),
     "search_topk_batch": (search_topk_batch, SQL_SEARCH_TOPK_BATCH),
     "search_topk_blocked": (search_topk_blocked, SQL_SEARCH_TOPK_BATCH),
+    "search_topk_pruned": (search_topk_pruned, SQL_SEARCH_TOPK_BATCH),
     "search_plans_agree": (search_plans_agree, SQL_SEARCH_PLANS_AGREE),
     "search_topk_per_query_k": (search_topk_per_query_k, SQL_SEARCH_TOPK_PER_QUERY_K),
     "search_query_rejects": (search_query_rejects, SQL_SEARCH_QUERY_REJECTS),

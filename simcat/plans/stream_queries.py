@@ -10,24 +10,31 @@ query returns what its stream produced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simcat.operators import catalog as C
 from simcat.operators.embed import PrecomputedEmbedder
 from simcat.plans.catalog_queries import events_feed
-from simcat.plans.fixtures import HASH_DIM, documents_catalog, embeddings_catalog, hashing_embedder
+from simcat.plans.fixtures import (HASH_DIM, benchmark_queries, documents_catalog, embeddings_catalog, hashing_embedder,
+                                   sql_hash_vectors, table)
 from simcat.plans.search_queries import (SQL_SEARCH_QUERY_REJECTS, SQL_SEARCH_TEXT_TOPK, SQL_SEARCH_TOPK_BATCH,
                                         variant_queries)
 from simcat.session import shared_dir
 from simcat.sources.store import CatalogStore
 from simcat.streaming.feed import deliver, read_feed_stream
 from simcat.streaming.search import run_search_stream
+from simcat.streaming.standing import StandingQueries, run_standing_stream
 from simcat.streaming.upsert import run_upsert_stream, stateful_acks
 
 # Fixed slice boundaries of the feed (ts ranges).
 SLICES = ["2024-01-11 00:00:00", "2024-01-21 00:00:00"]
 N_SLICES = len(SLICES) + 1
+MICRO_BATCHES = 20
+# Invalid variants of the text queries come under ids from here on.
+VARIANT_QID = 1_000_000
 
 
 def _slice_pred(s: int) -> Column:
@@ -244,8 +251,10 @@ def _run_text_search(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, "text-search")
     if key not in _RUNS:
         run_dir = shared_dir(spark, "stream-text-search")
-        q = variant_queries(spark, sf_dir)
-        arrivals = [q.filter("qid < 40"), q.filter("qid >= 40 and qid < 80"), q.filter("qid >= 80 or qid is null")]
+        # every benchmark text as it is, and the invalid variants under ids of their own
+        variants = variant_queries(spark, sf_dir).filter("pmod(qid, 6) != 0")
+        q = benchmark_queries(spark, sf_dir).unionByName(variants.withColumn("qid", F.col("qid") + VARIANT_QID))
+        arrivals = [q.filter("qid < 40"), q.filter(f"qid >= 40 and qid < {VARIANT_QID}"), q.filter(f"qid >= {VARIANT_QID} or qid is null")]
         schema, emb = arrivals[0].schema, hashing_embedder()
         deliver(spark, arrivals, lambda src: run_search_stream(
             read_feed_stream(spark, src, schema), lambda: documents_catalog(spark, sf_dir, emb),
@@ -260,7 +269,7 @@ def stream_search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_STREAM_SEARCH_TEXT = f"""
-WITH hits AS ({SQL_SEARCH_TEXT_TOPK}) SELECT qid, rank, id, score_rate, md5(text) AS text_md5 FROM hits WHERE qid % 6 = 0
+WITH hits AS ({SQL_SEARCH_TEXT_TOPK}) SELECT qid, rank, id, score_rate, md5(text) AS text_md5 FROM hits
 """
 
 
@@ -269,9 +278,63 @@ def stream_search_text_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{_run_text_search(spark, sf_dir)}/rejects").select("qid", "reason")
 
 
+SQL_STREAM_SEARCH_TEXT_REJECTS = f"SELECT qid + {VARIANT_QID} AS qid, reason FROM ({SQL_SEARCH_QUERY_REJECTS})"
+
+
+def stream_upsert_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-1 + K-1: the feed in twenty micro-batches, dealt over them by hash, so that every id comes late and early;
+    each appends deltas, and buckets are compacted as they fall due. The catalog equals the batch fold."""
+    run_dir = shared_dir(spark, "stream-deltas")
+    store = CatalogStore(spark, f"{run_dir}/catalog", buckets=4, delta_share=2.0, max_deltas=6)
+    feed = events_feed(spark, sf_dir).select("seq", "id", "text", "ts")
+    embedder = hashing_embedder()
+    deliver(spark, [feed.repartition(MICRO_BATCHES, "seq")], lambda src: run_upsert_stream(
+        read_feed_stream(spark, src, feed.schema, max_files=1), store, embedder, f"{run_dir}/checkpoint", dim=HASH_DIM))
+    return store.read().select("id", "text", "dim", "count", "created_at", "updated_at")
+
+
+def _standing_feed(spark: SparkSession, sf_dir: str, s: int) -> DataFrame:
+    """A slice of the feed whose texts differ: event type and properties."""
+    e = table(spark, sf_dir, "events").filter(_slice_pred(s))
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"), F.concat_ws(" ", "event_type", "props").alias("text"), C.epoch_seconds(F.col("ts")).alias("ts"))
+
+
+def stream_standing_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-3: the benchmark texts as standing queries over a catalog that three feed slices change; the answers
+    after every slice."""
+    run_dir, embedder = shared_dir(spark, "stream-standing"), hashing_embedder()
+    store = CatalogStore(spark, f"{run_dir}/catalog", buckets=8, delta_share=0.5)
+    queries = embedder.embed(benchmark_queries(spark, sf_dir), "text", "vector").select("qid", F.lit(5).alias("k"), "vector")
+    standing = StandingQueries(spark, f"{run_dir}/standing", queries)
+    arrivals, seen = [_standing_feed(spark, sf_dir, s) for s in range(N_SLICES)], []
+
+    def run(src: str) -> None:
+        run_standing_stream(read_feed_stream(spark, src, arrivals[0].schema), store, embedder, standing, f"{run_dir}/checkpoint", dim=HASH_DIM)
+        seen.append(standing.versions()[-1])
+
+    deliver(spark, arrivals, run)
+    out = [standing.answers(v).select(F.lit(s).cast("long").alias("slice"), "qid", "rank", "id", "score_rate") for s, v in enumerate(seen)]
+    return reduce(DataFrame.unionByName, out)
+
+
+SQL_STREAM_STANDING_QUERIES = f"""
+WITH e AS (SELECT event_id AS seq, user_id AS id, event_type || ' ' || props AS text, {_SQL_SLICE} AS s FROM events WHERE user_id > 0),
+  slices AS (SELECT unnest(range({N_SLICES})) AS slice),
+  state AS MATERIALIZED (SELECT slice, id, arg_max(text, seq) AS text FROM e JOIN slices ON e.s <= slice GROUP BY slice, id),
+  cv AS MATERIALIZED ({sql_hash_vectors("(SELECT DISTINCT text FROM state)", "text", "text")}),
+  qv AS MATERIALIZED ({sql_hash_vectors("benchmark", "item_id", "text")}),
+  scores AS (SELECT qv.id AS qid, cv.id AS text, list_dot_product(qv.v, cv.v) AS score FROM qv CROSS JOIN cv),
+  ranked AS (SELECT slice, qid, state.id, score, (row_number() OVER (PARTITION BY slice, qid ORDER BY round(score, 12) DESC, state.id))::INTEGER AS rank
+             FROM state JOIN scores USING (text))
+SELECT slice::BIGINT AS slice, qid, rank, id, greatest(-1.0, least(1.0, round_even(score, 4))) AS score_rate FROM ranked WHERE rank <= 5
+"""
+
+
 QUERIES = {
     "stream_search_text": (stream_search_text, SQL_STREAM_SEARCH_TEXT),
-    "stream_search_text_rejects": (stream_search_text_rejects, SQL_SEARCH_QUERY_REJECTS),
+    "stream_search_text_rejects": (stream_search_text_rejects, SQL_STREAM_SEARCH_TEXT_REJECTS),
+    "stream_upsert_deltas": (stream_upsert_deltas, SQL_STREAM_UPSERT),
+    "stream_standing_queries": (stream_standing_queries, SQL_STREAM_STANDING_QUERIES),
     "stream_upsert_rejects": (stream_upsert_rejects, SQL_STREAM_UPSERT_REJECTS),
     "stream_upsert_balance": (stream_upsert_balance, SQL_STREAM_UPSERT_BALANCE),
     "stream_upsert": (stream_upsert, SQL_STREAM_UPSERT),

@@ -52,6 +52,73 @@ def test_mean_pool_and_normalize(spark):
     assert np.allclose(out[0], [0.6, 0.8]) and out[1] == [0.0, 0.0]
 
 
+def test_mean_pool_over_many_tasks_and_flushes(spark, monkeypatch):
+    """Against numpy: null vectors, masks, components and documents, a hot document, string keys."""
+    rng = np.random.default_rng(3)
+    rows = [("hot" if i % 3 == 0 else f"d{i % 11}", i, int(rng.integers(0, 2)), [float(x) for x in rng.normal(size=5)]) for i in range(900)]
+    rows += [("d1", 1000, None, [1.0] * 5), ("d2", 1001, 1, None), ("none", 0, 1, None), (None, 0, 1, [1.0, None, 2.0, 3.0, 4.0]), ("masked", 0, 0, [7.0] * 5)]
+    df = spark.createDataFrame([rows[-3], *rows[:-3], *rows[-2:]], "doc string, pos long, mask int, vec array<double>").repartition(6)
+    want: dict = {}
+    for d, _, m, v in rows:
+        s, n = want.get(d, (None, 0))
+        if v is not None:
+            s, n = (0 if s is None else s) + np.array([x or 0.0 for x in v]) * (m or 0), n + (m or 0)
+        want[d] = s, n
+    got = {r.doc: r.vector for r in mean_pool(df, "doc", "pos", "mask", "vec").collect()}
+    assert got.keys() == want.keys() and got["none"] is None and got["masked"] == [0.0] * 5
+    assert all(np.allclose(got[d], s / max(n, 1e-9)) for d, (s, n) in want.items() if s is not None)
+    first_null = spark.createDataFrame([(1, 0, 1, None), (1, 1, 1, [2.0])], "doc long, pos long, mask int, vec array<float>").coalesce(1)
+    assert mean_pool(first_null, "doc", "pos", "mask", "vec").first().vector == [2.0]
+    assert mean_pool(first_null.limit(0), "doc", "pos", "mask", "vec").count() == 0
+
+
+def test_mean_pool_refuses_mixed_dimensions(spark):
+    import pytest
+
+    rows = [(1, 0, 1, [1.0, 2.0]), (2, 1, 1, [3.0]), (1, 2, 1, [3.0])]
+    df = spark.createDataFrame(rows, "doc long, pos long, mask int, vec array<double>")
+    for parts in (1, 3):
+        with pytest.raises(Exception, match="dimension mismatch"):
+            mean_pool(df.filter("doc = 1").repartition(parts, "pos"), "doc", "pos", "mask", "vec").collect()
+    with pytest.raises(Exception, match="expected 3"):
+        mean_pool(df, "doc", "pos", "mask", "vec", dim=3).collect()
+
+
+def _toy(vectors, seen):
+    """A tokenizing model: one id per word, the id's row of a fixed matrix as its vector."""
+    def make_model():
+        def encode(ids, mask):
+            seen.append((ids.size, int(mask.sum()))) if seen is not None else None
+            return vectors[ids]
+        return encode
+    return make_model
+
+
+def test_model_embedder_batches_by_length(spark):
+    import random
+
+    from simcat.operators.embed import length_batches
+
+    rng, vectors = random.Random(2), np.random.default_rng(2).normal(size=(50, 4))
+    texts = [" ".join(str(rng.randrange(1, 50)) for _ in range(rng.choice([1, 2, 3, 40, 41, 700]))) for _ in range(300)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(3)
+    tokenize = lambda t: [int(x) for x in t.split()]
+    emb = ModelEmbedder(_toy(vectors, None), dim=4, batch_size=16, tokenize=tokenize, max_text_length=512)
+    got = {r.i: r.v for r in emb.embed(df, "text", "v").collect()}
+    raw = {r.i: r.v for r in ModelEmbedder(_toy(vectors, None), dim=4, batch_size=7, tokenize=tokenize, max_text_length=512, normalize=False).embed(df, "text", "v").collect()}
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i] is None and raw[i] is None
+            continue
+        ids = tokenize(t)[:512]
+        mean = vectors[ids].mean(axis=0) if ids else np.zeros(4)
+        assert np.allclose(raw[i], mean, atol=1e-5)
+        assert np.allclose(got[i], mean / max(np.linalg.norm(mean), 1e-12), atol=1e-5)
+    lengths = [min(512, len((t or "").split())) for t in texts]
+    padded = sum(len(b) * max(lengths[i] for i in b) for b in length_batches(lengths, 16))
+    assert sorted(i for b in length_batches(lengths, 16) for i in b) == list(range(len(texts))) and padded < 1.2 * sum(lengths)
+
+
 def test_model_embedder_pools_and_normalises(spark):
     def make_model():
         def encode(texts):
