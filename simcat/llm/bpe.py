@@ -82,10 +82,14 @@ class Merges:
 
 
 class Memo:
-    """Values of text units, computed many at a time; at most ``cap`` stay between calls."""
+    """Values of text units, computed many at a time. Between calls at most ``cap`` of them stay, of ``room``
+    bytes at most (an entry counts 4 bytes per character, its value's bytes and 200 more); a unit of more than ``LONG``
+    characters, as in texts without spaces, never stays."""
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], cap: int = 300_000):
-        self.compute, self.cap, self.known = compute, cap, {}
+    LONG = 256
+
+    def __init__(self, compute: Callable[[list[str]], Iterable], cap: int = 300_000, room: int = 96 << 20):
+        self.compute, self.cap, self.room, self.known, self.used = compute, cap, room, {}, 0
 
     def values(self, texts: Sequence[Sequence[str]]) -> list[list]:
         """For each text, given as its units, the units' values."""
@@ -101,12 +105,18 @@ class Memo:
             for units, row, at in zip(texts, out, gaps):
                 for i in at:
                     row[i] = missing[units[i]]
-            if len(known) + len(missing) <= self.cap:
-                known.update(missing)
-            elif len(known) < self.cap:
-                known.update(islice(missing.items(), self.cap - len(known)))
+            if len(known) < self.cap and self.used < self.room:
+                self._keep(missing)
         return out
 
+    def _keep(self, made: dict) -> None:
+        for unit, value in islice(made.items(), self.cap - len(self.known)):
+            if len(unit) <= self.LONG:
+                self.used += 200 + 4 * len(unit) + (len(value) if isinstance(value, bytes) else 0)
+                if self.used > self.room:
+                    return
+                self.known[unit] = value
+
 
 def slices(items: Sequence, size: Callable, limit: int) -> Iterable[Sequence]:
     """Runs of items whose sizes sum to about ``limit``; one large item is a run of its own."""

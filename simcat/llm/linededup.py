@@ -5,7 +5,9 @@ State, below one folder, in numbered versions:
 * ``counts``: digest of a line's key (128 bits) -> number of documents that hold it;
 * ``filters``: per shard of the digests, layers of a cuckoo filter with the digests found in
   at least ``threshold`` documents, and beside each layer the digests it holds, which only
-  ``insert`` and ``delete`` read.
+  ``insert`` and ``delete`` read;
+* ``state``: version, threshold and number of shards, written last. A version without it was never finished, and
+  a handle opened on the folder goes on from the last one that has it.
 
 ``insert`` adds a batch's documents to the counts and puts digests that reach the threshold
 into their shard's filter; ``delete`` subtracts documents and takes digests that fall below it
@@ -43,6 +45,7 @@ THRESHOLD = 10
 BUNDLE = 32 << 20
 #: Digests a shard is planned for.
 PER_SHARD = 1 << 15
+_STATE = "version long, threshold long, shards long"
 _SLOTS = 4
 _KICKS = 500
 
@@ -200,11 +203,26 @@ def count_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class LineDedup:
-    """Line dedup state in a folder of its own; each insert or delete makes a new version."""
+    """Line dedup state in a folder of its own; each insert or delete makes a new version. Shards are doubled, and
+    the filters built anew from the counts, when they hold more than ``per_shard`` digests on average."""
 
-    def __init__(self, spark: SparkSession, threshold: int = THRESHOLD, path: str | None = None, shards: int | None = None):
-        self.spark, self.threshold, self.shards = spark, threshold, shards
+    def __init__(self, spark: SparkSession, threshold: int | None = None, path: str | None = None, shards: int | None = None, per_shard: int = PER_SHARD):
+        """``path``: a new folder, or one with state, which keeps its threshold and shards."""
+        self.spark, self.threshold, self.shards, self.per_shard = spark, threshold or THRESHOLD, shards or 16, per_shard
         self.path, self.version = path or shared_dir(spark, "llm", "line-dedup"), 0
+        if path and (versions := self._versions()):
+            kept = spark.read.schema(_STATE).json(self._at("state", versions[-1])).first()
+            if threshold is not None and threshold != kept.threshold:
+                raise ValueError(f"{path} counts lines to a threshold of {kept.threshold}, opened with {threshold}")
+            self.version, self.threshold, self.shards = kept.version, kept.threshold, kept.shards
+
+    def _versions(self) -> list[int]:
+        """The versions that were finished."""
+        context = self.spark.sparkContext
+        hadoop = context._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(self.path).getFileSystem(context._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(hadoop(self.path))] if fs.exists(hadoop(self.path)) else []
+        return sorted(int(n[1:]) for n in names if n[1:].isdigit() and fs.exists(hadoop(self._at("state/_SUCCESS", int(n[1:])))))
 
     def _at(self, name: str, version: int | None = None) -> str:
         return f"{self.path}/v{self.version if version is None else version}/{name}"
@@ -231,13 +249,18 @@ class LineDedup:
             both = old.join(delta, "digest", "full").select("digest", F.coalesce("had", F.lit(0)).cast("long").alias("had"), F.coalesce("n", F.lit(0)).alias("d"))
         else:
             both = delta.select("digest", F.lit(0).cast("long").alias("had"), F.col("n").alias("d"))
-        both.select("digest", (F.col("had") + F.col("d")).alias("n"), "had").write.parquet(self._at("changed", new))
+        # overwrite: an attempt at this version that was never finished leaves its files
+        both.select("digest", (F.col("had") + F.col("d")).alias("n"), "had").write.mode("overwrite").parquet(self._at("changed", new))
         changed = self.spark.read.schema("digest binary, n long, had long").parquet(self._at("changed", new))
-        changed.filter("n > 0").select("digest", "n").write.parquet(self._at("counts", new))
+        changed.filter("n > 0").select("digest", "n").write.mode("overwrite").parquet(self._at("counts", new))
         crossed = changed.filter((F.col("n") >= limit) != (F.col("had") >= limit)).select("digest", (F.col("n") >= limit).alias("up"))
-        if self.shards is None:
-            self.shards = 1 << max(4, (crossed.count() // PER_SHARD).bit_length())
-        shards = self.shards
+        hot, shards = changed.filter(F.col("n") >= limit), self.shards
+        held = hot.count()
+        while held > self.per_shard * shards:
+            shards *= 2
+        grown = shards != self.shards
+        if grown:
+            crossed = hot.select("digest", F.lit(True).alias("up"))
 
         def shard_of(digest: pd.Series) -> pd.Series:
             return pd.Series((_as_words(list(digest))[:, 0] % np.uint64(shards)).astype(np.int32))
@@ -254,10 +277,12 @@ class LineDedup:
         shard = F.pandas_udf(shard_of, "int")
         moves = crossed.withColumn("shard", shard("digest"))
         schema = "shard int, layer int, buckets int, marks binary, digests binary"
-        had = self.spark.read.schema(schema).parquet(self._at("filters")) if self.version else self.spark.createDataFrame([], schema)
+        had = self.spark.read.schema(schema).parquet(self._at("filters")) if self.version and not grown else self.spark.createDataFrame([], schema)
         made = had.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(rebuild, schema)
-        made.write.parquet(self._at("filters", new))
-        self.version = new
+        made.write.mode("overwrite").parquet(self._at("filters", new))
+        self.version, self.shards = new, shards
+        state = self.spark.range(1).select(*[F.lit(x).cast("long").alias(n) for n, x in (("version", new), ("threshold", limit), ("shards", shards))])
+        state.write.mode("overwrite").json(self._at("state", new))
         return self
 
     def _bundles(self) -> Iterator[Bundle]:

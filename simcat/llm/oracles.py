@@ -61,27 +61,40 @@ FROM p JOIN sums USING (doc_id)
 """
 
 
+def _fill_sql(source: str, wanted: str, most: str, budget: str) -> str:
+    """The factor c for which the sum of least(most, c * wanted) is the budget, infinite if all don't reach it: with
+    the first i rows by most / wanted at their most, c is what's left over the rest, and i the first that fits."""
+    return f"""(SELECT coalesce(min(c) FILTER (WHERE c < coalesce(next, 'infinity'::DOUBLE)), 'infinity'::DOUBLE) FROM (
+      SELECT c, ratio AS next FROM (SELECT ratio, ({budget} - held + {most}) / (open_ + {wanted}) AS c FROM (
+        SELECT {wanted}, {most}, {most} / {wanted} AS ratio, sum({most}) OVER (ORDER BY {most} / {wanted} ROWS UNBOUNDED PRECEDING) AS held,
+               sum({wanted}) OVER () - sum({wanted}) OVER (ORDER BY {most} / {wanted} ROWS UNBOUNDED PRECEDING) AS open_ FROM {source}))))"""
+
+
 def op2_sql() -> str:
-    """The raking written out, one CTE per margin and round."""
+    """The raking to a budget written out, one CTE per margin and round."""
     margins = ("source", "lang", "topic")
-    goals = "".join(f""",
-  g_{m} AS (SELECT {m}, pow(sum(n_tokens) / (SELECT sum(n_tokens) FROM cells), {mixing.POWER}::DOUBLE) AS goal FROM cells GROUP BY {m})""" for m in margins)
+    goals = ""
+    for m in margins:
+        known = "cells WHERE topic <> 'none'" if m == "topic" else "cells"
+        goals += f""",
+  k_{m} AS MATERIALIZED (SELECT {m}, sum(n_tokens)::DOUBLE AS had, sum(n_tokens) * {mixing.RATE}::DOUBLE AS room, pow(sum(n_tokens) / (SELECT total FROM size), {mixing.POWER}::DOUBLE) AS wanted FROM {known} GROUP BY {m}),
+  g_{m} AS MATERIALIZED (SELECT {m}, least(room, wanted * {_fill_sql(f"k_{m}", "wanted", "room", f"(SELECT budget * (SELECT sum(had) FROM k_{m}) / total FROM size)")}) AS goal FROM k_{m})"""
     steps, last = "", "w"
     for i in range(mixing.ROUNDS):
         for m in margins:
             steps += f""",
-  w_{i}_{m} AS MATERIALIZED (SELECT c.* REPLACE (weight * goal / sum(weight) OVER (PARTITION BY c.{m}) AS weight) FROM {last} c JOIN g_{m} g ON g.{m} = c.{m})"""
+  w_{i}_{m} AS MATERIALIZED (SELECT c.* REPLACE (free * coalesce(goal / sum(least(free, most)) OVER (PARTITION BY c.{m}), 1.0) AS free) FROM {last} c LEFT JOIN g_{m} g ON g.{m} = c.{m})"""
             last = f"w_{i}_{m}"
     return f"""
 WITH t AS (SELECT vec_id, 't' || min(label) AS topic FROM embeddings GROUP BY vec_id),
   docs AS (SELECT doc_id, source, lang, coalesce(topic, 'none') AS topic, greatest(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 1)::BIGINT AS n_tokens
            FROM documents LEFT JOIN t ON vec_id = doc_id),
-  cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS n_tokens FROM docs GROUP BY ALL){goals},
-  w AS (SELECT *, n_tokens::DOUBLE AS weight FROM cells){steps},
-  rates AS MATERIALIZED (SELECT source, lang, topic, weight / (SELECT sum(weight) FROM {last}) AS cell_weight,
-            weight / n_tokens * ({mixing.RATE} / (SELECT max(weight / n_tokens) FROM {last})) AS probability FROM {last}),
+  cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS n_tokens FROM docs GROUP BY ALL),
+  size AS MATERIALIZED (SELECT sum(n_tokens)::DOUBLE AS total, {mixing.KEEP}::DOUBLE * sum(n_tokens) AS budget FROM cells){goals},
+  w AS (SELECT *, (SELECT budget / total FROM size) * n_tokens AS free, {mixing.RATE}::DOUBLE * n_tokens AS most FROM cells){steps},
+  rates AS MATERIALIZED (SELECT source, lang, topic, least(most, free * {_fill_sql(last, "free", "most", "(SELECT budget FROM size)")}) AS weight, weight / n_tokens AS probability FROM {last}),
   {_hash_steps("docs", "doc_id", f"{_seed_of(mixing.SEED)}::UBIGINT", "draw", "d")}
-SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(cell_weight, 9) AS cell_weight, round(probability, 9) AS probability,
+SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(weight, 3) AS cell_tokens, round(probability, 9) AS probability,
        ((draw >> 11)::DOUBLE + 0.5) / 9007199254740992.0 < probability AS sampled
 FROM d JOIN rates r ON r.source = d.source AND r.lang = d.lang AND r.topic = d.topic
 """
@@ -89,25 +102,26 @@ FROM d JOIN rates r ON r.source = d.source AND r.lang = d.lang AND r.topic = d.t
 
 OP3_SQL = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-  scored AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  scored AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 20 = 0),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
-def op4_sql(threshold: int) -> str:
+def op4_sql(threshold: int, keep: str = "true") -> str:
+    """``keep``: the documents that are in; a row is a document."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
-WITH lines AS (
-    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents WHERE {keep}),
+  lines AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs),
   keyed AS (SELECT *, translate(trim(line, {_SPACE}), '{upper}', '{lower}') AS key FROM lines),
-  hot AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= {threshold}),
+  hot AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= {threshold}),
   marked AS (SELECT keyed.*, hot.key IS NOT NULL AS dropped FROM keyed LEFT JOIN hot ON hot.key = keyed.key)
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE dropped))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """
 
 
@@ -140,13 +154,42 @@ def _same(a: str, b: str, keys: str) -> str:
     return " AND ".join(f"{a}.{k.strip()} IS NOT DISTINCT FROM {b}.{k.strip()}" for k in keys.split(","))
 
 
-def op9_sql() -> str:
-    """The counts, and the concentration steps written out, one chain of CTEs per step."""
-    o, keys, both = outliers, "lang, source", "lang, source, start"
-    n = len(o.STATS)
-    bins = o.BINS
+def _mcd_sql(p: str, keys: str) -> str:
+    """CTEs from ``sound`` to ``{p}best``: the estimate of each group of ``keys``, its concentration steps written out."""
+    o, both = outliers, f"{keys}, start"
+    n, bins = len(o.STATS), o.BINS
     quant = lambda q: f"min(CASE WHEN upto >= {q} * total THEN (bin + 0.5) / {bins} END)"
-    sql = f"""
+    sql = f""",
+  {p}cells AS (SELECT {keys}, unnest(range({n})) AS stat, unnest([{', '.join(f'floor({s} * {bins})' for s in o.STATS)}]) AS bin FROM sound),
+  {p}placed AS (SELECT *, sum(n) OVER (PARTITION BY {keys}, stat ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys}, stat) AS total FROM (SELECT {keys}, stat, bin, count(*) AS n FROM {p}cells GROUP BY ALL)),
+  {p}spread AS (SELECT {keys}, stat, max(total) AS n, {quant(0.25)} AS q25, {quant(0.5)} AS q50, {quant(0.75)} AS q75 FROM {p}placed GROUP BY {keys}, stat),
+  {p}med_v AS (SELECT {keys}, max(n) AS n, {', '.join(f"max(CASE WHEN stat = {i} THEN q50 END) AS m_{i}" for i in range(n))},
+      {', '.join(f"max(CASE WHEN stat = {i} THEN ((q75 - q25) / 1.349::DOUBLE) * ((q75 - q25) / 1.349::DOUBLE) + {o.FLOOR * o.FLOOR}::DOUBLE END) AS v_{i}{i}" for i in range(n))},
+      {', '.join(f"0.0::DOUBLE AS v_{i}{j}" for i in range(n) for j in range(i))} FROM {p}spread GROUP BY {keys}){_factor_sql(f'{p}med', keys)}{_fit_sql(f'{p}cla', 'sound', keys)},
+  {p}fit_0 AS MATERIALIZED (SELECT *, 0 AS start FROM {p}med UNION ALL BY NAME SELECT *, 1 AS start FROM {p}cla)"""
+    for step in range(o.STEPS):
+        sql += f""",
+  {p}near_{step} AS MATERIALIZED (SELECT r.*, f.start, {_distance_sql('r', 'f')}, floor(ln(distance + 1e-9) * {bins}) AS bin FROM sound r JOIN {p}fit_{step} f ON {_same('r', 'f', keys)}),
+  {p}hist_{step} AS (SELECT *, sum(n) OVER (PARTITION BY {both} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {both}) AS total FROM (SELECT {both}, bin, count(*) AS n FROM {p}near_{step} GROUP BY ALL)),
+  {p}edge_{step} AS (SELECT {both}, min(CASE WHEN upto >= {o.SHARE} * total THEN bin END) AS edge FROM {p}hist_{step} GROUP BY {both}),
+  {p}core_{step} AS (SELECT r.* FROM {p}near_{step} r JOIN {p}edge_{step} e ON {_same('r', 'e', both)} WHERE bin <= edge){_fit_sql(f'{p}fit_{step + 1}', f'{p}core_{step}', both, o.CONSISTENCY if step == o.STEPS - 1 else 1.0)}"""
+    return sql + f""",
+  {p}best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY log_det, start) AS nth FROM {p}fit_{o.STEPS}) WHERE nth = 1 AND n >= {o.SHARE * o.LEAST})"""
+
+
+def op9_sql() -> str:
+    """The counts, the estimates of the groups, of the languages and of all rows, and each row's distance by
+    the first of them that there is."""
+    o = outliers
+    levels = {"g_": "lang, source", "l_": "lang", "a_": "every"}
+    ys = ", ".join(f"y_{i}" for i in range(len(o.STATS)))
+    measured, source, far = "", "rows", "distance"
+    for p, keys in levels.items():
+        kept = "r.*" if far == "distance" else "r.* EXCLUDE (far), r.far AS before"
+        measured += f""",
+  {p}judged AS (SELECT * EXCLUDE ({ys}, distance{'' if far == 'distance' else ', before'}), {far} AS far FROM (SELECT {kept}, {_distance_sql('r', 'f')} FROM {source} r LEFT JOIN {p}best f ON {_same('r', 'f', keys)}))"""
+        source, far = f"{p}judged", "coalesce(before, distance)"
+    return f"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
   g AS (SELECT doc_id, i, array_to_string(words[i:i + {o.WINDOW - 1}], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - {o.WINDOW - 2})) AS i FROM w)),
   twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM g) WHERE times > 1),
@@ -154,30 +197,14 @@ WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_
   counted AS (SELECT doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
       len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
       len(list_filter(string_split(t, chr(10)), lambda x: trim(x, {_SPACE}) <> ''))::BIGINT - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: trim(x, {_SPACE}) <> '')))::BIGINT AS n_dup_lines FROM w),
-  rows AS MATERIALIZED (SELECT c.*, coalesce(covered, 0)::BIGINT AS n_repeat_words,
+  rows AS MATERIALIZED (SELECT c.*, 0 AS every, coalesce(covered, 0)::BIGINT AS n_repeat_words,
       n_words < {o.MIN_WORDS} OR 100 * coalesce(covered, 0) > {o.MAX_REPEAT_PERCENT} * n_words AS base_failed,
       ln(greatest(n_words, 1)) AS s1, ln(greatest(word_chars, 1) / greatest(n_words, 1)) AS s2, ln(1 + 10 * n_symbols / greatest(n_words, 1)) AS s3,
       ln(1 + 10 * n_dup_lines / greatest(n_words, 1)) AS s4, coalesce(covered, 0) / greatest(n_words, 1) AS s5
       FROM counted c LEFT JOIN cover ON cover.doc_id = c.doc_id),
-  sound AS MATERIALIZED (SELECT {keys}, {', '.join(o.STATS)} FROM rows WHERE NOT base_failed),
-  cells AS (SELECT {keys}, unnest(range({n})) AS stat, unnest([{', '.join(f'floor({s} * {bins})' for s in o.STATS)}]) AS bin FROM sound),
-  placed AS (SELECT *, sum(n) OVER (PARTITION BY {keys}, stat ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys}, stat) AS total FROM (SELECT {keys}, stat, bin, count(*) AS n FROM cells GROUP BY ALL)),
-  spread AS (SELECT {keys}, stat, max(total) AS n, {quant(0.25)} AS q25, {quant(0.5)} AS q50, {quant(0.75)} AS q75 FROM placed GROUP BY {keys}, stat),
-  med_v AS (SELECT {keys}, max(n) AS n, {', '.join(f"max(CASE WHEN stat = {i} THEN q50 END) AS m_{i}" for i in range(n))},
-      {', '.join(f"max(CASE WHEN stat = {i} THEN ((q75 - q25) / 1.349::DOUBLE) * ((q75 - q25) / 1.349::DOUBLE) + {o.FLOOR * o.FLOOR}::DOUBLE END) AS v_{i}{i}" for i in range(n))},
-      {', '.join(f"0.0::DOUBLE AS v_{i}{j}" for i in range(n) for j in range(i))} FROM spread GROUP BY {keys}){_factor_sql('med', keys)}{_fit_sql('cla', 'sound', keys)},
-  fit_0 AS MATERIALIZED (SELECT *, 0 AS start FROM med UNION ALL BY NAME SELECT *, 1 AS start FROM cla)"""
-    for step in range(o.STEPS):
-        sql += f""",
-  near_{step} AS MATERIALIZED (SELECT r.*, f.start, {_distance_sql('r', 'f')}, floor(ln(distance + 1e-9) * {bins}) AS bin FROM sound r JOIN fit_{step} f ON {_same('r', 'f', keys)}),
-  hist_{step} AS (SELECT *, sum(n) OVER (PARTITION BY {both} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {both}) AS total FROM (SELECT {both}, bin, count(*) AS n FROM near_{step} GROUP BY ALL)),
-  edge_{step} AS (SELECT {both}, min(CASE WHEN upto >= {o.SHARE} * total THEN bin END) AS edge FROM hist_{step} GROUP BY {both}),
-  core_{step} AS (SELECT r.* FROM near_{step} r JOIN edge_{step} e ON {_same('r', 'e', both)} WHERE bin <= edge){_fit_sql(f'fit_{step + 1}', f'core_{step}', both, o.CONSISTENCY if step == o.STEPS - 1 else 1.0)}"""
-    return sql + f""",
-  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY log_det, start) AS nth FROM fit_{o.STEPS}) WHERE nth = 1 AND n >= {o.SHARE * o.LEAST}),
-  judged AS (SELECT r.*, {_distance_sql('r', 'f')} FROM rows r LEFT JOIN best f ON {_same('r', 'f', keys)})
+  sound AS MATERIALIZED (SELECT lang, source, every, {', '.join(o.STATS)} FROM rows WHERE NOT base_failed){''.join(_mcd_sql(p, keys) for p, keys in levels.items())}{measured}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(distance <= {o.CUTOFF}, true) AS kept, round(distance, 4) AS distance FROM judged
+       NOT base_failed AND coalesce(far <= {o.CUTOFF}, true) AS kept, CASE WHEN NOT base_failed THEN round(far, 4) END AS distance FROM a_judged
 """
 
 

@@ -166,7 +166,7 @@ def mcd(rows: DataFrame, by: Sequence[str], share: float = SHARE, steps: int = S
 
 
 def judge(docs: DataFrame, by: Sequence[str] = ("lang", "source"), text: str = "text", pools: Sequence[Sequence[str]] = ()) -> DataFrame:
-    """``docs`` without the text, with the counts, base_failed, distance (null where there's no estimate) and kept.
+    """``docs`` without the text, with the counts, base_failed, distance (null where there's no estimate, or the base rules fail) and kept.
 
     ``pools`` are coarser groups, () for all rows: a row whose group is too small for an estimate is
     judged by that of the first pool that isn't, made from all sound rows of the pool."""
@@ -177,13 +177,13 @@ def judge(docs: DataFrame, by: Sequence[str] = ("lang", "source"), text: str = "
     rows = materialise(counted.withColumn("base_failed", base_failed()).withColumns(dict(zip(STATS, statistics()))), "quality-counts")
     sound = rows.filter(~F.col("base_failed"))
     fit = mcd(sound, by).filter(F.col("n") >= F.lit(SHARE * LEAST)).drop("n")
-    measured = _by(rows, fit, by, "left").select(*rows.columns, distance(STATS).alias("distance"))
+    measured = _by(rows, fit, by, "left").select(*rows.columns, F.when(~F.col("base_failed"), distance(STATS)).alias("distance"))
     for pool in pools:
         own = [*[aside[c] for c in pool], "pool"]
         measured = materialise(measured.withColumn("pool", F.lit(0)), "quality-measured")
         # only pools that are asked for are estimated
         asked = materialise(measured.filter("distance is null and not base_failed").select(*own).distinct(), "quality-pools")
         fit = mcd(_by(measured.filter("not base_failed").select(*own, *STATS), asked, own), own).filter(F.col("n") >= F.lit(SHARE * LEAST)).drop("n")
-        measured = _by(measured, fit, own, "left").select(*rows.columns, F.coalesce(F.col("distance"), distance(STATS)).alias("distance"))
+        measured = _by(measured, fit, own, "left").select(*rows.columns, F.when(~F.col("base_failed"), F.coalesce(F.col("distance"), distance(STATS))).alias("distance"))
     verdict = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return measured.withColumn("kept", verdict).drop(*STATS).withColumnsRenamed(back)

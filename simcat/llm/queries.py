@@ -13,6 +13,8 @@ from .common import configure, read_table
 SHARDS = 24
 TOKEN_LIMIT = 2048
 END_ID = 2
+#: The source whose documents are taken out again.
+TAKEN_DOWN = "src0"
 
 
 def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,21 +29,12 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixing: raked token weights over source, language and topic, and the sample they draw."""
-    configure(spark)
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    docs = mixing.with_topic(docs, read_table(spark, sf_dir, "embeddings"))
-    return mixing.mix(docs, ["source", "lang", "topic"]).select(
-        "doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("cell_weight"), F.round("probability", 9).alias("probability"), "sampled")
-
-
-def op2_mix_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixing to 80 % of the tokens: raked source, language and, where known, topic shares."""
+    """Mixing to 80 % of the tokens: raked source, language and, where known, topic weights, and the sample they draw."""
     configure(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     docs = mixing.with_topic(docs, read_table(spark, sf_dir, "embeddings"))
     return mixing.mix_to_budget(docs, ["source", "lang", "topic"], unknown={"topic": "none"}).select(
-        "doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("cell_tokens"), F.round("probability", 9).alias("probability"), "sampled")
+        "doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 3).alias("cell_tokens"), F.round("probability", 9).alias("probability"), "sampled")
 
 
 def op3_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +52,17 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_line_dedup_takedown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line dedup after a takedown: all documents inserted, the state opened again, the documents of one source
+    deleted, and the lines that 10 of the others still share dropped from these."""
+    configure(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    path = linededup.LineDedup(spark).insert(docs).path
+    gone, stays = docs.filter(F.col("source") == TAKEN_DOWN), docs.filter(F.coalesce(F.col("source") != TAKEN_DOWN, F.lit(True)))
+    kept = linededup.LineDedup(spark, path=path).delete(gone).apply(stays)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: fingerprint and component of every document."""
     configure(spark)
@@ -92,14 +96,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality rules: base counts of every text, and the robust outlier verdict per language and source."""
-    configure(spark)
-    return outliers.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 4).alias("distance"))
-
-
-def op9_mcd_quality_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality rules as above; rows of small groups judged by their language's estimate, or that of all rows."""
+    """Quality rules: base counts of every text, and the robust outlier verdict per language and source; rows of
+    small groups are judged by their language's estimate, or that of all rows."""
     configure(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return outliers.judge(docs, pools=[["lang"], []]).select(
@@ -143,15 +141,14 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {
     "op1_rendezvous_sharding": (op1_rendezvous_sharding, oracles.op1_sql(SHARDS)),
     "op2_mix_to_targets": (op2_mix_to_targets, oracles.op2_sql()),
-    "op2_mix_to_budget": (op2_mix_to_budget, None),
     "op3_impact_topk": (op3_impact_topk, oracles.OP3_SQL),
     "op4_line_dedup": (op4_line_dedup, oracles.op4_sql(linededup.THRESHOLD)),
+    "op4_line_dedup_takedown": (op4_line_dedup_takedown, oracles.op4_sql(linededup.THRESHOLD, f"source IS DISTINCT FROM '{TAKEN_DOWN}'")),
     "op5_simhash_neardup": (op5_simhash_neardup, None),
     "op6_toxicity_ftrl": (op6_toxicity_ftrl, None),
     "op7_token_records": (op7_token_records, None),
     "op8_sentencepiece": (op8_sentencepiece, None),
     "op9_mcd_quality": (op9_mcd_quality, oracles.op9_sql()),
-    "op9_mcd_quality_pooled": (op9_mcd_quality_pooled, None),
     "op10_token_counts": (op10_token_counts, None),
     "op11_decontamination": (op11_decontamination, oracles.op11_sql(decontamination.WIDTH)),
     "op12_divergence_audit": (op12_divergence_audit, oracles.op12_sql(divergence.LEAST_DOCS, divergence.SMOOTH, divergence.BEST)),

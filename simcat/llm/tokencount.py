@@ -12,8 +12,15 @@ taken, and all dropped when there are too many.
 A text is a sequence of chunks: runs of Latin letters that white space or other ASCII
 follows, where a word always ends, and else what stands between white space, which belongs to
 no token. A chunk's state map leads from the start to the start with a count, computed once
-and kept in a bounded memo; the maps of a text compose by a scan over blocks of chunks, then over the blocks. A chunk
-that is longer than ``PIECE`` is run in pieces whose maps go from state to state.
+and kept in a bounded memo; maps from start to start compose by adding, so a text's scan over them is a
+prefix sum, over blocks of chunks, then over the blocks.
+
+A word that is longer than ``PIECE`` is cut into pieces, and these have maps over several entry states. Which
+states can be entered isn't known before the piece in front has been run, so a piece's map is made for the states
+that runs over the last ``LEAD`` bytes in front of it end in, from the start and from the middle of a word; the
+machine forgets what lies further back almost always. The maps compose as functions, in any grouping, by a scan that
+doubles its reach in every round; where an exit meets no entry of the next map, that map is completed by a run
+from this state, so the result never rests on a guess.
 
 The tokenizer file is read on the driver and broadcast. Supported are files like the given one:
 byte-level BPE with an end-of-word suffix, NFC, lower case, white space dropped; special
@@ -29,7 +36,8 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +50,8 @@ from .common import UNICODE_SPACE, without
 
 #: Bytes of a chunk that one state map covers; states kept; characters counted at once.
 PIECE, STATES, _AT_ONCE = 1 << 16, 200_000, 1 << 20
+#: Bytes in front of a piece that are run to find the states it can be entered in.
+LEAD = 64
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CHUNK = re.compile(f"[{_LATIN}]+(?=[\x00-@\\[-`{{-\x7f]|$)|[^{UNICODE_SPACE}]+")
 _LOADED: dict[bytes, TokenCounter] = {}
@@ -124,6 +134,53 @@ class Transducer:
         return state, total
 
 
+class PieceMap:
+    """State map of consecutive pieces of a word: entry state -> (exit state, count), made for some entries and
+    completed by ``run`` for others when they are asked for."""
+
+    def __init__(self, run: Callable[[int], tuple[int, int]], entries: Iterable[int]):
+        self.run = run
+        self.known = {s: run(s) for s in entries}
+
+    def __call__(self, state: int) -> tuple[int, int]:
+        known = self.known.get(state)
+        if known is None:
+            known = self.known[state] = self.run(state)
+        return known
+
+    def then(self, other: PieceMap) -> PieceMap:
+        """This map, then the other one."""
+
+        def run(state: int) -> tuple[int, int]:
+            between, n = self(state)
+            after, m = other(between)
+            return after, n + m
+
+        return PieceMap(run, self.known)
+
+
+def piece_maps(machine: Transducer, symbols: str, piece: int = PIECE, lead: int = LEAD) -> list[PieceMap]:
+    """The maps of a word's pieces, each for the states it is likely to be entered in; the first one for the start."""
+    out = []
+    for at in range(0, len(symbols), piece):
+        entries = {0}
+        if at:
+            near = symbols[max(0, at - lead) : at]
+            entries = {machine.run(near)[0], machine.run(near, machine.run(near[: lead // 2])[0])[0]}
+        out.append(PieceMap(partial(machine.run, symbols[at : at + piece]), entries))
+    return out
+
+
+def compose(maps: list[PieceMap]) -> list[PieceMap]:
+    """Prefix scan: the i-th result is the composition of the first i + 1 maps; every round doubles what each covers,
+    and the compositions of a round don't depend on one another."""
+    out, reach = list(maps), 1
+    while reach < len(out):
+        out = [m if i < reach else out[i - reach].then(m) for i, m in enumerate(out)]
+        reach *= 2
+    return out
+
+
 class TokenCounter:
     """Counts tokens as the tokenizer of a JSON file does."""
 
@@ -172,10 +229,10 @@ class TokenCounter:
             for symbols in self._words(part):
                 if len(machine.states) > machine.limit:
                     machine.reset()
-                state = count = 0
-                for at in range(0, len(symbols) - 1, PIECE):
-                    state, n = machine.run(symbols[at : min(at + PIECE, len(symbols) - 1)], state)
-                    count += n
+                if len(symbols) <= PIECE:
+                    state, count = machine.run(symbols[:-1])
+                else:
+                    state, count = compose(piece_maps(machine, symbols[:-1], PIECE))[-1](0)
                 total += count + machine.finish(state, chr(ord(symbols[-1]) + 256))
         return total
 

@@ -17,10 +17,10 @@ broadcast and run over all blocks, a job and an output file per chunk. Every tas
 rows per query, which are merged in two levels.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows with
-null ids, take no part; of rows with equal ids the smallest vector counts, once; shorter
-vectors are padded with zeros; equal scores go to the smaller id; a query never finds itself;
-fewer rows than k give them all; empty tables give empty tables. Quantised components are
-held within +-2**26.
+null ids, take no part; rows with equal ids are rows of their own, as queries and as candidates; shorter
+vectors are padded with zeros; equal scores go to the smaller id; a query never finds its own row;
+fewer rows than k give them all; empty tables give empty tables. Scores are exact 64-bit integers; vectors
+so large that a product could leave 64 bits raise an error that names them.
 """
 
 from __future__ import annotations
@@ -38,15 +38,16 @@ from .common import materialise, shared_dir
 BLOCK, PER_TASK, CHUNK, TILE = 2048, 8192, 4096, 256
 #: Shares of a block's postings after which the proof is tried.
 PROOF_AT = (0.5, 0.7, 0.85)
-LIMIT = 1 << 26
+#: Quantised components are read up to this; beyond it no score fits 64 bits.
+LIMIT = 1 << 62
 _SALTS = 16
 _PAIRS = 1 << 18
 
 
 def quantised(vector: Column, scale: int) -> Column:
     """floor(scale * x) of each component, null if the vector can't take part."""
-    value = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")))
-    held = F.transform(value, lambda x: F.greatest(F.least(x, F.lit(LIMIT)), F.lit(-LIMIT)).cast("int"))
+    value = F.transform(vector, lambda x: F.lit(float(scale)) * x.cast("double"))
+    held = F.transform(value, lambda x: F.when(F.abs(x) < F.lit(float(LIMIT)), F.floor(x)).otherwise(F.lit(LIMIT)).cast("long"))
     sound = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))
     return F.when(sound, held)
 
@@ -97,7 +98,8 @@ def possible_members(block: Block, queries: np.ndarray, floor: np.ndarray, k: in
             low = floor
             if n >= k:
                 low = np.maximum(floor, np.partition(acc - bound, n - k, axis=0)[n - k])
-            may = acc + bound >= low
+            # sums beyond 2^53 are rounded here: a little below is on the safe side
+            may = acc + bound >= low - 1e-12 * np.abs(low, where=np.isfinite(low), out=np.zeros(len(low)))
             if np.count_nonzero(may) * dims <= (len(block.members) - block.starts[s]) * len(queries):
                 return np.nonzero(may)
         acc[block.members[block.starts[s] : block.starts[s + 1]]] += columns[dim] * impact
@@ -138,11 +140,11 @@ def search_block(block: Block, ids: list[np.ndarray], tile: np.ndarray, best: Be
 
 
 def build_index(rows: DataFrame, k: int) -> DataFrame:
-    """(rep, q, ids): distinct vectors with their smallest k + 1 ids, dealt over tasks."""
+    """(rep, q, ids): distinct vectors, each under a number of its own, with their smallest k + 1 ids, dealt over tasks."""
     nth = F.row_number().over(Window.partitionBy("q").orderBy("id"))
     few = rows.withColumn("nth", nth).filter(F.col("nth") <= k + 1)
     classes = few.groupBy("q").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    classes = materialise(classes.select(F.col("ids")[0].alias("rep"), "q", "ids"), "topk-classes")
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("rep"), "q", "ids"), "topk-classes")
     return materialise(classes.repartition(1 + classes.count() // PER_TASK, "rep"), "topk-index")
 
 
@@ -159,11 +161,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ke
     """(query_id, rank, id, score): the k best other rows of every query row."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), scale).alias("q"), is_query.alias("asks")).filter("id is not null and q is not null")
-    rows = materialise(rows.groupBy("id").agg(F.min("q").alias("q"), F.max("asks").alias("asks")), "topk-rows")
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "topk-rows")
+    largest = F.array_max(F.transform("q", lambda x: F.abs(x)))
+    dims, top = rows.agg(F.max(F.size("q")), F.max(largest)).first()
+    dims, top = dims or 1, top or 0
+    if dims * top * top >= 1 << 63:
+        bad = [r[0] for r in rows.filter(largest > int(((1 << 63) // dims) ** 0.5) - 1).orderBy("id").select("id").limit(11).collect()]
+        raise ValueError(f"scores may exceed 64 bits: ids {bad[:10]}{' ...' if len(bad) > 10 else ''}")
     index = build_index(rows.select("id", "q"), k)
-    asked = materialise(rows.filter("asks").join(index.select("q", "rep"), "q").select(F.col("id").alias("query_id"), "rep"), "topk-asked")
+    own = F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x * x)
+    asked = materialise(rows.filter("asks").join(index.select("q", "rep"), "q").select("row", F.col("id").alias("query_id"), "rep", own.alias("own")), "topk-asked")
     reps = asked.select("rep").distinct()
-    dims = index.agg(F.max(F.size("q"))).first()[0] or 1
     chunks = 1 + reps.count() // CHUNK
     chunk = F.pmod(F.xxhash64("rep"), F.lit(chunks))
     queries = materialise(index.join(reps, "rep", "left_semi").select("rep", "q", chunk.alias("chunk")), "topk-queries")
@@ -191,6 +199,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ke
     order = (F.col("score").desc(), F.col("id"))
     for by in (("rep", F.pmod(F.xxhash64("id"), F.lit(_SALTS))), ("rep",)):
         found = found.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("nth") <= k + 1).drop("nth")
-    others = asked.join(found, "rep").filter("query_id != id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    # a query's own row is one of those with its id and its vector's score with itself
+    met = asked.join(found, "rep").withColumn("nth", F.row_number().over(Window.partitionBy("row", "id", "score").orderBy("id")))
+    others = met.filter("not (query_id = id and score = own and nth = 1)")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(*order))
     return others.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "id", "score")

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from helpers import documents
 
 from simcat.llm import linededup, queries
@@ -52,6 +53,44 @@ def test_insert_and_delete_are_reversible(spark):
     assert dropped(c) == [""] * 20
 
 
+def test_state_reopens_from_its_folder(spark):
+    texts = [f"shared {i % 4}\nown {i}\n\n SHARED {i % 4} " for i in range(40)]
+    first, second = documents(spark, texts[:20]), documents(spark, texts[20:])
+    path = linededup.LineDedup(spark, threshold=8).insert(first).path
+    again = linededup.LineDedup(spark, path=path)
+    assert (again.version, again.threshold, again.shards) == (1, 8, 16)
+    again.insert(second)
+    again.counts.write.parquet(f"{path}/v3/counts")  # an attempt that was never finished
+    last = linededup.LineDedup(spark, path=path, threshold=8)
+    assert last.version == 2 and sorted(r.text for r in last.apply(first).collect()) == sorted(x[2] for x in brute(texts, 8)[:20])
+    last.delete(first)
+    assert sorted(r.text for r in linededup.LineDedup(spark, path=path).apply(second).collect()) == sorted(x[2] for x in brute(texts[20:], 8))
+    with pytest.raises(ValueError, match="threshold of 8"):
+        linededup.LineDedup(spark, path=path, threshold=9)
+
+
+def test_shards_double_as_they_fill(spark):
+    texts = ["\n".join(f"line {j}" for j in range(i % 7, 300)) for i in range(12)]
+    state = linededup.LineDedup(spark, threshold=4, shards=1, per_shard=20).insert(documents(spark, texts[:3]))
+    assert state.shards == 1 and state.filters.count() == 0
+    state.insert(documents(spark, texts[3:]))
+    assert state.shards == 16 and state.filters.select("shard").distinct().count() == 16
+    assert sorted(r.text for r in state.apply(documents(spark, texts)).collect()) == sorted(x[2] for x in brute(texts, 4))
+    state.delete(documents(spark, texts[3:]))
+    assert sorted(r.text for r in state.apply(documents(spark, texts[:3])).collect()) == sorted(texts[:3])
+
+
+def test_a_row_is_a_document(spark):
+    docs = spark.createDataFrame([(1, "one line\nmore")] * 12 + [(2, "more")], "doc_id long, text string")
+    assert {r.text for r in linededup.LineDedup(spark).insert(docs).apply(docs).collect()} == {""}
+
+
+def test_takedown_query_equals_brute_force(spark, sf):
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.source != queries.TAKEN_DOWN]
+    want = {d.doc_id: (n, k, hashlib.sha256(t.encode()).hexdigest()) for d, (n, k, t) in zip(docs, brute([d.text for d in docs], 10))}
+    assert {r[0]: tuple(r[1:]) for r in queries.op4_line_dedup_takedown(spark, sf).collect()} == want
+
+
 def test_empty(spark):
     docs = documents(spark, [])
     assert linededup.LineDedup(spark).insert(docs).apply(docs).count() == 0

@@ -1,8 +1,11 @@
+import struct
+
 import numpy as np
 import pytest
+import xxhash
 from helpers import documents
 
-from simcat.llm import mixing
+from simcat.llm import mixing, queries
 
 MARGINS = ["source", "lang", "n_chars"]
 
@@ -136,6 +139,53 @@ def test_a_target_beyond_its_documents_takes_all_of_them(spark):
     assert len(awkward) == documents(spark, extra=True).count() and all(0 < r.probability <= 1 for r in awkward)
 
 
+def fill(wanted, most, budget):
+    """The factor for which the sum of min(most, factor * wanted) is the budget, by bisection."""
+    if sum(most) <= budget:
+        return float("inf")
+    low, high = 0.0, max(m / w for m, w in zip(most, wanted))
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(m, mid * w) for m, w in zip(most, wanted)) < budget else (low, mid)
+    return high
+
+
+def brute_mix(rows, seed=mixing.SEED):
+    """{id: (probability, sampled)} of (id, n_tokens, (source, lang, topic)) rows: the default mix to a budget."""
+    cells = {}
+    for _, n, k in rows:
+        cells[k] = cells.get(k, 0) + n
+    total = sum(cells.values())
+    budget, free, goals = mixing.KEEP * total, {}, []
+    for m in range(3):
+        had = {}
+        for k, n in cells.items():
+            if not (m == 2 and k[m] == "none"):
+                had[k[m]] = had.get(k[m], 0) + n
+        wanted = {v: (n / total) ** mixing.POWER for v, n in had.items()}
+        c = fill(list(wanted.values()), list(had.values()), budget * sum(had.values()) / total)
+        goals.append({v: min(had[v], c * w) for v, w in wanted.items()})
+    free = {k: budget / total * n for k, n in cells.items()}
+    for _ in range(mixing.ROUNDS):
+        for m, goal in enumerate(goals):
+            sums = {}
+            for k, w in free.items():
+                sums[k[m]] = sums.get(k[m], 0) + min(w, cells[k])
+            free = {k: w * (goal[k[m]] / sums[k[m]] if k[m] in goal else 1) for k, w in free.items()}
+    c = fill(list(free.values()), list(cells.values()), budget)
+    rate = {k: min(cells[k], c * w) / cells[k] for k, w in free.items()}
+    first = xxhash.xxh64_intdigest(struct.pack("<q", seed), seed=42)
+    draw = lambda i: ((xxhash.xxh64_intdigest(struct.pack("<q", i), seed=first) >> 11) + 0.5) / (1 << 53)
+    return {i: (rate[k], draw(i) < rate[k]) for i, _, k in rows}
+
+
+def test_query_equals_brute_force(spark, sf):
+    rows = queries.op2_mix_to_targets(spark, sf).collect()
+    want = brute_mix([(r.doc_id, r.n_tokens, (r.source, r.lang, r.topic)) for r in rows])
+    assert len(want) == len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.probability == pytest.approx(want[r.doc_id][0], abs=2e-9) and r.sampled == want[r.doc_id][1] for r in rows)
+
+
 def test_rows_of_unknown_topic_are_drawn_as_often_as_the_others(spark):
     rows = corpus(np.random.default_rng(8))
     docs = spark.createDataFrame(rows, DOCS)

@@ -94,6 +94,12 @@ def test_awkward_rows_small_groups_and_empty(spark):
     assert outliers.judge(documents(spark, [])).count() == 0
 
 
+def test_the_query_judges_every_sound_row(spark, sf):
+    rows = queries.op9_mcd_quality(spark, sf).collect()
+    assert all((r.distance is None) == r.base_failed and r.kept == (not r.base_failed and r.distance <= outliers.CUTOFF) for r in rows)
+    assert any(not r.kept and not r.base_failed for r in rows)
+
+
 def test_main_path_has_no_python(spark, sf):
     plan = queries.op9_mcd_quality(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -1,10 +1,12 @@
 import random
+import re
 
 import numpy as np
 import public_tokenizers
 import sentencepiece
 from helpers import sentence
 from test_linededup import brute
+from test_mixing import brute_mix
 from test_simhash import brute_fingerprint, components
 
 import corpus_pipeline
@@ -37,11 +39,10 @@ def test_stages_equal_brute_force(spark, sf):
     order = sorted(lines, key=lambda r: r.doc_id)
     comp = components([brute_fingerprint(r.text) for r in order])
     assert sorted(single) == sorted(r for i, r in enumerate(order) if comp[i] == i)
-    # the mix: a draw of known documents, the same each time
-    ids = {r.doc_id for r in single}
-    assert {r.doc_id for r in mixed} <= ids and 0.2 < len(mixed) / len(single) <= 1
-    again = corpus_pipeline.mix_sources(spark, spark.createDataFrame(single, docs.schema), sf).collect()
-    assert sorted(again) == sorted(mixed)
+    # the mix: what a mix written out in Python draws
+    label = {r.vec_id: f"t{r.label}" for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    drawn = brute_mix([(r.doc_id, max(1, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))), (r.source, r.lang, label.get(r.doc_id, "none"))) for r in single])
+    assert sorted(mixed) == sorted(r for r in single if drawn[r.doc_id][1]) and 0.6 < len(mixed) / len(single) <= 1
     # ids
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     texts = {r.doc_id: r.text for r in mixed}

@@ -48,6 +48,18 @@ def test_hot_repeated_rows_null_keys_and_clashing_columns(spark):
     assert len({r.shard for r in rows if r.doc_id is None}) == 1
 
 
+def test_a_hot_key_with_different_rows_is_split(spark, monkeypatch):
+    """A third of the rows under one key: no window numbers more than a cell of them."""
+    df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.concat(F.lit("text "), "id").alias("t"))
+    df = sharding.shard_records(df, [1.0] * 3, "k")
+    cells = df.groupBy("k", F.shiftrightunsigned(F.xxhash64("k", "t", "shard"), 64 - sharding.CELL_BITS)).count()
+    assert cells.agg(F.max("count")).first()[0] < 100
+    slots = defaultdict(list)
+    for r in sharding.number_slots(df, "shard", "k").collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_slots_do_not_depend_on_the_ranges(spark):
     df = sharding.shard_records(spark.range(500).withColumnRenamed("id", "k"), [1.0] * 3, "k")
     assert sorted(sharding.number_slots(df, "shard", "k", range_bits=2).collect()) == sorted(sharding.number_slots(df, "shard", "k", range_bits=9).collect())

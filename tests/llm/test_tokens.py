@@ -92,6 +92,41 @@ def test_chunk_maps_compose(counter):
     assert tokencount.scan(counts).tolist() == np.cumsum(counts).tolist()
 
 
+def test_long_words_are_composed_of_pieces(word, counter):
+    """Words beyond ``PIECE`` bytes, and the maps of their pieces in any grouping."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["in", "ter", "nation", "al", "isa", "tion", "s", "é", "q"]) for _ in range(40_000)), "x" * 150_001, "ab" * 70_000, "日本語" * 30_000]
+    assert all(len(t.encode()) > tokencount.PIECE for t in texts)
+    assert counter.count_many(texts) == [len(word.encode(t, add_special_tokens=False).ids) for t in texts]
+    machine, symbols = counter.machine, texts[0].encode().decode("latin-1")[:4000]
+    whole = machine.run(symbols)
+    for lead in (0, 3, 64):  # guesses that meet no entry are completed
+        maps = tokencount.piece_maps(machine, symbols, 300, lead)
+        scanned = tokencount.compose(maps)
+        at, total = 0, 0
+        for i, m in enumerate(scanned):
+            at, n = machine.run(symbols[300 * i : 300 * (i + 1)], at)
+            total += n
+            assert m(0) == (at, total)
+        assert scanned[-1](0) == whole
+        for cut in (1, 5, 13):
+            left, right = tokencount.compose(maps[:cut])[-1], tokencount.compose(maps[cut:])[-1]
+            assert left.then(right)(0) == whole
+        for entry in (0, machine.run("inter")[0], machine.run("q")[0]):
+            assert maps[3](entry) == machine.run(symbols[900:1200], entry)
+
+
+def test_memo_holds_to_its_bytes():
+    """Texts without spaces: their units are long and never stay; short ones stay up to the room."""
+    memo = Memo(lambda xs: [x.encode() for x in xs], room=10_000)
+    long = ["日本語" * 3000 + str(i) for i in range(40)]
+    assert memo.values([long]) == [[x.encode() for x in long]] and not memo.known
+    short = [f"unit{i}" for i in range(500)]
+    assert memo.values([short]) == [[x.encode() for x in short]]
+    assert 0 < len(memo.known) < 60 and sum(200 + 4 * len(k) + len(v) for k, v in memo.known.items()) <= 10_000
+    assert memo.values([short]) == [[x.encode() for x in short]]
+
+
 def test_awkward_tables(spark, piece, word):
     docs = documents(spark, extra=True).withColumnRenamed("t", "ids").withColumnRenamed("shard", "n_tokens")
     out = sentencepieces.encode(docs, MODEL)

@@ -1,7 +1,10 @@
 import random
+import re
+import struct
 import zlib
 
 import numpy as np
+import xxhash
 from helpers import documents, sentence
 from pyspark.sql import functions as F
 
@@ -41,6 +44,45 @@ def test_query_finds_held_out_toxic_documents(spark):
     assert sum(r.predicted for r in held if not r.toxic) / len(held) < 0.02
 
 
+def plain_coordinates(text):
+    """Hashed words, word pairs and skip pairs, one by one in Python integers."""
+    words, low = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode()), (1 << 32) - 1
+    a, b, c, d = (int(x) for x in toxicity._MIX)
+    h = [zlib.crc32(w) for w in words]
+    out = {(x * a & low) >> 12 for x in h}
+    for pairs, p, q, add in ((zip(h, h[1:]), b, c, 1), (zip(h, h[2:]), c, b, 2)):
+        for x, y in pairs:
+            v = (x * p + y * q + add) * d & low
+            out.add((v ^ v >> 15) >> 12)
+    return out
+
+
+def test_query_scores_equal_a_plain_model(spark, sf):
+    """The whole operator again: choice and order of the training rows, features, updates, weights and scores."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 5}
+    place = lambda i: int(np.uint64(xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)).astype(np.int64))
+    seen = [(plain_coordinates(docs[i]) | {1 << 20}, truth[i]) for i in sorted(truth, key=place)]
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        return (np.sign(z[i]) * toxicity.L1 - z[i]) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for at, y in seen:
+            w = {i: weight(i) for i in at}
+            g = (1 / (1 + np.exp(-sum(w.values()))) - y) * (toxicity.TOXIC_WEIGHT if y else 1.0)
+            for i in at:
+                had = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((had + g * g) ** 0.5 - had**0.5) / toxicity.ALPHA * w[i]
+                n[i] = had + g * g
+    want = {i: 1 / (1 + np.exp(-sum(weight(c) for c in plain_coordinates(t) | {1 << 20}))) for i, t in docs.items()}
+    got = {r.doc_id: r.score for r in queries.op6_toxicity_ftrl(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-4 for i in want) and len(set(got.values())) > 1
+
+
 def test_training_is_bounded_and_sparse(spark):
     docs, labels = corpus(spark)
     few = toxicity.train(docs, labels, rows=50).collect()
