@@ -324,14 +324,14 @@ class CatalogStore:
         if batch_id is not None:
             streams[stream] = {"batch_id": int(batch_id), **(counts or {})}
         step = self._rewrite if self.delta_share is None else self._append
-        if touched is not None:
+        if touched is not None and self.delta_share is None:
             version = step(prev, folded, streams, touched)
         else:
-            # The fold (one row per feed id) feeds several jobs, the touched-bucket list and
-            # the write among them: keep it so the feed is scanned, embedded and folded once.
+            # The fold (one row per feed id) feeds several jobs, the touched-bucket list, the test for
+            # known ids and the write: keep it so the feed is scanned, embedded and folded once.
             folded = folded.persist()
             try:
-                version = step(prev, folded, streams, self.touched_buckets(folded))
+                version = step(prev, folded, streams, self.touched_buckets(folded) if touched is None else touched)
             finally:
                 folded.unpersist()
         if self.delta_share is not None:
