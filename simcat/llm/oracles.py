@@ -64,10 +64,11 @@ FROM p JOIN sums USING (doc_id)
 def _fill_sql(source: str, wanted: str, most: str, budget: str) -> str:
     """The factor c for which the sum of least(most, c * wanted) is the budget, infinite if all don't reach it: with
     the first i rows by most / wanted at their most, c is what's left over the rest, and i the first that fits."""
-    return f"""(SELECT coalesce(min(c) FILTER (WHERE c < coalesce(next, 'infinity'::DOUBLE)), 'infinity'::DOUBLE) FROM (
-      SELECT c, ratio AS next FROM (SELECT ratio, ({budget} - held + {most}) / (open_ + {wanted}) AS c FROM (
-        SELECT {wanted}, {most}, {most} / {wanted} AS ratio, sum({most}) OVER (ORDER BY {most} / {wanted} ROWS UNBOUNDED PRECEDING) AS held,
-               sum({wanted}) OVER () - sum({wanted}) OVER (ORDER BY {most} / {wanted} ROWS UNBOUNDED PRECEDING) AS open_ FROM {source}))))"""
+    order = f"OVER (ORDER BY {most} / {wanted} ROWS UNBOUNDED PRECEDING)"
+    return f"""(SELECT coalesce(arg_min(c, i) FILTER (WHERE c < ratio), 'infinity'::DOUBLE) FROM (
+      SELECT i, ratio, ({budget} - held + {most}) / (open_ + {wanted}) AS c FROM (
+        SELECT {wanted}, {most}, {most} / {wanted} AS ratio, count(*) {order} AS i, sum({most}) {order} AS held,
+               sum({wanted}) OVER () - sum({wanted}) {order} AS open_ FROM {source})))"""
 
 
 def op2_sql() -> str:
@@ -92,7 +93,8 @@ WITH t AS (SELECT vec_id, 't' || min(label) AS topic FROM embeddings GROUP BY ve
   cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS n_tokens FROM docs GROUP BY ALL),
   size AS MATERIALIZED (SELECT sum(n_tokens)::DOUBLE AS total, {mixing.KEEP}::DOUBLE * sum(n_tokens) AS budget FROM cells){goals},
   w AS (SELECT *, (SELECT budget / total FROM size) * n_tokens AS free, {mixing.RATE}::DOUBLE * n_tokens AS most FROM cells){steps},
-  rates AS MATERIALIZED (SELECT source, lang, topic, least(most, free * {_fill_sql(last, "free", "most", "(SELECT budget FROM size)")}) AS weight, weight / n_tokens AS probability FROM {last}),
+  scaled AS MATERIALIZED (SELECT *, least(most, free * {_fill_sql(last, "free", "most", "(SELECT budget FROM size)")}) AS weight FROM {last}),
+  rates AS (SELECT source, lang, topic, weight, weight / n_tokens AS probability FROM scaled),
   {_hash_steps("docs", "doc_id", f"{_seed_of(mixing.SEED)}::UBIGINT", "draw", "d")}
 SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(weight, 3) AS cell_tokens, round(probability, 9) AS probability,
        ((draw >> 11)::DOUBLE + 0.5) / 9007199254740992.0 < probability AS sampled
