@@ -20,11 +20,12 @@ from simcat import params as P
 from simcat.functions.vector import l2_normalize
 from simcat.operators import catalog as C
 from simcat.operators.embed import HashingEmbedder, ModelEmbedder, mean_pool
-from simcat.plans.fixtures import (FIXTURE_TASKS, HASH_DIM, SAMPLE_SEED, documents_catalog, embeddings_catalog,
+from simcat.plans.fixtures import (FIXTURE_TASKS, HASH_DIM, SAMPLE_SEED, docs_store, documents_catalog, embeddings_catalog,
                                    hashing_embedder, sql_hash_vectors, table)
 from simcat.operators.partitioning import spread
 from simcat.session import shared_dir
 from simcat.sources.blob import export_blob_table, import_blob_table
+from simcat.sources.ranked import build_ranked
 from simcat.sources.store import CatalogStore
 
 CUT = "2024-01-16 00:00:00"
@@ -174,18 +175,9 @@ SELECT seq, id, reason FROM r WHERE reason IS NOT NULL
 
 # ---------------------------------------------------------------- scans
 
-def _docs_store(spark: SparkSession, sf_dir: str) -> CatalogStore:
-    cat = documents_catalog(spark, sf_dir)
-    full = cat.select("id", "text", "vector", F.size("vector").alias("dim"), F.lit(1).cast("long").alias("count"),
-                      F.lit(0).cast("long").alias("created_at"), F.lit(0).cast("long").alias("updated_at"))
-    store = CatalogStore(spark, shared_dir(spark, "docs"), buckets=8)
-    store.write(full)
-    return store
-
-
 def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-2 + K-1: the documents catalog written as a snapshot and scanned back in id order."""
-    store = _docs_store(spark, sf_dir)
+    store = docs_store(spark, sf_dir)
     return store.read().orderBy("id").select("id", F.char_length("text").alias("n_chars"), "dim")
 
 
@@ -208,11 +200,11 @@ SELECT doc_id + 1 AS id, md5(text) AS text_md5 FROM documents ORDER BY id LIMIT
 def catalog_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-4, keyset form for deep pages: the 50 ids after the largest labelled id's half.
 
-    The boundary comes from the data (half the largest labelled doc id) and is pushed
-    to the Parquet scan as ``id > boundary``."""
-    cat = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("id"), "text")
+    The boundary comes from the data (half the largest labelled doc id). It is compared with the stored column, so it
+    is pushed to the Parquet scan."""
     boundary = table(spark, sf_dir, "labels").agg(F.max("doc_id")).first()[0] // 2
-    return C.page_after(cat, boundary, 50).select("id", F.md5("text").alias("text_md5"))
+    cat = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return C.page_after(cat, boundary - 1, 50).select((F.col("id") + 1).alias("id"), F.md5("text").alias("text_md5"))
 
 
 SQL_CATALOG_PAGE_AFTER = """
@@ -221,6 +213,23 @@ WHERE doc_id + 1 > (SELECT max(doc_id) // 2 FROM labels) ORDER BY id LIMIT 50
 """
 
 
+def catalog_page_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-4 at any depth: pages of 50 at the start, the middle and the end of the documents catalog, each read from the
+    files that the rank index names."""
+    cat = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("id"), "text")
+    n = cat.count()
+    ranked = build_ranked(cat, file_rows=max(1, n // 16))
+    pages = [ranked.page(50, at).select(F.lit(at).cast("long").alias("offset"), "id", F.md5("text").alias("text_md5")) for at in (0, n // 2, n - 20)]
+    return reduce(DataFrame.unionByName, pages)
+
+
+SQL_CATALOG_PAGE_RANKED = """
+WITH d AS (SELECT doc_id + 1 AS id, md5(text) AS text_md5, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
+  starts AS (SELECT DISTINCT unnest([0, n // 2, n - 20]) AS start FROM d)
+SELECT start::BIGINT AS "offset", id, text_md5 FROM d JOIN starts ON pos >= start AND pos < start + 50
+"""
+
+
 def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-3: catalog rows whose id is labelled (left semi join)."""
     cat = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("id"), "lang")
@@ -273,7 +282,7 @@ def catalog_store_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-1 on the snapshot store: the documents catalog is written, a feed of event
     ids (user_id * 7, partly new, partly known) is merged into it, and the size is
     read from the latest commit record, which the writes observed (no scan)."""
-    store = _docs_store(spark, sf_dir)
+    store = docs_store(spark, sf_dir)
     feed = events_feed(spark, sf_dir).select("seq", (F.col("id") * 7).alias("id"), "text", "ts")
     valid, _ = C.validate_upserts(feed, vector_col=None)
     store.merge(C.fold_upserts(valid, hashing_embedder()))
@@ -423,6 +432,7 @@ QUERIES = {
     "catalog_scan": (catalog_scan, SQL_CATALOG_SCAN),
     "catalog_page": (catalog_page, SQL_CATALOG_PAGE),
     "catalog_page_after": (catalog_page_after, SQL_CATALOG_PAGE_AFTER),
+    "catalog_page_ranked": (catalog_page_ranked, SQL_CATALOG_PAGE_RANKED),
     "catalog_lookup": (catalog_lookup, SQL_CATALOG_LOOKUP),
     "catalog_exists": (catalog_exists, SQL_CATALOG_EXISTS),
     "catalog_sample": (catalog_sample, SQL_CATALOG_SAMPLE),

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from simcat.operators.embed import HashingEmbedder
 from simcat.operators.partitioning import spread
+from simcat.session import shared_dir
+from simcat.sources.store import CatalogStore
 
 HASH_DIM = 64
 # The fixture tables are single files of one row group.
@@ -44,6 +46,16 @@ def documents_catalog(spark: SparkSession, sf_dir: str, embedder=None) -> DataFr
     return embedder.embed(docs, "text", "vector")
 
 
+def docs_store(spark: SparkSession, sf_dir: str) -> CatalogStore:
+    """The documents catalog written as a store of eight buckets."""
+    cat = documents_catalog(spark, sf_dir)
+    full = cat.select("id", "text", "vector", F.size("vector").alias("dim"), F.lit(1).cast("long").alias("count"),
+                      F.lit(0).cast("long").alias("created_at"), F.lit(0).cast("long").alias("updated_at"))
+    store = CatalogStore(spark, shared_dir(spark, "docs"), buckets=8)
+    store.write(full)
+    return store
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str, embedder=None, k=None) -> DataFrame:
     """Queries (qid, text, top_k) from ``benchmark``; text is not stripped (as in search)."""
     b = spread(table(spark, sf_dir, "benchmark"), FIXTURE_TASKS)

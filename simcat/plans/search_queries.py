@@ -11,8 +11,9 @@ from simcat.operators.blocks import build_blocks, search_blocks
 from simcat.operators.catalog import sample_rows
 from simcat.operators.report import search_run_report
 from simcat.operators.search import prepare_queries, search
-from simcat.plans.fixtures import (SAMPLE_SEED, SQL_EMB_CATALOG, benchmark_queries, documents_catalog,
+from simcat.plans.fixtures import (SAMPLE_SEED, SQL_EMB_CATALOG, benchmark_queries, docs_store, documents_catalog,
                                    embeddings_catalog, hashing_embedder, sql_hash_vectors, table)
+from simcat.session import shared_dir
 
 # Shared oracle tail: rank scores (ties at 12 decimals broken by id), round half-even, clamp.
 _SQL_RANK = """
@@ -217,6 +218,15 @@ WHERE r.rank <= 5
 """
 
 
+def search_text_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-3 over the catalog store: the flagship's search on a snapshot, texts read from the winners' buckets only."""
+    store = docs_store(spark, sf_dir)
+    valid, _ = prepare_queries(benchmark_queries(spark, sf_dir))
+    commit, path = store.latest(), shared_dir(spark, "store-hits")
+    search(hashing_embedder().embed(valid, "text", "vector"), store.read(commit).select("id", "vector")).write.parquet(path)
+    return store.texts_of(spark.read.parquet(path), commit).select("qid", "rank", "id", "score_rate", "text")
+
+
 def search_print(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-9: the printed search result -- query preview (100 chars), rank, id, score at
     four decimals and hit preview (150 chars), for every benchmark query."""
@@ -276,6 +286,7 @@ QUERIES = {
     "search_k_exceeds_catalog": (search_k_exceeds_catalog, SQL_SEARCH_K_EXCEEDS_CATALOG),
     "search_empty_catalog": (search_empty_catalog, SQL_SEARCH_EMPTY_CATALOG),
     "search_text_topk": (search_text_topk, SQL_SEARCH_TEXT_TOPK),
+    "search_text_store": (search_text_store, SQL_SEARCH_TEXT_TOPK),
     "search_quality_report": (search_quality_report, SQL_SEARCH_QUALITY_REPORT),
     "search_print": (search_print, SQL_SEARCH_PRINT),
 }

@@ -24,6 +24,7 @@ from simcat.plans.search_queries import (SQL_SEARCH_QUERY_REJECTS, SQL_SEARCH_TE
                                         variant_queries)
 from simcat.session import shared_dir
 from simcat.sources.store import CatalogStore
+from simcat.streaming.acks import read_acks, read_totals, run_ack_stream
 from simcat.streaming.feed import deliver, read_feed_stream
 from simcat.streaming.search import run_search_stream
 from simcat.streaming.standing import StandingQueries, run_standing_stream
@@ -166,6 +167,45 @@ FROM r WHERE raw_ts >= TIMESTAMP '{SLICES[0]}'
 """
 
 
+def _hot_arrival(late_seq: Column, ts: Column) -> Column:
+    """The slice an event arrives with: its own, or the last one for every seventh of the first."""
+    own = F.when(ts < F.lit(SLICES[0]).cast("timestamp_ntz"), 0).when(ts < F.lit(SLICES[1]).cast("timestamp_ntz"), 1).otherwise(N_SLICES - 1)
+    return F.when((own == 0) & (late_seq % 7 == 0), N_SLICES - 1).otherwise(own)
+
+
+def stream_ack_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-2 at its hardest: a third of the events under one id, events that arrive two slices late, and deliveries repeated at
+    once (every eleventh) and with the last slice (every tenth). One ack per delivery, beside the id's state at the end."""
+    e = table(spark, sf_dir, "events")
+    seq = F.col("event_id")
+    hot = F.when(seq % 3 == 0, F.lit(1)).otherwise(F.col("user_id"))
+    feed = e.select(seq.alias("seq"), hot.cast("long").alias("id"), C.epoch_seconds(F.col("ts")).alias("ts"), _hot_arrival(seq, F.col("ts")).alias("_at")).filter("id > 0")
+    last = N_SLICES - 1
+    arrivals = []
+    for s in range(N_SLICES):
+        own = feed.filter(F.col("_at") == s)
+        own = own.unionByName(own.filter("seq % 11 = 0"))
+        if s == last:
+            own = own.unionByName(feed.filter((F.col("_at") < last) & (F.col("seq") % 10 == 0)))
+        arrivals.append(own.drop("_at"))
+    run_dir, schema = shared_dir(spark, "stream-acks"), arrivals[0].schema
+    deliver(spark, arrivals, lambda src: run_ack_stream(read_feed_stream(spark, src, schema), f"{run_dir}/out", f"{run_dir}/checkpoint", size=64))
+    return read_acks(spark, f"{run_dir}/out").join(read_totals(spark, f"{run_dir}/out").withColumnRenamed("count", "total"), "id")
+
+
+SQL_STREAM_ACK_TOTALS = f"""
+WITH f AS (SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS id, CAST(floor(epoch(ts)) AS BIGINT) AS ts,
+                  CASE WHEN ts < TIMESTAMP '{SLICES[0]}' AND event_id % 7 = 0 THEN {N_SLICES - 1} ELSE {_SQL_SLICE} END AS pos FROM events),
+  firsts AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos, seq) AS n FROM f WHERE id > 0),
+  totals AS (SELECT id, count(*)::BIGINT AS total, arg_min(ts, n) AS created_at, max(seq) AS last_seq FROM firsts GROUP BY id),
+  acks AS (
+    SELECT seq, id, CASE WHEN n = 1 THEN 'inserted' ELSE 'updated' END AS action, n::BIGINT AS running_count FROM firsts
+    UNION ALL SELECT seq, id, 'repeated', NULL FROM firsts WHERE seq % 11 = 0
+    UNION ALL SELECT seq, id, 'repeated', NULL FROM firsts WHERE pos < {N_SLICES - 1} AND seq % 10 = 0)
+SELECT seq, id, action, running_count, total, created_at, last_seq FROM acks JOIN totals USING (id)
+"""
+
+
 def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-3: every embedding arrives as a query on a stream (three arrivals by label)
     and is answered against the static embeddings catalog, k = 5."""
@@ -341,5 +381,6 @@ QUERIES = {
     "stream_upsert_acks": (stream_upsert_acks, SQL_STREAM_UPSERT_ACKS),
     "stream_metrics": (stream_metrics, SQL_STREAM_METRICS),
     "stream_upsert_state": (stream_upsert_state, SQL_STREAM_UPSERT_STATE),
+    "stream_ack_totals": (stream_ack_totals, SQL_STREAM_ACK_TOTALS),
     "stream_search": (stream_search, SQL_SEARCH_TOPK_BATCH),
 }

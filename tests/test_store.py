@@ -182,3 +182,12 @@ def test_commits_of_streams_survive_upkeep(spark):
     assert store.merge(feed(spark, [(1, 1, "a", 1, [1.0]), (2, 2, "a", 1, [1.0])]), batch_id=0, stream="s", counts={"rows": 2})
     assert store.last_batch("s") == {"batch_id": 0, "rows": 2, "catalog_count": 2}
     assert store.merge(feed(spark, [(1, 1, "a", 1, [1.0])]), batch_id=0, stream="s") is None
+
+
+def test_texts_come_from_the_winners_buckets(spark):
+    store = CatalogStore(spark, shared_dir(spark, "t-texts"), buckets=32)
+    store.merge(feed(spark, [(i, i, f"t{i}", i, [1.0]) for i in range(1, 400)]))
+    hits = spark.createDataFrame([(1, 1, 17), (1, 2, 300), (2, 1, 17)], "qid long, rank int, id long")
+    found = store.texts_of(hits)
+    assert sorted((r.qid, r["rank"], r.text) for r in found.collect()) == [(1, 1, "t17"), (1, 2, "t300"), (2, 1, "t17")]
+    assert len([f for f in found.inputFiles() if "bucket=" in f]) <= 2
