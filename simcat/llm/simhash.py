@@ -12,8 +12,10 @@ Variants are shuffled in packs. Far variants of one half leave the other half al
 keyed by the variant without ``FREE`` bits of the flipped half, and stands for all variants that
 differ in these bits only; each half has its own family of packs. A fingerprint sends 82 packs if
 even and 138 if odd, instead of 65 and 1,057 variants, with 8 + 8 bytes each. Packs of one
-fingerprint alone end there; the others are spread out into their variants in the task
-that received them.
+fingerprint alone end there; those of up to ``SPLIT`` members are spread out into their variants in the
+task that receives them. The members of a larger pack (2 ** FREE at most) are dealt over tasks before they are
+spread out, and their variants shuffled one by one, so no task holds more than a variant's members
+of such a pack at once.
 
 Whatever the near members of a variant came from lies within 1 bit of it, and a far one
 within 2, so a near member is within 3 bits of every other member: a link to the smallest
@@ -51,6 +53,8 @@ RADIUS = 3
 SEED = 42
 #: Bits of a half that a pack's key leaves out.
 FREE = 24
+#: Members of a pack that are spread out in one task.
+SPLIT = 4096
 #: Shingles whose bits are counted at once.
 _CHUNK = 1 << 16
 
@@ -139,14 +143,23 @@ def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) whose closure connects all ``fp`` of ``nodes`` that differ in 3 bits or fewer."""
     upper, lower = Family(1), Family(0)
     sent = upper.packs(nodes).unionByName(lower.packs(nodes))
-    pack = Window.partitionBy("family", "pack")
-    met = sent.withColumn("least", F.min("fp").over(pack)).withColumn("most", F.max("fp").over(pack)).filter("least != most")
+    members = F.count(F.lit(1)).over(Window.partitionBy("family", "pack"))
+    met = materialise(sent.withColumn("members", members).filter("members > 1"), "simhash-packs")
     spread = F.explode(F.when(F.col("family") == 1, upper.spread()).otherwise(lower.spread()))
     # the variant within its pack: the left-out bits of the flipped fingerprint
     rest = F.when(F.col("family") == 1, F.lit(_signed((1 << 64) - 1 - upper.key_mask))).otherwise(F.lit(_signed((1 << 64) - 1 - lower.key_mask)))
-    variants = met.select("family", "pack", "fp", spread.alias("s")).select("family", "pack", "fp", "s.near", F.col("fp").bitwiseXOR(F.col("s.mask")).bitwiseAND(rest).alias("rest"))
-    root = F.min(F.when(F.col("near"), F.col("fp"))).over(Window.partitionBy("family", "pack", "rest"))
-    found = variants.select("fp", root.alias("root")).filter("root is not null and root != fp").distinct()
+
+    def variants(packs: DataFrame) -> DataFrame:
+        flipped = packs.select("family", "pack", "fp", spread.alias("s"))
+        return flipped.select("family", "pack", "fp", "s.near", F.col("fp").bitwiseXOR(F.col("s.mask")).bitwiseAND(rest).alias("rest"))
+
+    def rooted(made: DataFrame) -> DataFrame:
+        root = F.min(F.when(F.col("near"), F.col("fp"))).over(Window.partitionBy("family", "pack", "rest"))
+        return made.select("fp", root.alias("root")).filter("root is not null and root != fp")
+
+    small = rooted(variants(met.filter(F.col("members") <= SPLIT).repartition("family", "pack")))
+    large = rooted(variants(met.filter(F.col("members") > SPLIT).repartition("family", "pack", "fp")).repartition("family", "pack", "rest"))
+    found = small.unionByName(large).distinct()
     return found.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("root"))) <= RADIUS).select(F.col("fp").alias("a"), F.col("root").alias("b"))
 
 

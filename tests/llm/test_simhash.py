@@ -58,6 +58,24 @@ def test_links_connect_exactly_the_balls(spark):
     assert [roots.get(f, f) for f in signed] == [signed[c] for c in want]
 
 
+def test_large_packs_are_split(spark, monkeypatch):
+    """Fingerprints that differ in their low bits only fall into one pack; its variants are dealt one by one."""
+    rng = random.Random(12)
+    top = rng.getrandbits(40) << 24
+    fps = sorted({(top | rng.getrandbits(24)) - (1 << 64 if top >> 63 else 0) for _ in range(1200)})
+    fps += [f ^ (1 << 20) ^ (1 << 3) ^ (1 << 7) for f in fps[:300]] + [f ^ (1 << 60) for f in fps[300:600]]
+    fps = sorted(set(fps))
+    nodes = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(4)
+    want = components([f % (1 << 64) for f in fps])
+    assert len(set(want)) > 100
+    for split in (4096, 16):
+        monkeypatch.setattr(simhash, "SPLIT", split)
+        made = simhash.links(nodes)
+        assert all((r.a ^ r.b).bit_count() <= 3 if (r.a < 0) == (r.b < 0) else False for r in made.collect())
+        roots = {r.u: r.v for r in graph.connected_components(made).collect()}
+        assert [roots.get(f, f) for f in fps] == [fps[c] for c in want], split
+
+
 def test_awkward_rows(spark):
     texts = awkward_texts()
     docs = documents(spark, texts)
