@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The white space of Unicode, for a character class.
 UNICODE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-__all__ = ["SPACES", "UNICODE_SPACE", "WORD", "configure", "materialise", "read_table", "shared_dir", "split_words", "tmp_names", "unit_hash", "without"]
+__all__ = ["SPACES", "UNICODE_SPACE", "WORD", "configure", "kept", "let_go", "materialise", "read_table", "shared_dir", "split_words", "tmp_names", "unit_hash", "without"]
 
 
 def configure(spark: SparkSession) -> None:
@@ -36,6 +40,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The one large thing that a Python worker keeps from task to task."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """For tasks that need nothing kept: in a worker that served another operator before, its memory is free again."""
+    if _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

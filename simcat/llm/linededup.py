@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, tmp_names, without
+from .common import let_go, shared_dir, tmp_names, without
 
 THRESHOLD = 10
 #: Bytes of filters that are broadcast at once.
@@ -192,6 +192,7 @@ def count_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(digest, n): in how many rows each line key occurs, summed per batch before any shuffle."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             counts: dict[bytes, int] = {}
             for t in batch.column(0):
@@ -310,6 +311,7 @@ class LineDedup:
             sent = self.spark.sparkContext.broadcast(bundle)
 
             def probe(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                let_go()
                 for batch in batches:
                     seen, keys, owner = set(), [], []
                     for t, x in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -337,6 +339,7 @@ class LineDedup:
         schema = docs.select(*keep, text).withColumns({lines: F.lit(0).cast("long"), dropped: F.lit(0).cast("long")}).schema
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            let_go()
             for batch in batches:
                 texts, n_lines, n_dropped = [], [], []
                 for x, d in zip(batch.column(len(keep)), batch.column(len(keep) + 1)):

@@ -34,13 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo, Merges, slices
-from .common import without
+from .common import kept, without
 
 MARK = "▁"
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Characters of texts that are encoded at once.
 _AT_ONCE = 1 << 20
-_LOADED: dict[bytes, PieceCoder] = {}
 
 
 class PieceCoder:
@@ -121,11 +120,7 @@ class PieceCoder:
 
 def coder(model: bytes) -> PieceCoder:
     """The coder of a model, loaded once in each Python worker."""
-    key = hashlib.sha256(model).digest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = PieceCoder(model)
-    return _LOADED[key]
+    return kept(("pieces", hashlib.sha256(model).digest()), lambda: PieceCoder(model))
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, tmp_names
+from .common import let_go, materialise, tmp_names
 from .graph import connected_components
 
 SHINGLE = 3
@@ -88,6 +88,7 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint",
     schema = docs.select(*keep).withColumn(name, F.lit(0).cast("long")).schema
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             seen: dict = {}
             fps = []

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import let_go, materialise
 
 BITS = 20
 #: Labelled documents that training reads at most.
@@ -84,6 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     texts = source.join(picked, "id").groupBy("id", "y").agg(F.min("t").alias("t"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen = [(np.unique(features(t, bits)).astype(np.int32), y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         model = Ftrl(bits)
         for _ in range(epochs if seen else 0):
@@ -107,6 +108,7 @@ def score(docs: DataFrame, model: DataFrame, text: str = "text", name: str = "sc
     sent = docs.sparkSession.sparkContext.broadcast(dense)
 
     def rate(texts: pd.Series) -> pd.Series:
+        let_go()
         w = sent.value
         out = np.empty(len(texts))
         for i, t in enumerate(texts):
