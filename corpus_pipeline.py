@@ -17,14 +17,24 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from simcat.llm import linededup, mixing, sentencepieces, simhash, toxicity
-from simcat.llm.common import configure, materialise, read_table
+from simcat.llm import common, linededup, mixing, sentencepieces, simhash, toxicity
+from simcat.llm.common import materialise, read_table
 
 
 #: Columns that stages read or change.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Rows of an Arrow batch: workers of several stages stand beside each other in an executor.
+BATCH_ROWS = 512
+
+
+def configure(spark: SparkSession) -> None:
+    """The operators' settings, with smaller batches."""
+    common.configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _apart(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     """Run a stage with all further columns under names that no operator uses."""
 
