@@ -1,5 +1,7 @@
 """Chained stateful acks (ST-2): hot ids, late events, repeats, expiry, initial state."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from simcat.session import shared_dir
@@ -46,3 +48,21 @@ def test_counts_go_on_from_the_catalog(spark):
 def test_expired_bits_make_a_repeat_an_event_again(spark):
     out = run(spark, [[(1, 7, 1)], [(1, 7, 2)]], expiry_ms=1)
     assert sorted(r.action for r in A.read_acks(spark, out).collect()) == ["inserted", "updated"]
+
+
+def test_pairs_share_groups_and_state_partitions_follow_the_cores(spark):
+    """Each pair was a group of its own, and a stream had a state store per shuffle partition, whatever the cores."""
+    rows = [(s, s % 97 + 1, s) for s in range(1200)]
+    valid = spark.createDataFrame(rows, SCHEMA)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        out = run(spark, [rows, rows[::3]], size=16)
+        state = f"{out}-ckpt/ranges/state/0"
+        assert len([n for n in os.listdir(state) if n.isdigit()]) <= 3 * spark.sparkContext.defaultParallelism
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "60"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    acks = A.read_acks(spark, out).groupBy("action").count().collect()
+    assert {r.action: r["count"] for r in acks} == {"inserted": 97, "updated": 1200 - 97, "repeated": 400}
+    assert A.read_totals(spark, out).agg(F.sum("count")).first()[0] == valid.count()
