@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from simcat.operators.load import load_products
 from simcat.plans.fixtures import HASH_DIM, hashing_embedder, sql_hash_vectors
-from simcat.plans.text_queries import SQL_OUTCOMES, part_products
+from simcat.plans.text_queries import SQL_OUTCOMES, part_rows, product_columns
 from simcat.session import shared_dir
 from simcat.sources.store import CatalogStore
 
@@ -21,15 +21,16 @@ _FIELDS = ["id", "title", "greatgrandparent_category", "grandparent_category", "
 
 
 def _write_input(spark: SparkSession, sf_dir: str, path: str) -> None:
-    prods = part_products(spark, sf_dir, variants=True)
+    rows = part_rows(spark, sf_dir)
+    no = F.col("p_partkey") + 1
+    kinds = F.array(F.lit(0), F.when(no % 17 == 0, F.lit(1)), F.when(no % 23 == 0, F.lit(2)))
+    # range-partitioned and sorted: part after part holds the lines in order. The joined rows are sorted and
+    # the lines, up to a hundred times as long, made behind the sort: what a task sorts is as large as it looks shuffled.
+    ordered = rows.withColumn("k", F.explode(F.array_compact(kinds))).orderBy(no, "k")
     record = F.to_json(F.struct(*_FIELDS, F.col("attrs").alias("attributes"), "seller", F.col("rating").cast("int").alias("rating")))
-    no = F.col("record_no")
-    lines = F.array(F.struct(F.lit(0).alias("k"), record.alias("value")),
-                    F.when(no % 17 == 0, F.struct(F.lit(1).alias("k"), F.concat(F.lit('{"id": '), no.cast("string"), F.lit(', "title"')).alias("value"))),
-                    F.when(no % 23 == 0, F.struct(F.lit(2).alias("k"), F.lit("  ").alias("value"))))
-    out = prods.select(no, F.explode(F.array_compact(lines)).alias("x")).select("record_no", "x.k", "x.value")
-    # range-partitioned and sorted: part after part holds the lines in order
-    out.orderBy("record_no", "k").select("value").write.text(path)
+    broken = F.concat(F.lit('{"id": '), F.col("record_no").cast("string"), F.lit(', "title"'))
+    value = F.when(F.col("k") == 0, record).when(F.col("k") == 1, broken).otherwise("  ")
+    ordered.select(*product_columns(variants=True), "k").select(value.alias("value")).write.text(path, compression="gzip")
 
 
 def _run(spark: SparkSession, sf_dir: str):

@@ -8,7 +8,7 @@ part (by order key, line number) the attributes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simcat import params as P
@@ -86,20 +86,24 @@ _SQL_ATTRS = """
 """
 
 
-def part_products(spark: SparkSession, sf_dir: str, variants: bool = False) -> DataFrame:
-    """Raw product records (string fields, ``attrs`` array, record_no) from the fixtures.
-
-    With ``variants`` the records also carry edge cases, assigned by part key over
-    the whole table: 1 = every part blank, 2 = a title over 100,000 characters,
-    3 = no id, 4 = negative id; key 0 itself is an invalid id."""
+def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined fixture rows that ``product_columns`` makes a product record of."""
     # Spread the part scan: the formatting after the (broadcast) joins is CPU-bound.
     p = spread(table(spark, sf_dir, "part"), FIXTURE_TASKS)
     g = table(spark, sf_dir, "pages").select("page_id", "html")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     a = part_attributes(spark, sf_dir)
-    j = (p.join(g, p["p_partkey"] == g["page_id"], "left")
-         .join(s, p["p_partkey"] == s["s_suppkey"], "left")
-         .join(a, p["p_partkey"] == a["l_partkey"], "left"))
+    return (p.join(g, p["p_partkey"] == g["page_id"], "left")
+            .join(s, p["p_partkey"] == s["s_suppkey"], "left")
+            .join(a, p["p_partkey"] == a["l_partkey"], "left"))
+
+
+def product_columns(variants: bool = False) -> list[Column]:
+    """The fields of a raw product record, over ``part_rows``.
+
+    With ``variants`` the records also carry edge cases, assigned by part key over
+    the whole table: 1 = every part blank, 2 = a title over 100,000 characters,
+    3 = no id, 4 = negative id; key 0 itself is an invalid id."""
     key = F.col("p_partkey")
     v = F.pmod(key, F.lit(10)) if variants else F.lit(0)
     blank = v == 1
@@ -108,7 +112,7 @@ def part_products(spark: SparkSession, sf_dir: str, variants: bool = False) -> D
     title = (F.when(blank, F.lit("\u2003")).when(v == 2, F.repeat(F.concat("p_name", F.lit(" ")), 10000))
              .otherwise(F.col("p_name")))
     nul = F.lit(None).cast("string")
-    return j.select(
+    return [
         (key + 1).alias("record_no"),
         rid.alias("id"),
         title.alias("title"),
@@ -120,7 +124,12 @@ def part_products(spark: SparkSession, sf_dir: str, variants: bool = False) -> D
         F.when(blank, F.lit(None)).otherwise(F.col("attrs")).alias("attrs"),
         F.when(blank, nul).otherwise(F.col("s_name")).alias("seller"),
         F.when(blank, F.lit("0")).otherwise((F.col("p_size") - 25).cast("string")).alias("rating"),
-    )
+    ]
+
+
+def part_products(spark: SparkSession, sf_dir: str, variants: bool = False) -> DataFrame:
+    """Raw product records (string fields, ``attrs`` array, record_no) from the fixtures; ``variants``: with edge cases."""
+    return part_rows(spark, sf_dir).select(*product_columns(variants))
 
 
 def _sql_part_products(variants: bool) -> str:
