@@ -30,8 +30,8 @@ def dense_numbers(df: DataFrame, out_col: str, split_cols: list[str], order_cols
     smallest id is the position inside the split. Rows per split are counted (one small
     row per split) and turned into offsets in two levels, splits within their file by
     ``order_cols`` (default: the other split columns) and files by their path, so the
-    only unpartitioned window holds one row per file; the offsets are joined back by
-    whatever join their size suggests."""
+    only unpartitioned window holds one row per file; the offsets, one row per split, are
+    broadcast, so the rows are neither shuffled nor sorted and stay in their order."""
     file, order = split_cols[0], order_cols or split_cols[1:]
     tagged = df.withColumn("_mid", F.monotonically_increasing_id())
     firsts = [F.min(c).alias(c) for c in order if c not in split_cols]
@@ -44,7 +44,7 @@ def dense_numbers(df: DataFrame, out_col: str, split_cols: list[str], order_cols
     files = files.select(file, before(Window.orderBy(file)).alias("_base"))
     offsets = (splits.withColumn("_off", before(Window.partitionBy(file).orderBy(*order))).join(files, file)
                .select(*split_cols, "_mid0", (F.col("_base") + F.col("_off")).alias("_off")))
-    return (tagged.join(offsets, split_cols, "inner")
+    return (tagged.join(F.broadcast(offsets), split_cols, "inner")
             .withColumn(out_col, F.col("_off") + (F.col("_mid") - F.col("_mid0")) + 1)
             .drop("_mid", "_mid0", "_off"))
 
@@ -77,9 +77,8 @@ def read_products(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
                              is_obj.alias("_is_obj"), (is_obj | one_value).alias("_valid"))
     parsed = parsed.withColumn("line", F.when(~F.col("_valid"), F.col("line")))
     target = shared_dir(spark, "parsed-lines")
-    # Tasks write what they read, in its order: no sort or exchange stands before this write
-    # unless the offsets' join brought one, hence the order by line inside each task.
-    parsed.sortWithinPartitions("_file", "_block", "line_no").write.parquet(target)
+    # Tasks write what they read, in its order: no sort or exchange stands before this write.
+    parsed.write.parquet(target)
     parsed = spark.read.schema(parsed.schema).parquet(target)
     malformed = parsed.filter(~F.col("_valid")).select("line_no", "line")
     good = parsed.filter(F.col("_valid")).select(
@@ -92,5 +91,5 @@ def read_products(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """Write each row of ``df`` as one JSON object per line (text files)."""
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
+    """Write each row of ``df`` as one JSON object per line (gzipped text files)."""
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path, compression="gzip")

@@ -4,9 +4,13 @@ import json
 import os
 import tempfile
 
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
+
 from simcat.operators.products import load_outcomes
 from simcat.operators.report import batch_progress, failure_sample, load_report
-from simcat.sources.jsonl import read_products
+from simcat.plans import load_queries
+from simcat.sources.jsonl import read_products, write_jsonl
 
 LINES = [
     '{"id": 7, "title": " Lamp ", "category": "Lamps", "rating": 4.5}',
@@ -136,3 +140,36 @@ def test_numbers_hold_over_many_splits_and_a_shuffled_join(spark, tmp_path):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert got == expect and bad == sum((i + p) % 9 == 3 for p in range(4) for i in range(300 if p % 2 else 40))
+
+
+def test_offsets_are_broadcast_and_rows_stay_where_they_are(spark):
+    """Without a broadcast the lines, however long, were shuffled and sorted for the join with one row per split."""
+    d = tempfile.mkdtemp(prefix="simcat-jsonl-")
+    spark.createDataFrame([(f'{{"id": {i}}}',) for i in range(50)], "value string").repartition(5).write.mode("overwrite").text(d)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records, _ = read_products(spark, d)
+        plan = records._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan
+        got = records.select("record_no", "line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert sorted(r.record_no for r in got) == list(range(1, 51)) and all(r.record_no == r.line_no for r in got)
+
+
+def test_written_lines_are_compressed_and_read_back(spark):
+    d = tempfile.mkdtemp(prefix="simcat-jsonl-")
+    write_jsonl(spark.range(1, 201).select(F.col("id").cast("string").alias("id"), F.repeat(F.lit("lamp "), 4000).alias("title")), d)
+    assert sum(os.path.getsize(os.path.join(d, n)) for n in os.listdir(d)) < 400_000  # of 4 MB
+    records, malformed = read_products(spark, d)
+    assert records.agg(F.count("id"), F.min(F.length("title"))).first()[:] == (200, 20000) and malformed.count() == 0
+
+
+def test_load_input_is_sorted_before_its_lines_are_made(spark, sf, monkeypatch):
+    """The sort held the long titles: the rows of a task looked a hundredth as large, shuffled, as they were."""
+    seen = []
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path, **kw: seen.append((self._df, kw)))
+    load_queries._write_input(spark, sf, "unused")
+    plan = seen[0][0]._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("repeat(") < plan.index("Sort ") and seen[0][1] == {"compression": "gzip"}
