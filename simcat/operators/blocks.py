@@ -4,8 +4,8 @@
 catalog's own rows), rows are range-partitioned by (pivot, distance), which splits a pivot that draws a third of
 them, and every ``block_rows`` neighbours become one row of the layout, with their centre, radius and largest norm.
 
-``search_blocks`` scans that layout in place, one chunk of queries after another; a chunk is what
-``Params.broadcast_query_bytes`` allows, so a query set of any size never moves the catalog. For a query q and a block with
+``search_blocks`` scans that layout in place, some chunks of queries after others, as many as
+``Params.broadcast_query_bytes`` allows in one scan, so a query set of any size never moves the catalog. For a query q and a block with
 centre c, radius r and largest norm m no row scores above min(q.c + |q| r, |q| m) (Cauchy-Schwarz). A task
 starts from the k-th best score among the pivots, which are rows themselves, takes the blocks of an Arrow batch by
 descending bound, raises the queries' k-th scores as it goes, and scores a block for those queries only whose
@@ -34,6 +34,8 @@ BLOCK_SCHEMA = "pivot int, ids array<long>, vectors binary, centre binary, radiu
 _FOUND = "qid long, id long, score double, k int, pairs long, scored long"
 # Blocks whose candidates are reduced together.
 _REDUCE = 16
+# Candidates that a task holds for the queries of one scan.
+_HELD_CANDS = 4 << 20
 
 
 @dataclass
@@ -187,7 +189,8 @@ def _scan(bq: np.ndarray, bk: np.ndarray, Q: np.ndarray, pivots: np.ndarray, dim
 
 def search_blocks(queries: DataFrame, index: BlockIndex, params: P.Params = P.DEFAULT, chunk_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, report): hits as ``search`` gives them for (qid, k, vector) queries; report: one row of pairs, scored and
-    skipped_share over all tasks. ``chunk_rows``: queries of a broadcast chunk (default: by the byte budget)."""
+    skipped_share over all tasks. ``chunk_rows``: queries of a chunk (default: by the byte budget); chunks that the
+    byte budget allows together are broadcast and scanned for together."""
     spark = queries.sparkSession
     q = queries.select(F.col("qid").cast("long").alias("qid"), F.coalesce(F.col("k").cast("int"), F.lit(params.default_top_k)).alias("k"), "vector")
     held = shared_dir(spark, "block-queries")
@@ -197,10 +200,13 @@ def search_blocks(queries: DataFrame, index: BlockIndex, params: P.Params = P.DE
     n, kmax = q.agg(F.count(F.lit(1)), F.coalesce(F.max("k"), F.lit(1))).first()
     # an empty catalog has no dimension: any queries will do
     dim = index.dim or (q.agg(F.max(F.size("vector"))).first()[0] or 0)
-    chunk_rows = chunk_rows or max(1, params.broadcast_query_bytes // (8 * max(1, dim)))
+    most = max(1, min(params.broadcast_query_bytes // (8 * max(1, dim)), _HELD_CANDS // max(1, kmax)))
+    chunk_rows = chunk_rows or most
     chunks, path = max(1, math.ceil(n / chunk_rows)), shared_dir(spark, "block-hits")
-    for c in range(chunks):
-        table = q.filter(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == c).toArrow()
+    # one scan answers as many chunks as the byte budget and the candidates that a task holds allow
+    together = max(1, most // chunk_rows)
+    for c in range(0, chunks, together):
+        table = q.filter(F.pmod(F.xxhash64("qid"), F.lit(chunks)).between(c, c + together - 1)).toArrow()
         arrays = _query_arrays(table, dim) if table.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dim)))
         sent = spark.sparkContext.broadcast((*arrays, index.pivots))
 

@@ -83,3 +83,14 @@ def test_the_catalog_is_not_exchanged_by_a_search(spark, monkeypatch):
     monkeypatch.setattr(type(q), "mapInArrow", lambda self, *a, **k: plans.append(self._jdf.queryExecution().executedPlan().toString()) or real(self, *a, **k))
     search_blocks(q, index, P.DEFAULT.with_(broadcast_query_bytes=1 << 13))
     assert len(plans) > 1 and all("Exchange" not in p for p in plans)
+
+
+def test_chunks_that_fit_the_budget_share_a_scan(spark, monkeypatch):
+    """The layout was scanned once per chunk, one job after another, however small the chunks."""
+    v = clusters(300)
+    cat = spark.createDataFrame([(i + 1, x.tolist()) for i, x in enumerate(v)], CATALOG)
+    q = cat.select(F.col("id").alias("qid"), F.lit(3).alias("k"), "vector")
+    index, plans, real = build_blocks(cat), [], type(q).mapInArrow
+    monkeypatch.setattr(type(q), "mapInArrow", lambda self, *a, **k: plans.append(1) or real(self, *a, **k))
+    hits, report = search_blocks(q, index, chunk_rows=10)
+    assert len(plans) == 1 and rows(hits) == rows(search(q, cat)) and report.first().pairs == 300 * 300
