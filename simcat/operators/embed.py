@@ -22,6 +22,8 @@ from simcat.functions.vector import L2_EPS
 
 # Vector components that a task of ``mean_pool`` holds before it passes its sums on.
 _HELD_COMPONENTS = 4 << 20
+# Tokens that the hashing embedder takes from a batch at once (a longer document is taken whole).
+_SLICE_TOKENS = 1 << 18
 
 # ---------------------------------------------------------------- E-1 / E-2 / E-3
 
@@ -141,18 +143,16 @@ class Embedder:
 
 # Hash-and-count step of the hashing embedder: token lists -> dense signed counts.
 # Tokens are dictionary-encoded per Arrow batch (C++), md5 runs once per distinct
-# token, and one bincount over the flattened batch builds every row: no per-row
-# Python loop, and per-token Python work only for the batch vocabulary.
+# token, and one bincount over the flattened tokens builds every row: no per-row
+# Python loop, and per-token Python work only for the vocabulary. A batch of long texts
+# is taken in slices of bounded tokens, so its length isn't what a worker holds.
 def _hash_count_udf(dim: int, eps: float = L2_EPS):
-    @F.arrow_udf(T.ArrayType(T.FloatType(), containsNull=False))
-    def hashed_vectors(tokens: pa.Array) -> pa.Array:
+    most = _SLICE_TOKENS  # a closure value: travels with the function
+
+    def dense(tokens: pa.Array) -> np.ndarray:
         import hashlib
 
-        if isinstance(tokens, pa.ChunkedArray):
-            tokens = tokens.combine_chunks()
         n = len(tokens)
-        null = tokens.is_null()
-        tokens = tokens.fill_null([]) if tokens.null_count else tokens
         offsets = tokens.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         flat = tokens.values.slice(offsets[0], offsets[-1] - offsets[0])
         enc = pc.dictionary_encode(flat)
@@ -166,7 +166,21 @@ def _hash_count_udf(dim: int, eps: float = L2_EPS):
         # E-3 on exact integer counts: IEEE sqrt, divide and float32 rounding give the
         # same bits as the JVM expression ``l2_normalize`` and as DuckDB.
         norm = np.maximum(np.sqrt((counts * counts).sum(axis=1)), eps)
-        vec = (counts / norm[:, None]).astype(np.float32)
+        return (counts / norm[:, None]).astype(np.float32)
+
+    @F.arrow_udf(T.ArrayType(T.FloatType(), containsNull=False))
+    def hashed_vectors(tokens: pa.Array) -> pa.Array:
+        if isinstance(tokens, pa.ChunkedArray):
+            tokens = tokens.combine_chunks()
+        n = len(tokens)
+        null = tokens.is_null()
+        tokens = tokens.fill_null([]) if tokens.null_count else tokens
+        ends = tokens.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        vec, at = np.empty((n, dim), np.float32), 0
+        while at < n:
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+            vec[at:upto] = dense(tokens.slice(at, upto - at))
+            at = upto
         out_offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
         return pa.ListArray.from_arrays(out_offsets, pa.array(vec.ravel(), type=pa.float32()), mask=null)
 

@@ -181,3 +181,14 @@ def test_now_seconds(spark):
 
     got = spark.range(1).select(now_seconds().alias("t")).first().t
     assert abs(got - int(time.time())) < 60
+
+
+def test_a_batch_of_long_texts_is_taken_in_slices(spark, monkeypatch):
+    """The tokens of a whole Arrow batch were held at once."""
+    import simcat.operators.embed as E
+
+    texts = [(i, None if i == 5 else " ".join(f"w{(i * 31 + j) % 50}" for j in range(i * 3))) for i in range(40)]
+    df = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    whole = {r.id: r.vector for r in E.HashingEmbedder(16).embed(df).collect()}
+    monkeypatch.setattr(E, "_SLICE_TOKENS", 20)
+    assert {r.id: r.vector for r in E.HashingEmbedder(16).embed(df).collect()} == whole
