@@ -8,8 +8,9 @@ candidates ever leave a task, so no plan materialises query x catalog pairs.
   catalog is scanned in place with ``mapInArrow``; the catalog is never shuffled.
 * ``blocked`` plan: queries are hashed into ``Bq`` blocks and catalog rows into
   ``Bc`` blocks; each (qb, cb) cell is one ``cogroup.applyInArrow`` task. Shuffle
-  volume is |Q|*Bc + N*Bq vectors; both block counts are sized so one cell fits a
-  Python worker.
+  volume is |Q|*Bc + N*Bq vectors; both block counts are sized so one cell has
+  a bounded number of pairs and fits a Python worker. Counts given by the caller are
+  multiplied until they do.
 
 Both plans emit per-task candidates in the order of the final ranking, (score desc,
 id asc) with scores compared at ``TIE_DECIMALS``: the best k of a task, plus at most
@@ -41,6 +42,11 @@ _TOL = 2.0 * 10.0 ** -TIE_DECIMALS
 _RANK_GROUPS = 32
 # Cap on one score tile (queries x catalog rows) held in memory by a task.
 _TILE_ELEMS = 4_000_000
+# Vector components of the catalog rows that a task of the broadcast plan gathers before it scores them; candidates that
+# it holds for one part of the queries.
+_HELD_COMPONENTS, _HELD_CANDS = 4 << 20, 1 << 20
+# Most pairs scored by one cell of the blocked plan, and bytes of a side's vectors: they bound its work and memory.
+_CELL_PAIRS, _CELL_BYTES = 1 << 30, 128 << 20
 
 
 # ---------------------------------------------------------------- query validation
@@ -120,16 +126,18 @@ def _reduce_candidates(qidx: np.ndarray, ids: np.ndarray, scores: np.ndarray, k:
 
 
 def _score_block(Q: np.ndarray, k: np.ndarray, ids: np.ndarray, C: np.ndarray):
-    """All candidates of one catalog block against all queries, tile by tile."""
+    """All candidates of one catalog block against all queries, tile by tile. A tile has all rows of the block for its
+    queries, so what it leaves is reduced at once: equal scores, however many, are held for one tile only."""
     nq = Q.shape[0]
     step = max(1, _TILE_ELEMS // max(1, C.shape[0]))
     out_q, out_i, out_s = [], [], []
     for q0 in range(0, nq, step):
         S = Q[q0:q0 + step] @ C.T
         r, c = _tile_candidates(S, k[q0:q0 + step])
+        r, i, s = _reduce_candidates(r, ids[c], S[r, c], k[q0:q0 + step])
         out_q.append(r + q0)
-        out_i.append(ids[c])
-        out_s.append(S[r, c])
+        out_i.append(i)
+        out_s.append(s)
     return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
 
 
@@ -167,28 +175,44 @@ def _broadcast_candidates(spark: SparkSession, qids: np.ndarray, ks: np.ndarray,
 
     def local_topk(batches):
         bq, bk, bQ = bc.value
-        # Running candidates of this task, reduced after every Arrow batch: a task
-        # holds at most about two batches' worth (|Q| * k plus ties each), however
-        # many batches its split has. A row dropped here is below the k-th best of a
-        # subset, hence below the final k-th best too.
-        acc = None
+        if bq.size == 0:
+            return
+        ks = bk.astype(np.int32)
+        part = max(1, _HELD_CANDS // int(bk.max()))
+        rows = max(1, _HELD_COMPONENTS // dim)
+
+        def found(ids, C):
+            # One part of the queries after another meets the gathered rows, so a task holds the candidates of a
+            # part and not |Q| * k. A row dropped here is below the k-th best of a subset, hence below the final
+            # k-th best too.
+            for at in range(0, bq.size, part):
+                Q, k = bQ[at:at + part], bk[at:at + part]
+                yield _cand_batch(bq[at:at + part], ks[at:at + part], *_score_block(Q, k, ids, C))
+
+        held, n = [], 0
         for b in batches:
-            n = b.num_rows
-            if n == 0 or bq.size == 0:
+            if b.num_rows == 0:
                 continue
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            C = _as_matrix(b.column(1), n, dim, b.column(0))
-            cur = _score_block(bQ, bk, ids, C)
-            if acc is not None:
-                cur = tuple(np.concatenate([a, c]) for a, c in zip(acc, cur))
-            acc = _reduce_candidates(*cur, bk)
-        if acc is None:
-            return
-        yield _cand_batch(bq, bk.astype(np.int32), *acc)
+            held.append((b.column(0).to_numpy(zero_copy_only=False), _as_matrix(b.column(1), b.num_rows, dim, b.column(0))))
+            n += b.num_rows
+            if n >= rows:
+                yield from found(*(np.concatenate(x) for x in zip(*held)))
+                held, n = [], 0
+        if held:
+            yield from found(*(np.concatenate(x) for x in zip(*held)))
 
     return catalog.select("id", "vector").mapInArrow(local_topk, CAND_SCHEMA)
 
 
+def _cells(n_q: int, n_c: int, kmax: int, dim: int, least: tuple[int, int]) -> tuple[int, int]:
+    """Blocks of queries and of catalog rows, multiples of ``least``, that keep a cell within its bounds. What a query
+    sends to a catalog block and back (its vector, k candidates) against what a row sends sets the blocks' shape."""
+    most = max(1, _CELL_BYTES // (8 * max(1, dim)))
+    c_rows = min(most, max(1, int(math.sqrt(_CELL_PAIRS * (1 + kmax / 10)))))
+    q_rows = max(1, min(most, _CELL_PAIRS // c_rows, _HELD_CANDS // max(1, kmax)))
+    return tuple(b * max(1, math.ceil(n / (b * rows))) for b, n, rows in zip(least, (n_q, n_c), (q_rows, c_rows)))
+
+
 def _blocked_candidates(queries: DataFrame, catalog: DataFrame, dim: int, bq: int, bc: int) -> DataFrame:
     qb = F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int")
     cb = F.pmod(F.xxhash64("id"), F.lit(bc)).cast("int")
@@ -206,7 +230,7 @@ def _blocked_candidates(queries: DataFrame, catalog: DataFrame, dim: int, bq: in
         Q = _as_matrix(left.column("qvec"), left.num_rows, dim, left.column("qid").combine_chunks())
         ids = right.column("id").to_numpy()
         C = _as_matrix(right.column("cvec"), right.num_rows, dim, right.column("id").combine_chunks())
-        qidx, cid, s = _reduce_candidates(*_score_block(Q, ks, ids, C), ks)
+        qidx, cid, s = _score_block(Q, ks, ids, C)
         return pa.Table.from_batches([_cand_batch(qids, ks.astype(np.int32), qidx, cid, s)])
 
     return (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
@@ -271,10 +295,7 @@ def search(queries: DataFrame, catalog: DataFrame, params: P.Params = P.DEFAULT,
     else:
         _refuse_repeats([r[0] for r in q.groupBy("qid").count().filter("count > 1").limit(11).collect()])
         n_q, kmax = q.agg(F.count(F.lit(1)), F.coalesce(F.max("k"), F.lit(1))).first()
-        if blocks is None:
-            n_c = catalog.count()
-            target = 128 << 20
-            blocks = (max(1, math.ceil(n_q * dim * 8 / target)), max(1, math.ceil(n_c * dim * 8 / target)))
+        blocks = _cells(n_q, catalog.count(), kmax, dim, blocks or (1, 1))
         cands = _blocked_candidates(q, catalog.select("id", "vector"), dim, *blocks)
     # At most |Q| * k hit rows of ~32 bytes: broadcast them for the text fetch when
     # that fits the budget, so the catalog's text column is never shuffled.

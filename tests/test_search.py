@@ -175,3 +175,51 @@ def test_mixed_dimensions_name_their_ids_and_repeated_queries_are_refused(spark)
             search(q, bad.coalesce(1), plan=how).collect()
         with pytest.raises(ValueError, match="repeated qid"):
             search(q.unionByName(q), good, plan=how).collect()
+
+
+def test_cells_of_the_blocked_plan_are_bounded():
+    """Blocks were sized by bytes alone: 262,144 queries against as many rows were one task; given counts held at any size."""
+    import simcat.operators.search as S
+
+    for n, k, least in ((600_000, 5, (1, 1)), (600_000, 60, (2, 3)), (50_000, 1000, (2, 3)), (10, 5, (2, 3)), (0, 1, (1, 1))):
+        bq, bc = S._cells(n, n, k, 64, least)
+        q, c = -(-n // bq), -(-n // bc)
+        assert q * c <= S._CELL_PAIRS and q * k <= S._HELD_CANDS and 8 * 64 * max(q, c) <= S._CELL_BYTES
+        assert bq % least[0] == bc % least[1] == 0
+    assert S._cells(10, 10, 5, 64, (2, 3)) == (2, 3)
+
+
+def test_a_task_hands_on_candidates_part_by_part(spark, cat, monkeypatch):
+    """A task of the broadcast plan held the candidates of all its queries until its end."""
+    import simcat.operators.search as S
+
+    monkeypatch.setattr(S, "_HELD_CANDS", 70)
+    monkeypatch.setattr(S, "_HELD_COMPONENTS", 64 * 100)
+    sent, real = [], S._cand_batch
+    q = cat.select(F.col("id").alias("qid"), F.lit(7).alias("k"), "vector")
+    tbl = q.toArrow()
+    arrays = S._query_arrays(tbl, 64)
+    monkeypatch.setattr(S, "_cand_batch", lambda *a: sent.append(len(a[2])) or real(*a))
+
+    class Catalog:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return list(run(iter(cat.select("id", "vector").toArrow().to_batches(max_chunksize=60))))
+
+    made = S._broadcast_candidates(spark, *arrays, Catalog(), 64)
+    S.release_broadcasts()
+    assert len(made) == len(sent) > 100 and max(sent) <= 2 * 70
+
+
+def test_equal_scores_are_reduced_tile_by_tile(monkeypatch):
+    """All rows of a block stood among the candidates at once where their scores were equal."""
+    import simcat.operators.search as S
+
+    monkeypatch.setattr(S, "_TILE_ELEMS", 5000)
+    Q, C = np.ones((40, 4)) / 2, np.ones((1000, 4)) / 2
+    q, ids, scores = S._score_block(Q, np.full(40, 3), np.arange(1000), C)
+    assert len(q) == 120 and set(ids.tolist()) == {0, 1, 2} and np.allclose(scores, 1.0)
