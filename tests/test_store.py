@@ -191,3 +191,28 @@ def test_texts_come_from_the_winners_buckets(spark):
     found = store.texts_of(hits)
     assert sorted((r.qid, r["rank"], r.text) for r in found.collect()) == [(1, 1, "t17"), (1, 2, "t300"), (2, 1, "t17")]
     assert len([f for f in found.inputFiles() if "bucket=" in f]) <= 2
+
+
+def test_growth_over_several_levels_is_one_commit(spark):
+    """Each doubling was a commit of its own that read and wrote every row again."""
+    from simcat.sources.store import Layout
+
+    for old in (Layout(4), Layout(4, 0, 3), Layout(4, 1, 5)):
+        for n in range(old.buckets, 70):
+            new = old.grown(n)
+            assert new.buckets == n and new.split < new.whole
+            for h in range(0, 4096, 7):
+                of = lambda x: h % (2 * x.whole) if h % x.whole < x.split else h % x.whole
+                assert of(old) == of(new) or of(old) in old.changed(new)
+            step = old
+            while step.buckets < n:
+                step = step.after(min(n - step.buckets, step.whole - step.split))
+            assert (step.whole, step.split) == (new.whole, new.split)
+    store = CatalogStore(spark, shared_dir(spark, "t-grow-far"), buckets=4, rows_per_bucket=3)
+    rows_ = [(i, f"t{i}", [1.0, float(i)], 2, 1, 0, 0) for i in range(1, 131)]
+    store.write(spark.createDataFrame(rows_, "id long, text string, vector array<float>, dim int, count long, created_at long, updated_at long"))
+    before = store.latest()["version"]
+    store.grow()
+    after = store.latest()
+    assert after["version"] == before + 1 and store.buckets == 44
+    assert store.read().count() == 130 and {r.id for r in store.lookup([1, 77, 130]).collect()} == {1, 77, 130}
