@@ -121,5 +121,7 @@ def is_blank(c) -> Column:
 
 def integral_id(raw: Column) -> Column:
     """A raw id as bigint; a number written with a zero fraction (4.0) counts, as it does for
-    an integer field of the service; anything else is null."""
-    return F.regexp_replace(F.trim(raw.cast("string")), r"^([+-]?\d+)\.0+$", "$1").try_cast("bigint")
+    an integer field of the service; anything else is null. The pattern is matched only where
+    the plain number can't be read."""
+    plain = F.trim(raw.cast("string"))
+    return F.coalesce(plain.try_cast("bigint"), F.regexp_replace(plain, r"^([+-]?\d+)\.0+$", "$1").try_cast("bigint"))

@@ -216,3 +216,23 @@ def test_growth_over_several_levels_is_one_commit(spark):
     after = store.latest()
     assert after["version"] == before + 1 and store.buckets == 44
     assert store.read().count() == 130 and {r.id for r in store.lookup([1, 77, 130]).collect()} == {1, 77, 130}
+
+
+def test_a_small_delta_needs_few_tasks(spark):
+    from simcat.session import shared_dir
+
+    store = CatalogStore(spark, shared_dir(spark, "test-few-tasks"), buckets=2, delta_share=5.0)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        spark.sparkContext.setJobGroup("few-tasks", "merges of two rows")
+        for s in (0, 2):
+            rows = [(s, 1, f"t{s}", s, [1.0]), (s + 1, 2, f"t{s + 1}", s, [1.0])]
+            store.merge(C.fold_upserts(spark.createDataFrame(rows, "seq long, id long, text string, ts long, vector array<float>")))
+        track = spark.sparkContext.statusTracker()
+        stages = [track.getStageInfo(i) for j in track.getJobIdsForGroup("few-tasks") for i in track.getJobInfo(j).stageIds]
+        assert max(x.numCompletedTasks for x in stages if x) < 37
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [(r.id, r.text, r["count"]) for r in store.read().orderBy("id").collect()] == [(1, "t2", 2), (2, "t3", 2)]
