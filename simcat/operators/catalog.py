@@ -82,14 +82,15 @@ def check_dimension(catalog: DataFrame, dim: int) -> None:
 
 # ---------------------------------------------------------------- upsert
 
-def fold_upserts(valid: DataFrame, embedder=None) -> DataFrame:
+def fold_upserts(valid: DataFrame, embedder=None, dim: int | None = None) -> DataFrame:
     """A-6: one row per id -- n events, last text/vector by seq, first and last ts.
 
     Fixed-width values are folded first (a hash aggregate, combined map-side); the
     payload then is fetched for the winners only, by a join on (id, seq) that spreads a
     hot id. With an ``embedder`` the events carry no vectors and the winners' texts are
-    embedded, one per id instead of one per event. An event delivered twice (equal id
-    and seq) counts twice and its smaller text wins."""
+    embedded, one per id instead of one per event; where the embedder may fail a text, the winners
+    must be events that it doesn't, and vectors unfit for ``dim`` are left out. An event delivered
+    twice (equal id and seq) counts twice and its smaller text wins."""
     folded = valid.groupBy("id").agg(
         F.count(F.lit(1)).alias("n"),
         F.min_by(F.col("ts"), F.col("seq")).alias("t0"),
@@ -100,6 +101,10 @@ def fold_upserts(valid: DataFrame, embedder=None) -> DataFrame:
     payload = ["text"] + (["vector"] if "vector" in valid.columns else [])
     events = valid.select("id", F.col("seq").alias("last_seq"), *payload)
     won = events.join(folded, ["id", "last_seq"])
+    if embedder is not None and not embedder.total:
+        # before one row per id is taken: a key may have several vectors
+        won = embedder.embed(won, "text", "vector").filter(vector_reason(F.col("vector"), dim).isNull())
+        embedder, payload = None, ["text", "vector"]
     one = F.row_number().over(Window.partitionBy("id").orderBy("text"))
     won = won.withColumn("_nth", one).filter("_nth = 1").drop("_nth")
     if embedder is not None:

@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from simcat.functions.text import integral_id, py_strip
 from simcat.operators import catalog as C
+from simcat.operators.partitioning import kept, spread
 from simcat.sources.store import CatalogStore, write_rejects
 
 ACK_SCHEMA = "seq long, id long, action string, running_count long"
@@ -47,40 +49,53 @@ def upsert_batch(batch: DataFrame, batch_id: int, store: CatalogStore, embedder,
             _write_metrics(store, out_dir, done)
         return
     prev = store.latest()
-    batch = batch.persist()
-    embedded = None
+    # Validated once, by all cores however few files the batch came in: every step below reads the kept rows.
+    tagged = kept(_tagged(spread(batch, batch.sparkSession.sparkContext.defaultParallelism)))
+    judged = None
     try:
-        tagged = batch.withColumn("reason", C.upsert_reason(F.col("id"), F.col("text"), None, None))
-        readable, rejects = C.split_valid(tagged)
-        rejects = rejects.select("seq", F.col("id").cast("string"), "reason")
+        readable = tagged.filter(F.col("reason").isNull()).drop("reason", "_raw_id")
+        invalid = tagged.filter(F.col("reason").isNotNull()).select("seq", F.col("_raw_id").alias("id"), "reason")
         if embedder.total and dim in (None, embedder.dim):
             # No event can fail to get its vector: fold first, embed the winners.
-            valid, late = readable, embedder
+            valid, rejects, late = readable, invalid, embedder
+            outcome = tagged.select("id", "reason")
         else:
-            # Embedded once, used by the rejects, the acks, the touched-bucket scan and the merge.
-            embedded = embedder.embed(readable, "text", "vector")
-            embedded = embedded.withColumn("reason", C.vector_reason(F.col("vector"), dim)).persist()
-            valid, late = embedded.filter(F.col("reason").isNull()).drop("reason"), None
-            bad = embedded.filter(F.col("reason").isNotNull())
-            rejects = rejects.unionByName(bad.select("seq", F.col("id").cast("string"), "reason"))
+            # Judged once. Stored vectors are fetched again for the winners only, others are kept with their events.
+            judged = embedder.judge(readable, "text", dim) if embedder.stored else embedder.embed(readable, "text", "vector").withColumn(
+                "reason", C.vector_reason(F.col("vector"), dim))
+            judged = kept(judged)
+            valid, late = judged.filter(F.col("reason").isNull()).drop("reason"), embedder if embedder.stored else None
+            bad = judged.filter(F.col("reason").isNotNull())
+            rejects = invalid.unionByName(bad.select("seq", F.col("id").cast("string"), "reason"))
+            outcome = judged.select("id", "reason").unionByName(tagged.filter(F.col("reason").isNotNull()).select("id", "reason"))
         # Existence is tested against the buckets this batch touches only (the
         # ones the merge rewrites), so a batch costs what its feed costs, not a
-        # scan of every catalog id.
-        touched = store.touched_buckets(valid)
+        # scan of every catalog id. One pass finds them and counts the rejects.
+        bucket = F.when(F.col("reason").isNull(), store.layout.of(F.col("id")))
+        per = {r["bucket"]: r["n"] for r in outcome.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        failed, touched = per.pop(None, 0), set(per)
         counts = None
         if out_dir:
             acks = C.upsert_actions(valid, store.known_ids(prev, touched))
             acks.write.mode("overwrite").parquet(f"{out_dir}/acks/batch_id={batch_id}")
             write_rejects(rejects, f"{out_dir}/rejects/batch_id={batch_id}")
-            rows, failed = batch.count(), rejects.count()
+            rows = sum(per.values()) + failed if judged is None else tagged.count()
             counts = {"rows": rows, "success": rows - failed, "failed": failed}
-        store.merge(C.fold_upserts(valid, late), batch_id=batch_id, touched=touched, stream=stream, counts=counts)
+        store.merge(C.fold_upserts(valid, late, dim), batch_id=batch_id, touched=touched, stream=stream, counts=counts)
         if out_dir:
             _write_metrics(store, out_dir, store.last_batch(stream))
     finally:
-        if embedded is not None:
-            embedded.unpersist()
-        batch.unpersist()
+        if judged is not None:
+            judged.unpersist()
+        tagged.unpersist()
+
+
+def _tagged(batch: DataFrame) -> DataFrame:
+    """``batch`` with its ``reason``; valid rows with ``id`` as bigint and ``text`` stripped, the others with ``_raw_id``."""
+    ok = F.col("reason").isNull()
+    tagged = batch.withColumn("reason", C.upsert_reason(F.col("id"), F.col("text"), None, None))
+    return tagged.withColumns({"_raw_id": F.when(~ok, F.col("id").cast("string")), "id": F.when(ok, integral_id(F.col("id"))),
+                               "text": F.when(ok, py_strip("text"))})
 
 
 def stream_identity(store: CatalogStore, checkpoint: str) -> str:

@@ -130,3 +130,43 @@ def test_unfit_vectors_are_rejected_and_counted_and_metrics_survive_a_replay(spa
     upsert_batch(batch, 0, store, emb, out_dir=other, dim=2, stream="s")
     assert [tuple(r) for r in spark.read.parquet(f"{other}/metrics").select("rows", "success", "failed", "catalog_count").collect()] == [(10, 4, 6, 2)]
     assert store.latest()["version"] == 1
+
+
+def _captured(monkeypatch, module):
+    """The frames that ``module`` keeps, as (columns, tasks)."""
+    seen, keep = [], module.kept
+
+    def spy(df):
+        seen.append((df.columns, df.rdd.getNumPartitions()))
+        return keep(df)
+
+    monkeypatch.setattr(module, "kept", spy)
+    return seen
+
+
+def test_stored_vectors_are_not_kept_and_a_batch_of_one_file_is_spread(spark, monkeypatch):
+    from simcat.operators.embed import PrecomputedEmbedder
+    from simcat.streaming import upsert
+
+    seen = _captured(monkeypatch, upsert)
+    run = shared_dir(spark, "test-slim")
+    store = CatalogStore(spark, f"{run}/catalog", buckets=2)
+    # key 1 has a fit vector twice and an unfit one, key 2 an unfit one only
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0]), (2, [1.0]), (3, [0.0, 1.0])], "k long, v array<float>")
+    rows = [(s, s % 4, f" t{s} ", s) for s in range(8)]
+    batch = spark.createDataFrame(rows, "seq long, id long, text string, ts long").coalesce(1)
+    upsert_batch(batch, 0, store, PrecomputedEmbedder(vectors, "k", "v", 2), out_dir=run, dim=2, stream="s")
+    assert seen[0][1] >= spark.sparkContext.defaultParallelism
+    assert all(set(columns) <= {"seq", "id", "text", "ts", "reason", "_raw_id"} for columns, _ in seen)
+    got = {r.id: (r.text, r["count"], r.dim, list(r.vector)) for r in store.read().collect()}
+    assert got == {1: ("t5", 4, 2, [1.0, 0.0]), 3: ("t7", 2, 2, [0.0, 1.0])}
+    assert spark.read.parquet(f"{run}/acks").groupBy("id", "action").count().count() == 4
+    assert sorted(r.id for r in spark.read.parquet(f"{run}/rejects").collect()) == ["0", "0", "1", "1", "2", "2"]
+
+
+def test_ids_read_as_numbers_need_no_pattern(spark):
+    from simcat.functions.text import integral_id
+
+    raw = ["7", " 7 ", "+7.0", "-7.00", "7.5", "7.", "x", "", None, "9223372036854775808", "1e3"]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i long, x string").orderBy("i").select(integral_id(F.col("x"))).collect()]
+    assert got == [7, 7, 7, -7, None, None, None, None, None, None, None]
