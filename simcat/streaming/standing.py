@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from simcat import params as P
 from simcat.functions.vector import round_score, tie_key
 from simcat.operators import catalog as C
+from simcat.operators.partitioning import kept
 from simcat.operators.search import release_broadcasts, search
 from simcat.sources.store import CatalogStore
 from simcat.streaming.upsert import stream_identity, upsert_batch
@@ -125,9 +126,14 @@ def run_standing_stream(stream: DataFrame, store: CatalogStore, embedder, standi
         if now is None:
             return
         valid, _ = C.validate_upserts(batch, vector_col=None)
-        ids = valid.select("id").distinct()
-        changed = store.read(now, buckets=store.touched_buckets(ids)).join(ids, "id", "left_semi").select("id", "vector")
-        standing.refresh(now["version"], changed, lambda: store.read(now))
+        # the ids and the changed rows are read by several jobs, the feed and the catalog once
+        ids = kept(valid.select("id").distinct())
+        changed = kept(store.read(now, buckets=store.touched_buckets(ids)).join(ids, "id", "left_semi").select("id", "vector"))
+        try:
+            standing.refresh(now["version"], changed, lambda: store.read(now))
+        finally:
+            changed.unpersist()
+            ids.unpersist()
 
     q = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

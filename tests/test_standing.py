@@ -87,3 +87,23 @@ def test_an_empty_catalog_has_no_hits(spark):
     assert standing.answers().count() == 0
     upsert(spark, store, standing, [(1, np.ones(4))], 0)
     assert standing.answers().count() == 12
+
+
+def test_changed_rows_are_kept_while_the_answers_are_refreshed(spark, monkeypatch):
+    from simcat.streaming import standing as S
+
+    kept, levels = S.StandingQueries.refresh, []
+    monkeypatch.setattr(S.StandingQueries, "refresh", lambda self, v, changed, catalog: (levels.append(changed.storageLevel.useMemory), kept(self, v, changed, catalog)))
+    from simcat.plans.fixtures import hashing_embedder
+    from simcat.session import shared_dir
+    from simcat.sources.store import CatalogStore
+    from simcat.streaming.feed import deliver, read_feed_stream
+
+    run, emb = shared_dir(spark, "test-standing-kept"), hashing_embedder()
+    store = CatalogStore(spark, f"{run}/catalog", buckets=2, delta_share=0.5)
+    queries = emb.embed(spark.createDataFrame([(1, "a b")], "qid long, text string"), "text", "vector").selectExpr("qid", "1 as k", "vector")
+    standing = S.StandingQueries(spark, f"{run}/standing", queries)
+    feed = spark.createDataFrame([(0, 1, "a b", 0), (1, 2, "c", 0), (2, 0, "a b", 0)], "seq long, id long, text string, ts long")
+    deliver(spark, [feed], lambda src: S.run_standing_stream(read_feed_stream(spark, src, feed.schema), store, emb, standing, f"{run}/checkpoint", dim=64))
+    assert levels == [True]
+    assert [(r.qid, r.id) for r in standing.answers().collect()] == [(1, 1)]
