@@ -7,9 +7,10 @@ them, and every ``block_rows`` neighbours become one row of the layout, with the
 ``search_blocks`` scans that layout in place, some chunks of queries after others, as many as
 ``Params.broadcast_query_bytes`` allows in one scan, so a query set of any size never moves the catalog. For a query q and a block with
 centre c, radius r and largest norm m no row scores above min(q.c + |q| r, |q| m) (Cauchy-Schwarz). A task
-starts from the k-th best score among the pivots, which are rows themselves, takes the blocks of an Arrow batch by
-descending bound, raises the queries' k-th scores as it goes, and scores a block for those queries only whose
-bound still reaches theirs. What is skipped can't be among the k best, ties included, so the hits are
+starts from the k-th best score among the pivots, which are rows themselves. The queries of a pivot meet the blocks
+together: first those of the highest bounds, which raise the queries' k-th scores, then the others in runs of some
+thousand rows, a run for those queries only whose bound for a block of it still reaches their k-th score, without the
+blocks that none of them needs. What is skipped can't be among the k best, ties included, so the hits are
 those of ``search``; the share of (query, row) pairs skipped comes with them.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,17 +27,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simcat import params as P
-from simcat.operators.search import _TILE_ELEMS, _TOL, _as_matrix, _query_arrays, _rank, _reduce_candidates, _refuse_repeats, _tile_candidates
+from simcat.operators.search import _TILE_ELEMS, _TILE_ROWS, _TOL, _as_matrix, _Best, _lowest_kth, _query_arrays, _rank, _refuse_repeats, _thin, _Tile
 from simcat.session import shared_dir
 
 PIVOTS, BLOCK_ROWS = 256, 512
 BLOCK_SCHEMA = "pivot int, ids array<long>, vectors binary, centre binary, radius double, norm double"
 # A candidate of a task, or (without qid) its count of (query, row) pairs and of those scored.
 _FOUND = "qid long, id long, score double, k int, pairs long, scored long"
-# Blocks whose candidates are reduced together.
-_REDUCE = 16
+# Vector components of the blocks that a task takes together.
+_SLICE_COMPONENTS = 4 << 20
 # Candidates that a task holds for the queries of one scan.
 _HELD_CANDS = 4 << 20
+# Scans at a time: the next one's tasks fill the cores that the last tasks of one leave.
+_SCANS = 2
 
 
 @dataclass
@@ -116,70 +120,78 @@ def build_blocks(catalog: DataFrame, path: str | None = None, pivots: int = PIVO
     return BlockIndex(path, centres, dim)
 
 
-class _Running:
-    """The candidates of a task for one tile of queries, and the queries' k-th best scores so far."""
-
-    def __init__(self, k: np.ndarray, floor: np.ndarray):
-        self.k, self.floor, self.waiting, self.kept = k, floor, [], None
-
-    def add(self, found: tuple) -> None:
-        self.waiting.append(found)
-        if len(self.waiting) >= _REDUCE:
-            self.reduce()
-
-    def reduce(self) -> tuple | None:
-        parts = ([self.kept] if self.kept else []) + self.waiting
-        if not self.waiting:
-            return self.kept
-        q, i, s = _reduce_candidates(*(np.concatenate(x) for x in zip(*parts)), self.k)
-        self.kept, self.waiting = (q, i, s), []
-        order = np.lexsort((-s, q))
-        place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
-        last = order[place == self.k[q[order]] - 1]
-        self.floor[q[last]] = np.maximum(self.floor[q[last]], s[last])
-        return self.kept
+def _slices(batch: pa.RecordBatch, dim: int) -> Iterator[tuple]:
+    """(cuts, ids, vectors, centres, radius, norm) of some blocks after others; rows cuts[b] to cuts[b + 1] are block b's."""
+    cuts = np.r_[0, np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + _SLICE_COMPONENTS // max(1, dim), "right")) - 1)
+        part = batch.slice(at, to - at)
+        vectors, centres = (np.frombuffer(b"".join(part.column(i).to_pylist()), "<f8").reshape(-1, dim) for i in (2, 3))
+        radius, norm = (part.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+        yield cuts[at : to + 1] - cuts[at], part.column(1).flatten().to_numpy(zero_copy_only=False), vectors, centres, radius, norm
+        at = to
+
+
+def _runs(blocks: np.ndarray, sizes: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Blocks one after another, cut into runs of about ``rows`` rows."""
+    return np.split(blocks, np.flatnonzero(np.diff((np.cumsum(sizes[blocks]) - 1) // rows)) + 1) if len(blocks) else []
+
+
+def _meet(best: _Best, size: np.ndarray, cuts: np.ndarray, ids: np.ndarray, vectors: np.ndarray, thin: np.ndarray | None, centres: np.ndarray, radius: np.ndarray, norm: np.ndarray) -> int:
+    """The queries of ``best``, of norms ``size``, meet some blocks; the (query, row) pairs scored."""
+    # a little above, for the rounding of the sums
+    bounds = np.minimum(best.Q @ centres.T + size[:, None] * radius, size[:, None] * norm) + 1e-9 * (1 + size[:, None] * norm)
+    sizes, order = np.diff(cuts), np.argsort(-bounds.max(axis=0), kind="stable")
+    # four times the rows in each of the first runs, so that few scores of a run reach the floors of the one before
+    small = 4 * int(best.k.max()) * 4 ** np.arange(16)
+    firsts = np.unique(1 + np.searchsorted(np.cumsum(sizes[order]), small[small < _TILE_ROWS]))
+    *early, rest = np.split(order, firsts)
+    scored = 0
+    for i, run in enumerate([*early, *_runs(np.sort(rest), sizes, _TILE_ROWS)]):
+        near = bounds[:, run] >= best.floor[:, None] - _TOL
+        run, alive = run[near.any(axis=0)], np.flatnonzero(near.any(axis=1))
+        if not len(run):
+            continue
+        if (np.diff(run) == 1).all():
+            rows = slice(cuts[run[0]], cuts[run[-1] + 1])
+        else:
+            rows = np.concatenate([np.arange(cuts[b], cuts[b + 1]) for b in run.tolist()])
+        best.meet(ids[rows], vectors[rows], None if thin is None else thin[rows], None if len(alive) == len(size) else alive)
+        scored += len(alive) * int(sizes[run].sum())
+        if i < len(early):
+            best.reduce()
+    return scored
 
 
 def _scan(bq: np.ndarray, bk: np.ndarray, Q: np.ndarray, pivots: np.ndarray, dim: int):
     """The task of one chunk of queries over blocks."""
 
-    def floors(q: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """The k-th best score among the pivots; none where there are fewer."""
-        out = np.full(len(q), -np.inf)
-        enough = k <= len(pivots)
-        if enough.any():
-            scores = -np.sort(-(q[enough] @ pivots.T), axis=1)
-            out[enough] = scores[np.arange(len(scores)), k[enough] - 1]
-        return out
+    def tiles() -> Iterator[tuple[np.ndarray, np.ndarray, _Best]]:
+        """(positions, norms, candidates) of queries of one nearest pivot, their floors the k-th best scores among the pivots."""
+        near, half, step = np.zeros(len(Q), np.int64), (pivots**2).sum(axis=1) / 2, _TILE_ELEMS // _TILE_ROWS
+        floor, room = np.full(len(Q), -np.inf), _Tile()
+        for at in range(0, len(Q) if len(pivots) else 0, max(1, _TILE_ELEMS // max(1, len(pivots)))):
+            part = slice(at, at + max(1, _TILE_ELEMS // len(pivots)))
+            near[part], floor[part] = (Q[part] @ pivots.T - half).argmax(axis=1), np.fmax(-np.inf, _lowest_kth(Q[part], pivots, bk[part]))
+        order = np.argsort(near, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(near[order])) + 1):
+            for at in range(0, len(own), step):
+                i = own[at : at + step]
+                yield i, np.sqrt((Q[i] ** 2).sum(axis=1)), _Best(Q[i], bk[i], floor[i], room)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, _TILE_ELEMS // BLOCK_ROWS)
-        tiles = [(at, Q[at : at + step], np.sqrt((Q[at : at + step] ** 2).sum(axis=1)), _Running(bk[at : at + step], floors(Q[at : at + step], bk[at : at + step]))) for at in range(0, len(Q), step)]
-        pairs = scored = 0
+        own, pairs, scored = list(tiles()) if len(Q) else [], 0, 0
         for batch in batches:
-            ids = [np.array(x, np.int64) for x in batch.column(1).to_pylist()]
-            data, centres = batch.column(2), np.frombuffer(b"".join(batch.column(3).to_pylist()), "<f8").reshape(batch.num_rows, dim)
-            radius, norm = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
-            for _, q, size, running in tiles:
-                # a little above, for the rounding of the sums
-                bounds = np.minimum(q @ centres.T + size[:, None] * radius, size[:, None] * norm) + 1e-9 * (1 + size[:, None] * norm)
-                for b in np.argsort(-bounds.max(axis=0), kind="stable").tolist():
-                    pairs += len(q) * len(ids[b])
-                    alive = np.flatnonzero(bounds[:, b] >= running.floor - _TOL)
-                    if not len(alive):
-                        continue
-                    scored += len(alive) * len(ids[b])
-                    v = np.frombuffer(data[b].as_buffer(), "<f8").reshape(-1, dim)
-                    scores = q[alive] @ v.T
-                    row, col = _tile_candidates(scores, running.k[alive])
-                    reach = scores[row, col] >= running.floor[alive[row]] - _TOL
-                    row, col = row[reach], col[reach]
-                    running.add((alive[row], ids[b][col], scores[row, col]))
-        for at, _, _, running in tiles:
-            kept = running.reduce()
-            if kept is not None:
-                q, i, s = kept
-                yield pa.RecordBatch.from_arrays([pa.array(bq[q + at], pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64()), pa.array(bk[q + at], pa.int32()),
+            for cuts, ids, vectors, *bounds in _slices(batch, dim):
+                thin = _thin(vectors)
+                for _, size, best in own:
+                    scored += _meet(best, size, cuts, ids, vectors, thin, *bounds)
+                pairs += len(Q) * len(ids)
+        for i, _, best in own:
+            q, found, scores = best.result()
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(bq[i[q]], pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64()), pa.array(bk[i[q]], pa.int32()),
                                                   *[pa.nulls(len(q), pa.int64())] * 2], names=["qid", "id", "score", "k", "pairs", "scored"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.int32()), pa.array([pairs], pa.int64()), pa.array([scored], pa.int64())],
                                          names=["qid", "id", "score", "k", "pairs", "scored"])
@@ -205,18 +217,23 @@ def search_blocks(queries: DataFrame, index: BlockIndex, params: P.Params = P.DE
     chunks, path = max(1, math.ceil(n / chunk_rows)), shared_dir(spark, "block-hits")
     # one scan answers as many chunks as the byte budget and the candidates that a task holds allow
     together = max(1, most // chunk_rows)
-    for c in range(0, chunks, together):
+
+    def scan(c: int) -> str:
         table = q.filter(F.pmod(F.xxhash64("qid"), F.lit(chunks)).between(c, c + together - 1)).toArrow()
         arrays = _query_arrays(table, dim) if table.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dim)))
         sent = spark.sparkContext.broadcast((*arrays, index.pivots))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return _scan(*sent.value, dim)(batches)
 
-        index.blocks(spark).mapInArrow(run, _FOUND).write.mode("append").parquet(path)
+        index.blocks(spark).mapInArrow(run, _FOUND).write.parquet(f"{path}/{c}")
         sent.unpersist()
-    found = spark.read.schema(_FOUND).parquet(path)
-    hits = _rank(found.filter("qid is not null").select("qid", "id", "score", "k"), kmax, params).drop("_raw_score")
+        return f"{path}/{c}"
+
+    with ThreadPoolExecutor(_SCANS) as some:
+        paths = list(some.map(scan, range(0, chunks, together)))
+    found = spark.read.schema(_FOUND).parquet(*paths)
+    hits = _rank(found.filter("qid is not null").select("qid", "id", "score", "k"), kmax, params, n).drop("_raw_score")
     share = F.when(F.col("pairs") > 0, 1 - F.col("scored") / F.col("pairs")).otherwise(0.0)
     report = found.filter("qid is null").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("scored"), F.lit(0)).alias("scored")).withColumn("skipped_share", share)
     return hits, report

@@ -16,9 +16,11 @@ Both plans emit per-task candidates in the order of the final ranking, (score de
 id asc) with scores compared at ``TIE_DECIMALS``: the best k of a task, plus at most
 k for each neighbouring value a score within half a unit of rounding could fall on.
 A catalog of equal vectors thus gives k candidates per query and task, not all of
-them. Candidates are ranked in two levels, by (query, hash of id) and then by query,
-so one query with many tasks behind it is not one task's work. Output scores are
-rounded half-even then clamped. k comes from the queries in either plan.
+them. Scores are screened in single precision, with the largest error it can have added, and
+only those that reach a query's k-th best so far are computed in double precision.
+Candidates of few queries are ranked in two levels, by (query, hash of id) and then by query,
+so one query with many tasks behind it is not one task's work; thousands of queries are
+ranked by query alone. Output scores are rounded half-even then clamped. k comes from the queries in either plan.
 """
 
 from __future__ import annotations
@@ -40,13 +42,16 @@ CAND_SCHEMA = "qid long, id long, score double, k int"
 _TOL = 2.0 * 10.0 ** -TIE_DECIMALS
 # First-level groups of one query's candidates.
 _RANK_GROUPS = 32
-# Cap on one score tile (queries x catalog rows) held in memory by a task.
-_TILE_ELEMS = 4_000_000
+# Queries from which on their number alone spreads the ranking over tasks.
+_MANY_QUERIES = 1 << 12
+# Cap on one score tile (queries x catalog rows) held in memory by a task; catalog rows of a tile, and the first rows
+# whose scores are sorted to give queries a first floor; hits scored anew in double precision at a time.
+_TILE_ELEMS, _TILE_ROWS, _HEAD_ROWS, _RESCORED = 1 << 19, 1024, 512, 1 << 11
 # Vector components of the catalog rows that a task of the broadcast plan gathers before it scores them; candidates that
 # it holds for one part of the queries.
-_HELD_COMPONENTS, _HELD_CANDS = 4 << 20, 1 << 20
+_HELD_COMPONENTS, _HELD_CANDS = 16 << 20, 1 << 20
 # Most pairs scored by one cell of the blocked plan, and bytes of a side's vectors: they bound its work and memory.
-_CELL_PAIRS, _CELL_BYTES = 1 << 30, 128 << 20
+_CELL_PAIRS, _CELL_BYTES = 1 << 31, 128 << 20
 
 
 # ---------------------------------------------------------------- query validation
@@ -79,8 +84,9 @@ def prepare_queries(queries: DataFrame, params: P.Params = P.DEFAULT, text_col:
 
 # ---------------------------------------------------------------- numpy kernels
 
-def _as_matrix(arr, n: int, dim: int, ids) -> np.ndarray:
-    """An (n, dim) matrix; raises with the ids of rows whose vector is null or has another length (V-9)."""
+def _as_matrix(arr, n: int, dim: int, ids, dtype=np.float64) -> np.ndarray:
+    """An (n, dim) matrix, of the vectors' own type if ``dtype`` is None; raises with the ids of rows whose vector is
+    null or has another length (V-9)."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     wrong = pc.invert(pc.fill_null(pc.equal(pc.list_value_length(arr), dim), False))
@@ -88,19 +94,33 @@ def _as_matrix(arr, n: int, dim: int, ids) -> np.ndarray:
         bad = pc.filter(ids, wrong).to_pylist()
         raise ValueError(f"vector dimension mismatch: expected {dim}; ids {bad[:10]}{' ...' if len(bad) > 10 else ''}")
     values = arr.flatten().to_numpy(zero_copy_only=False)
-    return values.astype(np.float64, copy=False).reshape(n, dim)
+    return values.astype(dtype or values.dtype, copy=False).reshape(n, dim)
+
+
+def _kth(S: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The k-th largest of each row; -inf where a row has fewer."""
+    nq, nc = S.shape
+    most = min(nc, int(k.max()))
+    if not most:
+        return np.full(nq, -np.inf)
+    top = np.partition(S, nc - most, axis=1)[:, nc - most:]
+    if (k == most).all():
+        return top[:, 0]
+    top = -np.sort(-top, axis=1)
+    return np.where(k <= most, top[np.arange(nq), np.minimum(k, most) - 1], -np.inf)
+
+
+def _lowest_kth(Q: np.ndarray, C: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """What each query's k-th best score among the rows is at least, however a product is summed."""
+    noise = 2.0 ** -50 * (Q.shape[1] + 8) * np.sqrt((C ** 2).sum(axis=1).max(initial=0))
+    return _kth(Q @ C.T, k) - noise * np.sqrt((Q ** 2).sum(axis=1))
 
 
 def _tile_candidates(S: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, col) of every entry within _TOL of its row's k-th largest score."""
-    nq, nc = S.shape
-    kmax = int(k.max())
-    if nc <= kmax:
+    if S.shape[1] <= int(k.max()):
         return np.nonzero(np.ones_like(S, dtype=bool))
-    top = np.partition(S, nc - kmax, axis=1)[:, nc - kmax:]
-    top = -np.sort(-top, axis=1)
-    thr = top[np.arange(nq), k - 1]
-    return np.nonzero(S >= (thr - _TOL)[:, None])
+    return np.nonzero(S >= (_kth(S, k) - _TOL)[:, None])
 
 
 def _reduce_candidates(qidx: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: np.ndarray):
@@ -125,20 +145,137 @@ def _reduce_candidates(qidx: np.ndarray, ids: np.ndarray, scores: np.ndarray, k:
     return qidx[keep], ids[keep], scores[keep]
 
 
-def _score_block(Q: np.ndarray, k: np.ndarray, ids: np.ndarray, C: np.ndarray):
-    """All candidates of one catalog block against all queries, tile by tile. A tile has all rows of the block for its
-    queries, so what it leaves is reduced at once: equal scores, however many, are held for one tile only."""
-    nq = Q.shape[0]
-    step = max(1, _TILE_ELEMS // max(1, C.shape[0]))
-    out_q, out_i, out_s = [], [], []
-    for q0 in range(0, nq, step):
-        S = Q[q0:q0 + step] @ C.T
-        r, c = _tile_candidates(S, k[q0:q0 + step])
-        r, i, s = _reduce_candidates(r, ids[c], S[r, c], k[q0:q0 + step])
-        out_q.append(r + q0)
-        out_i.append(i)
-        out_s.append(s)
-    return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
+def _slack(dim: int) -> float:
+    """Twice the largest error of a dot product in single precision, as a share of the product of the norms."""
+    return 2.0 ** -23 * (dim + 8)
+
+
+def _thin(X: np.ndarray, scale: float = 1.0) -> np.ndarray | None:
+    """The rows in single precision, their norm times ``scale`` as one more component: the product of a row of queries
+    (scaled by ``_slack``) and a row of the catalog is no less than their exact score. None if a row doesn't fit."""
+    norm = np.sqrt(np.einsum("ij,ij->i", X, X, dtype=np.float64))
+    if not (norm < 1e15).all():
+        return None
+    out = np.empty((X.shape[0], X.shape[1] + 1), np.float32)
+    out[:, :-1], out[:, -1] = X, norm * scale
+    return out
+
+
+class _Tile:
+    """Room for one tile of scores, taken once."""
+
+    def __init__(self):
+        self.scores, self.mask = np.empty(0, np.float32), np.empty(0, bool)
+
+    def hits(self, Q: np.ndarray, C: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of the few products that reach the query's ``low``; eight at a time are looked at."""
+        n = len(Q) * len(C)
+        if n > len(self.scores):
+            self.scores, self.mask = np.empty(n, np.float32), np.empty(n, bool)
+        scores, mask = (x[:n].reshape(len(Q), len(C)) for x in (self.scores, self.mask))
+        np.greater_equal(np.dot(Q, C.T, out=scores), low[:, None], out=mask)
+        if n % 8:
+            return np.nonzero(mask)
+        flat = mask.reshape(-1)
+        eight = np.flatnonzero(flat.view(np.uint64) != 0)
+        at, bit = np.nonzero(flat.reshape(-1, 8)[eight])
+        return np.divmod(eight[at] * 8 + bit, len(C))
+
+
+class _Best:
+    """The candidates of some queries that meet catalog rows part by part, and their k-th best scores so far (``floor``).
+
+    Scores are screened in single precision against the floors, an upper bound each, so nothing near a floor is
+    missed; the few that pass are computed in double precision."""
+
+    def __init__(self, Q: np.ndarray, k: np.ndarray, floor: np.ndarray | None = None, tile: _Tile | None = None):
+        self.Q, self.k, self.thin, self.tile = Q, k, _thin(Q, _slack(Q.shape[1])), tile or _Tile()
+        self.floor = np.full(len(Q), -np.inf) if floor is None else floor
+        self.kept, self.waiting, self.n = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+        self.most = max(1 << 12, 2 * int(k.sum()))
+
+    def meet(self, ids: np.ndarray, C: np.ndarray, thin: np.ndarray | None, of: np.ndarray | None = None) -> None:
+        """Rows, ``thin`` as ``_thin`` gives it for them; ``of``: positions of the queries that meet them (all by default)."""
+        every = np.arange(len(self.Q)) if of is None else of
+        pick = slice(None) if of is None else of
+        if self.thin is None or thin is None:
+            r, c = _tile_candidates(self.Q[pick] @ C.astype(np.float64, copy=False).T, self.k[pick])
+        else:
+            if not (self.floor[pick] > -np.inf).all():
+                head = C[:max(_HEAD_ROWS, 16 * int(self.k.max()))].astype(np.float64, copy=False)
+                self.floor[pick] = np.fmax(self.floor[pick], _lowest_kth(self.Q[pick], head, self.k[pick]))
+            low = np.nextafter((self.floor[pick] - _TOL).astype(np.float32), np.float32(-np.inf))
+            r, c = self.tile.hits(self.thin[pick], thin, low)
+        self._take(every[r], c, ids, C)
+        if self.n > self.most:
+            self.reduce()
+
+    def _take(self, r: np.ndarray, c: np.ndarray, ids: np.ndarray, C: np.ndarray) -> None:
+        """Equal rows get equal scores, wherever they are met: a product is summed by itself."""
+        for at in range(0, len(r), _RESCORED):
+            q, i = r[at:at + _RESCORED], c[at:at + _RESCORED]
+            scores = np.einsum("ij,ij->i", self.Q[q], C[i].astype(np.float64, copy=False))
+            reach = ~(scores < self.floor[q] - _TOL)
+            self.waiting.append((q[reach], ids[i[reach]], scores[reach]))
+            self.n += len(self.waiting[-1][0])
+
+    def reduce(self) -> None:
+        """Keep what can be among the k best, and raise the floors."""
+        if not self.n:
+            return
+        q, ids, scores = (np.concatenate(x) for x in zip(self.kept, *self.waiting))
+        self.waiting, self.n = [], 0
+        if np.isnan(scores).any() or self._uneven(q):
+            # many candidates of few queries, equal scores mostly
+            q, ids, scores = _reduce_candidates(q, ids, scores, self.k)
+        if len(q) and not self._uneven(q):
+            order = np.argsort(q.astype(np.uint16) if len(self.k) <= 1 << 16 else q, kind="stable")
+            q, ids, scores = q[order], ids[order], scores[order]
+            count = np.bincount(q, minlength=len(self.k))
+            S = np.full((len(self.k), count.max()), -np.inf)
+            S[q, np.arange(len(q)) - (np.cumsum(count) - count)[q]] = scores
+            kth = _kth(S, self.k)
+            self.floor = np.fmax(self.floor, kth)
+            keep = ~(scores < self.floor[q] - _TOL)
+            q, ids, scores = q[keep], ids[keep], scores[keep]
+        elif len(q):
+            order = np.lexsort((-scores, q))
+            q, ids, scores = q[order], ids[order], scores[order]
+            last = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == self.k[q] - 1)
+            self.floor[q[last]] = np.fmax(self.floor[q[last]], scores[last])
+        if len(q) > 2 * self.most:
+            q, ids, scores = _reduce_candidates(q, ids, scores, self.k)
+        self.kept = q, ids, scores
+
+    def _uneven(self, q: np.ndarray) -> bool:
+        return len(self.k) * int(np.bincount(q).max(initial=0)) > 16 * len(q) + _TILE_ELEMS
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position of the query, id, score): the k best, and of equal scores at the end the k smallest ids."""
+        self.reduce()
+        q, ids, scores = self.kept
+        more = (np.bincount(q, minlength=len(self.k)) > self.k)[q]
+        if not more.any():
+            return self.kept
+        few = _reduce_candidates(q[more], ids[more], scores[more], self.k)
+        return tuple(np.concatenate([x[~more], y]) for x, y in zip(self.kept, few))
+
+
+def _score_block(Q: np.ndarray, k: np.ndarray, ids: np.ndarray, C: np.ndarray, thin: np.ndarray | None = None):
+    """All candidates of one catalog block against all queries, tile by tile; what the tiles leave of some queries is
+    reduced before others come, so equal scores, however many, are held for those only. ``thin``: of the block, if at hand."""
+    nq, nc = len(Q), len(C)
+    thin = _thin(C) if thin is None else thin
+    rows = max(1, nc if thin is None else min(nc, max(_TILE_ROWS, _TILE_ELEMS // max(1, nq))))
+    step = max(1, _TILE_ELEMS // rows)
+    out, tile = [], _Tile()
+    for at in range(0, nq, step):
+        best = _Best(Q[at:at + step], k[at:at + step], tile=tile)
+        for r in range(0, nc, rows):
+            best.meet(ids[r:r + rows], C[r:r + rows], None if thin is None else thin[r:r + rows])
+        q, i, s = best.result()
+        out.append((q + at, i, s))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _cand_batch(qids, ks, qidx, ids, scores) -> pa.RecordBatch:
@@ -182,18 +319,19 @@ def _broadcast_candidates(spark: SparkSession, qids: np.ndarray, ks: np.ndarray,
         rows = max(1, _HELD_COMPONENTS // dim)
 
         def found(ids, C):
+            thin = _thin(C)
             # One part of the queries after another meets the gathered rows, so a task holds the candidates of a
             # part and not |Q| * k. A row dropped here is below the k-th best of a subset, hence below the final
             # k-th best too.
             for at in range(0, bq.size, part):
                 Q, k = bQ[at:at + part], bk[at:at + part]
-                yield _cand_batch(bq[at:at + part], ks[at:at + part], *_score_block(Q, k, ids, C))
+                yield _cand_batch(bq[at:at + part], ks[at:at + part], *_score_block(Q, k, ids, C, thin))
 
         held, n = [], 0
         for b in batches:
             if b.num_rows == 0:
                 continue
-            held.append((b.column(0).to_numpy(zero_copy_only=False), _as_matrix(b.column(1), b.num_rows, dim, b.column(0))))
+            held.append((b.column(0).to_numpy(zero_copy_only=False), _as_matrix(b.column(1), b.num_rows, dim, b.column(0), None)))
             n += b.num_rows
             if n >= rows:
                 yield from found(*(np.concatenate(x) for x in zip(*held)))
@@ -206,9 +344,10 @@ def _broadcast_candidates(spark: SparkSession, qids: np.ndarray, ks: np.ndarray,
 
 def _cells(n_q: int, n_c: int, kmax: int, dim: int, least: tuple[int, int]) -> tuple[int, int]:
     """Blocks of queries and of catalog rows, multiples of ``least``, that keep a cell within its bounds. What a query
-    sends to a catalog block and back (its vector, k candidates) against what a row sends sets the blocks' shape."""
+    sends to a catalog block and back (its vector, k candidates that are ranked) against what a row sends sets the
+    blocks' shape."""
     most = max(1, _CELL_BYTES // (8 * max(1, dim)))
-    c_rows = min(most, max(1, int(math.sqrt(_CELL_PAIRS * (1 + kmax / 10)))))
+    c_rows = min(most, max(1, int(math.sqrt(_CELL_PAIRS * (1 + kmax / 2)))))
     q_rows = max(1, min(most, _CELL_PAIRS // c_rows, _HELD_CANDS // max(1, kmax)))
     return tuple(b * max(1, math.ceil(n / (b * rows))) for b, n, rows in zip(least, (n_q, n_c), (q_rows, c_rows)))
 
@@ -229,7 +368,7 @@ def _blocked_candidates(queries: DataFrame, catalog: DataFrame, dim: int, bq: in
         ks = left.column("k").to_numpy().astype(np.int64)
         Q = _as_matrix(left.column("qvec"), left.num_rows, dim, left.column("qid").combine_chunks())
         ids = right.column("id").to_numpy()
-        C = _as_matrix(right.column("cvec"), right.num_rows, dim, right.column("id").combine_chunks())
+        C = _as_matrix(right.column("cvec"), right.num_rows, dim, right.column("id").combine_chunks(), None)
         qidx, cid, s = _score_block(Q, ks, ids, C)
         return pa.Table.from_batches([_cand_batch(qids, ks.astype(np.int32), qidx, cid, s)])
 
@@ -237,11 +376,15 @@ def _blocked_candidates(queries: DataFrame, catalog: DataFrame, dim: int, bq: in
             .applyInArrow(cell, CAND_SCHEMA))
 
 
-def _rank(cands: DataFrame, kmax: int, params: P.Params) -> DataFrame:
+def _rank(cands: DataFrame, kmax: int, params: P.Params, n_q: int) -> DataFrame:
     order = (tie_key(F.col("score")).desc(), F.col("id").asc())
-    group = F.pmod(F.xxhash64("id"), F.lit(_RANK_GROUPS))
-    first = cands.withColumn("rank", F.row_number().over(Window.partitionBy("qid", group).orderBy(*order)))
-    cands = first.filter(F.col("rank") <= kmax).drop("rank")
+    if n_q < _MANY_QUERIES:
+        group = F.pmod(F.xxhash64("id"), F.lit(_RANK_GROUPS))
+        first = cands.withColumn("rank", F.row_number().over(Window.partitionBy("qid", group).orderBy(*order)))
+        cands = first.filter(F.col("rank") <= kmax).drop("rank")
+    else:
+        # tasks leave k candidates per query already: nothing is sorted before the exchange to drop more
+        cands = cands.repartition("qid")
     ranked = cands.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
     ranked = ranked.filter((F.col("rank") <= kmax) & (F.col("rank") <= F.col("k")))
     return ranked.select("qid", "rank", "id",
@@ -301,7 +444,7 @@ def search(queries: DataFrame, catalog: DataFrame, params: P.Params = P.DEFAULT,
     # that fits the budget, so the catalog's text column is never shuffled.
     hits_bounded = n_q * kmax * 32 <= params.broadcast_query_bytes
 
-    hits = _rank(cands, kmax, params)
+    hits = _rank(cands, kmax, params, n_q)
     if not keep_raw:
         hits = hits.drop("_raw_score")
     if catalog_text is not None:

@@ -94,3 +94,28 @@ def test_chunks_that_fit_the_budget_share_a_scan(spark, monkeypatch):
     monkeypatch.setattr(type(q), "mapInArrow", lambda self, *a, **k: plans.append(1) or real(self, *a, **k))
     hits, report = search_blocks(q, index, chunk_rows=10)
     assert len(plans) == 1 and rows(hits) == rows(search(q, cat)) and report.first().pairs == 300 * 300
+
+
+def test_small_blocks_are_scored_in_runs(monkeypatch):
+    """Every block was scored by itself, so blocks of a few rows made as many small products for each tile of queries."""
+    import pyarrow as pa
+
+    from simcat.operators import blocks as B
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(4000, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids, pivots = np.arange(1, 4001), v[:6]
+    rows_ = pa.RecordBatch.from_arrays([pa.array(np.zeros(4000, np.int32)), pa.array(ids), pa.array(list(v))], names=["pivot", "id", "vector"])
+    met, real = [], B._Best.meet
+    monkeypatch.setattr(B._Best, "meet", lambda self, i, *a: met.append(len(i)) or real(self, i, *a))
+    k = rng.integers(1, 9, 300)
+    *found, counted = B._scan(ids[:300], k, v[:300], pivots, 24)(B._packer(24, 8)(iter([rows_])))
+    assert counted.to_pylist()[0]["pairs"] == 300 * 4000 and len(met) < 6 * 12
+    hits = {}
+    for b in found:
+        for r in b.to_pylist():
+            hits.setdefault(r["qid"], []).append((-r["score"], r["id"]))
+    scores = v[:300] @ v.T
+    for j in range(300):
+        assert [i for _, i in sorted(hits[j + 1])] == (np.argsort(-scores[j])[: k[j]] + 1).tolist()
