@@ -74,6 +74,8 @@ def search_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLANS_K = 60
+# Pairs that a part of the broadcast plan's queries scores at least, and bytes of vectors that a task of it reads.
+PART_PAIRS, SCAN_BYTES = 1 << 30, 128 << 20
 
 
 def search_plans_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +85,14 @@ def search_plans_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = cat.select(F.col("id").alias("qid"), F.lit(PLANS_K).alias("k"), "vector")
     wide = P.DEFAULT.with_(max_top_k=100)
     tiny = wide.with_(broadcast_query_bytes=1 << 16)
-    # the broadcast plan refuses more queries than its budget: they come in parts, by hash, with room for uneven ones
-    parts = 1 + q.count() * HASH_DIM * 8 * 5 // (4 * wide.broadcast_query_bytes)
+    # The broadcast plan refuses more queries than its budget: they come in parts, by hash, with room for uneven ones. The
+    # catalog may be one file of one row group, so parts, not splits of it, are what keeps the cores busy; with enough of them
+    # it is read in few tasks, as each leaves its own candidates.
+    n, cores = q.count(), spark.sparkContext.defaultParallelism
+    parts = max(1 + n * HASH_DIM * 8 * 5 // (4 * wide.broadcast_query_bytes), min(2 * cores, 1 + n * n // PART_PAIRS))
     part = F.pmod(F.xxhash64("qid"), F.lit(parts))
-    sent = [search(q.filter(part == i), cat, wide, plan="broadcast") for i in range(parts)]
+    scanned = cat.coalesce(max(1 + n * HASH_DIM * 8 // SCAN_BYTES, -(-2 * cores // parts)))
+    sent = [search(q.filter(part == i), scanned, wide, plan="broadcast") for i in range(parts)]
     runs = {"broadcast": reduce(DataFrame.unionByName, sent), "blocked": search(q, cat, wide, plan="blocked", blocks=(2, 3)),
             "auto": search(q, cat, tiny)}
     out = None

@@ -223,3 +223,49 @@ def test_equal_scores_are_reduced_tile_by_tile(monkeypatch):
     Q, C = np.ones((40, 4)) / 2, np.ones((1000, 4)) / 2
     q, ids, scores = S._score_block(Q, np.full(40, 3), np.arange(1000), C)
     assert len(q) == 120 and set(ids.tolist()) == {0, 1, 2} and np.allclose(scores, 1.0)
+
+
+def test_a_single_precision_screen_loses_nothing():
+    """Every score was computed and sorted in double precision."""
+    import simcat.operators.search as S
+
+    rng = np.random.default_rng(4)
+    for dim, scale, equal in ((1, 0, 1), (3, 0, 40), (64, 0, 1), (64, 7, 1), (64, 60, 1), (300, 3, 9)):
+        C = rng.normal(size=(2500, dim)) * 10.0 ** rng.integers(-scale, scale + 1, size=(2500, 1))
+        C = C[np.arange(2500) // equal]
+        Q, k, ids = C[rng.integers(0, 2500, 90)], rng.integers(1, 70, 90), rng.permutation(2500)
+        thin, q = S._thin(C), S._thin(Q, S._slack(dim))
+        assert (thin is None) == (scale > 15)
+        if thin is not None:
+            assert (q.astype(float) @ thin.astype(float).T >= Q @ C.T).all()
+        scores = np.array([np.einsum("ij,ij->i", np.repeat(x[None], 2500, 0), C) for x in Q])
+        found = list(zip(*S._score_block(Q, k, ids, C)))
+        for j in range(90):
+            best = sorted((-np.round(s, 12), int(i)) for x, i, s in found if x == j)[: k[j]]
+            assert [i for _, i in best] == ids[np.lexsort((ids, -np.round(scores[j], 12)))[: k[j]]].tolist()
+
+
+def test_many_queries_are_ranked_in_one_exchange(spark, cat, monkeypatch):
+    """All candidates were exchanged and sorted twice, by (query, hash of id) and then by query."""
+    import simcat.operators.search as S
+
+    q = cat.select(F.col("id").alias("qid"), F.lit(6).alias("k"), "vector")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    two = rows(search(q, cat))
+    monkeypatch.setattr(S, "_MANY_QUERIES", 1)
+    hits = search(q, cat)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and rows(hits) == two
+
+
+def test_parts_of_the_broadcast_plan_follow_the_pairs(spark, sf, monkeypatch):
+    """A catalog of one file of one row group was one task's work for all queries that fit the broadcast budget."""
+    from simcat.plans import search_queries as Q
+
+    monkeypatch.setattr(Q, "PART_PAIRS", 1 << 13)
+    sent, real = [], Q.search
+    monkeypatch.setattr(Q, "search", lambda q, c, *a, **k: sent.append(k.get("plan")) or real(q, c, *a, **k))
+    hits = Q.search_plans_agree(spark, sf)
+    assert sent.count("broadcast") == min(2 * spark.sparkContext.defaultParallelism, 1 + hits.select("qid").distinct().count() ** 2 // (1 << 13)) > 1
+    by = {p: sorted(map(tuple, hits.filter(F.col("plan") == p).drop("plan").collect())) for p in ("broadcast", "blocked", "auto")}
+    assert by["broadcast"] == by["blocked"] == by["auto"]
