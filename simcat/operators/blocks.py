@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simcat import params as P
-from simcat.operators.search import _TILE_ELEMS, _TILE_ROWS, _TOL, _as_matrix, _Best, _lowest_kth, _query_arrays, _rank, _refuse_repeats, _thin, _Tile
+from simcat.operators.search import _FEW_QUERIES, _TILE_ELEMS, _TILE_ROWS, _TOL, _as_matrix, _Best, _few_equal, _lowest_kth, _query_arrays, _rank, _refuse_repeats, _thin, _Tile
 from simcat.session import shared_dir
 
 PIVOTS, BLOCK_ROWS = 256, 512
@@ -150,7 +150,7 @@ def _meet(best: _Best, size: np.ndarray, cuts: np.ndarray, ids: np.ndarray, vect
     scored = 0
     for i, run in enumerate([*early, *_runs(np.sort(rest), sizes, _TILE_ROWS)]):
         near = bounds[:, run] >= best.floor[:, None] - _TOL
-        run, alive = run[near.any(axis=0)], np.flatnonzero(near.any(axis=1))
+        run, alive = run[near.any(axis=0) & (sizes[run] > 0)], np.flatnonzero(near.any(axis=1))
         if not len(run):
             continue
         if (np.diff(run) == 1).all():
@@ -184,10 +184,13 @@ def _scan(bq: np.ndarray, bk: np.ndarray, Q: np.ndarray, pivots: np.ndarray, dim
         own, pairs, scored = list(tiles()) if len(Q) else [], 0, 0
         for batch in batches:
             for cuts, ids, vectors, *bounds in _slices(batch, dim):
+                pairs += len(Q) * len(ids)
+                few = _few_equal(ids, vectors, int(bk.max())) if len(Q) >= _FEW_QUERIES else None
+                if few is not None:
+                    cuts, ids, vectors = np.searchsorted(few, cuts), ids[few], vectors[few]
                 thin = _thin(vectors)
                 for _, size, best in own:
                     scored += _meet(best, size, cuts, ids, vectors, thin, *bounds)
-                pairs += len(Q) * len(ids)
         for i, _, best in own:
             q, found, scores = best.result()
             if len(q):

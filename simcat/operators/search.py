@@ -42,8 +42,8 @@ CAND_SCHEMA = "qid long, id long, score double, k int"
 _TOL = 2.0 * 10.0 ** -TIE_DECIMALS
 # First-level groups of one query's candidates.
 _RANK_GROUPS = 32
-# Queries from which on their number alone spreads the ranking over tasks.
-_MANY_QUERIES = 1 << 12
+# Queries from which on their number alone spreads the ranking over tasks, and up to which repeats of rows aren't sought.
+_MANY_QUERIES, _FEW_QUERIES = 1 << 12, 64
 # Cap on one score tile (queries x catalog rows) held in memory by a task; catalog rows of a tile, and the first rows
 # whose scores are sorted to give queries a first floor; hits scored anew in double precision at a time.
 _TILE_ELEMS, _TILE_ROWS, _HEAD_ROWS, _RESCORED = 1 << 19, 1024, 512, 1 << 11
@@ -161,6 +161,27 @@ def _thin(X: np.ndarray, scale: float = 1.0) -> np.ndarray | None:
     return out
 
 
+def _few_equal(ids: np.ndarray, C: np.ndarray, k: int) -> np.ndarray | None:
+    """Positions of the rows without those that k equal rows of no larger id stand before: they have the same scores and
+    can't be among any query's k best. None if all rows stay."""
+    C = np.ascontiguousarray(C)
+    words, key = C.view(np.uint32).reshape(len(C), -1), np.empty(len(C), np.uint64)
+    odd = np.random.default_rng(7).integers(0, 1 << 63, words.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for at in range(0, len(C), _RESCORED):
+        key[at:at + _RESCORED] = (words[at:at + _RESCORED].astype(np.uint64) * odd).sum(axis=1, dtype=np.uint64)
+    found = np.sort(key)
+    if len(C) <= k or (found[k:] != found[:-k]).all():
+        return None
+    order = np.lexsort((ids, key))
+    equal = np.r_[False, key[order[1:]] == key[order[:-1]]]
+    at = np.flatnonzero(equal)
+    for i in range(0, len(at), _RESCORED):
+        some = at[i:i + _RESCORED]
+        equal[some] = (C[order[some]] == C[order[some - 1]]).all(axis=1)
+    place = np.arange(len(C)) - np.maximum.accumulate(np.where(equal, 0, np.arange(len(C))))
+    return np.sort(order[place < k])
+
+
 class _Tile:
     """Room for one tile of scores, taken once."""
 
@@ -264,8 +285,11 @@ class _Best:
 def _score_block(Q: np.ndarray, k: np.ndarray, ids: np.ndarray, C: np.ndarray, thin: np.ndarray | None = None):
     """All candidates of one catalog block against all queries, tile by tile; what the tiles leave of some queries is
     reduced before others come, so equal scores, however many, are held for those only. ``thin``: of the block, if at hand."""
-    nq, nc = len(Q), len(C)
     thin = _thin(C) if thin is None else thin
+    few = _few_equal(ids, C, int(k.max())) if len(Q) >= _FEW_QUERIES else None
+    if few is not None:
+        ids, C, thin = ids[few], C[few], None if thin is None else thin[few]
+    nq, nc = len(Q), len(C)
     rows = max(1, nc if thin is None else min(nc, max(_TILE_ROWS, _TILE_ELEMS // max(1, nq))))
     step = max(1, _TILE_ELEMS // rows)
     out, tile = [], _Tile()

@@ -89,7 +89,7 @@ def search_plans_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     # catalog may be one file of one row group, so parts, not splits of it, are what keeps the cores busy; with enough of them
     # it is read in few tasks, as each leaves its own candidates.
     n, cores = q.count(), spark.sparkContext.defaultParallelism
-    parts = max(1 + n * HASH_DIM * 8 * 5 // (4 * wide.broadcast_query_bytes), min(2 * cores, 1 + n * n // PART_PAIRS))
+    parts = max(1 + n * HASH_DIM * 8 * 5 // (4 * wide.broadcast_query_bytes), min(cores, 1 + n * n // PART_PAIRS))
     part = F.pmod(F.xxhash64("qid"), F.lit(parts))
     scanned = cat.coalesce(max(1 + n * HASH_DIM * 8 // SCAN_BYTES, -(-2 * cores // parts)))
     sent = [search(q.filter(part == i), scanned, wide, plan="broadcast") for i in range(parts)]

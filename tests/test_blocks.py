@@ -119,3 +119,14 @@ def test_small_blocks_are_scored_in_runs(monkeypatch):
     scores = v[:300] @ v.T
     for j in range(300):
         assert [i for _, i in sorted(hits[j + 1])] == (np.argsort(-scores[j])[: k[j]] + 1).tolist()
+
+
+def test_repeated_rows_give_the_hits_of_search(spark):
+    v = clusters(600)
+    v[200:] = v[200]
+    cat = spark.createDataFrame([(i + 1, x.tolist()) for i, x in enumerate(v)], CATALOG)
+    q = cat.filter("id % 4 = 0").select(F.col("id").alias("qid"), F.lit(6).alias("k"), "vector")
+    hits, report = search_blocks(q, build_blocks(cat, pivots=9, block_rows=20))
+    assert rows(hits) == rows(search(q, cat)) and report.first().pairs == 150 * 600
+    by_id = [r[2] for r in rows(hits) if r[0] == 400]
+    assert by_id == [201, 202, 203, 204, 205, 206]

@@ -266,6 +266,29 @@ def test_parts_of_the_broadcast_plan_follow_the_pairs(spark, sf, monkeypatch):
     sent, real = [], Q.search
     monkeypatch.setattr(Q, "search", lambda q, c, *a, **k: sent.append(k.get("plan")) or real(q, c, *a, **k))
     hits = Q.search_plans_agree(spark, sf)
-    assert sent.count("broadcast") == min(2 * spark.sparkContext.defaultParallelism, 1 + hits.select("qid").distinct().count() ** 2 // (1 << 13)) > 1
+    assert sent.count("broadcast") == min(spark.sparkContext.defaultParallelism, 1 + hits.select("qid").distinct().count() ** 2 // (1 << 13)) > 1
     by = {p: sorted(map(tuple, hits.filter(F.col("plan") == p).drop("plan").collect())) for p in ("broadcast", "blocked", "auto")}
     assert by["broadcast"] == by["blocked"] == by["auto"]
+
+
+def test_repeats_of_a_row_beyond_k_are_left_out():
+    import simcat.operators.search as S
+
+    rng = np.random.default_rng(6)
+    for dim, kind in ((5, np.float32), (64, np.float64)):
+        C = rng.normal(size=(30, dim)).astype(kind)[rng.integers(0, 30, 900)]
+        C[100:] = C[100]
+        ids = rng.integers(0, 500, 900)  # some come twice
+        few = S._few_equal(ids, C, 4)
+        expect = []
+        for v in np.unique(C, axis=0):
+            expect += sorted(ids[(C == v).all(axis=1)].tolist())[:4]
+        assert sorted(ids[few].tolist()) == sorted(expect)
+        assert S._few_equal(ids, C, 900) is None and S._few_equal(np.arange(50), rng.normal(size=(50, dim)), 1) is None
+        Q = C[:70].astype(float)
+        q, i, s = S._score_block(Q, np.full(70, 4), ids, C)
+        scores = np.array([np.einsum("ij,ij->i", np.repeat(x[None], 900, 0), C.astype(float)) for x in Q])
+        for j in range(70):
+            best = np.lexsort((ids, -np.round(scores[j], 12)))[:4]
+            found = np.lexsort((i[q == j], -np.round(s[q == j], 12)))[:4]
+            assert i[q == j][found].tolist() == ids[best].tolist()
